@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64))
         at = 0
         while at < n:
             done = size[at - 1] if at else 0
