@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash
+from . import bpe, decontaminate, minhash, quality
 
 #: Words, five-word shingles, links at 0.75 and smallest reachable doc_id, spelt out.
 OP1 = r"""
@@ -29,6 +29,24 @@ select s.doc_id, cast(len(sh) as bigint) as n_shingles, coalesce(m.c, s.doc_id)
 from s left join (select doc_id, min(r) as c from reach group by 1) m on m.doc_id = s.doc_id
 """
 
+#: Equal words at one offset; ten of them within thirteen positions, or a short item whole.
+OP8 = r"""
+with d as (
+  select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents)),
+b as (
+  select item_id, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as p from (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from benchmark)),
+x as (select doc_id, p, case when trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') = '' then w else trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') end as w from d),
+y as (select item_id, n, p, case when trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') = '' then w else trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') end as w from b),
+eq as (select doc_id, item_id, n, x.p - y.p as diag, y.p as p from x join y using (w)),
+k as (select doc_id, item_id, n, count(*) over (partition by doc_id, item_id, diag order by p range between current row and 12 following) as c from eq),
+hit as (select distinct doc_id, item_id from k where (n >= 10 and c >= 10) or (n between 5 and 9 and c = n)),
+g as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by item_id) as item_ids from hit group by 1)
+select doc_id, g.n_items is not null as contaminated, coalesce(n_items, 0) as n_items, coalesce(item_ids, '') as item_ids
+from documents left join g using (doc_id)
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +56,22 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op4_quality": op4_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_near_duplicates": OP1}
+ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op8_decontaminate": OP8}
