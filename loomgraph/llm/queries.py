@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, minhash, quality
+from . import bpe, covertree, decontaminate, lines, minhash, quality, sharding, wordpiece
 
 #: Words, five-word shingles, links at 0.75 and smallest reachable doc_id, spelt out.
 OP1 = r"""
@@ -55,6 +56,17 @@ select x.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_re
 from documents x left join kept k on k.doc_id = x.doc_id
 """
 
+#: All pairs of queries and rows.
+OP7 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score
+      from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 #: Equal words at one offset; ten of them within thirteen positions, or a short item whole.
 OP8 = r"""
 with d as (
@@ -90,6 +102,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = covertree.integers(_table(spark, sf_dir, "embeddings"))
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -102,7 +127,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
+    "op7_top_k": op7_top_k,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op8_decontaminate": OP8}
+ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op7_top_k": OP7, "op8_decontaminate": OP8}
