@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, lines, minhash, quality, sharding, wordpiece
+from . import bpe, covertree, decontaminate, lines, minhash, pages, privacy, quality, sharding, wordpiece
 
 #: Words, five-word shingles, links at 0.75 and smallest reachable doc_id, spelt out.
 OP1 = r"""
@@ -94,6 +94,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
@@ -123,8 +127,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_privacy": op2_privacy,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
@@ -132,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": op7_top_k,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_main_text": op10_main_text,
 }
 ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op7_top_k": OP7, "op8_decontaminate": OP8}
