@@ -1 +1,3 @@
-"""See the package README section of the same name."""
+"""Queries over the star-schema fixtures; importing a module registers its queries."""
+
+from . import similarity  # noqa: F401
