@@ -3,40 +3,45 @@
 Two permutations of the 32-bit universe make all signature coordinates: every shingle
 goes once through the first; coordinate k is the smallest value of the second one,
 circularly shifted by k (mod 2^32). Signatures are cut into bands; documents that agree in
-a whole band are candidates; candidates are confirmed on full shingle sets.
+a whole band share a bucket; candidates are confirmed on full shingle sets.
 
 Shape of the work, for groups of any size:
 
 * Documents with the same shingle set form a class and only its smallest doc_id goes on.
-* No bucket is gathered in one task and no bucket is expanded into all its pairs. Each
-  member is first paired with a few members of its bucket (``CENTRES``), found by
-  partial aggregation. Confirmed links give components. Only buckets that still hold
-  several components are looked at again, and only pairs across components, whose
-  signatures agree in at least ``LEAST_AGREE`` of ``COORDINATES`` places (at a similarity
-  of 0.75 a pair falls below that with a probability under 1e-7), are confirmed too.
-* Components come from min-label propagation with pointer jumping over confirmed links.
+* No bucket is gathered in one task or expanded into its pairs. Members are first tied to
+  a few members of their bucket, found by partial aggregation; where a bucket still holds
+  several clusters, members outside its largest one are compared with all others. A tie needs
+  ``LEAST_AGREE`` of ``COORDINATES`` places to agree in two bits each, compared inside
+  the join, so pairs below it are never rows. (At a similarity of 0.75 a pair falls below it with
+  a probability of 3e-7.) Ties give clusters that no true link leaves.
+* The full sets of a cluster are dealt into parts of bounded size, and each pair of parts is
+  compared in a task of its own, which returns a spanning forest of the links it
+  confirms: at most one row for each set, not one for each pair.
+* Components come from hooking to the smallest neighbour, pointer jumping and contraction.
 
 A similarity of exactly 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Texts of fewer than
-five words count as one shingle. Very long texts are read whole. Null doc_ids never become
-candidates (component null, kept true). Rows that repeat a doc_id are one document each when
-counting, and share the component of the smallest; extra columns are ignored.
+five words count as one shingle. Very long texts are read whole. Rows with null doc_id are
+linked with nothing (component null, kept true). Rows that repeat a doc_id are expected to
+repeat the text; with several texts the one with the least digest stands for the doc_id. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, slices, words_of
 
 COORDINATES, BANDS = 128, 32
 ROWS_PER_BAND = COORDINATES // BANDS
-LEAST_AGREE = 70
-CENTRES = 3
+LEAST_AGREE = 82
+#: Shingles of a part of a cluster; a task holds two parts.
+PART_SHINGLES = 200_000
 CHUNK_BYTES = 4 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -104,8 +109,8 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
     return sig
 
 
-def profile(df: DataFrame, size: int = 5, with_signature: bool = True) -> DataFrame:
-    """doc_id, n_shingles, set_key (binary digest of the set) and sig (binary)."""
+def profile(df: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, set_key (digest of the set), keys (of the bands) and bits (two of each coordinate)."""
 
     def run(batches):
         hashes = WordHashes(seed=1)
@@ -113,17 +118,35 @@ def profile(df: DataFrame, size: int = 5, with_signature: bool = True) -> DataFr
             hashes.trim()
             sets = [shingle_hashes(words_of(t), hashes, size) for t in batch.column(1).to_pylist()]
             sig = signatures(sets)
+            keys = band_keys(sig)
+            bits = np.concatenate([np.packbits(sig >> np.uint32(k) & np.uint32(1), axis=1).view(np.int64) for k in (0, 1)], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
-                    pa.array([r.tobytes() for r in sig], pa.binary()),
+                    _lists(keys),
+                    _lists(bits),
                 ],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                ["doc_id", "n_shingles", "set_key", "keys", "bits"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, bits array<bigint>")
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature; bands never share keys on purpose."""
+    rows = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS_PER_BAND)
+    with np.errstate(over="ignore"):
+        out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[7], rows.shape[:2]).copy()
+        for k in range(ROWS_PER_BAND):
+            out = (out ^ rows[:, :, k]) * _MULT[k]
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -147,93 +170,170 @@ def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def band_rows(reps: DataFrame) -> DataFrame:
-    """rep, band key: one row per document class and band."""
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            import xxhash
-
-            keys = np.empty((n, BANDS), np.int64)
-            for i, sig in enumerate(batch.column(1).to_pylist()):
-                for b in range(BANDS):
-                    keys[i, b] = np.int64(np.uint64(xxhash.xxh64_intdigest(sig[b * 4 * ROWS_PER_BAND : (b + 1) * 4 * ROWS_PER_BAND], seed=b)).view(np.int64))
-            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(keys.ravel())], ["rep", "bucket"])
-
-    return reps.select("rep", "sig").mapInArrow(run, "rep bigint, bucket bigint")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node that each node of ``links`` reaches.
 
-    Each round, every node takes the smallest label among its own, its neighbours' and
-    its label's label, until nothing changes. State is cut to the shared folder each
-    round. Only aggregations with partial sums and equi-joins; no node's links are
-    gathered. Null ends are ignored.
+    Each round hooks every node to its smallest neighbour (or itself), follows the hooks to their
+    ends by pointer jumping, and replaces links by links between those ends; what
+    is left shrinks at least by half each round. State is cut to the shared folder.
+    Only aggregations with partial sums and equi-joins; no node's links are gathered. Null ends are ignored.
     """
     both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    both = both.select(F.col(a).alias("x"), F.col(b).alias("y")).union(both.select(F.col(b), F.col(a))).distinct()
-    both = cut(both, "links")
-    labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("root")), "labels")
+    both = both.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    edges = cut(both.union(both.select(F.col("y"), F.col("x"))).distinct(), "edges")
+    labels = None
     while True:
-        seen = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("near"))
-        over = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = (
-            labels.join(seen, labels.node == seen.x, "left").join(over, "root", "left")
-            .select("node", F.least("root", "near", "up").alias("root"), F.col("root").alias("was"))
-        )
-        new = cut(new, "labels")
-        if new.where("root <> was").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(right, "b").join(left, "a")
-        .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
-        .select("a", "b")
-    )
-
-
-def _centres(bands: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b): each member with a few chosen members of its bucket."""
-    spread = F.xxhash64("rep", F.pmod("bucket", F.lit(CENTRES - 1)))
-    tops = bands.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rep").alias("c0"), F.min(F.struct(spread.alias("h"), "rep")).alias("c1")
-    ).where("n > 1").select("bucket", "c0", F.col("c1.rep").alias("c1"))
+        hooks = edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to"))
+        while True:
+            hooks = cut(hooks, "hooks")
+            further = hooks.where("x <> to").select(F.col("x").alias("to"), F.col("to").alias("end"))
+            longer = cut(hooks.join(further, "to"), "longer")
+            if longer.isEmpty():
+                break
+            hooks = hooks.join(longer.select("x", "end"), "x", "left").select("x", F.coalesce("end", "to").alias("to"))
+        if labels is None:
+            labels = hooks.select(F.col("x").alias("node"), F.col("to").alias("root"))
+        else:
+            labels = labels.join(hooks.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = cut(labels, "labels")
+        edges = edges.join(hooks.toDF("x", "p"), "x").select("y", "p").join(hooks.toDF("y", "q"), "y").where("p <> q")
+        edges = cut(edges.select(F.col("p").alias("x"), F.col("q").alias("y")).distinct(), "edges")
+        if edges.isEmpty():
+            return labels
+
+
+def _agree(x: str, y: str):
+    """Coordinates, of two signatures held as ``bits``, that agree in both bits."""
+    bit = lambda c, k: F.get(F.col(c), F.lit(k))
+    differ = [F.bit_count(bit(x, k).bitwiseXOR(bit(y, k)).bitwiseOR(bit(x, k + 2).bitwiseXOR(bit(y, k + 2)))) for k in (0, 1)]
+    return F.lit(COORDINATES) - differ[0] - differ[1]
+
+
+def _ties(bands: DataFrame, reps: DataFrame) -> DataFrame:
+    """a < b: members of a bucket tied to its first and to one random member of it."""
+    spread = F.xxhash64("rep", F.pmod("bucket", F.lit(4)))
+    tops = bands.groupBy("bucket").agg(F.min("rep").alias("c0"), F.min(F.struct(spread.alias("h"), "rep")).alias("c1"))
+    tops = tops.select("bucket", "c0", F.col("c1.rep").alias("c1"))
     pairs = bands.join(tops, "bucket").select("rep", F.explode(F.array("c0", "c1")).alias("c")).where("rep <> c")
-    return pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    bits = reps.select("rep", "bits")
+    pairs = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+    return pairs.where(_agree("x", "y") >= LEAST_AGREE).select("a", "b")
+
+
+def _more_ties(bands: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """a < b: ties between clusters, of buckets that hold several."""
+    now = bands.join(clusters, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    now = now.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket").join(reps.select("rep", "bits"), "rep")
+    now = cut(now, "mixed")
+    few = now.where("root <> main").select("bucket", F.col("rep").alias("rep_b"), F.col("root").alias("root_b"), F.col("bits").alias("y"))
+    far = (now.root != few.root_b) & ((now.root == now.main) | (now.rep < few.rep_b)) & (_agree("bits", "y") >= LEAST_AGREE)
+    pairs = now.join(few, (now.bucket == few.bucket) & far)
+    return pairs.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+
+
+def _links(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets; with ``first`` > 0, of those across its two parts only."""
+    m = len(sets)
+    lens = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), lens)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    both = np.zeros((m, m), np.float32)
+    width = max(64, (4 << 20) // m)
+    for at in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        block = np.zeros((m, width), np.float32)
+        block[owner[a:b], column[a:b] - at] = 1
+        both += block @ block.T
+    both = np.rint(both).astype(np.int64)
+    linked = np.triu(both * 100 >= (lens[:, None] + lens[None] - both) * percent, 1)
+    if first:
+        linked[:first, :first] = False
+        linked[first:, first:] = False
+    up = list(range(m))
+
+    def top(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    forest = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            up[y] = x
+            forest.append((a, b))
+    return forest
+
+
+def _confirmed(df: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
+    """Confirmed links (a, b) among the members of each cluster, a spanning forest for each pair of parts."""
+    members = clusters.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    parts = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
+    members = cut(members.join(parts, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "parts"), "members")
+    texts = df.select("doc_id", "text").join(members.select("doc_id"), "doc_id", "left_semi")
+    dealt = shingle_sets(texts, size).join(members, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = dealt.withColumn("other", other).select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc_id", "shingles")
+    dealt = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "part", "doc_id")
+
+    def run(batches):
+        def links(key, rows):
+            rows = list({doc: (part, s) for doc, part, s in rows}.items())
+            if len(rows) > 1:
+                first = sum(part == key[1] for _, (part, _) in rows) if key[1] != key[2] else 0
+                if key[1] == key[2] or 0 < first < len(rows):
+                    found = _links([s for _, (_, s) in rows], first, percent)
+                    return [(rows[a][0], rows[b][0]) for a, b in found]
+            return []
+
+        key, rows, out = None, [], []
+        for batch in batches:
+            cluster, p, q, part, doc = (batch.column(k).to_pylist() for k in range(5))
+            sets = batch.column(5)
+            flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+            for k in range(batch.num_rows):
+                now = (cluster[k], p[k], q[k])
+                if now != key:
+                    out += links(key, rows)
+                    key, rows = now, []
+                rows.append((doc[k], part[k], flat[offsets[k] : offsets[k + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out = []
+        out = links(key, rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row of ``df`` (doc_id, text)."""
     docs = cut(profile(df, size), "profiles")
-    classes = docs.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
-    reps = classes.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.sig").alias("sig"))
-    reps = cut(reps.groupBy("rep").agg(F.min(F.struct("set_key", "sig")).alias("s")).select("rep", "s.*"), "classes")
-    bands = band_rows(reps)
+    some = docs.where("n_shingles > 0 and doc_id is not null")
+    # a class has a representative, and a doc_id has a class, even if it comes with several texts
+    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    reps = cut(classes.groupBy("rep").agg(F.min(F.struct("set_key", "n_shingles", "keys", "bits")).alias("s")).select("rep", "s.*"), "classes")
+    bands = reps.select("rep", F.explode("keys").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     bands = cut(bands.join(shared, "bucket"), "bands")
-    pairs = cut(_centres(bands), "pairs")
-    busy = bands.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(shingle_sets(df.select("doc_id", "text").join(busy, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets")
-    links = cut(_confirmed(pairs, sets, percent), "confirmed")
-    roots = components(links)
-    rest = _across(bands, roots, reps)
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = cut(_confirmed(rest, sets, percent), "confirmed")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    ties = cut(_ties(bands, reps), "ties")
+    clusters = components(ties)
+    more = cut(_more_ties(bands, reps, clusters), "ties")
+    if not more.isEmpty():
+        clusters = components(ties.union(more))
+    roots = components(cut(_confirmed(df, clusters, reps, percent, size), "links"))
     named = reps.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select("set_key", F.coalesce("root", "rep").alias("component_id"))
     out = docs.join(named, "set_key", "left")
@@ -242,33 +342,6 @@ def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(bands: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a bucket that lie in different components and whose signatures are close."""
-    now = bands.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    now = now.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket")
-    # members outside the bucket's largest component look at all the others; its own members need no look at each other
-    few = now.where("root <> main").select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = now.join(few, "bucket").where("root <> root_b and (root = main or rep < b)")
-    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    sig = reps.select("rep", "sig")
-    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return _close(pairs)
-
-
-def _close(pairs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            keep = pa.array((a == b).sum(axis=1) >= LEAST_AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
-
-
 def keep_one(df: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """The rows of ``df`` whose document is the first of its component."""
     found = near_duplicates(df, percent, size)
