@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every word-based operator: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -93,3 +94,18 @@ def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     ends = np.cumsum(lens)
     at = np.arange(total, dtype=np.int64) + np.repeat(offsets[pick] - (ends - lens), lens)
     return values[at], lens
+
+
+#: Keys of a side of a join that is broadcast, at most (16 MB as longs with their hash table).
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``keys``; null never is.
+
+    The keys are counted first: up to BROADCAST_KEYS are broadcast, more are joined by a shuffle.
+    """
+    keys = cut(keys.select(column).where(F.col(column).isNotNull()).distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, column, "left_anti").select(*df.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, slices, words_of
+from .common import WordHashes, slices, without, words_of
 
 #: Positions that count, from the first: every three substitutions in 13 words leave one of them whole.
 MASKS = ("110111", "1101000011", "1110001000001")
@@ -174,5 +174,4 @@ def flags(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that match no item (all columns)."""
-    bad = matches(documents, benchmark).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, matches(documents, benchmark))

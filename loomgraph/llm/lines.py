@@ -107,5 +107,12 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
-    """The stage: texts without later repeated runs; documents that lost their whole text go."""
-    return deduplicate(df).where(~F.col("_emptied")).select(*df.columns)
+    """The stage: texts without later repeated runs; documents that lost their whole text go.
+
+    A column n_chars is brought up to date.
+    """
+    out = deduplicate(df).where(~F.col("_emptied"))
+    if "n_chars" in df.columns:
+        new = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", new.cast(df.schema["n_chars"].dataType))
+    return out.select(*df.columns)

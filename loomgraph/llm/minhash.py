@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, slices, words_of
+from .common import WordHashes, cut, slices, without, words_of
 
 COORDINATES, BANDS = 128, 32
 ROWS_PER_BAND = COORDINATES // BANDS
@@ -344,6 +344,4 @@ def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFram
 
 def keep_one(df: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """The rows of ``df`` whose document is the first of its component."""
-    found = near_duplicates(df, percent, size)
-    drop = found.where("not kept").select("doc_id").distinct()
-    return df.join(drop, "doc_id", "left_anti").select(*df.columns)
+    return without(df, near_duplicates(df, percent, size).where("not kept"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, without
 
 #: Random features, kernel width in units of scaled statistics, ridge weight, calibration bins.
 RANDOM_FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 4.0, 1e-3, 512, 11
@@ -231,5 +231,4 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows with null doc_id stay: a rejection needs a document to name.
     """
-    bad = scores(documents, labels).where("predicted = 0").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, scores(documents, labels).where("predicted = 0"))
