@@ -17,13 +17,13 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from hashlib import sha256
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ragged, slices
@@ -31,7 +31,11 @@ from .common import ragged, slices
 #: Largest vocabulary file that is broadcast.
 MAX_VOCAB_BYTES = 64 << 20
 #: Text bytes whose pre-tokens are replayed together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+_IDS = 1 << 18
+#: White space on both sides of a space (any Unicode white space counts; too much does no harm).
+_MEETS = r"[\pZ\x09-\x0d\x1c-\x1f\x{85}] [\pZ\x09-\x0d\x1c-\x1f\x{85}]"
+_STOPS = (".", ",")
 _NONE = np.int32(2**31 - 1)
 
 
@@ -154,30 +158,82 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return tok[:size][alive], np.concatenate([[0], np.cumsum(counts)])
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+class Encoder:
+    """Encodes texts chunk by chunk; keeps the ids of recent pre-tokens, up to a bound.
+
+    Texts are cut at single spaces first. A space always starts a new pre-token when a
+    non-space precedes or follows it, so the pieces " word" can be split by the pattern
+    each on its own; texts in which white space meets a space are split whole.
+    """
+
+    #: Pre-tokens whose ids are kept between chunks.
+    KEPT = 300_000
+
+    def __init__(self, ranks: Ranks, pattern: str):
+        import regex
+
+        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.known: dict[str, int] = {}
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str], lists: list[list[str]]) -> None:
+        """Keep the ids of new pieces, given the pre-tokens of each."""
+        local: dict[str, int] = {}
+        flat = [local.setdefault(w, len(local)) for words in lists for w in words]
+        ids, offsets = replay([w.encode("utf-8", "surrogatepass") for w in local], self.ranks)
+        values, lens = ragged(ids, offsets, np.array(flat, np.int64))
+        sums = np.concatenate([[0], np.cumsum(lens)])
+        ends = sums[np.cumsum([len(x) for x in lists])]
+        at = len(self.offsets) - 1
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
+        self.ids = np.concatenate([self.ids, values])
+
+    def _rows(self, pieces: list[str], split) -> np.ndarray:
+        """The row of kept ids of each piece; new ones are split and replayed together."""
+        fresh = [w for w in dict.fromkeys(pieces) if w not in self.known]
+        if fresh:
+            self._learn(fresh, [split(w) for w in fresh])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _split(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece that begins with a space; plain words need no pattern."""
+        if piece[1:].isalpha():
+            return [piece]
+        if piece[-1] in _STOPS and piece[1:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts joined, and the number of ids of each text."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring_regex(texts, _MEETS))
+        whole = {i: texts[i].as_py() for i in np.flatnonzero(np.asarray(odd)).tolist()}
+        if whole:
+            texts = pc.if_else(odd, "", texts)
+        parts = pc.split_pattern(texts, " ")
+        counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        coded = pc.list_flatten(parts).dictionary_encode()
+        index = np.asarray(coded.indices).astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        first = np.cumsum(counts) - counts  # the first piece of a text has no space before it
+        starts = ["\0" + whole.get(i, pieces[k]) for i, k in enumerate(index[first])]  # \0: kept apart from " word"
+        if len(self.known) > self.KEPT or len(self.ids) > 8 * self.KEPT:
+            self.known.clear()
+            self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        rows = self._rows([" " + w for w in pieces], self._split)[index]
+        rows[first] = self._rows(starts, lambda w: self.find(w[1:]))
+        for w in starts:  # most are seen once, and some are long
+            self.known.pop(w, None)
+        flat, lens = ragged(self.ids, self.offsets, rows)
+        sums = np.concatenate([[0], np.cumsum(lens)])
+        return flat, sums[first + counts] - sums[first]
 
 
 def encode_texts(texts: list[str | None], ranks: Ranks, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts joined, and the number of ids of each text."""
-    import regex
-
-    find = regex.compile(pattern).findall
-    numbers = _Numbers()
-    rows = []
-    for text in texts:
-        words = find(text) if text else []
-        rows.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-    if not numbers:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    ids, offsets = replay([w.encode("utf-8", "surrogatepass") for w in numbers], ranks)
-    per_row = np.array([len(r) for r in rows], np.int64)
-    flat, lens = ragged(ids, offsets, np.concatenate(rows))
-    sums = np.concatenate([[0], np.cumsum(lens)])
-    ends = np.cumsum(per_row)
-    return flat, sums[ends] - sums[ends - per_row]
+    return Encoder(ranks, pattern).encode(pa.array(texts, pa.string()))
 
 
 def _vocabulary(df: DataFrame, vocab_path: str):
@@ -196,9 +252,9 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
     df = df.drop(ids_col)
 
     def run(batches):
-        ranks = _ranks(shared.value)
+        encoder = Encoder(_ranks(shared.value), pattern)
         for batch in slices(batches, text_col, CHUNK_BYTES):
-            ids, counts = encode_texts(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), ranks, pattern)
+            ids, counts = encoder.encode(batch.column(batch.schema.get_field_index(text_col)))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids_col])
@@ -231,12 +287,36 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str =
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
+def _texts(ids: np.ndarray, counts: np.ndarray, values: np.ndarray, offsets: np.ndarray):
+    """For each row of ids its joined ``values`` as bytes, made for a bounded number of ids at a time."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        first = int(ends[at] - counts[at])
+        last = max(at + 1, int(np.searchsorted(ends, first + _IDS, "right")))
+        flat, lens = ragged(values, offsets, ids[first : int(ends[last - 1])].astype(np.int64))
+        sums = np.concatenate([[0], np.cumsum(lens)])
+        cuts = sums[np.concatenate([[0], ends[at:last] - first])].tolist()
+        data = flat.tobytes()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield data[a:b]
+        at = last
+
+
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``documents``: encode, decode, digest."""
-    coded = decode(encode(df.select("doc_id", "text"), vocab_path, pattern).drop("text"), vocab_path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``documents``: encode, decode and digest in one pass."""
+    shared = _vocabulary(df, vocab_path)
+
+    def run(batches):
+        ranks = _ranks(shared.value)
+        encoder = Encoder(ranks, pattern)
+        names = [b" %d" % k for k in range(len(ranks.tokens))]
+        name_offsets = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        name_bytes = np.frombuffer(b"".join(names), np.uint8)
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            ids, counts = encoder.encode(batch.column(1))
+            written = [sha256(x[1:]).hexdigest() for x in _texts(ids, counts, name_bytes, name_offsets)]
+            decoded = [sha256(x).hexdigest() for x in _texts(ids, counts, ranks.token_bytes, ranks.token_offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(written), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
