@@ -1,3 +1,3 @@
 """Queries over the star-schema fixtures; importing a module registers its queries."""
 
-from . import similarity, structure  # noqa: F401
+from . import changes, feedback, similarity, structure, texts  # noqa: F401
