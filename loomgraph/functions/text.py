@@ -8,14 +8,66 @@ from pyspark.sql import functions as F
 FALLBACK_TYPE = "RELATED_TO"
 NO_ITEMS = "(tidak ada)"
 
-# Other names of the within-book relations.
+# Other names of the within-book relations (directions stay as they are).
 ALIASES = {
-    "TERDIRI_DARI": "BAGIAN_DARI", "MERUPAKAN_BAGIAN_DARI": "BAGIAN_DARI", "TERMASUK": "BAGIAN_DARI", "MENGAKIBATKAN": "MENYEBABKAN", "MENGHASILKAN": "MENYEBABKAN",
-    "TERGANTUNG_PADA": "BERGANTUNG_PADA", "DIPENGARUHI_OLEH": "BERGANTUNG_PADA", "MEMDEFINISIKAN": "MENDEFINISIKAN", "DIDEFINISIKAN_SEBAGAI": "MENDEFINISIKAN", "MENGUBAH": "MEMPENGARUHI",
-    "BEREAKSI_DENGAN": "BERINTERAKSI_DENGAN", "DIRUMUSKAN_SEBAGAI": "DIFORMULASIKAN_SEBAGAI", "DINYATAKAN_DENGAN": "DIFORMULASIKAN_SEBAGAI",
-}
-# Vector lengths of embedding models, the first name contained decides.
-DIMENSIONS = (("text-embedding-3-large", 3072), ("text-embedding-3-small", 1536), ("ada-002", 1536), ("qwen3-embedding-8b", 4096), ("bge-large", 1024), ("e5-large", 1024), ("minilm", 384), ("mpnet", 768))
+    "MEMUNGKINKAN": "MEMPENGARUHI",
+    "MENGATUR": "MEMPENGARUHI",
+    "MENENTUKAN": "MEMPENGARUHI",
+    "MENGONTROL": "MEMPENGARUHI",
+    "MENGARAHKAN": "MEMPENGARUHI",
+    "TERDIRI_DARI": "BAGIAN_DARI",
+    "MENGANDUNG": "BAGIAN_DARI",
+    "MEMILIKI": "BAGIAN_DARI",
+    "BEREAKSI_DENGAN": "BERINTERAKSI_DENGAN",
+    "BERKAITAN_DENGAN": "BERINTERAKSI_DENGAN",
+    "BERHUBUNGAN_DENGAN": "BERINTERAKSI_DENGAN",
+    "BERASOSIASI_DENGAN": "BERINTERAKSI_DENGAN",
+    "MENIMBULKAN": "MENYEBABKAN",
+    "MENGHASILKAN": "MENYEBABKAN",
+    "MEMPRODUKSI": "MENYEBABKAN",
+    "MENGHASILKAN_PRODUK": "MENYEBABKAN",
+    "TAHAP_DARI": "BAGIAN_DARI",
+    "LANGKAH_DARI": "BAGIAN_DARI",
+    "TAHAPAN_DARI": "BAGIAN_DARI",
+    "LANGKAH_DALAM": "BAGIAN_DARI",
+    "MEMBUTUHKAN": "BERGANTUNG_PADA",
+    "MENGGUNAKAN": "BERGANTUNG_PADA",
+    "MEMERLUKAN": "BERGANTUNG_PADA",
+    "MENJELASKAN": "MENDEFINISIKAN",
+    "MENGURAIIKAN": "MENDEFINISIKAN",
+    "MENGGAMBARKAN": "MENDEFINISIKAN",
+    "DIUKUR_DENGAN": "DIFORMULASIKAN_SEBAGAI",
+    "DIREPRESENTASIKAN_SEBAGAI": "DIFORMULASIKAN_SEBAGAI",
+}
+# Vector lengths of embedding models; the first name that is contained decides.
+DIMENSIONS = (
+    ("gemini-embedding", 3072),
+    ("text-embedding-3-small", 1536),
+    ("text-embedding-3-large", 3072),
+    ("multilingual-e5-small", 384),
+    ("bge-small", 384),
+    ("bge-base", 768),
+    ("bge-large", 1024),
+    ("Qwen3-Embedding", 4096),
+)
+# Words that link no concepts.
+STOPWORDS = (
+    "dan", "atau", "yang", "di", "ke", "dari", "untuk", "pada", "dengan", "dalam",
+    "suatu", "adalah", "merupakan", "sebagai", "oleh", "itu", "ini", "bab", "materi",
+    "konsep", "proses", "sistem", "bagian", "jenis", "teori", "hukum", "kelas", "xii",
+)
+# Formats of variables, headings and page text.
+VARIABLE = r"^([^\s(]+)\s*\(([^,)]+)(?:,\s*([^)]+))?\)"
+BAB = r"(?i)^\s*(BAB\s+[IVXLCDM\d]+[:\.\s]*.{0,60})"
+SUBBAB = r"(?i)^\s*([A-Z]\.\s+\S.{0,80}|\d+\.\d+\s+\S.{0,80}|(?:Subbab|Sub-Bab)\s+.{0,60})"
+CLEANING = (
+    (r"-\s*\n\s*", ""),
+    (r"[\n\t\r]+", " "),
+    (r"(?U)(?<!\w)\d{1,3}(?!\w)", ""),
+    (r"(?U)\b([A-Z]{2,}(\s+[A-Z]{2,}){0,3})\b", ""),
+    (r"[^\x20-\x7E\u00C0-\u024F\u1E00-\u1EFF]", " "),
+    (r" {2,}", " "),
+)
 DEFAULT_DIMENSION = 768
 
 
@@ -43,7 +95,7 @@ def relation_type_spaces(c: Column) -> Column:
 
 def canonical_type(c: Column, canonical: tuple[str, ...], aliases: dict[str, str] = ALIASES) -> Column:
     """Canonical within-book relation, null for an unknown one."""
-    t = F.translate(F.upper(F.trim(c)), " -", "__")
+    t = F.upper(F.trim(c))
     names = F.create_map(*[F.lit(x) for kv in [*aliases.items(), *((n, n) for n in canonical)] for x in kv])
     return names[t]
 
@@ -93,10 +145,12 @@ def pair_text(a: Column, b: Column, schema: str, context: Column) -> Column:
 
 
 def variable(c: Column) -> Column:
-    """'F (gaya, N)' as name, label and unit; what has no brackets is a name; blank is null."""
-    part = lambda k: F.nullif(F.trim(F.regexp_extract(c, r"^\s*([^()]+?)\s*\(\s*([^,()]*)\s*(?:,\s*([^()]*))?\)\s*$", k)), F.lit(""))
-    name = F.coalesce(part(1), F.nullif(F.trim(c), F.lit("")))
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), part(2).alias("label"), part(3).alias("unit")))
+    """'F (gaya, N)' as name, label and unit, empty where not given; what has another form is a name; blank is null."""
+    t = F.trim(c)
+    fits = t.rlike(VARIABLE)
+    part = lambda k: F.when(fits, F.trim(F.regexp_extract(t, VARIABLE, k))).otherwise("")
+    name = F.when(fits, part(1)).otherwise(t)
+    return F.when(t != "", F.struct(name.alias("name"), part(2).alias("label"), part(3).alias("unit")))
 
 
 def roman(c: Column) -> Column:
@@ -114,23 +168,19 @@ def page_label(c: Column) -> Column:
 
 
 def heading_level(text: Column, size: Column, flags: Column, median: Column) -> Column:
-    """bab, subbab, subsub or null from text, font size against the median, and the bold bit 16."""
+    """bab, subbab or body from text, font size against the median, and the bold bit 16."""
     bold = flags.bitwiseAND(16) > 0
     return (
-        F.when(text.rlike(r"(?i)^\s*bab\s+([0-9]+|[ivxlc]+)\b") & (size >= median * 1.2), "bab")
-        .when(text.rlike(r"^\s*(?:[A-Z]\.|[0-9]+\.[0-9]+)\s") & (bold | (size >= median * 1.15)), "subbab")
-        .when(text.rlike(r"^\s*(?:[0-9]+\.|[a-z]\.|[0-9]+\.[0-9]+\.[0-9]+)\s") & bold, "subsub")
-    )
+        F.when(text.rlike(BAB), "bab").when(text.rlike(SUBBAB) & (bold | (size > median)), "subbab")
+        .when(bold & (size >= median * 1.35), "bab").when(bold & (size >= median * 1.15), "subbab").otherwise("body")
+    )
 
 
 def clean_text(c: Column) -> Column:
-    """Page text in six steps: joined hyphens, joined lines, lone numbers, short capital lines, allowed characters, spaces."""
-    t = F.regexp_replace(c, r"([A-Za-z])-\n([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$", "")
-    t = F.regexp_replace(t, r"(?m)^[A-Z ]{1,20}$", "")
-    t = F.regexp_replace(t, r"\n+", " ")
-    t = F.regexp_replace(t, r"[^A-Za-z0-9 .,;:()%/+=*'-]", " ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    """Page text in six steps: joined hyphens, joined lines, lone numbers, short runs of capitals, printable characters, spaces."""
+    for pattern, by in CLEANING:
+        c = F.regexp_replace(c, pattern, by)
+    return F.trim(c)
 
 
 def cut_to(c: Column, n: int) -> Column:
@@ -144,21 +194,30 @@ def listing(items: Column, empty: str = NO_ITEMS) -> Column:
 
 
 def edge_lines(edges: Column, most: int | None = None) -> Column:
-    """Lines '- TYPE -> target (conf: 0.90)'; the confidence only if known, '+N more' beyond ``most``."""
+    """Indented lines '- TYPE → "target" (conf: 0.90)', the confidence only if known, '+N more' beyond ``most``, a placeholder for none."""
     conf = lambda e: F.when(e["confidence"].isNotNull(), F.format_string(" (conf: %.2f)", e["confidence"])).otherwise("")
-    lines = F.transform(edges if most is None else F.slice(edges, 1, most), lambda e: F.concat(F.lit("- "), e["rel_type"], F.lit(" -> "), e["target"], conf(e)))
-    text = F.array_join(lines, "\n")
-    if most is None:
-        return text
-    return F.when(F.size(edges) > most, F.concat(text, F.format_string("\n+%d more", F.size(edges) - most))).otherwise(text)
+    line = lambda e: F.concat(F.lit("  - "), e["rel_type"], F.lit(' → "'), e["target"], F.lit('"'), conf(e))
+    text = F.array_join(F.transform(edges if most is None else F.slice(edges, 1, most), line), "\n")
+    if most is not None:
+        text = F.when(F.size(edges) > most, F.concat(text, F.format_string("\n  +%d more", F.size(edges) - most))).otherwise(text)
+    return F.when(F.coalesce(F.size(edges), F.lit(0)) <= 0, "  " + NO_ITEMS).otherwise(text)
 
 
-def neighbourhood(chapter_a: Column, chapter_b: Column, edges_a: Column, edges_b: Column, shared: Column) -> Column:
+# Lines of a context block. %s stand for name, chapter and edges of A and of B with a note, shared neighbours and advice.
+CONTEXT_LINES = (
+    "========================", "KONTEKS GRAF (HUBUNGAN YANG SUDAH ADA)", "========================", 'Konsep A ("%s") berada di Bab: %s', "Hubungan A yang sudah ada di graf:", "%s", "",
+    'Konsep B ("%s") berada di Bab: %s %s', "Hubungan B yang sudah ada di graf:", "%s", "", "Tetangga bersama (target yang sama-sama dirujuk A dan B): %s", "", "%s",
+)
+
+
+def neighbourhood(name_a: Column, chapter_a: Column, edges_a: Column, name_b: Column, chapter_b: Column, edges_b: Column, shared: Column, advice: str = "") -> Column:
     """Context block of a pair, empty if nothing is known."""
-    same = F.when(chapter_a.isNull() | chapter_b.isNull(), None).when(chapter_a == chapter_b, F.concat(F.lit("Same chapter: "), chapter_a)).otherwise(F.concat(F.lit("Chapters: "), chapter_a, F.lit(" / "), chapter_b))
-    some = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), edge_lines(c)))
-    common = F.when(F.size(shared) > 0, F.concat(F.lit("Shared neighbours: "), F.array_join(shared, ", ")))
-    return F.concat_ws("\n", same, some("Relations of A:\n", edges_a), some("Relations of B:\n", edges_b), common)
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    a, b = F.nullif(chapter_a, F.lit("")), F.nullif(chapter_b, F.lit(""))
+    unknown = F.lit("(tidak diketahui)")
+    note = F.when(a.isNull() | b.isNull(), "").when(a == b, "(Bab yang sama)").otherwise("(Bab berbeda)")
+    block = F.format_string("\n".join(CONTEXT_LINES), name_a, F.coalesce(a, unknown), edge_lines(edges_a), name_b, F.coalesce(b, unknown), note, edge_lines(edges_b), listing(shared), F.lit(advice))
+    return F.when(a.isNotNull() | b.isNotNull() | some(edges_a) | some(edges_b) | some(shared), block).otherwise("")
 
 
 def pair_block(index: Column, a: dict[str, Column], b: dict[str, Column], context: Column) -> Column:

@@ -20,30 +20,40 @@ def normalize_rel_type(spark, sf_dir):
     return raw.select("raw", T.relation_type(c).alias("norm"), T.relation_type_replacing(c).alias("replaced"), T.relation_type_spaces(c).alias("spaces"))
 
 
-@query("alias_canonical", """with m(raw, canonical) as (values ('TERDIRI_DARI', 'BAGIAN_DARI'), ('MENGUBAH', 'MEMPENGARUHI'), ('MENYEBABKAN', 'MENYEBABKAN'))
-select case l_returnflag when 'A' then 'terdiri dari' when 'N' then 'Mengubah' when 'R' then case when l_linestatus = 'F' then 'MENYEBABKAN' else 'x' end end as raw, any_value(canonical) as canonical, count(*) as n
-from lineitem left join m on m.raw = replace(upper(case l_returnflag when 'A' then 'terdiri dari' when 'N' then 'Mengubah' when 'R' then case when l_linestatus = 'F' then 'MENYEBABKAN' else 'x' end end), ' ', '_') group by 1""")
+_RAW = "case l_returnflag when 'A' then ' terdiri_dari ' when 'N' then 'Menghasilkan' when 'R' then case when l_linestatus = 'F' then 'MENYEBABKAN' else 'x' end end"
+
+
+@query("alias_canonical", f"""with m(raw, canonical) as (values ('TERDIRI_DARI', 'BAGIAN_DARI'), ('MENGHASILKAN', 'MENYEBABKAN'), ('MENYEBABKAN', 'MENYEBABKAN'))
+select {_RAW} as raw, any_value(canonical) as canonical, count(*) as n from lineitem left join m on m.raw = upper(trim({_RAW})) group by 1""")
 def alias_canonical(spark, sf_dir):
     from ..schemas import WITHIN_BOOK
 
     f = F.col("l_returnflag")
-    raw = F.when(f == "A", "terdiri dari").when(f == "N", "Mengubah").when(F.col("l_linestatus") == "F", "MENYEBABKAN").otherwise("x")
+    raw = F.when(f == "A", " terdiri_dari ").when(f == "N", "Menghasilkan").when(F.col("l_linestatus") == "F", "MENYEBABKAN").otherwise("x")
     return table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw")).agg(F.first(T.canonical_type(raw, WITHIN_BOOK)).alias("canonical"), F.count(F.lit(1)).alias("n"))
 
 
-@query("parse_variable", """with v as (select p_partkey, case p_partkey % 4 when 0 then p_name || ' (' || p_brand || ', ' || p_size || ')' when 1 then ' ' || p_name || ' ' when 2 then p_name || '(' || p_brand || ')' else '  ' end as t from part)
-select p_partkey, case p_partkey % 4 when 3 then null else trim(regexp_extract(t, '^([^(]+)', 1)) end as name, case when p_partkey % 4 in (0, 2) then trim(regexp_extract(t, '\\(([^,)]*)', 1)) end as label, case when p_partkey % 4 = 0 then trim(regexp_extract(t, ',([^)]*)\\)', 1)) end as unit from v""")
+@query("parse_variable", """with v as (select p_partkey, replace(p_name, ' ', '_') as n, p_partkey % 4 as k, p_name, p_brand, p_size from part)
+select p_partkey, case k when 0 then n when 1 then p_name when 2 then n end as name, case k when 0 then p_brand when 2 then p_brand when 1 then '' end as label, case k when 0 then cast(p_size as varchar) when 3 then null else '' end as unit from v""")
 def parse_variable(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
-    t = F.when(k == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(", "), "p_size", F.lit(")"))).when(k == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).when(k == 2, F.concat("p_name", F.lit("("), "p_brand", F.lit(")"))).otherwise("  ")
+    n = F.replace("p_name", F.lit(" "), F.lit("_"))
+    t = F.when(k == 0, F.concat(n, F.lit(" ("), "p_brand", F.lit(", "), "p_size", F.lit(")"))).when(k == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).when(k == 2, F.concat(n, F.lit("("), "p_brand", F.lit(")"))).otherwise("  ")
     v = T.variable(t)
     return p.select("p_partkey", v["name"].alias("name"), v["label"].alias("label"), v["unit"].alias("unit"))
 
 
-@query("clean_text", r"""with a as (select doc_id, regexp_replace(text, '([A-Za-z])-\n([a-z])', '\1\2', 'g') as t from documents), b as (select doc_id, regexp_replace(t, '(?m)^[ \t]*[0-9]{1,3}[ \t]*$', '', 'g') as t from a),
-c as (select doc_id, regexp_replace(t, '(?m)^[A-Z ]{1,20}$', '', 'g') as t from b), d as (select doc_id, regexp_replace(t, '\n+', ' ', 'g') as t from c), e as (select doc_id, regexp_replace(t, '[^A-Za-z0-9 .,;:()%/+=*''-]', ' ', 'g') as t from d)
-select doc_id, md5(trim(regexp_replace(t, ' +', ' ', 'g'))) as clean from e""")
+@query("clean_text", r"""with a as (select doc_id, regexp_replace(text, '-\s*\n\s*', '', 'g') as t from documents), b as (select doc_id, regexp_replace(t, '[\n\t\r]+', ' ', 'g') as t from a)
+select doc_id, length(t) as n_chars, md5(trim(t)) as joined from b""")
 def clean_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for pattern, by in T.CLEANING[:2]:
+        d = d.withColumn("text", F.regexp_replace("text", pattern, by))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.trim("text")).alias("joined"))
+
+
+@query("clean_text_all_steps")
+def clean_text_all_steps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean"))
 
 
@@ -80,10 +90,10 @@ def marker_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", markers(F.col("text"), ("Licensed", "***")).alias("n"))
 
 
-@query("model_dimensions", """select distinct p_brand, case when p_size % 3 = 0 then 1536 when p_size % 3 = 1 then 384 else 768 end as dim from part""")
+@query("model_dimensions", """select distinct p_brand, case when p_size % 3 = 0 then 1536 when p_size % 3 = 1 then 1024 else 768 end as dim from part""")
 def model_dimensions(spark, sf_dir):
     k = F.col("p_size") % 3
-    name = F.when(k == 0, "Text-Embedding-3-Small").when(k == 1, "all-MiniLM-L6").otherwise("other")
+    name = F.when(k == 0, "Text-Embedding-3-Small").when(k == 1, "BAAI/BGE-Large-en").otherwise("other")
     return table(spark, sf_dir, "part").select("p_brand", T.model_dimension(name).alias("dim")).distinct()
 
 

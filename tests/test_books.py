@@ -97,7 +97,7 @@ def test_stubs_are_promoted_and_variants_merged(spark):
 def test_variables_and_skeleton(spark):
     nodes = spark.createDataFrame([("a", ["F (gaya, N)", "v"]), ("b", ["F (gaya, N)", " "]), ("c", None)], "id string, variables array<string>")
     found, uses, shared = B.variables(nodes)
-    assert {(r.name, r.label, r.unit) for r in found.collect()} == {("F", "gaya", "N"), ("v", None, None)}
+    assert {(r.name, r.label, r.unit) for r in found.collect()} == {("F", "gaya", "N"), ("v", "", "")}
     assert uses.count() == 3 and [(r.src, r.dst, r.variable) for r in shared.collect()] == [("a", "b", "F")]
     toc = spark.createDataFrame([("d", "Bab 1", "A", None), ("d", "Bab 1", "", None), ("d", None, None, None)], "document string, bab string, subbab string, subsubbab string")
     skeleton = B.toc_skeleton(toc)
@@ -148,23 +148,30 @@ def test_scalar_functions(spark):
         T.heading_level(F.lit("BAB I Sel"), F.lit(14.0), F.lit(0), F.lit(10.0)), T.heading_level(F.lit("A. Sub"), F.lit(10.0), F.lit(16), F.lit(10.0)), T.heading_level(F.lit("teks"), F.lit(10.0), F.lit(0), F.lit(10.0)),
         T.edge_lines(F.array(edge("T", "x", 0.5), edge("U", "y", None)), 1), T.model_dimension(F.lit("Text-Embedding-3-LARGE")), T.older_than(F.lit("2026-01-01"), F.lit("2026-02-15").cast("date"), 30),
     ).first()
-    assert tuple(row) == (["A", "b"], ["sel hewan"], "a", "bab", "subbab", None, "- T -> x (conf: 0.50)\n+1 more", 3072, True)
+    assert tuple(row) == (["A", "b"], ["sel hewan"], "a", "bab", "subbab", "body", '  - T → "x" (conf: 0.50)\n  +1 more', 3072, True)
     vectors = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in vectors.select(T.cosine("a", "b")).collect()] == [1.0, None] and vectors.select(T.unit("a")).first()[0] == [0.6, 0.8]
-    block = df.select(T.pair_block(F.lit(3), {"name": F.col("t")}, {"name": F.lit("")}, T.neighbourhood(F.lit("c"), F.lit("c"), F.array(edge("T", "x", None)), F.array().cast("array<struct<rel_type:string,target:string,confidence:double>>"), F.array(F.lit("s"))))).first()[0]
-    assert block == "Pair 3\nA name: x\nSame chapter: c\nRelations of A:\n- T -> x\nShared neighbours: s"
+    none = F.array().cast("array<struct<rel_type:string,target:string,confidence:double>>")
+    around = lambda chapter, edges: T.neighbourhood(F.lit("p"), chapter, edges, F.lit("q"), F.lit("c"), none, F.array(F.lit("s")))
+    block = df.select(T.pair_block(F.lit(3), {"name": F.col("t")}, {"name": F.lit("")}, around(F.lit("c"), F.array(edge("T", "x", None))))).first()[0]
+    assert block.startswith("Pair 3\nA name: x\n====") and 'Konsep B ("q") berada di Bab: c (Bab yang sama)' in block and '  - T → "x"\n' in block and "dirujuk A dan B): s" in block
+    assert df.select(T.neighbourhood(F.lit("p"), F.lit(""), none, F.lit("q"), F.lit(None).cast("string"), none, F.array().cast("array<string>"))).first()[0] == ""
+    cleaned = df.select(T.clean_text(F.lit("bio-\n  logi\tsel 12 BIOLOGI XI abc  DNA é x1"))).first()[0]
+    assert cleaned == "biologi sel abc é x1"
 
 
 def test_parsers(spark):
-    toc = "Daftar Isi\nBab 1 Sel ........ 3\nA. Inti ..... 4\nBab II Gerak ...... 20\nB. Laju ....... 25\n"
-    glossary = "\n".join(f"istilah{k}: artinya panjang sekali nomor {k}" for k in range(6)) + "\nlanjutan baris"
+    toc = "Daftar Isi\nBab 1 Sel ........ 3\nA. Inti ..... 4\nBab II Gerak ...... 20\nB. Laju ....... 25\nBab III Daftar Gambar .... 90\n"
+    colon = "Glosarium\n12\n" + "\n".join(f"istilah{k}: artinya panjang sekali nomor {k}" for k in range(6)) + "\nlanjutan baris"
+    plain = "Glosarium\nampere Satuan pokok untuk arus\ndalam sistem.\nwaktu paruh\nWaktu yang diperlukan."
     guide = "BAB 1\nMateri Pokok: Sel hewan; Sel\n• Inti sel\n\nlain"
-    pages = spark.createDataFrame([("b", 2, toc), ("b", 99, glossary), ("g", 1, guide), ("n", 1, None)], "book string, page int, text string")
-    chapters = parsers.toc_chapters(pages)
-    assert [(r.label, r.title, r.page_start, r.position) for r in chapters.orderBy("position").collect()] == [("1", "Sel", 3, 1), ("II", "Gerak", 20, 2)]
-    assert {(r.position, r.title) for r in parsers.toc_subchapters(pages, chapters).collect()} == {(1, "Inti"), (2, "Laju")}
-    terms = {r.term: r.definition for r in parsers.glossary(pages).where("book = 'b'").collect()}
-    assert len(terms) == 6 and terms["istilah5"] == "artinya panjang sekali nomor 5 lanjutan baris"
+    rows = [("b", 2, toc), ("b", 98, "before: not a term at all"), ("b", 99, colon), ("b", 100, "Indeks\nzzz: nothing of it"), ("c", 5, plain), ("g", 1, guide), ("n", 1, None)]
+    pages = spark.createDataFrame(rows, "book string, page int, text string")
+    chapters = parsers.toc_chapters(pages).orderBy("position").collect()
+    assert [(r.name, r.page_start, r.position, [(s.label, s.name, s.page_start) for s in r.subchapters]) for r in chapters] == [("Sel", 3, 1, [("A", "Inti", 4)]), ("Gerak", 20, 2, [("B", "Laju", 25)])]
+    terms = {(r.book, r.term): r.definition for r in parsers.glossary(pages).collect()}
+    assert len(terms) == 8 and terms["b", "istilah5"] == "artinya panjang sekali nomor 5 lanjutan baris"
+    assert terms["c", "ampere"] == "Satuan pokok untuk arus dalam sistem." and terms["c", "waktu paruh"] == "Waktu yang diperlukan."
     assert [(r.chapter, r.item) for r in parsers.subject_matter(pages).collect()] == [("1", "Sel hewan"), ("1", "Inti sel")]
     text = " ".join(f"Kata {k} dua tiga." for k in range(10))
     parts = parsers.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), "text", 12, 4).orderBy("part").collect()
