@@ -165,11 +165,11 @@ def _search(shared):
 
 
 def flags(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (sorted, comma-joined): one row per row of ``documents``."""
+    """doc_id, contaminated, kept (not contaminated), n_items, item_ids (sorted, comma-joined): one row per row of ``documents``."""
     found = matches(documents, benchmark).where("doc_id is not null").select("doc_id", "item_id").distinct()
     found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"))
     out = documents.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
+    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.col("n_items").isNull().alias("kept"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

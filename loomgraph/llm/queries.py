@@ -82,7 +82,7 @@ eq as (select doc_id, item_id, n, x.p - y.p as diag, y.p as p from x join y usin
 k as (select doc_id, item_id, n, count(*) over (partition by doc_id, item_id, diag order by p range between current row and 12 following) as c from eq),
 hit as (select distinct doc_id, item_id from k where (n >= 10 and c >= 10) or (n between 5 and 9 and c = n)),
 g as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by item_id) as item_ids from hit group by 1)
-select doc_id, g.n_items is not null as contaminated, coalesce(n_items, 0) as n_items, coalesce(item_ids, '') as item_ids
+select doc_id, g.n_items is not null as contaminated, g.n_items is null as kept, coalesce(n_items, 0) as n_items, coalesce(item_ids, '') as item_ids
 from documents left join g using (doc_id)
 """
 
