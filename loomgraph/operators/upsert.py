@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import last_wins
@@ -101,14 +101,22 @@ def overwrite_grades(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grade").parquet(path)
 
 
+def numbered(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a hexadecimal hash: ranks within its first three digits, plus the rows of the digits before."""
+    rows = rows.withColumns({"_key": key, "_cell": F.substring(key, 1, 3)})
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # 4096 at most
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_key"))
+    return rows.join(F.broadcast(cells), "_cell").withColumn(name, F.col("_before") + rank).drop("_key", "_cell", "_before")
+
+
 def survey(edges: DataFrame, seed: str, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(shown, held out): edges of enough confidence in an order by seeded hash with ids LB001..., the rest apart."""
-    from pyspark.sql import Window
-
     sure = F.coalesce("confidence", F.lit(0.0)) >= floor
     key = F.sha2(F.concat_ws("\x1f", F.lit(seed), "src", "dst", "rel_type"), 256)
-    order = F.row_number().over(Window.orderBy(key))  # a survey is a few hundred rows for people to read
-    return edges.where(sure).withColumn("id", F.format_string("LB%03d", order)), edges.where(~sure)
+    shown = numbered(edges.where(sure), key, "_order")
+    return shown.withColumn("id", F.format_string("LB%03d", "_order")).drop("_order"), edges.where(~sure)
 
 
 def split_failures(rows: DataFrame, path: str) -> None:

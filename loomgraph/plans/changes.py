@@ -35,23 +35,24 @@ def merge_first_wins(spark, sf_dir):
     return C.first_wins(edges(spark, sf_dir), ["src", "dst", "rel_type"], ["at"]).drop("l_shipdate")
 
 
-@query("upsert_edges", f"""with {_E}, b as (select src, dst, rel_type, max(confidence) as confidence, 'old' as method from e where l_shipmode_k % 3 > 0 and l_orderkey < 20000 group by 1, 2, 3),
-c as (select src, dst, rel_type, confidence, case when l_linenumber % 2 = 0 then 'new' end as method from (select *, row_number() over (partition by src, dst, rel_type order by l_shipmode_k desc) as k from e where l_shipmode_k % 3 = 0 and l_orderkey > 40000) where k = 1)
+@query("upsert_edges", f"""with {_E}, b as (select src, dst, rel_type, max(confidence) as confidence, 'old' as method from e where l_shipdate < timestamp '1996-01-01' group by 1, 2, 3),
+c as (select src, dst, rel_type, confidence, case when l_linenumber % 2 = 0 then 'new' end as method from (select *, row_number() over (partition by src, dst, rel_type order by l_shipmode_k desc) as k from e where l_shipdate >= timestamp '1996-01-01') where k = 1)
 select coalesce(c.src, b.src) as src, coalesce(c.dst, b.dst) as dst, coalesce(c.rel_type, b.rel_type) as rel_type, coalesce(c.confidence, b.confidence) as confidence, coalesce(c.method, b.method) as method
 from b full join c on b.src = c.src and b.dst = c.dst and b.rel_type = c.rel_type""")
 def upsert_edges(spark, sf_dir):
     e = edges(spark, sf_dir)
     keys = ["src", "dst", "rel_type"]
-    old = e.where("at % 3 > 0 and at < 200000").groupBy(*keys).agg(F.max("confidence").alias("confidence")).withColumn("method", F.lit("old"))
-    new = e.where("at % 3 = 0 and at >= 400010").withColumn("method", F.when(F.col("at") % 10 % 2 == 0, "new"))
+    early = F.col("l_shipdate") < F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00"))
+    old = e.where(early).groupBy(*keys).agg(F.max("confidence").alias("confidence")).withColumn("method", F.lit("old"))
+    new = e.where(~early).withColumn("method", F.when(F.col("at") % 10 % 2 == 0, "new"))
     return U.upsert(old, new, keys, ["at"])
 
 
 @query("resolve_or_stub", """select 'p' || l_partkey as src, case when s_suppkey is not null then 's' || l_suppkey else '?' || l_suppkey end as dst, case when s_suppkey is not null then 'Concept' else 'ConceptTarget' end as target_label
-from lineitem left join (select * from supplier where s_suppkey % 5 > 0) on l_suppkey = s_suppkey where l_linenumber = 1""")
+from lineitem left join (select * from supplier where s_acctbal > 0) on l_suppkey = s_suppkey""")
 def resolve_or_stub(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
+    li = table(spark, sf_dir, "lineitem")
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
     j = li.join(s, "l_suppkey", "left")
     return j.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.when(F.col("known"), "s").otherwise("?"), "l_suppkey").alias("dst"), F.when(F.col("known"), "Concept").otherwise("ConceptTarget").alias("target_label"))
 
@@ -100,11 +101,11 @@ def selective_delete(spark, sf_dir):
     return U.without(e, "auto", "A").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"))
 
 
-_HALVES = "h as (select src, dst, rel_type, l_shipdate < timestamp '1995-06-15' as early from e where l_shipmode_k % 7 = 0)"
+_HALVES = "h as (select src, dst, rel_type, l_shipdate < timestamp '1995-06-15' as early from e)"
 
 
 def _halves(spark, sf_dir):
-    e = edges(spark, sf_dir).where("at % 7 = 0")
+    e = edges(spark, sf_dir)
     early = F.col("l_shipdate") < F.to_timestamp_ntz(F.lit("1995-06-15 00:00:00"))
     return e.where(early), e.where(~early)
 
@@ -143,21 +144,22 @@ def context_top_edges(spark, sf_dir):
     return X.top_edges(e).select("src", F.array_join(F.transform("out_edges", lambda s: F.concat_ws(">", s["rel_type"], s["target"])), ",").alias("out_edges"))
 
 
-@query("shared_neighbors", """with e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_partkey < 60), p as (select distinct x.src as a, y.src as b from e x join e y on x.src < y.src and substr(x.src, 2)::integer % 10 = substr(y.src, 2)::integer % 10)
-select p.a, p.b, coalesce(string_agg(distinct x.dst, ',' order by x.dst) filter (y.dst is not null), '') as shared from p join e x on x.src = p.a left join e y on y.src = p.b and y.dst = x.dst group by 1, 2""")
+@query("shared_neighbors", """with e as (select distinct o_custkey as src, o_orderpriority || o_orderstatus as dst from orders), p as (select x.c_custkey as a, y.c_custkey as b from customer x join customer y on x.c_nationkey = y.c_nationkey and x.c_mktsegment = y.c_mktsegment and x.c_custkey < y.c_custkey)
+select p.a, p.b, coalesce(string_agg(x.dst, ',' order by x.dst) filter (y.dst is not null), '') as shared from p left join e x on x.src = p.a left join e y on y.src = p.b and y.dst = x.dst group by 1, 2""")
 def shared_neighbors(spark, sf_dir):
-    e = all_edges(spark, sf_dir).where("cast(substr(src, 2) as int) < 60").select("src", "dst").distinct()
-    s = e.select("src", (F.substring("src", 2, 9).cast("int") % 10).alias("k")).distinct()
-    pairs = s.toDF("a", "k").join(s.toDF("b", "k"), "k").where("a < b").select("a", "b")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    e = o.select(F.col("o_custkey").alias("src"), F.concat("o_orderpriority", "o_orderstatus").alias("dst"))
+    pairs = c.toDF("a", "n", "m").join(c.toDF("b", "n", "m"), ["n", "m"]).where("a < b").select("a", "b")
     return X.shared_neighbours(pairs, e).select("a", "b", F.array_join("shared", ",").alias("shared"))
 
 
-@query("token_overlap_links", r"""with i as (select p_partkey as id, p_size % 3 as grp, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda t: len(t) >= 4)) as ts from part where p_partkey <= 150),
-t as (select id, grp, unnest(ts) as t from i), h as (select x.id as source, y.id as target, count(*) as common from t x join t y using (t) where x.grp <> y.grp group by 1, 2 having count(*) >= 2)
+@query("token_overlap_links", r"""with d as (select distinct p_brand || ' ' || p_type as id, p_brand as grp, lower(p_brand || ' ' || p_type || ' ' || p_name) as text from part), i as (select id, grp, string_agg(text, ' ') as text from d group by 1, 2),
+k as (select id, grp, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda t: len(t) >= 4)) as ts from i),
+t as (select id, grp, unnest(ts) as t from k), h as (select x.id as source, y.id as target, count(*) as common from t x join t y using (t) where x.grp <> y.grp group by 1, 2 having count(*) >= 2)
 select source, target, common, cast(k as integer) as rank from (select *, row_number() over (partition by source order by common desc, target) as k from h) where k <= 2""")
 def token_overlap_links(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey <= 150").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("grp"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return X.token_links(p)
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("id"), F.col("p_brand").alias("grp"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("text")).distinct()
+    return X.token_links(p.groupBy("id", "grp").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("text")))
 
 
 @query("fingerprint_keys", """select p_partkey, sha256(p_name || chr(31) || 'm1') as key, substr(md5('{"c0":"' || p_name || '","c1":"' || p_brand || '"}'), 1, 12) as print, 'b||' || least(p_name, p_brand) || '||' || greatest(p_name, p_brand) || '||x' as pair from part""")
@@ -166,9 +168,9 @@ def fingerprint_keys(spark, sf_dir):
     return p.select("p_partkey", T.cache_key(F.col("p_name"), F.lit("m1")).alias("key"), T.fingerprint(F.col("p_name"), F.col("p_brand")).alias("print"), T.pair_text(F.col("p_name"), F.col("p_brand"), "b", F.lit("x")).alias("pair"))
 
 
-@query("survey_split", "select l_returnflag as rel, count(*) filter (round(1 - l_discount, 2) >= 0.95) as shown, count(*) filter (round(1 - l_discount, 2) < 0.95) as held from lineitem where l_orderkey < 3000 group by 1")
+@query("survey_split", "select l_returnflag as rel, count(*) filter (round(1 - l_discount, 2) >= 0.95) as shown, count(*) filter (round(1 - l_discount, 2) < 0.95) as held from lineitem group by 1")
 def survey_split(spark, sf_dir):
-    e = all_edges(spark, sf_dir).where("l_orderkey < 3000").withColumn("rel", F.substring("rel_type", 1, 1))
+    e = all_edges(spark, sf_dir).withColumn("rel", F.substring("rel_type", 1, 1))
     shown, held = U.survey(e, "seed", 0.95)
     rows = shown.select("rel", F.lit(1).alias("s")).unionByName(held.select("rel", F.lit(0).alias("s")))
     return rows.groupBy("rel").agg(F.sum("s").alias("shown"), F.sum(1 - F.col("s")).alias("held"))

@@ -63,13 +63,13 @@ def cohen_kappa(spark, sf_dir):
     return R.cohen_kappa(table(spark, sf_dir, "labels").select(F.col("quality").alias("rating_a"), F.col("toxic").alias("rating_b")))
 
 
-_TWO = "t as (select doc_id as item, 1 as reviewer, quality as rating from labels union all select doc_id, 2, toxic from labels where doc_id % 4 > 0)"
+_TWO = "t as (select doc_id as item, 1 as reviewer, quality as rating from labels union all select doc_id, 2, toxic from labels where quality = 1)"
 
 
 def _two(spark, sf_dir):
     l = table(spark, sf_dir, "labels")
     a = l.select(F.col("doc_id").alias("item"), F.lit(1).alias("reviewer"), F.col("quality").alias("rating"))
-    return a.unionByName(l.where("doc_id % 4 > 0").select(F.col("doc_id").alias("item"), F.lit(2).alias("reviewer"), F.col("toxic").alias("rating")))
+    return a.unionByName(l.where("quality = 1").select(F.col("doc_id").alias("item"), F.lit(2).alias("reviewer"), F.col("toxic").alias("rating")))
 
 
 @query("agreement_list", f"with {_TWO} select item, count(distinct reviewer) as n_reviewers, case when count(distinct reviewer) = 1 then 'single' when min(rating) = max(rating) then 'agreed' else 'disagreed' end as status from t group by 1")
@@ -89,14 +89,14 @@ def missing_by_chapter(spark, sf_dir):
     return R.missing_by_chapter(e.select(F.when(k == 0, "  ").when(k == 1, None).otherwise(F.concat(F.lit("Bab "), k)).alias("chapter")))
 
 
-@query("sweep_quality", """with s as (select l_orderkey as id, cast(t as double) as threshold, k from lineitem, (values (0.92, 3), (0.95, 5), (0.98, 7)) g(t, k) where l_linenumber = 1 and round(1 - l_discount, 2) >= t and l_orderkey % 9 <= k),
+@query("sweep_quality", """with s as (select l_orderkey as id, cast(t as double) as threshold, k from lineitem, (values (0.92, 3), (0.95, 5), (0.98, 7)) g(t, k) where round(1 - l_discount, 2) >= t and l_linenumber <= k),
 a as (select o_orderkey as id, case when o_orderstatus = 'P' then null when o_orderstatus = 'F' then 'Ya' else 'Tidak' end as valid, case when o_totalprice > 100000 then 'Benar' else 'Salah' end as type_ok, case when o_custkey % 3 = 0 then 'NA' when o_custkey % 3 = 1 then 'Benar' else 'Terbalik' end as direction from orders)
 select threshold, cast(k as integer) as k, count(*) as survivors, count(valid) as rated, avg(case when valid is null then null when valid = 'Ya' then 1.0 else 0.0 end) as validity,
 avg(case when type_ok is null then null when type_ok = 'Benar' then 1.0 else 0.0 end) as type_ok, avg(case when direction is null then null when direction = 'Benar' then 1.0 else 0.0 end) as direction_ok from s left join a using (id) group by 1, 2""")
 def sweep_quality(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.round(1 - F.col("l_discount"), 2).alias("c"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", F.round(1 - F.col("l_discount"), 2).alias("c"))
     grid = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k).alias("k")) for t, k in ((0.92, 3), (0.95, 5), (0.98, 7))]))
-    s = li.select("id", "c", grid.alias("g")).select("id", "c", "g.*").where("c >= threshold and id % 9 <= k").drop("c")
+    s = li.select("id", "c", "l_linenumber", grid.alias("g")).select("id", "c", "l_linenumber", "g.*").where("c >= threshold and l_linenumber <= k").drop("c", "l_linenumber")
     o, turn = table(spark, sf_dir, "orders"), F.col("o_custkey") % 3
     a = o.select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", None).when(F.col("o_orderstatus") == "F", "Ya").otherwise("Tidak").alias("valid"),
@@ -105,14 +105,10 @@ def sweep_quality(spark, sf_dir):
     return R.sweep_quality(s, a)
 
 
-@query("fleiss_kappa", f"""with {_R}, x as (select item * 1000 + i as item, rating from (select item, rating, row_number() over (partition by item order by event_id) - 1 as i from r) where i < 100),
-y as (select item % 1000 // 5 + item // 1000 * 100 as item, rating from x), c as (select item, rating, count(*) as n from y group by 1, 2), i as (select item, sum(n) as k, sum(n * (n - 1)) as agree from c group by 1),
+@query("fleiss_kappa", f"""with {_R}, c as (select event_id // 5 as item, rating, count(*) as n from r group by 1, 2), i as (select item, sum(n) as k, sum(n * (n - 1)) as agree from c group by 1),
 p as (select avg(agree / (k * (k - 1))) as p, sum(k) as total from i), e as (select sum((n / total) ** 2) as pe from (select rating, sum(n) as n from c group by 1), p) select (p - pe) / (1 - pe) as kappa from p, e""")
 def fleiss_kappa(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = ratings(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("item").orderBy("event_id")) - 1).where("i < 100")
-    return M.fleiss_kappa(rows.select((F.floor(F.col("i") / 5) + F.col("item") * 100).alias("item"), "rating"))
+    return M.fleiss_kappa(ratings(spark, sf_dir).select(F.floor(F.col("event_id") / 5).alias("item"), "rating"))
 
 
 @query("mcnemar", "with x as (select count(*) filter (quality = 1 and toxic = 0) as b, count(*) filter (quality = 0 and toxic = 1) as c from labels) select b, c, case when b + c > 0 then (abs(b - c) - 1) ** 2 / (b + c) end as chi2 from x")

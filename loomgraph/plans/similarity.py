@@ -100,10 +100,10 @@ def pairs_without_existing_edge(spark, sf_dir):
     return C.without_existing(_pairs(spark, sf_dir), edges).select("a", "b", "score")
 
 
-@query("embedding_misses", """select cast(vec_id as varchar) as id from embeddings where vec_id % 2 = 1""")
+@query("embedding_misses", """select cast(vec_id as varchar) as id from embeddings where label >= 5""")
 def embedding_misses(spark, sf_dir):
     nodes = _grades(spark, sf_dir)
-    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.when(F.col("vec_id") % 2 == 0, "m1").otherwise("m0").alias("model"))
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.when(F.col("label") < 5, "m1").otherwise("m0").alias("model"))
     return C.stale(nodes, stored, "m1").select("id")
 
 

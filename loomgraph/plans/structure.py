@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..operators import metrics as M
 from ..operators import paths as P
+from ..operators import similarity as S
+from .similarity import _SCORED
 
 _EDGES = """e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber from lineitem)"""
 _NODES = """n as (select 'p' || p_partkey as id, 'part' as label, p_name as name, p_type as description from part
@@ -41,12 +43,12 @@ def hierarchy_path(spark, sf_dir):
 
 
 @query("ancestor_closure", """with recursive up as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation
-  union all select 'o' || o_orderkey, 'c' || o_custkey from orders where o_orderkey % 50 = 0),
+  union all select 'o' || o_orderkey, 'c' || o_custkey from orders),
 a(node, ancestor, distance) as (select child, parent, 1 from up union all select a.node, up.parent, a.distance + 1 from a join up on a.ancestor = up.child where a.distance < 4) select node, ancestor, distance from a""")
 def ancestor_closure(spark, sf_dir):
     c, n, o = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
     pair = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
-    up = pair(c, "c", "c_custkey", "n", "c_nationkey").union(pair(n, "n", "n_nationkey", "r", "n_regionkey")).union(pair(o.where("o_orderkey % 50 = 0"), "o", "o_orderkey", "c", "o_custkey"))
+    up = pair(c, "c", "c_custkey", "n", "c_nationkey").union(pair(n, "n", "n_nationkey", "r", "n_regionkey")).union(pair(o, "o", "o_orderkey", "c", "o_custkey"))
     return P.ancestors(up, 4)
 
 
@@ -127,27 +129,31 @@ def inbound_references_top(spark, sf_dir):
     return M.inbound(nodes(spark, sf_dir).where("label = 'supplier'"), edges(spark, sf_dir), 30)
 
 
-@query("dangling_targets", f"with {_NODES}, {_EDGES} select dst, count(*) as n from e where dst not in (select id from n where hash_ok) group by 1".replace("n as (select 'p'", "n as (select *, cast(substr(id, 2) as integer) % 7 <> 0 as hash_ok from (select 'p'").replace("supplier)", "supplier))", 1))
+@query("dangling_targets", f"with {_NODES}, {_EDGES} select dst, count(*) as n from e where dst not in (select 's' || s_suppkey from supplier where s_acctbal > 0) group by 1")
 def dangling_targets(spark, sf_dir):
-    return M.dangling(nodes(spark, sf_dir).where("cast(substr(id, 2) as int) % 7 <> 0"), edges(spark, sf_dir))
+    return M.dangling(nodes(spark, sf_dir).where("label = 'part' or description <> ''"), edges(spark, sf_dir))
 
 
-_CITIES = "g as (select 'k' || (l_partkey % 40) as src, 'k' || (l_suppkey % 40) as dst, l_returnflag as rel_type from lineitem where l_linenumber <= 2 and l_orderkey % 20 = 0)"
+#: Trade between nations: an edge for each line item from the customer's nation to the supplier's.
+_TRADE = """g as (select 'n' || c_nationkey as src, 'n' || s_nationkey as dst, l_returnflag || l_linestatus || (l_linenumber - 1) // 3 as rel_type, l_quantity from lineitem
+  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"""
 
 
-def _small(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_orderkey % 20 = 0")
-    return li.select(F.concat(F.lit("k"), F.col("l_partkey") % 40).alias("src"), F.concat(F.lit("k"), F.col("l_suppkey") % 40).alias("dst"), F.col("l_returnflag").alias("rel_type"))
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    kind = F.concat("l_returnflag", "l_linestatus", F.floor((F.col("l_linenumber") - 1) / 3))
+    return rows.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), kind.alias("rel_type"), "l_quantity")
 
 
-@query("symmetric_edges", f"with {_CITIES}, u as (select distinct * from g where src <> dst) select x.src as a, x.dst as b, x.rel_type from u x join u y on x.src = y.dst and x.dst = y.src and x.rel_type = y.rel_type where x.src < x.dst")
+@query("symmetric_edges", f"with {_TRADE}, u as (select distinct src, dst, rel_type from g where src <> dst) select x.src as a, x.dst as b, x.rel_type from u x join u y on x.src = y.dst and x.dst = y.src and x.rel_type = y.rel_type where x.src < x.dst")
 def symmetric_edges(spark, sf_dir):
-    return M.symmetric(_small(spark, sf_dir))
+    return M.symmetric(trade(spark, sf_dir))
 
 
-@query("duplicate_edges", f"with {_CITIES} select src, dst, rel_type, count(*) - 1 as extra from g group by 1, 2, 3 having count(*) > 1")
+@query("duplicate_edges", f"with {_TRADE} select src, dst, rel_type, count(*) - 1 as extra from g group by 1, 2, 3 having count(*) > 1")
 def duplicate_edges(spark, sf_dir):
-    return M.duplicate_edges(_small(spark, sf_dir))
+    return M.duplicate_edges(trade(spark, sf_dir))
 
 
 @query("orphan_rate", "select lang, avg(case when l.doc_id is null then 1.0 else 0.0 end) as rate, count(*) as n from documents d left join (select distinct doc_id from labels) l using (doc_id) group by 1")
@@ -161,9 +167,9 @@ def orphan_nodes(spark, sf_dir):
     return M.orphans(nodes(spark, sf_dir), edges(spark, sf_dir), F.col("confidence") < 0.99).select("id")
 
 
-@query("shared_variable_pairs", """with u as (select distinct l_suppkey as s, l_partkey as v from lineitem where l_quantity >= 45) select a.s as a, b.s as b, count(*) as shared from u a join u b on a.v = b.v and a.s < b.s group by 1, 2 having count(*) >= 2""")
+@query("shared_variable_pairs", """with u as (select distinct l_suppkey as s, l_partkey as v from lineitem) select a.s as a, b.s as b, count(*) as shared from u a join u b on a.v = b.v and a.s < b.s group by 1, 2 having count(*) >= 2""")
 def shared_variable_pairs(spark, sf_dir):
-    u = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("v")).distinct()
+    u = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("v")).distinct()
     pairs = u.toDF("a", "v").join(u.toDF("b", "v"), "v").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
@@ -196,10 +202,10 @@ def direction_share(spark, sf_dir):
     return M.shares_by(table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_returnflag").alias("direction")), "direction")
 
 
-@query("bridge_nodes", """with x as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_partkey % 3 as sg, l_suppkey % 3 as dg from lineitem where l_quantity > 48),
+@query("bridge_nodes", """with x as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_partkey % 3 as sg, l_suppkey % 3 as dg from lineitem),
 w as (select src as id, sg as own, dg as other from x union all select dst, dg, sg from x) select id, count(distinct other) as others from w where own <> other group by 1 having count(distinct other) >= 2""")
 def bridge_nodes(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 48")
+    li = table(spark, sf_dir, "lineitem")
     e = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), (F.col("l_partkey") % 3).alias("src_group"), (F.col("l_suppkey") % 3).alias("dst_group"))
     return M.bridges(e)
 
@@ -215,12 +221,13 @@ def three_way_flag(spark, sf_dir):
     return M.three_way(d.select((F.col("quality") == 1).alias("flag")), "flag")
 
 
-@query("connected_components", """with recursive l as (select distinct c_custkey % 300 as a, c_custkey * 7 % 300 as b from customer where c_custkey % 3 = 0), u as (select a, b from l union select b, a from l),
-r(node, x) as (select a, a from u union select u.b, r.x from r join u on r.node = u.a) select n.id, coalesce(min(x), n.id) as component from (select distinct c_custkey % 300 as id from customer) n left join r on r.node = n.id group by 1""")
+@query("connected_components", f"""with recursive {_SCORED}, t as (select * from (select *, row_number() over (partition by source order by score desc, target) as rank from s) where rank <= 10 and score >= 0.68),
+u as materialized (select source as a, target as b from t union select target, source from t), r(node, x) as (select distinct a, a from u union select u.b, r.x from r join u on r.node = u.a)
+select v.id, coalesce(min(x), v.id) as component from v left join r on r.node = v.id group by 1""")
 def connected_components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    e = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") % 300).alias("src"), (F.col("c_custkey") * 7 % 300).alias("dst"))
-    return P.connected_components(c.select((F.col("c_custkey") % 300).alias("id")).distinct(), e)
+    v = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    close = S.neighbours(v, v, 10).where("score >= 0.68").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return P.connected_components(v.select("id"), close)
 
 
 @query("reachable_pairs", """with recursive e as (select distinct n_nationkey as src, (n_nationkey * 3 + 1) % 25 as dst from nation), r(src, dst) as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src) select src, dst from r""")
@@ -228,24 +235,24 @@ def reachable_pairs(spark, sf_dir):
     return P.reachable(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst")))
 
 
-@query("modularity_of_partition", f"""with {_CITIES}, s as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), p as (select *, cast(substr(a, 2) as integer) % 2 as pa, cast(substr(b, 2) as integer) % 2 as pb from s),
+@query("modularity_of_partition", f"""with {_TRADE}, s as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), p as (select *, cast(substr(a, 2) as integer) % 2 as pa, cast(substr(b, 2) as integer) % 2 as pb from s),
 t as (select x as part, count(*) as degree from (select pa as x from p union all select pb from p) group by 1), i as (select pa as part, count(*) as inside from p where pa = pb group by 1)
 select sum(coalesce(inside, 0) / (select count(*) from s) - (degree / (2 * (select count(*) from s))) ** 2) as q from t left join i using (part)""")
 def modularity_of_partition(spark, sf_dir):
-    e = _small(spark, sf_dir)
+    e = trade(spark, sf_dir)
     parts = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", (F.substring("id", 2, 9).cast("int") % 2).alias("part"))
     return M.modularity(e, parts)
 
 
 @query("communities")
 def communities(spark, sf_dir):
-    e = _small(spark, sf_dir)
+    e = trade(spark, sf_dir)
     return P.best_partition(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
 
 
 @query("acyclic_edges")
 def acyclic_edges(spark, sf_dir):
-    e = _small(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("confidence"))
+    e = trade(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("confidence"))
     return P.accept_acyclic(e, [F.desc("confidence"), "src", "dst"])
 
 
@@ -281,10 +288,10 @@ def retrieval_funnel(spark, sf_dir):
     return M.funnel([("line items", li), ("returned", back), ("returned, large", back.where("l_quantity > 40"))])
 
 
-@query("embedding_coverage", f"""with {_NODES}, m as (select 'p' || p_partkey as id, unnest(case when p_partkey % 2 = 0 then ['m1', 'm2'] else ['m1'] end) as model from part where p_partkey % 5 > 0)
+@query("embedding_coverage", f"""with {_NODES}, m as (select 'p' || p_partkey as id, unnest(case when p_partkey % 2 = 0 then ['m1', 'm2'] else ['m1'] end) as model from part where p_size > 10)
 select label, count(distinct n.id) as nodes, count(distinct m.id) as embedded, coalesce(string_agg(distinct model, ',' order by model), '') as models from n left join m using (id) group by 1""")
 def embedding_coverage(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 5 > 0")
+    p = table(spark, sf_dir, "part").where("p_size > 10")
     many = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("m1"), F.lit("m2"))).otherwise(F.array(F.lit("m1")))
     stored = p.select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.explode(many).alias("model"))
     return M.embedding_coverage(nodes(spark, sf_dir), stored)
