@@ -246,8 +246,9 @@ def modularity_of_partition(spark, sf_dir):
 
 @query("communities")
 def communities(spark, sf_dir):
-    e = trade(spark, sf_dir)
-    return P.best_partition(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
+    v = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    close = S.neighbours(v, v, 10).where("score >= 0.65").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return P.best_partition(v.select("id"), close)
 
 
 @query("acyclic_edges")
