@@ -21,6 +21,17 @@ def concepts(books: DataFrame) -> DataFrame:
     return s.select("grade", "chapter_pos", "chapter", "subtopic_pos", "subtopic", "concept_pos", "k.*")
 
 
+def granularity(books: DataFrame) -> DataFrame:
+    """grade, chapters, subtopics, concepts, per_subtopic."""
+    s = F.flatten(F.transform("chapters", lambda c: F.coalesce(c["subtopics"], F.array().cast(c_type(books)))))
+    n = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.size(x["concepts"]), F.lit(0)))
+    return books.select("grade", F.size("chapters").alias("chapters"), F.size(s).alias("subtopics"), n.alias("concepts"), (n / F.nullif(F.size(s), F.lit(0))).alias("per_subtopic"))
+
+
+def c_type(books: DataFrame) -> str:
+    return books.select(F.get("chapters", F.lit(0))["subtopics"].alias("s")).schema["s"].dataType.simpleString()
+
+
 def triples(books: DataFrame) -> DataFrame:
     """Relations with their depth-first index in the book, from 0."""
     r = concepts(books).select(

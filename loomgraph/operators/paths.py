@@ -62,14 +62,15 @@ def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return seen
 
 
-def accept_acyclic(edges: DataFrame, order: list) -> DataFrame:
-    """Edges in order, each accepted unless it closes a cycle over the accepted ones.
+def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None) -> DataFrame:
+    """Edges in order, each accepted unless it closes a cycle over the accepted ones and those of ``seed`` (src, dst).
 
     The rule is sequential, so edges are taken component by component: no cycle crosses components, and each is
     one group. Columns in: src, dst and those ordered by; out: the same with accepted boolean.
     """
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    parts = connected_components(ends, edges).toDF("src", "part")
+    every = edges.select("src", "dst") if seed is None else edges.select("src", "dst").union(seed.select("src", "dst"))
+    ends = every.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    parts = connected_components(ends, every).toDF("src", "part")
     names = edges.columns
 
     def accept(group):
@@ -77,7 +78,10 @@ def accept_acyclic(edges: DataFrame, order: list) -> DataFrame:
 
         rows = group.sort_values("_order")
         out, keep = {}, []
-        for s, d in zip(rows["src"], rows["dst"], strict=True):
+        for s, d, old in zip(rows["src"], rows["dst"], rows["_seed"], strict=True):
+            if old:
+                out.setdefault(s, []).append(d)
+                continue
             stack, seen, closes = [d], set(), s == d
             while stack and not closes:
                 n = stack.pop()
@@ -89,10 +93,13 @@ def accept_acyclic(edges: DataFrame, order: list) -> DataFrame:
             keep.append(not closes)
             if not closes:
                 out.setdefault(s, []).append(d)
-        rows = rows.assign(accepted=keep)
+        rows = rows[~rows["_seed"]].assign(accepted=keep)
         return rows[[*names, "accepted"]]
 
-    placed = edges.join(parts, "src").withColumn("_order", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    placed = edges.join(parts, "src").withColumns({"_order": F.row_number().over(Window.partitionBy("part").orderBy(*order)), "_seed": F.lit(False)})
+    if seed is not None:
+        first = seed.select("src", "dst").join(parts, "src").withColumns({"_order": F.lit(0), "_seed": F.lit(True)})
+        placed = placed.unionByName(first, allowMissingColumns=True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields)
     return placed.groupBy("part").applyInPandas(accept, f"{fields}, accepted boolean")
 

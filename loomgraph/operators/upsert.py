@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .candidates import last_wins
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list | None = None, keep_non_empty: bool = False) -> DataFrame:
     """Table after MERGE on keys and SET of the changes' columns: last change of a key wins, null changes leave old values.
 
+    ``keep_non_empty``: empty strings leave old values too, so a poorer extraction erases nothing.
     Running it twice gives what running it once gives.
     """
+    if keep_non_empty:
+        texts = [f.name for f in changes.schema.fields if f.dataType.simpleString() == "string" and f.name not in keys]
+        changes = changes.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in texts})
     new = last_wins(changes, keys, order) if order else changes.dropDuplicates(keys)
     others = [c for c in table.columns if c not in keys]
     renamed = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in others if c in new.columns])
@@ -20,6 +24,20 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list |
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in others and c in new.columns else F.col(c) for c in table.columns])
 
 
+def index_meta(stored: DataFrame) -> DataFrame:
+    """model, n, dimension, consistent: what an index of the stored vectors would be built for."""
+    d = F.size("vector")
+    return stored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("dimension"), (F.min(d) == F.max(d)).alias("consistent"))
+
+
+def require_dimension(stored: DataFrame, model: str, dimension: int) -> DataFrame:
+    """The vectors of a model, if all have the length that the model has; else an error."""
+    rows = stored.where(F.col("model") == model)
+    if not rows.where(F.size("vector") != dimension).isEmpty():
+        raise ValueError(f"vectors of {model} with another length than {dimension}")
+    return rows
+
+
 def upsert_similar(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """SIMILAR_TO edges with sorted ends merged with new pairs (a, b, score)."""
     new = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("SIMILAR_TO").alias("rel_type"), "score")

@@ -43,6 +43,7 @@ def test_flattening_is_depth_first(books):
     rows = B.triples(books).where("grade = 'Bio'").orderBy("index").collect()
     assert [(r["index"], r.concept, r.relation, r.target) for r in rows] == [(0, "Sel", "terdiri dari", "Inti"), (1, "Sel", "bagian-dari", "Gerak"), (2, "Inti", "X", "Sel"), (3, "Energi", "memuat", "energi kimia")]
     assert B.concepts(books).count() == 6
+    assert {r.grade: (r.chapters, r.subtopics, r.concepts) for r in B.granularity(books).collect()} == {"Bio": (2, 3, 3), "Fis": (1, 1, 3)}
 
 
 def test_structure_keeps_same_names_of_two_books_apart(books):
@@ -124,6 +125,12 @@ def test_upsert_twice_is_once_and_replay_rejects(spark):
     twice, _ = U.replay(once, dump, "replay")
     assert [tuple(r) for r in once.collect()] == [tuple(r) for r in twice.collect()] == [("A\x1fa", "B\x1fb", "T", "new", 0.9, "replay")]
     assert {r.reason for r in rejected.collect()} == {"no relation type", "self loop"}
+    poor = spark.createDataFrame([("A\x1fa", "B\x1fb", "T", " ", None, None)], edges.schema)
+    assert U.upsert(edges, poor, ["src", "dst", "rel_type"], keep_non_empty=True).first().description == "old"
+    stored = spark.createDataFrame([("n", "m", [1.0, 2.0]), ("o", "m", [1.0])], "node_id string, model string, vector array<float>")
+    assert tuple(U.index_meta(stored).first()) == ("m", 2, 2, False)
+    with pytest.raises(ValueError, match="another length"):
+        U.require_dimension(stored, "m", 2)
     with pytest.raises(ValueError, match="vocabulary"):
         U.guard_vocabulary(edges, ("X",))
     sims = U.upsert_similar(spark.createDataFrame([], "src string, dst string, rel_type string, score double"), spark.createDataFrame([("z", "a", 0.8), ("a", "z", 0.9)], "a string, b string, score double"))

@@ -74,6 +74,8 @@ def test_nested_sweeps_and_metrics_edges(spark):
     assert {r.id: r.component for r in G.connected_components(nodes, edges).collect()} == {"a": "a", "b": "a", "c": "c"}
     ring = spark.createDataFrame([("a", "b", 3), ("b", "c", 2), ("c", "a", 1), ("a", "a", 9)], "src string, dst string, w int")
     assert {(r.src, r.dst): r.accepted for r in G.accept_acyclic(ring, [F.desc("w")]).collect()} == {("a", "b"): True, ("b", "c"): True, ("c", "a"): False, ("a", "a"): False}
+    seeded = G.accept_acyclic(ring, [F.desc("w")], spark.createDataFrame([("b", "a")], "src string, dst string"))
+    assert {(r.src, r.dst): r.accepted for r in seeded.collect()} == {("a", "b"): False, ("b", "c"): True, ("c", "a"): True, ("a", "a"): False}
     assert G.reachable(ring, spark.createDataFrame([("b",)], "src string")).count() == 3
 
 
