@@ -41,7 +41,7 @@ COORDINATES, BANDS = 128, 32
 ROWS_PER_BAND = COORDINATES // BANDS
 LEAST_AGREE = 82
 #: Shingles of a part of a cluster; a task holds two parts.
-PART_SHINGLES = 200_000
+PART_SHINGLES = 60_000
 CHUNK_BYTES = 4 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
