@@ -31,7 +31,13 @@ def scratch_dir(spark: SparkSession) -> str:
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="loomgraph-")
         base = _own_dirs[app]
-    return f"{base.rstrip('/')}/loomgraph"
+    return f"{base.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written for this application; results that read it must have been made."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +54,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand; ``trim`` keeps it bounded."""
 
-    def __init__(self, seed: int, limit: int = 400_000):
+    def __init__(self, seed: int, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -83,6 +89,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+        del batch, col
+        pa.default_memory_pool().release_unused()  # idle workers keep what they don't give back
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
