@@ -31,7 +31,7 @@ from .common import ragged, slices
 #: Largest vocabulary file that is broadcast.
 MAX_VOCAB_BYTES = 64 << 20
 #: Text bytes whose pre-tokens are replayed together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _IDS = 1 << 18
 #: White space on both sides of a space (any Unicode white space counts; too much does no harm).
 _MEETS = r"[\pZ\x09-\x0d\x1c-\x1f\x{85}] [\pZ\x09-\x0d\x1c-\x1f\x{85}]"
@@ -167,7 +167,7 @@ class Encoder:
     """
 
     #: Pre-tokens whose ids are kept between chunks.
-    KEPT = 300_000
+    KEPT = 150_000
 
     def __init__(self, ranks: Ranks, pattern: str):
         import regex

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is kept for later stages would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
@@ -90,7 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(at, end - at)
             at = end
         del batch, col
-        pa.default_memory_pool().release_unused()  # idle workers keep what they don't give back
+        give_back()
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
