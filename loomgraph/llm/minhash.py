@@ -10,7 +10,8 @@ Shape of the work, for groups of any size:
 * Documents with the same shingle set form a class and only its smallest doc_id goes on.
 * No bucket is gathered in one task or expanded into its pairs. Members are first tied to
   a few members of their bucket, found by partial aggregation; where a bucket still holds
-  several clusters, members outside its largest one are compared with all others. A tie needs
+  several clusters, members outside its largest one are compared with all others; crowded buckets
+  are split by a second band before. A tie needs
   ``LEAST_AGREE`` of ``COORDINATES`` places to agree in two bits each, compared inside
   the join, so pairs below it are never rows. (At a similarity of 0.75 a pair falls below it with
   a probability of 3e-7.) Ties give clusters that no true link leaves.
@@ -40,6 +41,8 @@ from .common import WordHashes, cut, slices, without, words_of
 COORDINATES, BANDS = 128, 32
 ROWS_PER_BAND = COORDINATES // BANDS
 LEAST_AGREE = 82
+#: Clusters of a bucket from which it is split by a second band.
+CROWD = 256
 #: Shingles of a part of a cluster; a task holds two parts.
 PART_SHINGLES = 60_000
 CHUNK_BYTES = 4 << 20
@@ -222,8 +225,16 @@ def _ties(bands: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _more_ties(bands: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
-    """a < b: ties between clusters, of buckets that hold several."""
+    """a < b: ties between clusters, of buckets that hold several.
+
+    Buckets of more than ``CROWD`` clusters (a passage that many documents share, say) are first split by
+    every other band: pairs at 0.75 share a second band too, but for 8 in a million.
+    """
     now = bands.join(clusters, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    roots = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    now = cut(now.join(roots, "bucket"), "mixed")
+    crowd = now.where(F.col("roots") > CROWD).join(reps.select("rep", "keys"), "rep").select("bucket", "rep", "root", F.explode("keys").alias("key")).where("key <> bucket")
+    now = now.where(F.col("roots") <= CROWD).select("bucket", "rep", "root").union(crowd.select(F.xxhash64("bucket", "key"), "rep", "root"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     now = now.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket").join(reps.select("rep", "bits"), "rep")

@@ -104,6 +104,16 @@ def test_large_cluster_is_compared_in_parts(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_crowded_buckets_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 2)
+    rnd = random.Random(9)
+    passage = sentence(rnd, 60, 10**6)
+    rows = [(d, passage + " " + sentence(rnd, 40, 10**6)) for d in range(60)]  # alike at about 0.42
+    rows += [(100 + d, rows[d][1] + f" tail {d}") for d in range(0, 60, 3)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {d: d for d in range(60)} | {100 + d: d for d in range(0, 60, 3)}
+
+
 def test_signatures_are_circulant_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 800, dtype=np.uint64)
