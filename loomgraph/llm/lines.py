@@ -5,14 +5,14 @@ gram is the shortest run of whole lines from a line on that has ``GRAM`` words;
 grams that start within ``WINDOW`` words, the one with the least hash is a fingerprint. So
 any repeated run of ``GRAM + WINDOW - 1`` words (49) shares a fingerprint, wherever it stands.
 
-For each fingerprint hash, partial aggregation finds its first place in (doc_id, text,
-line) order. Each later place is joined with the lines around it and with the
-lines around the first place; equal lines are extended both ways, and runs of at least ``RUN`` words
-that contain the fingerprint are deleted from the later document. The first place keeps its lines.
+Each least run of whole lines of ``RUN`` words, from a line on or up to one, holds a fingerprint that its
+words alone decide. Of the runs whose fingerprint stands in two places or more, partial aggregation finds the first
+place of each run in (doc_id, text, line) order; its lines are deleted at every later place. So a run is
+compared with all holders of the same run, not with one holder of its fingerprint, and any repeated run of ``RUN``
+words or more, a union of least runs, is deleted but for its first place.
 
-Groups of any size: a fingerprint that a third of all documents share costs a row for
-each document (its partner is one row), never a pair of documents; context is joined by
-blocks of offsets, so a long document with many fingerprints costs rows in proportion.
+Groups of any size: a run that a third of all documents share costs a row for each document, never a pair of
+documents; overlapping runs of a document are merged in one pass.
 
 Null and empty texts have no lines and come back as they are. Rows with the same doc_id and
 text are one document and lose the same lines; rows with the same doc_id and other
@@ -28,55 +28,59 @@ from .common import cut
 
 GRAM, WINDOW, RUN = 25, 25, 50
 _DOC = ("doc_id", "text_key")
+_NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _text_key():
     return F.xxhash64("text")
 
 
-def _marked_lines(df: DataFrame) -> DataFrame:
-    """Not blank lines: doc key, pos (in the text), i (from 1), at (words before), words, key, gram, picked."""
+def _hash(keys: str):
+    return F.unhex(F.md5(F.array_join(F.transform(keys, F.hex), "")))
+
+
+def _runs(df: DataFrame) -> DataFrame:
+    """Least runs of whole lines of ``RUN`` words, from each line on and up to each: doc key, start and stop (positions
+    in the text), run (hash of the lines), gram (the fingerprint inside) and mark (its position)."""
     docs = df.select("doc_id", "text").where("text is not null").select("doc_id", _text_key().alias("text_key"), "text")
-    lines = docs.select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = docs.select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(_NOT_BLANK))
     lines = lines.select(
         *_DOC, "pos", F.unhex(F.md5("line")).alias("key"),
         (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
     )
     lines = lines.groupBy(*_DOC, "pos").agg(F.first("key").alias("key"), F.first("words").alias("words"))  # repeated rows
     by = Window.partitionBy(*_DOC).orderBy("pos")
-    lines = lines.select("*", F.row_number().over(by).cast("long").alias("i"), F.coalesce(F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    lines = lines.withColumn("end", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("end") - F.col("words"))
     ahead = Window.partitionBy(*_DOC).orderBy("at")
-    gram = ahead.rangeBetween(0, GRAM - 1)
-    lines = lines.select("*", F.sum("words").over(gram).alias("covered"), F.collect_list("key").over(gram).alias("run"))
-    lines = lines.withColumn("gram", F.when(F.col("covered") >= GRAM, F.unhex(F.md5(F.array_join(F.transform("run", F.hex), ""))))).drop("run", "covered")
-    # each start picks the least gram of its window; a gram is a fingerprint if some start picks it
-    least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "i"))).over(ahead.rangeBetween(0, WINDOW - 1))
-    lines = lines.withColumn("least", least["i"])
-    back = F.max(F.when(F.col("least").isNotNull(), F.col("least"))).over(ahead.rangeBetween(-(WINDOW - 1), 0))
-    seen = F.collect_set("least").over(ahead.rangeBetween(-(WINDOW - 1), 0))
-    return lines.withColumn("picked", back.isNotNull() & F.array_contains(seen, F.col("i"))).drop("least")
+    gram, run = ahead.rangeBetween(0, GRAM - 1), ahead.rangeBetween(0, RUN - 1)
+    lines = lines.select("*", F.sum("words").over(gram).alias("covered"), F.collect_list("key").over(gram).alias("keys"))
+    lines = lines.withColumn("gram", F.when(F.col("covered") >= GRAM, _hash("keys"))).drop("covered", "keys")
+    # each start picks the least gram of its window: the fingerprint of the runs from there on
+    lines = lines.withColumn("least", F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "pos"))).over(ahead.rangeBetween(0, WINDOW - 1))).drop("gram")
+    lines = lines.select("*", F.max("end").over(run).alias("to"), F.max("pos").over(run).alias("stop"), F.collect_list("key").over(run).alias("keys"))
+    lines = lines.withColumn("on", F.when(F.col("to") - F.col("at") >= RUN, F.struct(F.col("pos").alias("start"), "stop", _hash("keys").alias("run"), "least")))
+    lines = lines.drop("to", "stop", "keys")
+    behind = Window.partitionBy(*_DOC).orderBy("end").rangeBetween(-(RUN - 1), 0)
+    lines = lines.select("*", F.min(F.struct("pos", "at", "least")).over(behind).alias("head"), F.collect_list("key").over(behind).alias("keys"))
+    # a run up to a line that reaches RUN words only with that line is the run on from its start
+    back = (F.col("end") - F.col("head.at") >= RUN) & (F.col("at") - F.col("head.at") >= RUN)
+    lines = lines.withColumn("upto", F.when(back, F.struct(F.col("head.pos").alias("start"), F.col("pos").alias("stop"), _hash("keys").alias("run"), F.col("head.least").alias("least"))))
+    runs = lines.select(*_DOC, F.explode(F.array("on", "upto")).alias("r")).where("r is not null")
+    return runs.select(*_DOC, "r.start", "r.stop", "r.run", F.col("r.least.gram").alias("gram"), F.col("r.least.pos").alias("mark"))
 
 
 def _deleted(df: DataFrame) -> DataFrame:
-    """doc_id, text_key, gone: the positions of the lines to delete, of documents that lose some."""
-    block = GRAM + WINDOW
-    lines = cut(_marked_lines(df), "lines")
-    prints = lines.where("picked").select(*_DOC, "i", "at", "gram")
-    first = prints.groupBy("gram").agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
-    anchors = prints.join(first, "gram").where(~F.struct(*_DOC, "i").eqNullSafe(F.col("first")))
-    anchors = anchors.select(*_DOC, "at", "i", F.col("first.doc_id").alias("doc_0"), F.col("first.text_key").alias("key_0"), (F.col("first.i") - F.col("i")).alias("shift"))
-    around = anchors.withColumn("block", F.explode(F.array(*[F.floor(F.col("at") / block) + k for k in (-1, 0, 1)])))
-    here = lines.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("i").alias("j"), F.col("pos"), "key", "words", F.floor(F.col("at") / block).alias("b"))
-    near = around.join(here, around.doc_id.eqNullSafe(here.d) & (around.text_key == here.t) & (around.block == here.b))
-    near = near.groupBy(*_DOC, "doc_0", "key_0", "shift", "j").agg(
-        F.first("pos").alias("pos"), F.first("key").alias("key"), F.first("words").alias("words"), F.max(F.col("i") == F.col("j")).alias("anchor")
-    )
-    there = lines.select(F.col("doc_id").alias("d0"), F.col("text_key").alias("t0"), F.col("i").alias("j0"), F.col("key").alias("k0"))
-    same = near.join(there, near.doc_0.eqNullSafe(there.d0) & (near.key_0 == there.t0) & (near.j + near["shift"] == there.j0) & (near.key == there.k0))
-    diagonal = Window.partitionBy(*_DOC, "doc_0", "key_0", "shift").orderBy("j")
-    runs = same.select(*_DOC, "doc_0", "key_0", "shift", "j", "pos", "words", "anchor", (F.col("j") - F.row_number().over(diagonal)).alias("island"))
-    runs = runs.groupBy(*_DOC, "doc_0", "key_0", "shift", "island").agg(F.sum("words").alias("n"), F.max("anchor").alias("anchor"), F.collect_list("pos").alias("gone"))
-    return runs.where((F.col("n") >= RUN) & F.col("anchor")).groupBy(*_DOC).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    """doc_id, text_key, gone: the positions to delete (blank ones between them too), of documents that lose some."""
+    runs = cut(_runs(df), "runs")
+    place = F.struct(*_DOC, "mark")
+    prints = runs.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    shared = cut(runs.join(prints.select("gram"), "gram", "left_semi").drop("gram", "mark"), "shared")
+    place = F.struct(*_DOC, "start")
+    firsts = shared.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
+    later = shared.join(firsts, "run").where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "start", "stop")
+    before = F.max("stop").over(Window.partitionBy(*_DOC).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.greatest("start", F.coalesce(before + 1, "start"))).where(F.col("new") <= F.col("stop"))
+    return later.groupBy(*_DOC).agg(F.flatten(F.collect_list(F.sequence("new", "stop"))).alias("gone"))
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
@@ -87,6 +91,8 @@ def deduplicate(df: DataFrame) -> DataFrame:
     gone = _deleted(df).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("gone").alias("_gone"))
     out = df.join(gone, df.doc_id.eqNullSafe(gone._d) & (F.xxhash64(df.text) == gone._t), "left")
     split = F.split("text", "\n", -1)
+    blank = F.filter(F.transform(split, lambda line, i: F.when(~line.rlike(_NOT_BLANK), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_gone", F.array_except("_gone", blank))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone"), lambda i: F.get(split, i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
@@ -94,7 +100,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
         F.col("_gone").isNotNull().alias("_touched"),
-    ).withColumn("_emptied", F.col("_touched") & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("_touched")
+    ).withColumn("_emptied", F.col("_touched") & ~F.coalesce(F.col("text").rlike(_NOT_BLANK), F.lit(False))).drop("_touched")
 
 
 def report(df: DataFrame) -> DataFrame:

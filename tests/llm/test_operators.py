@@ -149,6 +149,35 @@ def test_lines_delete_later_runs_only(spark):
     assert {r.doc_id for r in lines.without_repeats(frame(spark, rows)).collect()} == {1, 2, 3, 4, 5, 7}
 
 
+def _repeated_lines(docs, least=50):
+    """Brute force, without fingerprints: positions in every later copy of any run of whole lines of ``least`` words."""
+    first, gone = {}, set()
+    for d, text in sorted(docs):
+        lines = [(p, line) for p, line in enumerate(text.split("\n")) if line.strip()]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(line for _, line in lines[a : b + 1])
+                if sum(len(line.split()) for line in run) >= least and first.setdefault(run, (d, a)) != (d, a):
+                    gone.update((d, p) for p, _ in lines[a : b + 1])
+    return gone
+
+
+def test_lines_find_runs_whose_parts_stand_alone_before(spark):
+    rnd = random.Random(12)
+    passage = [sentence(rnd, 12, 10**6) for _ in range(6)]  # 72 words
+    # earlier documents hold each part of 48 words alone: every fingerprint's first place is too short a run
+    rows = [(k, "\n".join([sentence(rnd, 30, 10**6), *passage[k : k + 4], sentence(rnd, 30, 10**6)])) for k in range(3)]
+    rows += [(10 + k, "\n".join([sentence(rnd, 30, 10**6), *passage[:3], " ", *passage[3:], sentence(rnd, 30, 10**6)])) for k in range(3)]
+    own = ["\n".join(part) for part in (passage[:4], [sentence(rnd, 30, 10**6)], [passage[1]], [sentence(rnd, 30, 10**6)])]
+    rows += [(20, "\n".join(own))]
+    pool = [sentence(rnd, n, 10**6) for n in (1, 3, 7, 9, 14, 20, 26, 33, 49, 60)]
+    rows += [(30 + k, "\n".join(rnd.choice([*pool, ""]) for _ in range(rnd.randrange(4, 14)))) for k in range(60)]
+    gone = _repeated_lines(rows)
+    assert {(d, p) for d, p in gone if d < 30} == {(d, p) for d in (11, 12) for p in (1, 2, 3, 5, 6, 7)}
+    got = {r.doc_id: r.text for r in lines.deduplicate(frame(spark, rows)).collect()}
+    assert got == {d: "\n".join(line for p, line in enumerate(text.split("\n")) if (d, p) not in gone) for d, text in rows}
+
+
 def test_masks_fit_between_any_three_substitutions():
     masks = [sum(1 << i for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS]
     for gaps in itertools.combinations(range(decontaminate.WINDOW), decontaminate.WINDOW - decontaminate.LEAST):

@@ -122,3 +122,21 @@ def test_op10_gives_the_articles(spark, sf_dir, duck):
     assert len(rows) == len(want)
     assert np.mean([r.text == want[r.page_id] for r in rows]) > 0.98
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_op3_deletes_every_repeated_run_but_its_first_place(spark, sf_dir, duck):
+    first, gone, texts = {}, {}, {d: t for d, t in _documents(duck) if t is not None}
+    for d in sorted(texts):
+        lines = [(p, line) for p, line in enumerate(texts[d].split("\n")) if line.strip(" \t\n\v\f\r")]
+        for a in range(len(lines)):
+            words, run = 0, hashlib.md5()
+            for b in range(a, len(lines)):
+                words += len(lines[b][1].split())
+                run.update(lines[b][1].encode() + b"\n")
+                if words >= 50 and first.setdefault(run.digest(), (d, a)) != (d, a):
+                    gone.setdefault(d, set()).update(p for p, _ in lines[a : b + 1])
+    rows = {r.doc_id: r for r in queries.op3_line_dedup(spark, sf_dir).collect()}
+    assert {d: r.n_removed for d, r in rows.items() if r.n_removed} == {d: len(g) for d, g in gone.items()}
+    for d, text in texts.items():
+        kept = "\n".join(line for p, line in enumerate(text.split("\n")) if p not in gone.get(d, ()))
+        assert rows[d].kept_md5 == hashlib.md5(kept.encode()).hexdigest()
