@@ -7,14 +7,17 @@ line, so documents that hold any are cut into lines and searched line by line.
 The values found are the protected entities. Contexts are the distinct lines of all documents: a
 copy of a line is no new evidence. For an entity c and a term t (``TERM``) the corpus gives
 
-    IC(c) = -log2 n(c)/N      PMI(c;t) = log2 n(c,t) N / (n(c) n(t))
+    P(c) = n(c)/N      P(c|t) = (n(c,t) + P(c)) / (n(t) + 1)
+    IC(c) = -log2 P(c)      PMI(c;t) = log2 P(c|t) / P(c)
 
-and disclosure PMI/IC, the share of c's information that t gives away: 1 if t stands only next
-to c. Terms that stand with c in ``SUPPORT`` lines or more and reach ``GENERALISE`` are replaced by a
-label of c's kind, and from ``REMOVE`` on removed, in all documents that hold c.
+and disclosure PMI/IC, the share of c's information that t gives away: near 1 if t stands only next
+to c. Every entity and every term beside it is estimated, those seen once too; P(c|t) is shrunk to P(c) by the weight of
+one line, so few lines claim a little less than many. Terms that reach ``GENERALISE`` are replaced by a
+label of c's kind, and from ``REMOVE`` on removed, in all documents that hold c. An entity in every line has
+no information to give away. A line or document of e entities and t terms costs e times t rows.
 
-Term counts cover all documents; only terms that stand near entities are counted, by a broadcast join if they are at
-most ``BROADCAST_TERMS`` and by a shuffled one beyond.
+Term counts cover all documents. Lines that stand in one place only, nearly all of them, are counted where they are; the
+repeated ones, known by their hashes, are brought together (all lines are if more than ``BROADCAST_KEYS`` are repeated).
 
 Null and empty texts have no spans. Very long texts are searched whole, in time proportional
 to their length. Rows with the same doc_id and text get the same spans, and count once; rows with the same
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_KEYS, cut
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind, test that a line must pass, pattern. Possessive loops give up nothing (no later part could use it) and keep Java's
@@ -39,8 +42,7 @@ KINDS = (
 )
 #: What may give an entity away: runs of letters.
 TERM = r"\p{L}{4,}+"
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
-BROADCAST_TERMS = 100_000
+GENERALISE, REMOVE = 0.75, 0.9
 #: Key of a document; a null doc_id is the empty string.
 _DOC = ("doc_key", "text_key")
 
@@ -118,24 +120,27 @@ def _entity(kind: Column, value: Column) -> Column:
 
 def disclosing(df: DataFrame, lines: DataFrame, base: DataFrame, words: DataFrame) -> DataFrame:
     """entity, term, disclosure of the terms that reach ``GENERALISE``."""
-    text = lines.select(*_DOC, "line_no", F.xxhash64("line").alias("context"))
+    text = lines.join(base.select(*_DOC, "line_no").distinct(), [*_DOC, "line_no"]).select(*_DOC, "line_no", F.xxhash64("line").alias("context"))
     held = base.join(text, [*_DOC, "line_no"]).select("context", _entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
     near = words.join(text, [*_DOC, "line_no"]).select("context", "term").distinct()
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= SUPPORT)
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = held.join(entities, "entity").join(near, "context").groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = cut(pairs.where(F.col("n_ct") >= SUPPORT), "pairs")
-    terms = pairs.select("term").distinct()
-    size = terms.count()
-    if not size:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     corpus = df.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     corpus = corpus.select(F.xxhash64("line").alias("context"), "line")
-    total = corpus.select("context").distinct().count()
-    spread = corpus.select("context", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    counted = spread.join(F.broadcast(terms) if size <= BROADCAST_TERMS else terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    information = -F.log2(F.col("n_c") / F.lit(total))
-    shared = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
-    return pairs.join(counted, "term").select("entity", "term", F.round(shared / information, 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    contexts = cut(corpus.groupBy("context").agg(F.count(F.lit(1)).alias("n")), "contexts")
+    total = contexts.count()
+    repeated = contexts.where("n > 1").select("context")
+    if repeated.count() <= BROADCAST_KEYS:
+        again = corpus.join(F.broadcast(repeated), "context", "left_semi").groupBy("context").agg(F.first("line").alias("line"))
+        once = corpus.join(F.broadcast(repeated), "context", "left_anti").select("line").union(again.select("line"))
+    else:
+        once = corpus.groupBy("context").agg(F.first("line").alias("line"))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))
+    counted = once.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    chance = F.col("n_c") / F.lit(float(total))
+    shared = F.log2((F.col("n_ct") + chance) / (F.col("n_t") + 1) / chance)
+    found = pairs.join(counted, "term").where(F.col("n_c") < total)
+    return found.select("entity", "term", F.round(F.try_divide(shared, -F.log2(chance)), 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +153,9 @@ def find(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     strong = cut(disclosing(df, lines, base, words), "disclosing")
     spans = base.select(*_DOC, "line_no", "kind", "start", "end", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("label"))
     if not strong.isEmpty():
-        owned = base.select(*_DOC, _entity(F.col("kind"), F.col("value")).alias("entity")).distinct().join(strong, "entity")
+        words = cut(words.join(strong.select("term").distinct(), "term", "left_semi"), "strong-words")
+        owned = base.select(*_DOC, _entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
+        owned = words.select(*_DOC, "term").distinct().join(owned, [*_DOC]).join(strong, ["entity", "term"])
         # the strongest claim on a term decides
         owned = owned.groupBy(*_DOC, "term").agg(F.max(F.struct("disclosure", "entity")).alias("by"))
         label = F.when(F.col("by.disclosure") >= REMOVE, "").otherwise(F.concat(F.lit("["), F.upper(F.substring_index("by.entity", ":", 1)), F.lit(" TERM]")))

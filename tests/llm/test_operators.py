@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -218,6 +219,39 @@ def test_terms_that_give_an_entity_away(spark):
     assert "boss@" not in clean[1003] and "zebracorn" not in clean[1003] and "plain filler words" in clean[1003] and clean[5] == rows[5][1]
 
 
+@pytest.mark.parametrize("keys", [privacy.BROADCAST_KEYS, 0])
+def test_terms_beside_entities_seen_once(spark, monkeypatch, keys):
+    monkeypatch.setattr(privacy, "BROADCAST_KEYS", keys)
+    rnd = random.Random(9)
+    names = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
+    said = [" ".join(rnd.choice(names) for _ in range(6)) for _ in range(500)]
+    rows = [(k, "\n".join(said[4 * k : 4 * k + 4])) for k in range(125)] + [(200 + k, said[7] + "\nalways the same quagga line") for k in range(40)]
+    rows += [(300, f"the zebracorn and {names[0]} met\nwrite to zebracorn or quagga at one@corp.example {names[1]}")]
+    rows += [(301, f"okapi of two@corp.example {names[2]} {names[3]}\nokapi again"), (302, f"okapi takes two@corp.example and one@corp.example {names[4]}")]
+    contexts = {line for _, text in rows for line in text.split("\n")}
+    terms = {c: set(re.findall("[a-z]{4,}", c)) for c in contexts}
+    want = {}
+    for d, text in rows:
+        for line in text.split("\n"):
+            for mail in re.findall(r"[a-z]+@corp\.example", text):
+                held = [c for c in contexts if mail in c]
+                for m in re.finditer("[a-z]{4,}", line):
+                    n_ct, n_t, p = sum(m[0] in terms[c] for c in held), sum(m[0] in ts for ts in terms.values()), len(held) / len(contexts)
+                    if n_ct and not any(e.start() < m.end() and m.start() < e.end() for e in re.finditer(r"[a-z]+@corp\.example", line)):
+                        share = np.log2((n_ct + p) / (n_t + 1) / p) / -np.log2(p)
+                        if share >= privacy.GENERALISE:
+                            want.setdefault(d, set()).add(m[0])
+    assert {"zebracorn", "quagga"} <= want[300] and "okapi" in want[301] and not want[300] & set(names)
+    got = {r.doc_id: r for r in privacy.report(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    spans = {d: {texts[d][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for d, r in got.items()}
+    assert {d: v for d, v in spans.items() if v} == want
+    clean = {r.doc_id: r.text for r in privacy.sanitise(frame(spark, rows)).collect()}
+    assert "zebracorn" not in clean[300] and names[0] in clean[300] and clean[200] == texts[200]
+    # an entity in every line has nothing to give away
+    assert [r.n_term for r in privacy.report(frame(spark, [(1, "only line of a@b.example")])).collect()] == [0]
+
+
 def test_sharding_of_one_hot_text(spark):
     rows = [(k, "the same text over and over") for k in range(3000)] + [(5000 + k, f"other {k} " * 3) for k in range(1000)]
     got = sharding.shards(frame(spark, rows)).collect()
