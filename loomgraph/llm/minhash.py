@@ -228,7 +228,7 @@ def _more_ties(bands: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFr
     """a < b: ties between clusters, of buckets that hold several.
 
     Buckets of more than ``CROWD`` clusters (a passage that many documents share, say) are first split by
-    every other band: pairs at 0.75 share a second band too, but for 8 in a million.
+    every other band: pairs at 0.75 share a second band too, but for 8.2e-5 of them (5e-6 share no band at all).
     """
     now = bands.join(clusters, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     roots = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
