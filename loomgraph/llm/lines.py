@@ -16,7 +16,8 @@ documents; overlapping runs of a document are merged in one pass.
 
 Null and empty texts have no lines and come back as they are. Rows with the same doc_id and
 text are one document and lose the same lines; rows with the same doc_id and other
-texts are documents of their own, as are null doc_ids. Blank lines stay. Extra columns are kept.
+texts are documents of their own, as are null doc_ids. Blank lines stay. Words are what white space (space, U+0009 to U+000D)
+separates. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _runs(df: DataFrame) -> DataFrame:
     lines = docs.select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(_NOT_BLANK))
     lines = lines.select(
         *_DOC, "pos", F.unhex(F.md5("line")).alias("key"),
-        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
+        F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
     lines = lines.groupBy(*_DOC, "pos").agg(F.first("key").alias("key"), F.first("words").alias("words"))  # repeated rows
     by = Window.partitionBy(*_DOC).orderBy("pos")
@@ -83,42 +84,43 @@ def _deleted(df: DataFrame) -> DataFrame:
     return later.groupBy(*_DOC).agg(F.flatten(F.collect_list(F.sequence("new", "stop"))).alias("gone"))
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """``df`` with later repeated runs deleted from ``text``; adds _lines, _removed and _emptied.
-
-    _emptied says that a text had lines that are not blank and lost all of them.
-    """
-    gone = _deleted(df).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("gone").alias("_gone"))
-    out = df.join(gone, df.doc_id.eqNullSafe(gone._d) & (F.xxhash64(df.text) == gone._t), "left")
+def _marked(df: DataFrame) -> DataFrame:
+    """row (all columns of ``df`` as they were), text (what is left), n_lines (before) and n_removed."""
+    # the rows' own names are kept apart from those of the join
+    whole = df.select(F.struct("*").alias("row"), "doc_id", _text_key().alias("text_key"), "text")
+    gone = _deleted(df).withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    out = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
     split = F.split("text", "\n", -1)
     blank = F.filter(F.transform(split, lambda line, i: F.when(~line.rlike(_NOT_BLANK), i)), lambda i: i.isNotNull())
-    out = out.withColumn("_gone", F.array_except("_gone", blank))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone"), lambda i: F.get(split, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = out.withColumn("gone", F.array_except("gone", blank))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone"), lambda i: F.get(split, i))
     return out.select(
-        *[F.col(c) if c != "text" else text.alias("text") for c in df.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
-        F.col("_gone").isNotNull().alias("_touched"),
-    ).withColumn("_emptied", F.col("_touched") & ~F.coalesce(F.col("text").rlike(_NOT_BLANK), F.lit(False))).drop("_touched")
+        "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
+def deduplicate(df: DataFrame) -> DataFrame:
+    """``df`` with later repeated runs deleted from ``text``."""
+    return _marked(df).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def report(df: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and kept_md5 of the text left: one row per row of ``df``."""
-    out = deduplicate(df.select("doc_id", "text"))
+    out = _marked(df.select("doc_id", "text"))
     return out.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines")).cast("long").alias("n_lines"), F.col("_removed").alias("n_removed"),
+        F.col("row.doc_id").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_removed",
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"),
     )
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
-    """The stage: texts without later repeated runs; documents that lost their whole text go.
+    """The stage: texts without later repeated runs; documents that lost all their lines go.
 
     A column n_chars is brought up to date.
     """
-    out = deduplicate(df).where(~F.col("_emptied"))
+    out = _marked(df).where((F.col("n_removed") == 0) | F.col("text").rlike(_NOT_BLANK))
+    new = {"text": F.col("text")}
     if "n_chars" in df.columns:
-        new = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", new.cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(df.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in df.columns])

@@ -31,26 +31,20 @@ select s.doc_id, cast(len(sh) as bigint) as n_shingles, coalesce(m.c, s.doc_id)
 from s left join (select doc_id, min(r) as c from reach group by 1) m on m.doc_id = s.doc_id
 """
 
-#: The same grams, windows, first places and runs (texts of one doc_id are taken to be equal).
+#: Every run of whole lines that reaches 50 words at its last or at its first line; all places of a run but the first one go. No fingerprints.
 OP3 = r"""
 with d as (select distinct doc_id, text from documents where text is not null),
 raw as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as pos from (select doc_id, string_split(text, chr(10)) as ls from d)),
-l0 as (select doc_id, pos, md5(line) as key, length(line) - length(replace(line, ' ', '')) + 1 as words from raw where regexp_matches(line, '[^\x20\x09-\x0D]')),
-l1 as (select *, row_number() over w as i, coalesce(sum(words) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as off
+l0 as (select doc_id, pos, md5(line) as key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from raw where regexp_matches(line, '[^\x20\x09-\x0D]')),
+l1 as materialized (select *, row_number() over w as i, cast(sum(words) over w as bigint) as upto, cast(sum(words) over w as bigint) - words as off
        from l0 window w as (partition by doc_id order by pos)),
-l2 as (select *, sum(words) over g as covered, list(key) over g as run from l1 window g as (partition by doc_id order by off range between current row and 24 following)),
-l3 as materialized (select doc_id, pos, key, words, i, off, case when covered >= 25 then md5(upper(array_to_string(run, ''))) end as gram from l2),
-pick as (select distinct a.doc_id, first_value(b.i) over (partition by a.doc_id, a.i order by b.gram, b.i) as i
-         from l3 a join l3 b on a.doc_id = b.doc_id and b.off between a.off and a.off + 24 where b.gram is not null),
-prints as materialized (select doc_id, i, off, gram from l3 join pick using (doc_id, i)),
-firsts as (select gram, min(row(doc_id, i)) as f, count(*) as n from prints group by 1 having count(*) > 1),
-anchors as (select p.doc_id, p.i, p.off, f[1] as doc_0, f[2] - p.i as shift from prints p join firsts using (gram) where row(p.doc_id, p.i) <> f),
-near as (select a.doc_id, doc_0, shift, h.i as j, any_value(pos) as pos, any_value(key) as key, any_value(words) as words, bool_or(a.i = h.i) as anchor
-         from anchors a join l3 h on a.doc_id = h.doc_id and h.off // 50 between a.off // 50 - 1 and a.off // 50 + 1 group by 1, 2, 3, 4),
-same as (select n.*, j - row_number() over (partition by n.doc_id, doc_0, shift order by j) as island
-         from near n join l3 t on n.doc_0 = t.doc_id and n.j + n.shift = t.i and n.key = t.key),
-runs as (select doc_id, list(pos) as gone from same group by doc_id, doc_0, shift, island having sum(words) >= 50 and bool_or(anchor)),
-gone as (select distinct doc_id, unnest(gone) as pos from runs),
+ahead as (select doc_id, i as a, max(i) over g as b, max(upto) over g - off as n, list(key) over g as run
+          from l1 window g as (partition by doc_id order by off range between current row and 49 following)),
+behind as (select doc_id, min(i) over g as a, i as b, upto - min(off) over g as n, list(key) over g as run
+           from l1 window g as (partition by doc_id order by upto range between 49 preceding and current row)),
+runs as materialized (select doc_id, a, b, md5(array_to_string(run, '')) as run from (from ahead union all from behind) where n >= 50),
+firsts as (select run, min(row(doc_id, a)) as f from runs group by 1),
+gone as (select distinct r.doc_id, l.pos from runs r join firsts using (run) join l1 l on l.doc_id = r.doc_id and l.i between r.a and r.b where row(r.doc_id, r.a) <> f),
 kept as (select r.doc_id, count(*) as n_lines, count(g.pos) as n_removed, coalesce(string_agg(line, chr(10) order by r.pos) filter (g.pos is null), '') as text
          from raw r left join gone g on r.doc_id = g.doc_id and r.pos = g.pos group by 1)
 select x.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(length(k.text), 0) as n_chars, md5(coalesce(k.text, '')) as kept_md5
