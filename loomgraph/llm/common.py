@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,28 +19,43 @@ from pyspark.sql import functions as F
 #: White space of every word-based operator: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 
-_own_dirs: dict[str, str] = {}
+_dirs: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session. It goes when the driver ends.
 
-    Only where the setting is absent (unit tests, one machine) a temporary folder
-    stands in for it.
+    Where the setting is absent, a temporary folder stands in for it on one machine (unit tests); a cluster must have it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="loomgraph-")
-        base = _own_dirs[app]
-    return f"{base.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written for this application; results that read it must have been made."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    if app not in _dirs:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="loomgraph-")
+        _dirs[app] = f"{base.rstrip('/')}/loomgraph-{app}"
+        files, path = _files(spark, _dirs[app])
+        files.deleteOnExit(path)
+    return "/".join([_dirs[app], *_scopes])
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str):
+    """What ``cut`` writes inside is deleted at the end; results that read it must have been written by then."""
+    _scopes.append(f"{name}-{uuid.uuid4().hex}")
+    files, path = _files(spark, scratch_dir(spark))
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        files.delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -85,13 +102,14 @@ def give_back() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
+    """The batches again, cut so that ``column`` holds about ``limit`` bytes, or items of lists, in each (one row at least)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64))
+        length = pc.list_value_length(col) if pa.types.is_list(col.type) else pc.binary_length(col)
+        size = np.cumsum(np.asarray(pc.fill_null(length, 0)).astype(np.int64))
         at = 0
         while at < n:
             done = size[at - 1] if at else 0
@@ -117,12 +135,39 @@ def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
 BROADCAST_KEYS = 1_000_000
 
 
+def bounded(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys``, a cut table, to be broadcast if it has up to ``limit`` rows; a join with more of them shuffles."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def without(df: DataFrame, keys: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose ``column`` is not among ``keys``; null never is.
+    """Rows of ``df`` whose ``column`` is not among ``keys``; null never is."""
+    keys = cut(keys.select(column).where(F.col(column).isNotNull()).distinct(), "keys")
+    return df.join(bounded(keys), column, "left_anti").select(*df.columns)
 
-    The keys are counted first: up to BROADCAST_KEYS are broadcast, more are joined by a shuffle.
+
+def summed(rows: DataFrame, per_batch: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """Sum over all rows of the arrays of one fixed size that ``per_batch`` gives for each Arrow batch; None without rows.
+
+    Parts are made where the rows are; only parts are moved, and eight sums reach the driver.
     """
-    keys = cut(keys.select(column).where(F.col(column).isNotNull()).distinct(), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, column, "left_anti").select(*df.columns)
+
+    def part(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = per_batch(batch)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()])], ["part"])
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+
+    parts = rows.mapInArrow(part, "part binary").repartition(8).mapInArrow(add, "part binary").collect()
+    return np.sum([np.frombuffer(r.part) for r in parts], axis=0) if parts else None

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without
+from .common import cut, slices, summed, without
 
 #: Random features, kernel width in units of scaled statistics, ridge weight, calibration bins.
 RANDOM_FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 4.0, 1e-3, 512, 11
@@ -121,32 +121,6 @@ class Model:
         return np.round(np.clip(np.interp(self.raw(stats), *self.knots), 0, 1), 12)
 
 
-def _sums(rows: DataFrame, per_batch) -> np.ndarray | None:
-    """Sum over all rows of the fixed-size arrays that ``per_batch`` gives for each Arrow batch."""
-
-    def part(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = per_batch(batch)
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
-
-    def add(batches):
-        total = None
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
-
-    parts = rows.mapInArrow(part, "part binary")
-    # parts are made where the rows are; only parts are moved, and eight sums reach the driver
-    parts = parts.repartition(8).mapInArrow(add, "part binary").collect()
-    return np.sum([np.frombuffer(r.part) for r in parts], axis=0) if parts else None
-
-
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: block means of x (weighted) and of y."""
     blocks: list[list[float]] = []
@@ -168,7 +142,7 @@ def fit(rows: DataFrame) -> Model:
         y = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
         return np.concatenate([[len(s), y.sum()], s.sum(0), (s**2).sum(0)])
 
-    got = _sums(rows, moments)
+    got = summed(rows, moments)
     if got is None:
         return Model(0.5)
     n, positive = got[:2]
@@ -187,7 +161,7 @@ def fit(rows: DataFrame) -> Model:
         z = model.features(_stats_of(batch))
         return np.concatenate([(z.T @ (z * w[:, None])).ravel(), z.T @ (w * (2 * y - 1))])
 
-    sums = _sums(rows, normal)
+    sums = summed(rows, normal)
     matrix, right = sums[: d * d].reshape(d, d), sums[d * d :]
     model.weights = np.linalg.solve(matrix + RIDGE * n / d * np.eye(d), right)
 
@@ -197,7 +171,7 @@ def fit(rows: DataFrame) -> Model:
         at = np.minimum(((raw + 2) / 4 * BINS).astype(int), BINS - 1)
         return np.concatenate([np.bincount(at, v, BINS) for v in (np.ones(len(y)), y, raw)])
 
-    count, hits, total = _sums(rows, counted).reshape(3, BINS)
+    count, hits, total = summed(rows, counted).reshape(3, BINS)
     some = count > 0
     model.knots = _isotonic(total[some] / count[some], hits[some] / count[some], count[some])
     return model
