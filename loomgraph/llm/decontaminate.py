@@ -10,26 +10,30 @@ lower-cased and ASCII punctuation stripped at both ends.
 window differ, one of the masks fits between them (checked in the tests), so every
 such window gives a hit between the benchmark's hashes and the documents' hashes. Each
 hit names an offset; there all words are compared and the windows are counted exactly.
+Offsets of one document and item count once, however many hits name them; where words repeat so often
+that hits are many times the words, offsets come from a convolution of the places.
 
 The benchmark's hashes are broadcast in blocks of items of bounded size; a larger
-benchmark takes more passes, never a larger broadcast. Documents are read whole and
-nothing of them is shuffled.
+benchmark takes more passes, never a larger broadcast. Documents are read whole, each row is decided by
+itself, and nothing is shuffled or joined.
 
-Null, empty and short texts match nothing; null and empty items are ignored; null
-ids are kept as they are. A repeated document or item counts each time it occurs; extra columns
-are ignored.
+Null, empty and short texts match nothing; null and empty items are ignored. Rows are decided by their text, so rows with null or
+repeated doc_id are too; a null item_id counts as one item without a name. A repeated document counts each time it occurs, items of
+one id once. Extra columns, whatever their names, are ignored by ``flags`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, slices, without, words_of
+from .common import WordHashes, slices, words_of
 
 #: Positions that count, from the first: every three substitutions in 13 words leave one of them whole.
 MASKS = ("110111", "1101000011", "1110001000001")
@@ -39,6 +43,8 @@ BLOCK_BYTES = 2 << 20
 CHUNK_BYTES = 4 << 20
 _STRIP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _BITS = 22
+#: Pairs of equal hashes that are spread out at once, and words of a document whose offsets are convolved at once.
+_SPREAD, _SPAN = 1 << 21, 1 << 17
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +80,7 @@ class Items:
             if len(h) >= SHORTEST:
                 self.ids.append(item)
                 self.words.append(h)
+        self.longest = max(map(len, self.words), default=0)
         masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
         masks += [list(range(n)) for n in range(SHORTEST, LEAST)]
         self.tables = []
@@ -94,31 +101,62 @@ class Items:
                 seen[keys >> np.uint64(64 - _BITS)] = True
                 self.tables.append((places, seen, keys, np.concatenate(owners)[order], np.concatenate(offsets)[order]))
 
-    def found_in(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(document, item, first word, words, equal words) of each match; documents are flat[starts:ends]."""
-        offsets = []
+    def _offsets(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sorted distinct codes of (document, item, offset between the two) of all hits."""
+        out = [np.zeros(0, np.int64)]
         for places, seen, keys, owners, at in self.tables:
             h = _spaced(flat, places)
             hit = np.flatnonzero(seen[h >> np.uint64(64 - _BITS)])
             lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-            n = hi - lo
-            hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-            if not hit.size:
-                continue
-            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pos = np.repeat(hit, n)
-            doc = np.searchsorted(starts, pos, "right") - 1
-            inside = pos + places[-1] < ends[doc]
-            offsets.append(np.unique(np.stack([doc, owners[which], pos - at[which]], 1)[inside], axis=0))
-        if not offsets:
+            doc = np.searchsorted(starts, hit, "right") - 1
+            some = (hi > lo) & (hit + places[-1] < ends[doc])
+            hit, lo, n, doc = hit[some], lo[some], (hi - lo)[some], doc[some]
+            if n.sum() > _SPREAD:  # places of a hash in a document times its places in items
+                order = np.lexsort((hit, lo, doc))
+                hit, lo, n, doc = hit[order], lo[order], n[order], doc[order]
+                edges = np.flatnonzero(np.diff(lo) | np.diff(doc)) + 1
+                sizes = np.diff(np.concatenate([[0], edges, [len(hit)]]))
+                many = np.repeat(sizes, sizes) * n > 1 << 12
+                for a, b in zip(*(x.tolist() for x in (np.concatenate([[0], edges]), np.concatenate([edges, [len(hit)]]))), strict=True):
+                    if many[a]:
+                        mine, where = owners[lo[a] : lo[a] + n[a]], at[lo[a] : lo[a] + n[a]]
+                        for item in np.unique(mine).tolist():
+                            out.append(self._code(int(doc[a]), item, _differences(hit[a:b], where[mine == item]), len(flat)))
+                hit, lo, n, doc = hit[~many], lo[~many], n[~many], doc[~many]
+            upto = np.cumsum(n)
+            a = 0
+            while a < len(n):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _SPREAD, "right")))
+                m = n[a:b]
+                which = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                out.append(np.unique(self._code(np.repeat(doc[a:b], m), owners[which], np.repeat(hit[a:b], m) - at[which], len(flat))))
+                a = b
+        return np.unique(np.concatenate(out))
+
+    def _code(self, doc, item, offset, size: int):
+        return (doc * len(self.words) + item) * (size + self.longest) + offset + self.longest
+
+    def found_in(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, once: bool = False) -> Iterator[tuple]:
+        """(document, item, first word, words, equal words) of each match; documents are flat[starts:ends].
+
+        With ``once``, the first match only of each document and item.
+        """
+        if not self.tables or not len(flat):
             return
-        for doc, item, first in np.unique(np.concatenate(offsets), axis=0).tolist():
+        codes = self._offsets(flat, starts, ends)
+        pair, offset = np.divmod(codes, len(flat) + self.longest)
+        done = -1
+        for both, first in zip(pair.tolist(), (offset - self.longest).tolist(), strict=True):
+            if both == done:
+                continue
+            doc, item = divmod(both, len(self.words))
             words = self.words[item]
             a, b = max(first, starts[doc]), min(first + len(words), ends[doc])
             same = flat[a:b] == words[a - first : b - first]
             if len(words) < LEAST:
                 if len(same) == len(words) and same.all():
                     yield doc, self.ids[item], a - starts[doc], len(words), len(words)
+                    done = both if once else -1
                 continue
             hits = np.flatnonzero(same)
             if len(hits) < LEAST:
@@ -127,51 +165,101 @@ class Items:
             if good.size:
                 x, y = hits[good[0]], hits[good[-1] + LEAST - 1]
                 yield doc, self.ids[item], a - starts[doc] + x, y - x + 1, int(same[x : y + 1].sum())
+                done = both if once else -1
 
 
-def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_equal: one row for each document, item and offset that match."""
-    spark = documents.sparkSession
+def _differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """All distinct differences of the sorted places p and the places q."""
+    if len(p) * len(q) <= _SPREAD:
+        return np.unique(p[:, None] - q[None])
+    out = []
+    back = np.zeros(int(q.max() - q.min()) + 1)
+    back[q.max() - q] = 1
+    for first in range(int(p[0]), int(p[-1]) + 1, _SPAN):
+        a, b = np.searchsorted(p, [first, first + _SPAN])
+        there = np.zeros(_SPAN)
+        there[p[a:b] - first] = 1
+        size = _SPAN + len(back) - 1
+        n = 1 << (size - 1).bit_length()
+        counts = np.fft.irfft(np.fft.rfft(there, n) * np.fft.rfft(back, n), n)[:size]
+        out.append(np.flatnonzero(counts > 0.5) + first - int(q.max()))
+    return np.unique(np.concatenate(out))
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size."""
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    passes = []
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-        passes.append(documents.select("doc_id", "text").mapInArrow(_search(shared), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint"))
+        yield [tuple(r) for r in block.collect()]
+
+
+def _hashed(batches, at: int):
+    """(batch, flat word hashes, starts, ends, rows) of slices of the batches; empty documents are left out of the arrays."""
+    hashes = _Stripped(seed=2)
+    for batch in slices(batches, f"c{at}", CHUNK_BYTES):
+        hashes.trim()
+        rows = [hashes.of(words_of(t)) for t in batch.column(at).to_pylist()]
+        lens = np.array([len(r) for r in rows], np.int64)
+        ends = np.cumsum(lens)
+        some = np.flatnonzero(lens)
+        yield batch, np.concatenate(rows), (ends - lens)[some], ends[some], some
+
+
+def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, first_word, n_words, n_equal: one row for each document, item and offset that match."""
+    spark = documents.sparkSession
+    names = ["doc_id", "item_id", "first_word", "n_words", "n_equal"]
+    docs = documents.select(F.col("doc_id").alias("c0"), F.col("text").alias("c1"))
+
+    def search(shared):
+        def run(batches):
+            items = Items(shared.value)
+            for batch, flat, starts, ends, some in _hashed(batches, 1):
+                found = list(items.found_in(flat, starts, ends))
+                if found:
+                    at, *rest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[list(at)])), *(pa.array([None if v is None else int(v) for v in x], pa.int64()) for x in rest)], names)
+
+        return run
+
+    passes = [docs.mapInArrow(search(spark.sparkContext.broadcast(block)), ", ".join(f"{c} bigint" for c in names)) for block in _blocks(benchmark)]
     return functools.reduce(DataFrame.union, passes)
 
 
-def _search(shared):
-    def run(batches):
-        items = Items(shared.value)
-        hashes = _Stripped(seed=2)
-        for batch in slices(batches, "text", CHUNK_BYTES):
-            hashes.trim()
-            rows = [hashes.of(words_of(t)) for t in batch.column(1).to_pylist()]
-            lens = np.array([len(r) for r in rows], np.int64)
-            ends = np.cumsum(lens)
-            some = np.flatnonzero(lens)
-            if not some.size:
-                continue
-            ids = batch.column(0)
-            found = list(items.found_in(np.concatenate(rows), (ends - lens)[some], ends[some]))
-            if found:
-                docs, *rest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some[list(docs)])), *(pa.array([None if v is None else int(v) for v in x], pa.int64()) for x in rest)], ["doc_id", "item_id", "first_word", "n_words", "n_equal"])
+def _with_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of ``documents`` as c0, c1, ... and items array<bigint>, the ids of the items that each row holds."""
+    spark = documents.sparkSession
+    at = documents.columns.index("text")
+    out = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))]).withColumn("items", F.array().cast("array<bigint>"))
 
-    return run
+    def mark(shared):
+        def run(batches):
+            items = Items(shared.value)
+            for batch, flat, starts, ends, some in _hashed(batches, at):
+                held = batch.column(batch.num_columns - 1).to_pylist()
+                for doc, item, *_ in items.found_in(flat, starts, ends, once=True):
+                    held[some[doc]].append(item)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.list_(pa.int64()))], batch.schema.names)
+
+        return run
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
+    for block in _blocks(benchmark):
+        out = out.mapInArrow(mark(spark.sparkContext.broadcast(block)), schema)
+    return out
 
 
 def flags(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, kept (not contaminated), n_items, item_ids (sorted, comma-joined): one row per row of ``documents``."""
-    found = matches(documents, benchmark).where("doc_id is not null").select("doc_id", "item_id").distinct()
-    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"))
-    out = documents.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.col("n_items").isNull().alias("kept"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
+    out = _with_items(documents.select("doc_id", "text"), benchmark).select(F.col("c0").alias("doc_id"), F.array_distinct("items").alias("items"))
+    n = F.size("items")
+    return out.select("doc_id", (n > 0).alias("contaminated"), (n == 0).alias("kept"), n.cast("long").alias("n_items"), F.array_join(F.sort_array("items"), ",").alias("item_ids"))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that match no item (all columns)."""
-    return without(documents, matches(documents, benchmark))
+    out = _with_items(documents, benchmark).where(F.size("items") == 0)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])
