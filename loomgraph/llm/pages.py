@@ -9,8 +9,8 @@ too, so no ancestor and descendant contradict each other. Text of kept nodes is
 page order.
 
 Null and empty pages and pages without main text give an empty text. Pages cut off anywhere,
-unknown tags and stray end tags are read as far as they go. Very long pages are read
-whole. Rows with null page_id or url, repeated rows and extra columns pass through as they are.
+unknown tags and stray end tags are read as far as they go; an open element that is never closed swallows the rest only if
+HTML says so (scripts, styles and the like). Very long pages are read whole, in time proportional to their length. Rows with null page_id or url, repeated rows and extra columns pass through as they are.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ TREES, DEPTH, MAX_BINS, RATE, SHRINK, PAGES = 40, 4, 48, 0.3, 2.0, 900
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg object canvas audio video".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle semantics".split()
+)
 #: Start tags that end an open element of the second kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -66,7 +70,21 @@ class Page:
         self._parse(source)
 
     def _parse(self, s: str) -> None:
-        open_, tags, runs = [0], self.tags, self.runs
+        tags, runs = self.tags, self.runs
+        open_ = [0]
+        places: dict[str, list[int]] = {}  # of the open elements of each tag in open_
+        scopes, blocks = [0], [0]  # of the open scopes and of those that are not inline
+        never: set[str] = set()  # tags of which no end tag follows
+
+        def close(k: int) -> None:
+            for j in range(len(open_) - 1, k - 1, -1):
+                tag = tags[open_[j]]
+                places[tag].pop()
+                for special in (scopes, blocks):
+                    if special[-1] == j:
+                        special.pop()
+            del open_[k:]
+
         at, size = 0, len(s)
         while at < size:
             lt = s.find("<", at)
@@ -90,41 +108,43 @@ class Page:
                 if end == "br":
                     runs.append((-1, ""))
                     continue
-                for k in range(len(open_) - 1, 0, -1):
-                    if tags[open_[k]] == end:
-                        del open_[k:]
-                        break
-                    if tags[open_[k]] in SCOPES and end in ENDS:
-                        break
+                own = places.get(end)
+                # the end of a list item or cell does not reach beyond its list or table
+                if own and (end not in ENDS or own[-1] >= scopes[-1]):
+                    close(own[-1])
                 if end not in INLINE:
                     runs.append((-1, ""))
             elif start:
                 tag, rest = start.lower(), (m[3] if m.re is _TOKEN else m[2]) or ""
-                if tag in RAW:
-                    if not rest.endswith("/"):
-                        close = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(s, at)
-                        at = close.end() if close else size
+                if tag in RAW or tag in EMBEDDED:
+                    if not rest.endswith("/") and tag not in never:
+                        closing = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(s, at)
+                        if closing:
+                            at = closing.end()
+                        elif tag in RAW:
+                            at = size
+                        else:
+                            never.add(tag)
                     continue
                 if tag not in INLINE:
                     runs.append((-1, ""))
-                if tag in ENDS_P:
-                    self._close(open_, ("p",))
-                if tag in ENDS:
-                    self._close(open_, ENDS[tag])
+                # an open paragraph or item ends if only inline elements stand open in it
+                last = tags[open_[blocks[-1]]]
+                if tag in ENDS_P and last == "p" or last in ENDS.get(tag, ()):
+                    close(blocks[-1])
+                    last = tags[open_[blocks[-1]]]
+                if last in ENDS.get(tag, ()):
+                    close(blocks[-1])
                 tags.append(tag)
                 self.attributes.append(rest)
                 self.parents.append(open_[-1])
                 if tag not in VOID and not rest.endswith("/"):
                     open_.append(len(tags) - 1)
-
-    def _close(self, open_: list[int], ended: tuple[str, ...]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            tag = self.tags[open_[k]]
-            if tag in ended:
-                del open_[k:]
-                return
-            if tag not in INLINE:
-                return
+                    places.setdefault(tag, []).append(len(open_) - 1)
+                    if tag in SCOPES:
+                        scopes.append(len(open_) - 1)
+                    if tag not in INLINE:
+                        blocks.append(len(open_) - 1)
 
 
 def _attribute_score(rest: str) -> tuple[int, int, int]:
@@ -208,8 +228,8 @@ def decode(chance: np.ndarray, parent: list[int]) -> list[bool]:
 
 def text_of(page: Page, kept: list[bool]) -> str:
     """Text of the kept nodes, white space folded, blocks joined by one space."""
-    parts = [" " if node < 0 else text for node, text in page.runs if node < 0 or kept[node]]
-    return " ".join(html.unescape("".join(parts)).split())
+    parts = [" " if node < 0 else html.unescape(text) if "&" in text else text for node, text in page.runs if node < 0 or kept[node]]
+    return " ".join("".join(parts).split())
 
 
 # ---------------------------------------------------------------- the model
