@@ -10,9 +10,13 @@ reach the worst k-th score among the node's queries:
 
 Pairs whose bound only equals that score are still opened, so ties go to the smaller vec_id.
 
-Data are read once for each block of ``QUERY_BLOCK`` queries (a block of fixed size is broadcast;
-more queries mean more passes). Each task returns at most k rows for each query; a window
-over (query) with the group limit pushed down picks the k of all tasks.
+Pairs of leaves that stay are compared as blocks; nothing else is. Where vectors are nearly orthogonal to each other (no cluster, bounds far
+above the scores) little can be pruned, and the work is that of all leaf pairs.
+
+Data are read once for each block of about ``QUERY_BLOCK`` queries, taken from a written table: the driver holds
+one block at a time, whatever the number of queries. Each task indexes its rows, across Arrow batches, in trees of
+``DATA_BLOCK`` rows and returns at most k rows for each query; a window over (query) with the group limit pushed down picks
+the k of all tasks.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with
 null vec_id; vectors are compared with those of their own length. Rows that share a vec_id with a
@@ -30,9 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DATA_BLOCK, QUERY_BLOCK, LEAF = 1024, 4096, 32
-#: Share of point pairs left after pruning from which nodes are compared as blocks.
-BULK = 0.25
+from .common import cut
+
+DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 2048, 32
+#: Centres that are tried at once when a node is split; rows or nodes of data that are scored at once.
+_CENTRES, _SCORED = 64, 512
 
 
 class Node:
@@ -45,44 +51,45 @@ class Node:
         self.worst = -np.inf
         self._family = None
 
-    def family(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Centres, radii, norms and numbers of points of the children, or of itself as a leaf."""
+    def family(self) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The children, or the node itself as a leaf; their centres, radii and norms, and whether they are leaves."""
         if self._family is None:
             own = self.children or [self]
-            self._family = np.stack([c.centre for c in own]), *(np.array(v, float) for v in zip(*[(c.radius, c.norm, len(c.points)) for c in own], strict=True))
+            self._family = own, np.stack([c.centre for c in own]), np.array([c.radius for c in own]), np.array([c.norm for c in own]), np.array([not c.children for c in own])
         return self._family
 
-    def below(self):
-        for c in self.children:
-            yield from c.below()
-            yield c
-
 
 def cover_tree(x: np.ndarray) -> Node:
     """Cover tree of the rows of ``x``; leaves hold up to ``LEAF`` points or one place."""
     squares = np.einsum("ij,ij->i", x, x)
 
-    def distances(centre: int, points: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(squares[points] + squares[centre] - 2 * (x[points] @ x[centre]), 0))
+    def distances(centres: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(squares[centres][:, None] + squares[points][None] - 2 * (x[centres] @ x[points].T), 0))
 
     def build(centre: int, points: np.ndarray, from_centre: np.ndarray) -> Node:
         node = Node(x, points, centre, float(from_centre.max()))
         if len(points) <= LEAF or node.radius == 0:
             return node
         cover = node.radius / 2
-        rest, near, c = points, from_centre, centre
+        inside = (from_centre <= cover) | (points == centre)
+        node.children.append(build(centre, points[inside], from_centre[inside]))
+        rest = points[~inside]
         while len(rest):
-            inside = near <= cover
-            inside |= rest == c
-            node.children.append(build(c, rest[inside], near[inside]))
-            rest = rest[~inside]
-            if len(rest):
-                c = int(rest[0])
-                near = distances(c, rest)
+            near = distances(rest[:_CENTRES], rest)
+            chosen: list[int] = []
+            for c in range(len(near)):  # centres are more than the cover apart
+                if (near[chosen, c] > cover).all():
+                    chosen.append(c)
+            within = near[chosen] <= cover
+            within[np.arange(len(chosen)), chosen] = True
+            first = np.where(within.any(axis=0), within.argmax(axis=0), -1)
+            for j, c in enumerate(chosen):
+                node.children.append(build(int(rest[c]), rest[first == j], near[c, first == j]))
+            rest = rest[first < 0]
         return node
 
     everything = np.arange(len(x))
-    return build(0, everything, distances(0, everything))
+    return build(0, everything, distances(everything[:1], everything)[0])
 
 
 class Search:
@@ -94,6 +101,7 @@ class Search:
         self.scores = np.full((len(x), k), -np.inf)
         self.found = np.full((len(x), k), np.iinfo(np.int64).max)
         self.limit = float(np.abs(x).max(initial=0))
+        self.compared = 0  # pairs of points
 
     def add(self, ids: np.ndarray, y: np.ndarray) -> None:
         # products and their sums are exact below 2^53
@@ -101,45 +109,49 @@ class Search:
         self._open(self.tree, cover_tree(y), ids, y)
 
     def _open(self, q: Node, r: Node, ids: np.ndarray, y: np.ndarray) -> None:
-        """Look at all pairs of children that can still matter, most promising first."""
-        if not q.children and not r.children:
-            self._compare(q, r, ids, y)
-            return
-        qs, rs = q.children or [q], r.children or [r]
-        (qc, qr, qn, qw), (rc, rr, rn, rw) = q.family(), r.family()
-        top = qc @ rc.T + qr[:, None] * rn[None] + qn[:, None] * rr[None] + qr[:, None] * rr[None]
-        top += np.abs(top) * 1e-9 + 1  # above any rounding
-        worst = np.array([c.worst for c in qs])
-        go = top >= worst[:, None]
-        # where little can be pruned, one product of whole blocks is the cheapest way to look at them
-        if qw @ go @ rw > BULK * len(q.points) * len(r.points):
-            self._compare(q, r, ids, y)
-            for c in q.below():
-                c.worst = float(min(self.scores[c.points, -1]))
-            return
-        for i, j in sorted(np.argwhere(go).tolist(), key=lambda ij: -top[ij[0], ij[1]]):
-            if top[i, j] >= qs[i].worst:
-                self._open(qs[i], rs[j], ids, y)
+        """Look at all pairs of children that can still matter: pairs of leaves together, then the others, most promising first."""
+        (qs, qc, qr, qn, ql), (rs, rc, rr, rn, rl) = q.family(), r.family()
+        for at in range(0, len(rs), _SCORED):
+            part = slice(at, at + _SCORED)
+            top = qc @ rc[part].T + qr[:, None] * rn[None, part] + qn[:, None] * rr[None, part] + qr[:, None] * rr[None, part]
+            top += np.abs(top) * 1e-9 + 1  # above any rounding
+            go = top >= np.array([c.worst for c in qs])[:, None]
+            leaves = go & ql[:, None] & rl[None, part]
+            if leaves.any():
+                own = [qs[i] for i in np.flatnonzero(leaves.any(axis=1)).tolist()]
+                points = np.concatenate([rs[at + j].points for j in np.flatnonzero(leaves.any(axis=0)).tolist()])
+                self._compare(np.concatenate([c.points for c in own]), points, ids, y)
+                for c in own:
+                    c.worst = float(min(self.scores[c.points, -1]))
+            go &= ~(ql[:, None] & rl[None, part])
+            for i, j in sorted(np.argwhere(go).tolist(), key=lambda ij: -top[ij[0], ij[1]]):
+                if top[i, j] >= qs[i].worst:
+                    self._open(qs[i], rs[at + j], ids, y)
         q.worst = min(c.worst for c in qs)
 
-    def _compare(self, q: Node, r: Node, ids: np.ndarray, y: np.ndarray) -> None:
+    def _compare(self, mine: np.ndarray, theirs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        self.compared += len(mine) * len(theirs)
+        for at in range(0, len(theirs), _SCORED):
+            self._score(mine, theirs[at : at + _SCORED], ids, y)
+
+    def _score(self, mine: np.ndarray, theirs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
         if self.exact:
-            s = self.x[q.points] @ y[r.points].T
+            s = self.x[mine] @ y[theirs].T
         else:
-            big = [[int(v) for v in row] for row in y[r.points]]
-            s = np.array([[sum(int(a) * b for a, b in zip(row, other, strict=True)) for other in big] for row in self.x[q.points]], object)
+            big = [[int(v) for v in row] for row in y[theirs]]
+            s = np.array([[sum(int(a) * b for a, b in zip(row, other, strict=True)) for other in big] for row in self.x[mine]], object)
             s = np.clip(s, -(2**63), 2**63 - 1)
-        own = self.ids[q.points][:, None] == ids[r.points][None]
+        own = self.ids[mine][:, None] == ids[theirs][None]
         s = np.where(own, -np.inf, s)
-        last, last_id = self.scores[q.points, -1], self.found[q.points, -1]
-        better = (s > last[:, None]) | ((s == last[:, None]) & (ids[r.points][None] < last_id[:, None]))
+        last, last_id = self.scores[mine, -1], self.found[mine, -1]
+        better = (s > last[:, None]) | ((s == last[:, None]) & (ids[theirs][None] < last_id[:, None]))
         for i in np.flatnonzero((better & ~own).any(axis=1)).tolist():
-            p = q.points[i]
+            p = mine[i]
             use = better[i] & ~own[i]
             if self.exact and use.sum() > 4 * self.k:  # more than can stay: only those up to the k-th score
                 use &= s[i] >= np.partition(s[i][use], -self.k)[-self.k]
             score = np.concatenate([self.scores[p], s[i][use].astype(float)]) if self.exact else [*self.scores[p], *s[i][use]]
-            found = np.concatenate([self.found[p], ids[r.points][use]])
+            found = np.concatenate([self.found[p], ids[theirs][use]])
             if self.exact:
                 order = np.lexsort((found, -score))[: self.k]
                 self.scores[p], self.found[p] = score[order], found[order]
@@ -148,7 +160,6 @@ class Search:
                     self.scores = np.array([[v if v == -np.inf else int(v) for v in row] for row in self.scores], object)
                 order = sorted(range(len(score)), key=lambda j: (-score[j], found[j]))[: self.k]
                 self.scores[p], self.found[p] = [score[j] for j in order], found[order]
-        q.worst = float(min(self.scores[q.points, -1]))
 
 
 def integers(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -166,15 +177,24 @@ def _floor(e):
 
 
 def _blocks(batches):
-    """(dimension, ids, vectors) of up to DATA_BLOCK rows of one length."""
+    """(dimension, ids, vectors) of DATA_BLOCK rows of one length, gathered over batches; less at the end."""
+    waiting: dict[int, list] = {}
     for batch in batches:
         lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
         for d in np.unique(lens).tolist():
             rows = batch.filter(pa.array(lens == d))
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             x = pc.list_flatten(rows.column(1)).to_numpy(zero_copy_only=False).reshape(-1, d)
-            for at in range(0, len(ids), DATA_BLOCK):
+            held = waiting.pop(d, None)
+            if held:
+                ids, x = np.concatenate([held[0], ids]), np.concatenate([held[1], x])
+            whole = len(ids) // DATA_BLOCK * DATA_BLOCK
+            for at in range(0, whole, DATA_BLOCK):
                 yield d, ids[at : at + DATA_BLOCK], x[at : at + DATA_BLOCK]
+            if whole < len(ids):
+                waiting[d] = [ids[whole:], x[whole:]]
+    for d, (ids, x) in waiting.items():
+        yield d, ids, x
 
 
 def _searcher(shared, k):
@@ -196,15 +216,23 @@ def _searcher(shared, k):
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of (vec_id, v) frames made by ``integers``."""
-    spark = data.sparkSession
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    context = data.sparkSession.sparkContext
+    queries = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     passes = []
     for b in range(blocks):
         block: dict[int, list] = {}
         for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             block.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        passes.append(data.select("vec_id", "v").mapInArrow(_searcher(spark.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint"))
-    found = functools.reduce(DataFrame.union, passes)
+        shared = context.broadcast(block)
+        found = _best(data.select("vec_id", "v").mapInArrow(_searcher(shared, k), "query_id bigint, vec_id bigint, score bigint"), k)
+        if blocks > 1:
+            found = cut(found, "found")
+            shared.destroy()
+        passes.append(found)
+    return functools.reduce(DataFrame.union, passes)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
