@@ -134,9 +134,22 @@ def cache_key(*parts: Column, separator: str = "\x1f") -> Column:
     return F.sha2(F.concat_ws(separator, *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-def fingerprint(*context: Column) -> Column:
-    """12 hex digits of a context; parts in a fixed order."""
-    return F.substring(F.md5(F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(context)]))), 1, 12)
+def _json(c: Column) -> Column:
+    """A string as JSON, null as null."""
+    return F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+
+
+def _json_list(items: Column, one) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(items, F.array()), one), ", "), F.lit("]"))
+
+
+def fingerprint(chapter_a: Column, edges_a: Column, chapter_b: Column, edges_b: Column, shared: Column) -> Column:
+    """12 hex digits of a pair's context: md5 of JSON with sorted keys and ", " and ": " between them (F10). Edges: (rel_type, target, confidence)."""
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    edge = lambda e: F.concat(F.lit('{"confidence": '), number(e["confidence"]), F.lit(', "rel_type": '), _json(e["rel_type"]), F.lit(', "target": '), _json(e["target"]), F.lit("}"))
+    side = lambda chapter, edges: F.concat(F.lit('{"bab": '), _json(chapter), F.lit(', "edges": '), _json_list(edges, edge), F.lit("}"))
+    blob = F.concat(F.lit('{"a": '), side(chapter_a, edges_a), F.lit(', "b": '), side(chapter_b, edges_b), F.lit(', "shared": '), _json_list(shared, _json), F.lit("}"))
+    return F.substring(F.md5(blob.cast("binary")), 1, 12)
 
 
 def pair_text(a: Column, b: Column, schema: str, context: Column) -> Column:
@@ -260,7 +273,33 @@ def sweep_tag(threshold: Column, k: Column) -> Column:
     return F.format_string("t%03d_k%d", F.round(threshold * 100).cast("int"), k)
 
 
-def scraped(c: Column, patterns: dict[str, str]) -> Column:
+# Run parameters that are looked for in notebooks.
+PARAMETERS = {
+    "model_id": r"(?:model[_ ]name|model_id|model\s*=)[\s:=]+[\"']([\w\-/.\d:]+)[\"']",
+    "temperature": r"temperature\s*[=:]\s*([\d.]+)",
+    "top_p": r"top_p\s*[=:]\s*([\d.]+)",
+    "top_k": r"(?<!_)top_k\s*[=:]\s*([\d]+)",
+    "max_tokens": r"(?:max_(?:output_)?tokens|maxOutputTokens)\s*[=:]\s*([\d]+)",
+    "candidate_count": r"candidate_count\s*[=:]\s*([\d]+)",
+    "chunk_size": r"chunk_size\s*[=:]\s*([\d]+)",
+    "chunk_overlap": r"chunk_overlap\s*[=:]\s*([\d]+)",
+    "embed_model": r"(?:embed(?:ding)?_?model)[\s=:]+[\"']([\w\-/.\d:]+)[\"']",
+    "output_dim": r"output_dim(?:ensionality)?\s*[=:]\s*([\d]+)",
+    "embed_task_type": r"task_type\s*[=:]\s*[\"']([\w_]+)[\"']",
+    "batch_size": r"batch_size\s*[=:]\s*([\d]+)",
+    "seed": r"(?<!\w)seed\s*[=:]\s*([\d]+)",
+    "response_mime": r"response_mime_type\s*[=:]\s*[\"']([^\"']+)[\"']",
+    "safety": r"(safety_settings)",
+    "threshold": r"(?:similarity_)?threshold\s*[=:]\s*([\d.]+)",
+    "cosine": r"(cosine)",
+    "GenerationConfig": r"(GenerationConfig\s*\()",
+    "genai_Client": r"(genai\.Client\()",
+    "pydantic": r"(BaseModel|response_schema|response_model)",
+    "cache": r"(cache|sha256|hashlib)",
+}
+
+
+def scraped(c: Column, patterns: dict[str, str] = PARAMETERS) -> Column:
     """Map of name -> all first groups of a pattern."""
     return F.create_map(*[x for name, p in patterns.items() for x in (F.lit(name), F.regexp_extract_all(c, F.lit(p), F.lit(1)))])
 

@@ -94,15 +94,20 @@ def skipped(rows: DataFrame) -> DataFrame:
     return rows.agg(F.sum(F.coalesce(named, F.lit(False)).cast("long")).alias("named"), F.sum((~F.coalesce(named, F.lit(False))).cast("long")).alias("skipped"))
 
 
+def resolved(rows: DataFrame, known: DataFrame, keys: list[str], hit: Column, miss: Column) -> DataFrame:
+    """rows with dst and target_label: ``hit`` and Concept where the keys are known, ``miss`` and ConceptTarget elsewhere."""
+    out = rows.join(known.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left")
+    at = lambda a, b: F.when(F.col("_known"), a).otherwise(b)
+    return out.withColumns({"dst": at(hit, miss), "target_label": at(F.lit("Concept"), F.lit("ConceptTarget"))}).drop("_known")
+
+
 def concept_relations(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, stubs): targets that are concepts of the same book point to them, others to ConceptTarget stubs."""
     t = triples(books).where(F.nullif(F.trim("target"), F.lit("")).isNotNull())
-    known = concepts(books).select("grade", F.col("name").alias("target")).distinct().withColumn("known", F.lit(True))
-    t = t.join(known, ["grade", "target"], "left")
-    stub = F.concat(F.lit("?"), "target")
+    known = concepts(books).select("grade", F.col("name").alias("target"))
+    t = resolved(t, known, ["grade", "target"], concept_id(F.col("target"), F.col("grade")), F.concat(F.lit("?"), "target"))
     edges = t.select(
-        concept_id(F.col("concept"), F.col("grade")).alias("src"), F.when(F.col("known"), concept_id(F.col("target"), F.col("grade"))).otherwise(stub).alias("dst"),
-        relation_type(F.col("relation")).alias("rel_type"), F.col("relation").alias("original_type"), F.when(F.col("known"), "Concept").otherwise("ConceptTarget").alias("target_label"),
+        concept_id(F.col("concept"), F.col("grade")).alias("src"), "dst", relation_type(F.col("relation")).alias("rel_type"), F.col("relation").alias("original_type"), "target_label",
         F.col("r.description").alias("description"), F.col("r.confidence").alias("confidence"), F.coalesce("r.provenance", F.lit("extraction")).alias("provenance"),
         F.to_json("r.expert_review").alias("expert_review_json"), "index", "grade",
     )

@@ -8,21 +8,33 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, without_fences
+from ..schemas import SchemaSpec, spec
 from .candidates import first_wins
 
-TRANSIENT = ("429", "500", "502", "503", "504", "timeout", "temporarily", "rate limit", "connection")
+#: Status codes, as whole numbers, and words of errors that pass.
+TRANSIENT = re.compile(r"(?<![0-9])(?:429|500|502|503|504)(?![0-9])|timeout|timed out|temporarily|unavailable|overloaded|rate limit|resource exhausted|connection", re.I)
 
 
-def retried(call: Callable[[list], list], tries: int = 5, first_wait: float = 10.0, longest: float = 120.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list], list]:
-    """The call, repeated on transient errors with doubled waits."""
+def transient(error: Exception) -> bool:
+    """Whether a call may be repeated: by its status code if the error carries one, else by its message."""
+    code = getattr(error, "status_code", None) or getattr(error, "code", None)
+    if isinstance(code, int):
+        return code == 429 or 500 <= code < 600
+    return not isinstance(error, (TypeError, KeyError, AttributeError)) and TRANSIENT.search(str(error)) is not None
+
+
+def retried(call: Callable[[list], list], tries: int = 5, first_wait: float = 10.0, longest: float = 120.0, jitter: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list], list]:
+    """The call, repeated on transient errors with doubled waits, each longer by a random share up to ``jitter``."""
 
     def run(items: list) -> list:
         wait = first_wait
@@ -30,9 +42,9 @@ def retried(call: Callable[[list], list], tries: int = 5, first_wait: float = 10
             try:
                 return call(items)
             except Exception as e:
-                if not left or not any(t in str(e).lower() for t in TRANSIENT):
+                if not left or not transient(e):
                     raise
-                sleep(min(wait, longest))
+                sleep(min(wait, longest) * (1 + jitter * random.random()))
                 wait *= 2
         return []
 
@@ -69,6 +81,7 @@ def embed_misses(texts: DataFrame, cache: DataFrame, model: str, embedder: Calla
     """cache rows (key, model, vector) for the texts (text) that have none."""
     keyed = texts.select("text", cache_key(F.col("text"), F.lit(model)).alias("key")).where("text is not null").dropDuplicates(["key"])
     todo = keyed.join(cache.select("key"), "key", "left_anti")
+    embedder = retried(embedder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -86,6 +99,7 @@ def classify_misses(pairs: DataFrame, cache: DataFrame, classifier: Callable[[li
     are held in [0, 1]. A failed batch carries its error and must not be cached.
     """
     todo = pairs.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    classifier = retried(classifier)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -107,6 +121,20 @@ def classify_misses(pairs: DataFrame, cache: DataFrame, classifier: Callable[[li
     return todo.mapInPandas(run, "key string, rel_type string, confidence double, direction string, description string, evidence string, error string")
 
 
+def for_schema(name: str) -> tuple[SchemaSpec, tuple[str, ...], Callable[[Column, Column], Column]]:
+    """Ontology, answer classes, and the type under which an answer (class, confidence) is stored: with the ontology's prefix, null for none.
+
+    What a classifier asks and what becomes of its answers is decided by the registered spec, not by the look of a label (X08, X13).
+    """
+    ontology = spec(name)
+
+    def stored(kind: Column, confidence: Column) -> Column:
+        known = kind.isin(*[c for c in ontology.classes if c != "none"]) & (F.coalesce(confidence, F.lit(0.0)) > 0)
+        return F.when(known, F.concat(F.lit(ontology.typed_prefix), kind))
+
+    return ontology, ontology.classes, stored
+
+
 def classified(pairs: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """All pairs with their answer from cache or run; nothing known is none at 0."""
     known = cache.select("key", "rel_type", "confidence", "description", F.lit(True).alias("cached")).unionByName(fresh.select("key", "rel_type", "confidence", "description", F.lit(False).alias("cached")))

@@ -26,6 +26,12 @@ def overlap(first: DataFrame, second: DataFrame, typed: bool = False) -> DataFra
     return j.agg(n(F.col("y").isNull()).alias("only_first"), n(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both"), n(F.col("x").isNull()).alias("only_second"))
 
 
+def group_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pair, n: links between two groups, whichever comes first."""
+    lo, hi = unordered(a, b)
+    return pairs.groupBy(F.concat_ws(" <-> ", lo, hi).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def union_distinct(frames: list[DataFrame]) -> DataFrame:
     """(U01, U02, U05)"""
     out = frames[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import STRUCTURAL
+from ..schemas import STRUCTURAL, WITHIN_BOOK
 
 
 def share(condition: Column) -> Column:
@@ -74,6 +74,30 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b))
 
 
+#: Counters of a graph row: labels of nodes and types of edges.
+NODE_COUNTERS = {"subjects": "MataPelajaran", "documents": "Document", "babs": "Bab", "sub_babs": "SubBab", "konsep": "Konsep", "sub_konsep": "SubKonsep"}
+EDGE_COUNTERS = {"similar_rels": ("SIMILAR_TO",), "prereq_rels": ("isPrerequisiteOf",), "supports_rels": ("supports",), "analogous_rels": ("analogousTo",), "inline_rels": WITHIN_BOOK}
+
+
+def graph_counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of six node and five edge counters, and topics and subtopics, older names of konsep and sub_konsep."""
+    a = nodes.agg(*[F.count_if(F.col("label") == label).alias(n) for n, label in NODE_COUNTERS.items()])
+    b = edges.agg(*[F.count_if(F.col("rel_type").isin(*types)).alias(n) for n, types in EDGE_COUNTERS.items()])
+    return a.join(F.broadcast(b)).withColumns({"topics": F.col("konsep"), "subtopics": F.col("sub_konsep")})
+
+
+def listing(nodes: DataFrame, which: str, top: int = 50) -> DataFrame:
+    """The first concepts or chapters by name of a quality list: without subject matter, validated against the glossary, or chapters with a summary."""
+    concept = F.col("label") == "Concept"
+    rows = nodes.where({"no_subject_matter": concept & ~filled("materi_pokok_ref"), "validated": concept & F.col("glossary_validated"), "summarised": (F.col("label") == "Chapter") & F.col("description").isNotNull()}[which])
+    return rows.select("id", "name", "description", "materi_pokok_ref").orderBy("name", "id").limit(top)
+
+
+def by_provenance(df: DataFrame, *wanted: str) -> DataFrame:
+    """Rows of the wanted provenances; unmarked rows are of the extraction (P25)."""
+    return df.where(F.coalesce("provenance", F.lit("extraction")).isin(*wanted))
+
+
 def typed_ratio(edges: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Share of edges of an allow-list, and share not structural: the two definitions in use."""
     return edges.agg(share(F.col("rel_type").isin(*allowed)).alias("allowed"), share(~F.col("rel_type").isin(*STRUCTURAL)).alias("not_structural"))
@@ -103,10 +127,11 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "rel_type").agg((F.count(F.lit(1)) - 1).alias("extra")).where("extra > 0")
 
 
-def endpoint_coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share of nodes that some edge touches (G31); 1 minus it is the orphan rate."""
+def endpoint_coverage(nodes: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """touched, nodes, coverage and orphan_rate, of each group of ``keys`` if there are any: shares of nodes that some edge touches or none does."""
     touched = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("touched", F.lit(True))
-    return nodes.select("id").join(touched, "id", "left").agg(F.count("touched").alias("touched"), F.count(F.lit(1)).alias("nodes"), share(F.col("touched")).alias("coverage"))
+    met = F.coalesce("touched", F.lit(False))
+    return nodes.select("id", *keys).join(touched, "id", "left").groupBy(*keys).agg(F.count("touched").alias("touched"), F.count(F.lit(1)).alias("nodes"), share(met).alias("coverage"), share(~met).alias("orphan_rate"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, filler: Column | None = None) -> DataFrame:

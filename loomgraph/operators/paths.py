@@ -11,15 +11,28 @@ from .metrics import modularity, simple_edges
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """Checkpoint in the folder the cluster shares (``spark.checkpoint.dir``); a temporary one only on one machine where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"loomgraph-{uuid.uuid4().hex[:8]}-"))
     return df.checkpoint()
 
 
+def hierarchy(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...], outer: bool = False) -> DataFrame:
+    """id_L and name_L for each label L, from the first one down along edges (J01); with ``outer``, nodes without children keep a row."""
+    level = lambda label: nodes.where(F.col("label") == label).select(F.col("id").alias(f"id_{label}"), F.col("name").alias(f"name_{label}"))
+    out = level(labels[0])
+    for above, below in zip(labels, labels[1:], strict=False):
+        step = edges.select(F.col("src").alias(f"id_{above}"), F.col("dst").alias(f"id_{below}")).join(level(below), f"id_{below}")
+        out = out.join(step, f"id_{above}", "left" if outer else "inner")
+    return out
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: smallest id reachable (A03, G12). Hooks to the smallest neighbour, jumps, contracts; ends when no edge is left."""
     labels = nodes.select("id", F.col("id").alias("component"))
@@ -105,7 +118,7 @@ def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None)
 
 
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, part: communities by synchronous label propagation, ties to the smaller label (A04; approximates greedy modularity)."""
+    """id, part: communities by synchronous label propagation, ties to the smaller label (A04, a cheaper approximation)."""
     e = simple_edges(edges)
     e = cut(e.union(e.select("b", "a")).toDF("x", "y"))
     labels = cut(nodes.select("id", F.col("id").alias("part")))
@@ -120,9 +133,41 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     return labels
 
 
+def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, part (least id of the community) by greedy merging for modularity.
+
+    In each round every community names the neighbour whose merging gains most, ties to the smaller one, and communities joined by such
+    choices become one, so rounds are few. It ends when no merge gains, or when a round would lower the modularity, which is not taken. Counts are
+    sums over the edges between communities: a round is a few aggregations and joins whatever the sizes. Gains are whole numbers.
+    """
+    e = simple_edges(edges)
+    m = e.count()
+    whole = lambda c: c.cast("decimal(18,0)")
+    labels = cut(nodes.select("id", F.col("id").alias("part")))
+    between = cut(e.union(e.select("b", "a")).toDF("x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    best = None
+    while m:
+        degrees = cut(between.groupBy("x").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(0)).alias("inside")))
+        score = degrees.agg(F.sum(whole(F.col("inside")) * whole(F.lit(2 * m)) - whole(F.col("d")) * whole(F.col("d")))).first()[0]
+        if best is not None and score <= best[0]:
+            return best[1]
+        best = score, labels
+        gain = whole(F.col("w")) * whole(F.lit(2 * m)) - whole(F.col("d")) * whole(F.col("dy"))
+        offers = between.where("x <> y").join(degrees.select("x", "d"), "x").join(degrees.select(F.col("x").alias("y"), F.col("d").alias("dy")), "y").withColumn("gain", gain).where("gain > 0")
+        chosen = cut(offers.groupBy("x").agg(F.min(F.struct((-F.col("gain")).alias("gain"), "y"))["y"].alias("y")))
+        if chosen.isEmpty():
+            break
+        ends = chosen.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        merged = connected_components(ends, chosen.toDF("src", "dst"))
+        moved = lambda df, c, merged=merged: df.join(merged.toDF(c, "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        labels = cut(moved(labels, "part").select("id", "part"))
+        between = cut(moved(moved(between, "x"), "y").groupBy("x", "y").agg(F.sum("w").alias("w")))
+    return labels
+
+
 def best_partition(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """q of the found communities; 0 if there is a single one."""
-    parts = label_communities(nodes, edges)
+    """q and number of the communities found by greedy merging; q is 0 if there is a single one."""
+    parts = greedy_communities(nodes, edges)
     many = parts.agg(F.countDistinct("part").alias("k"))
     return modularity(edges, parts).join(F.broadcast(many)).select(F.when(F.col("k") > 1, F.col("q")).otherwise(0.0).alias("q"), F.col("k").alias("communities"))
 
@@ -139,11 +184,27 @@ def sections(df: DataFrame, key: str, order: list, heading) -> DataFrame:
     return df.withColumn("section", F.sum(F.when(heading, 1).otherwise(0)).over(w))
 
 
+#: Ranges that are broadcast, and ranges of a cell beyond that.
+BROADCAST_RANGES, _CELL_RANGES = 100_000, 64
+
+
 def assign_ranges(points: DataFrame, at: str, starts: DataFrame, start: str, end: str = "_end", last=None) -> DataFrame:
-    """Rows with the range [start, next start) they fall in (J11). The table of ranges must be small; it is broadcast after a count."""
-    if starts.count() > 100_000:
-        raise ValueError("range tables beyond 100,000 rows need a bucketed join; bucket the starts first")
-    w = Window.orderBy(start)
-    ranges = starts.withColumn(end, F.lead(start, 1, last).over(w))
-    inside = (points[at] >= ranges[start]) & (ranges[end].isNull() | (points[at] < ranges[end]))
-    return points.join(F.broadcast(ranges), inside, "left")
+    """Rows with the range [start, next start) they fall in.
+
+    Up to ``BROADCAST_RANGES`` ranges are broadcast after a count. More of them are cut at cells of equal width, and points meet the ranges of their cell.
+    """
+    inside = lambda r: (points[at] >= r[start]) & (r[end].isNull() | (points[at] < r[end]))
+    n = starts.count()
+    if n <= BROADCAST_RANGES:
+        ranges = starts.withColumn(end, F.lead(start, 1, last).over(Window.orderBy(start)))
+        return points.join(F.broadcast(ranges), inside(ranges), "left")
+    low, high = starts.agg(F.min(start), F.max(start)).first()
+    cells = max(1, n // _CELL_RANGES)
+    cell = lambda c: F.floor((F.least(F.greatest(c, F.lit(low)), F.lit(high)) - F.lit(low)) * cells / F.lit((high - low) or 1))
+    s = starts.withColumn("_cell", cell(F.col(start)))
+    after = s.groupBy("_cell").agg(F.min(start).alias("_first")).withColumn("_after", F.lead("_first").over(Window.orderBy("_cell"))).drop("_first")  # a row for each cell
+    own = F.lead(start).over(Window.partitionBy("_cell").orderBy(start))
+    ranges = s.withColumn("_own", own).join(after, "_cell").withColumn(end, F.coalesce("_own", "_after", F.lit(last)))
+    ranges = ranges.withColumn("_cell", F.explode(F.sequence("_cell", F.coalesce(cell(F.col(end)), F.lit(cells)).cast("long")))).drop("_own", "_after")
+    met = points.join(ranges, (cell(points[at]) == ranges["_cell"]) & inside(ranges), "left")
+    return met.drop(ranges["_cell"])

@@ -3,20 +3,26 @@
 Scores are (1 + cosine)/2 by default, or the raw cosine. Self is excluded by node id before the cut at k
 unless ``self_in_k`` asks for the live index's habit of spending a place on it.
 
-Up to ``BROADCAST_BYTES`` the matrix is broadcast and each task multiplies its rows with it. Beyond that, rows are dealt into blocks
-and each pair of blocks meets in a group of bounded size; only k rows for each query leave a group either way.
+The matrix is broadcast in blocks of ``BLOCK_BYTES``, one pass over the queries for each; a pass beyond the first is written before the next block is
+read, so one block is held at a time. Only k rows (and ties of the k-th) of each query leave a pass, groups are told apart inside it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 4096
+from .paths import cut
+
+BLOCK_BYTES = 8 << 20
 DIGITS = 6
+#: Rows of queries that are multiplied at once.
+_ROWS = 256
 _OUT = "source string, target string, score double"
 
 
@@ -27,71 +33,90 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return out.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e)) & F.exists("v", lambda e: e != 0))
 
 
-def _matrix(lists: list[list[float]]) -> np.ndarray:
-    x = np.array(lists, float)
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int | None, raw: bool, self_in_k: bool):
+def _scores(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, raw: bool, self_in_k: bool) -> np.ndarray:
     cos = np.clip(x @ y.T, -1, 1)
     s = np.round(cos if raw else (1 + cos) / 2, DIGITS)
-    own = ids[:, None] == other_ids[None]
-    if not self_in_k:
-        s = np.where(own, -np.inf, s)
-    if k is not None and k < s.shape[1]:
-        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-        keep = s >= edge  # ties at the k-th place go on; the final cut orders them by id
-    else:
-        keep = np.ones_like(s, bool)
-    keep &= np.isfinite(s)
-    r, c = np.nonzero(keep)
-    return pa.RecordBatch.from_arrays([pa.array(ids[r].tolist()), pa.array(other_ids[c].tolist()), pa.array(s[r, c])], ["source", "target", "score"])
-
-
-def neighbours(queries: DataFrame, data: DataFrame, k: int | None, raw: bool = False, self_in_k: bool = False) -> DataFrame:
-    """source, target, score, rank: the k best targets of each source, ties to the smaller id (J04, W01); all with k None."""
-    spark = data.sparkSession
-    size = data.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
-    if size <= BROADCAST_BYTES:
-        rows = data.collect()
-        shared = spark.sparkContext.broadcast((np.array([r.id for r in rows], object), _matrix([r.v for r in rows])))
-
-        def multiply(batches):
+    return s if self_in_k else np.where(ids[:, None] == other[None], -np.inf, s)
+
+
+def _blocks(data: DataFrame, *columns: str) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of ``data`` in Arrow tables of bounded size, and whether more follow."""
+    size = (data.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] or 0) * 8
+    n = max(1, -(-size // BLOCK_BYTES))
+    for k in range(n):
+        block = data if n == 1 else data.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+        yield block.select("id", "v", *columns).toArrow(), n > 1
+
+
+def _passes(queries: DataFrame, data: DataFrame, columns: list[str], per_slice, out: str) -> DataFrame:
+    """The rows of ``per_slice`` (batch, block table) over all blocks of ``data``."""
+    context, found = data.sparkSession.sparkContext, None
+    for block, several in _blocks(data, *columns):
+        shared = context.broadcast((block, _matrix(block["v"].combine_chunks())))
+
+        def run(batches, shared=shared):
             other, y = shared.value
             for batch in batches:
-                ids, lists = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-                for at in range(0, len(ids) if len(other) else 0, 1024):
-                    yield _best(ids[at : at + 1024], _matrix(lists[at : at + 1024]), other, y, k, raw, self_in_k)
-
-        found = queries.select("id", "v").mapInArrow(multiply, _OUT)
-    else:
-        found = _blocked(queries, data, k, raw, self_in_k)
-    if not self_in_k:
-        found = found.where("source <> target")
-    if k is not None:
-        order = Window.partitionBy("source").orderBy(F.desc("score"), "target")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    else:
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target")))
-    return found.where("source <> target")
-
-
-def _blocked(queries: DataFrame, data: DataFrame, k: int | None, raw: bool, self_in_k: bool) -> DataFrame:
-    n = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, data)]
-    block = [F.pmod(F.xxhash64("id"), F.lit(m)).cast("int") for m in n]
-    every = [F.explode(F.sequence(F.lit(0), F.lit(m - 1))) for m in n]
-    left = queries.select("id", "v", F.lit(True).alias("asks"), block[0].alias("p")).withColumn("q", every[1])
-    right = data.select("id", "v", F.lit(False).alias("asks"), block[1].alias("q")).withColumn("p", every[0])
-
-    def meet(table):
-        asks = np.array(table["asks"].to_pylist(), bool)
-        ids, lists = np.array(table["id"].to_pylist(), object), table["v"].to_pylist()
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(a) or not len(b):
-            return pa.table({"source": pa.array([], pa.string()), "target": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches([_best(ids[a], _matrix([lists[i] for i in a]), ids[b], _matrix([lists[i] for i in b]), k, raw, self_in_k)])
-
-    return left.unionByName(right).groupBy("p", "q").applyInArrow(meet, _OUT)
+                for at in range(0, batch.num_rows if other.num_rows else 0, _ROWS):
+                    yield per_slice(batch.slice(at, _ROWS), other, y)
+
+        part = queries.mapInArrow(run, out)
+        if several:
+            part = cut(part)
+            shared.destroy()
+        found = part if found is None else found.union(part)
+    return found
+
+
+def neighbours(queries: DataFrame, data: DataFrame, k: int, raw: bool = False, self_in_k: bool = False, group: str | None = None, ties: bool = False) -> DataFrame:
+    """source, target, score, rank: the k best targets of each source, ties to the smaller id.
+
+    With ``group``, a column of both sides, only targets of another known group count, before the cut at k (P08, W11). With ``ties``, the rank is
+    1 + the number of strictly better targets, and all targets of rank k or better stay (W03).
+    """
+    groups = [group] if group else []
+
+    def best(batch, other, y):
+        ids, others = (np.array(t.to_pylist(), object) for t in (batch.column(0), other["id"]))
+        s = _scores(ids, _matrix(batch.column(1)), others, y, raw, self_in_k)
+        if group:
+            own, theirs = (np.array(t.to_pylist(), object) for t in (batch.column(2), other[group]))
+            known = lambda g: (g != None) & (g != "")  # noqa: E711, E731
+            s = np.where((own[:, None] != theirs[None]) & known(own)[:, None] & known(theirs)[None], s, -np.inf)
+        keep = np.isfinite(s)
+        if k < s.shape[1]:
+            keep &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]  # ties at the k-th place go on; the final cut orders them by id
+        r, c = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(ids[r].tolist(), pa.string()), pa.array(others[c].tolist(), pa.string()), pa.array(s[r, c])], ["source", "target", "score"])
+
+    found = _passes(queries.select("id", "v", *groups), data, groups, best, _OUT)
+    order = Window.partitionBy("source").orderBy(F.desc("score"), *([] if ties else ["target"]))
+    return found.withColumn("rank", F.rank().over(order) if ties else F.row_number().over(order)).where(F.col("rank") <= k).where("source <> target")
+
+
+def ranks_of(pairs: DataFrame, queries: DataFrame, data: DataFrame, raw: bool = False) -> DataFrame:
+    """source, target, score, rank of the given pairs (source, target, score): 1 + the number of targets that suit the source strictly better.
+
+    Each source brings the pairs asked of it; a pass counts better targets of a block, counts are added up. No other pair becomes a row.
+    """
+    asked = pairs.groupBy("source").agg(F.sort_array(F.collect_set(F.struct("score", "target"))).alias("asked"))
+    rows = queries.select("id", "v").join(asked.withColumnRenamed("source", "id"), "id")
+    schema = "source string, target string, score double, better bigint"
+
+    def count(batch, other, y):
+        ids = np.array(batch.column(0).to_pylist(), object)
+        s = np.sort(_scores(ids, _matrix(batch.column(1)), np.array(other["id"].to_pylist(), object), y, raw, False), axis=1)
+        out = [(i, q["target"], q["score"], len(row) - int(np.searchsorted(row, q["score"], "right"))) for i, row, asks in zip(ids, s, batch.column(2).to_pylist(), strict=True) for q in asks]
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], ["source", "target", "score", "better"])
+
+    found = _passes(rows, data, [], count, schema)
+    return found.groupBy("source", "target", "score").agg((F.sum("better") + 1).cast("int").alias("rank"))
 
 
 def top_after_filter(pairs: DataFrame, condition, k: int) -> DataFrame:
@@ -101,7 +126,7 @@ def top_after_filter(pairs: DataFrame, condition, k: int) -> DataFrame:
 
 
 def competition_rank(pairs: DataFrame) -> DataFrame:
-    """rank = 1 + number of strictly better targets of the source."""
+    """rank = 1 + number of strictly better targets of the source, over pairs that are all there."""
     return pairs.withColumn("rank", F.rank().over(Window.partitionBy("source").orderBy(F.desc("score"))))
 
 

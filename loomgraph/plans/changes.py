@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..functions import text as T
+from ..operators import books as B
 from ..operators import candidates as C
 from ..operators import compare as K
 from ..operators import context as X
@@ -52,9 +53,9 @@ def upsert_edges(spark, sf_dir):
 from lineitem left join (select * from supplier where s_acctbal > 0) on l_suppkey = s_suppkey""")
 def resolve_or_stub(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
-    j = li.join(s, "l_suppkey", "left")
-    return j.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.when(F.col("known"), "s").otherwise("?"), "l_suppkey").alias("dst"), F.when(F.col("known"), "Concept").otherwise("ConceptTarget").alias("target_label"))
+    known = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    rows = B.resolved(li, known, ["l_suppkey"], F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("?"), "l_suppkey"))
+    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), "dst", "target_label")
 
 
 _STAGED = """g as (select case when l_linenumber = 7 then '' when l_linenumber = 6 then '1x' else l_returnflag || '_' || l_linestatus end as rel_type, case when l_quantity = 1 then '  ' else 'n' || (l_partkey % 50) end as source_name, 'g' || (l_partkey % 3) as source_grade,
@@ -162,10 +163,15 @@ def token_overlap_links(spark, sf_dir):
     return X.token_links(p.groupBy("id", "grp").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("text")))
 
 
-@query("fingerprint_keys", """select p_partkey, sha256(p_name || chr(31) || 'm1') as key, substr(md5('{"c0":"' || p_name || '","c1":"' || p_brand || '"}'), 1, 12) as print, 'b||' || least(p_name, p_brand) || '||' || greatest(p_name, p_brand) || '||x' as pair from part""")
+@query("fingerprint_keys", """select p_partkey, sha256(p_name || chr(31) || 'm1') as key, substr(md5('{"a": {"bab": "' || p_brand || '", "edges": [{"confidence": ' || (p_size / 100)::varchar || ', "rel_type": "T", "target": "' || p_name || '"}]}, "b": {"bab": null, "edges": []}, "shared": ["' || p_type || '", "x"]}'), 1, 12) as print,
+'b||' || least(p_name, p_brand) || '||' || greatest(p_name, p_brand) || '||x' as pair from part""")
 def fingerprint_keys(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.cache_key(F.col("p_name"), F.lit("m1")).alias("key"), T.fingerprint(F.col("p_name"), F.col("p_brand")).alias("print"), T.pair_text(F.col("p_name"), F.col("p_brand"), "b", F.lit("x")).alias("pair"))
+    name, brand = F.col("p_name"), F.col("p_brand")
+    edges_a = F.array(F.struct(F.lit("T").alias("rel_type"), name.alias("target"), (F.col("p_size") / 100).alias("confidence")))
+    none = F.array().cast("array<struct<rel_type:string,target:string,confidence:double>>")
+    print_ = T.fingerprint(brand, edges_a, F.lit(None).cast("string"), none, F.array(F.col("p_type"), F.lit("x")))
+    return p.select("p_partkey", T.cache_key(name, F.lit("m1")).alias("key"), print_.alias("print"), T.pair_text(name, brand, "b", F.lit("x")).alias("pair"))
 
 
 @query("survey_split", "select l_returnflag as rel, count(*) filter (round(1 - l_discount, 2) >= 0.95) as shown, count(*) filter (round(1 - l_discount, 2) < 0.95) as held from lineitem group by 1")

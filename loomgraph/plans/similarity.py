@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..operators import candidates as C
 from ..operators import similarity as S
+from ..operators.compare import group_pairs
 
 THRESHOLD, K = 0.65, 10
 
@@ -28,7 +29,7 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("grade"))
 
 
-def _top(spark: SparkSession, sf_dir: str, k: int | None = K) -> DataFrame:
+def _top(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return S.neighbours(v, v, k)
 
@@ -51,24 +52,26 @@ def candidate_pairs(spark, sf_dir):
 @query("topk_after_filter", f"""with {_SCORED} select source, target, score, cast(rank as integer) as rank from (
   select *, row_number() over (partition by source order by score desc, target) as rank from s where source_grade <> target_grade) where rank <= 3""")
 def topk_after_filter(spark, sf_dir):
-    g = _grades(spark, sf_dir)
-    rows = _top(spark, sf_dir, None).join(g.toDF("source", "source_grade"), "source").join(g.toDF("target", "target_grade"), "target")
-    return S.top_after_filter(rows, C.across_grades(), 3).select("source", "target", "score", "rank")
+    v = _vectors(spark, sf_dir).join(_grades(spark, sf_dir), "id")
+    return S.neighbours(v, v, 3, group="grade")
 
 
-@query("knn_rank_both_ways", f"""with {_SCORED}, r as (select source, target, score, rank() over (partition by source order by score desc) as rank from s)
-select x.source as a, x.target as b, cast(x.rank as integer) as rank_ab, cast(y.rank as integer) as rank_ba, cast(least(x.rank, y.rank) as integer) as best_rank
-from r x join r y on x.source = y.target and x.target = y.source and x.source < x.target where least(x.rank, y.rank) <= 5""")
+@query("knn_rank_both_ways", f"""with {_SCORED}, r as (select source, target, rank() over (partition by source order by score desc) as rank from s),
+p as (select least(source, target) as a, greatest(source, target) as b, cast(max(rank) filter (source < target) as integer) as rank_ab, cast(max(rank) filter (source > target) as integer) as rank_ba from r group by 1, 2)
+select a, b, rank_ab, rank_ba, least(rank_ab, rank_ba) as best_rank from p where least(rank_ab, rank_ba) <= 5""")
 def knn_rank_both_ways(spark, sf_dir):
-    r = S.competition_rank(_top(spark, sf_dir, None).drop("rank"))
-    x = r.where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("rank").alias("rank_ab"))
-    y = r.where("source > target").select(F.col("target").alias("a"), F.col("source").alias("b"), F.col("rank").alias("rank_ba"))
-    return x.join(y, ["a", "b"]).withColumn("best_rank", F.least("rank_ab", "rank_ba")).where("best_rank <= 5")
+    v = _vectors(spark, sf_dir)
+    top = S.neighbours(v, v, 5, ties=True).select("source", "target", "score", "rank")
+    back = S.ranks_of(top.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"), v, v).select("source", "target", "rank")
+    ranks = top.select("source", "target", "rank").unionByName(back)
+    way = lambda ahead: F.max(F.when((F.col("source") < F.col("target")) == ahead, F.col("rank")))
+    pairs = ranks.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(way(F.lit(True)).alias("rank_ab"), way(F.lit(False)).alias("rank_ba"))
+    return pairs.withColumn("best_rank", F.least("rank_ab", "rank_ba"))
 
 
 @query("group_pair_counts", f"{_PAIRS} select least(grade_a, grade_b) || ' <-> ' || greatest(grade_a, grade_b) as pair, count(*) as n from p group by 1")
 def group_pair_counts(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy(F.concat_ws(" <-> ", F.least("grade_a", "grade_b"), F.greatest("grade_a", "grade_b")).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    return group_pairs(_pairs(spark, sf_dir), "grade_a", "grade_b")
 
 
 _GRID = "(values (0.60, 10), (0.62, 10), (0.65, 10), (0.65, 3), (0.70, 1)) as g(threshold, k)"

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..operators import books as B
 from ..operators import metrics as M
 from ..operators import paths as P
 from ..operators import similarity as S
+from ..sources import files
 from .similarity import _SCORED
 
 _EDGES = """e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber from lineitem)"""
@@ -38,8 +40,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1, 2, 3""")
 def hierarchy_path(spark, sf_dir):
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    path = r.join(n, r.r_regionkey == n.n_regionkey).join(c, c.c_nationkey == n.n_nationkey)
-    return M.counts_by(path.select(F.col("r_name").alias("grade"), F.col("n_name").alias("chapter"), F.col("c_mktsegment").alias("subtopic")), "grade", "chapter", "subtopic").withColumnRenamed("n", "concepts")
+    ends = lambda df, a, b, x, y: df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    rows = P.hierarchy(
+        _level(r, "r", "r_regionkey", "grade", "r_name").unionByName(_level(n, "n", "n_nationkey", "chapter", "n_name")).unionByName(_level(c, "c", "c_custkey", "subtopic", "c_mktsegment")),
+        ends(n, "r", "n", "n_regionkey", "n_nationkey").unionByName(ends(c, "n", "c", "c_nationkey", "c_custkey")), ("grade", "chapter", "subtopic"),
+    )
+    names = rows.select(*[F.col(f"name_{x}").alias(x) for x in ("grade", "chapter", "subtopic")])
+    return M.counts_by(names, "grade", "chapter", "subtopic").withColumnRenamed("n", "concepts")
+
+
+def _level(df: DataFrame, prefix: str, key: str, label: str, name: str) -> DataFrame:
+    return df.select(F.concat(F.lit(prefix), key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
 
 
 @query("ancestor_closure", """with recursive up as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation
@@ -55,18 +66,28 @@ def ancestor_closure(spark, sf_dir):
 @query("optional_children", """select c_custkey as id, count(o_orderkey) as children, count(distinct o_orderstatus) as kinds from customer left join orders on o_custkey = c_custkey and o_totalprice > 200000 group by 1""")
 def optional_children(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 200000")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy(F.col("c_custkey").alias("id")).agg(F.count("o_orderkey").alias("children"), F.countDistinct("o_orderstatus").alias("kinds"))
+    nodes = _level(c, "c", "c_custkey", "parent", "c_name").unionByName(_level(o, "o", "o_orderkey", "child", "o_orderstatus"))
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    rows = P.hierarchy(nodes, edges, ("parent", "child"), outer=True)
+    return rows.groupBy(F.substring("id_parent", 2, 19).cast("long").alias("id")).agg(F.count("id_child").alias("children"), F.countDistinct("name_child").alias("kinds"))
 
 
 @query("distinct_topics_per_document", """select l_orderkey % 100 as document, count(distinct l_partkey) as topics from lineitem group by 1""")
 def distinct_topics_per_document(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("document")).agg(F.countDistinct("l_partkey").alias("topics"))
+    li = table(spark, sf_dir, "lineitem")
+    grade = (F.col("l_orderkey") % 100).cast("string")
+    concepts = li.select(F.lit("Concept").alias("label"), F.col("l_partkey").cast("string").alias("name"), grade.alias("grade"))
+    documents = li.select(F.lit("Document").alias("label"), grade.alias("name"), grade.alias("grade")).distinct()
+    return files.documents_with_counts(documents.unionByName(concepts)).select(F.col("grade").cast("long").alias("document"), F.col("concepts").alias("topics"))
 
 
 @query("collect_children", """select r_name, string_agg(n_name, '|' order by n_name) as children from region left join nation on n_regionkey = r_regionkey group by 1""")
 def collect_children(spark, sf_dir):
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return r.join(n, r.r_regionkey == n.n_regionkey, "left").groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_set("n_name")), "|").alias("children"))
+    nodes = _level(r, "r", "r_regionkey", "Document", "r_name").unionByName(_level(n, "n", "n_nationkey", "Topic", "n_name"))
+    edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.lit("HAS_TOPIC").alias("rel_type"))
+    rows = files.topics(nodes, edges, "HAS_TOPIC").join(nodes.where("label = 'Document'").select("id", "name"), "id")
+    return rows.select(F.col("name").alias("r_name"), F.nullif(F.array_join("children", "|"), F.lit("")).alias("children"))
 
 
 @query("node_label_counts", f"with {_NODES} select label, count(*) as n from n group by 1")
@@ -114,14 +135,16 @@ def validation_rate_by_group(spark, sf_dir):
     return c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("chapter")).agg(M.share(F.col("c_acctbal") > 0).alias("rate"))
 
 
-@query("typed_relation_ratio", f"with {_EDGES} select avg(case when rel_type in ('AF', 'RF') then 1.0 else 0.0 end) as allowed, 1.0::double as not_structural from e")
+@query("typed_relation_ratio", f"with {_EDGES} select avg(case when rel_type in ('AF', 'RF') then 1.0 else 0.0 end) as allowed, avg(case when rel_type = 'NF' or rel_type = 'NO' and confidence < 0.95 then 0.0 else 1.0 end) as not_structural from e")
 def typed_relation_ratio(spark, sf_dir):
-    return M.typed_ratio(edges(spark, sf_dir), ("AF", "RF"))
+    kind = F.col("rel_type")
+    structural = F.when(kind == "NF", "HAS_CONCEPT").when((kind == "NO") & (F.col("confidence") < 0.95), "NEXT_CHAPTER").otherwise(kind)
+    return M.typed_ratio(edges(spark, sf_dir).withColumn("rel_type", structural), ("AF", "RF"))
 
 
 @query("typed_edges_by_list_or_prefix", f"with {_EDGES} select rel_type, count(*) as n from e where rel_type in ('AF') or rel_type like 'N%' group by 1")
 def typed_edges_by_list_or_prefix(spark, sf_dir):
-    return M.counts_by(edges(spark, sf_dir).where(F.col("rel_type").isin("AF") | F.col("rel_type").startswith("N")), "rel_type")
+    return M.counts_by(files.typed_edges(edges(spark, sf_dir), ("AF",), "N"), "rel_type")
 
 
 @query("inbound_references_top", f"with {_NODES}, {_EDGES} select id, count(e.src) as n from n left join e on e.dst = n.id where label = 'supplier' group by 1 order by n desc, id limit 30")
@@ -158,8 +181,10 @@ def duplicate_edges(spark, sf_dir):
 
 @query("orphan_rate", "select lang, avg(case when l.doc_id is null then 1.0 else 0.0 end) as rate, count(*) as n from documents d left join (select distinct doc_id from labels) l using (doc_id) group by 1")
 def orphan_rate(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(True))
-    return d.join(l, "doc_id", "left").groupBy("lang").agg(M.share(F.col("has").isNull()).alias("rate"), F.count(F.lit(1)).alias("n"))
+    d, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    nodes = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), "lang")
+    edges = marks.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("q"), "quality").alias("dst"))
+    return M.endpoint_coverage(nodes, edges, "lang").select("lang", F.col("orphan_rate").alias("rate"), F.col("nodes").alias("n"))
 
 
 @query("orphan_nodes", f"with {_NODES}, {_EDGES}, r as (select * from e where confidence >= 0.99) select id from n where id not in (select src from r union select dst from r)")
@@ -169,9 +194,9 @@ def orphan_nodes(spark, sf_dir):
 
 @query("shared_variable_pairs", """with u as (select distinct l_suppkey as s, l_partkey as v from lineitem) select a.s as a, b.s as b, count(*) as shared from u a join u b on a.v = b.v and a.s < b.s group by 1, 2 having count(*) >= 2""")
 def shared_variable_pairs(spark, sf_dir):
-    u = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("v")).distinct()
-    pairs = u.toDF("a", "v").join(u.toDF("b", "v"), "v").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("variables"))
+    _, _, shared = B.variables(nodes)
+    return shared.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
 @query("confidence_stats", f"with {_EDGES} select rel_type, count(confidence) as n, avg(confidence) as mean, quantile_cont(confidence, 0.5) as median, min(confidence) as low, max(confidence) as high from e group by 1")
@@ -212,7 +237,7 @@ def bridge_nodes(spark, sf_dir):
 
 @query("endpoint_coverage", f"with {_NODES}, {_EDGES}, t as (select src as id from e where confidence > 0.99 union select dst from e where confidence > 0.99) select count(t.id) as touched, count(*) as nodes, avg(case when t.id is not null then 1.0 else 0.0 end) as coverage from n left join t using (id)")
 def endpoint_coverage(spark, sf_dir):
-    return M.endpoint_coverage(nodes(spark, sf_dir), edges(spark, sf_dir).where("confidence > 0.99"))
+    return M.endpoint_coverage(nodes(spark, sf_dir), edges(spark, sf_dir).where("confidence > 0.99")).drop("orphan_rate")
 
 
 @query("three_way_flag", "select cast(count(*) filter (quality = 1) as bigint) as true, cast(count(*) filter (quality = 0) as bigint) as false, count(*) filter (quality is null) as missing from documents left join labels using (doc_id)")

@@ -171,20 +171,83 @@ def test_parsers(spark):
     toc = "Daftar Isi\nBab 1 Sel ........ 3\nA. Inti ..... 4\nBab II Gerak ...... 20\nB. Laju ....... 25\nBab III Daftar Gambar .... 90\n"
     colon = "Glosarium\n12\n" + "\n".join(f"istilah{k}: artinya panjang sekali nomor {k}" for k in range(6)) + "\nlanjutan baris"
     plain = "Glosarium\nampere Satuan pokok untuk arus\ndalam sistem.\nwaktu paruh\nWaktu yang diperlukan."
-    guide = "BAB 1\nMateri Pokok: Sel hewan; Sel\n• Inti sel\n\nlain"
-    rows = [("b", 2, toc), ("b", 98, "before: not a term at all"), ("b", 99, colon), ("b", 100, "Indeks\nzzz: nothing of it"), ("c", 5, plain), ("g", 1, guide), ("n", 1, None)]
+    rows = [("b", 2, toc), ("b", 98, "before: not a term at all"), ("b", 99, colon), ("b", 100, "Indeks\nzzz: nothing of it"), ("c", 5, plain), ("n", 1, None)]
     pages = spark.createDataFrame(rows, "book string, page int, text string")
     chapters = parsers.toc_chapters(pages).orderBy("position").collect()
     assert [(r.name, r.page_start, r.position, [(s.label, s.name, s.page_start) for s in r.subchapters]) for r in chapters] == [("Sel", 3, 1, [("A", "Inti", 4)]), ("Gerak", 20, 2, [("B", "Laju", 25)])]
     terms = {(r.book, r.term): r.definition for r in parsers.glossary(pages).collect()}
     assert len(terms) == 8 and terms["b", "istilah5"] == "artinya panjang sekali nomor 5 lanjutan baris"
     assert terms["c", "ampere"] == "Satuan pokok untuk arus dalam sistem." and terms["c", "waktu paruh"] == "Waktu yang diperlukan."
-    assert [(r.chapter, r.item) for r in parsers.subject_matter(pages).collect()] == [("1", "Sel hewan"), ("1", "Inti sel")]
     text = " ".join(f"Kata {k} dua tiga." for k in range(10))
     parts = parsers.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), "text", 12, 4).orderBy("part").collect()
     assert parts[0].chunk == "Kata 0 dua tiga. Kata 1 dua tiga. Kata 2 dua tiga." and parts[1].chunk.startswith("Kata 2") and parts[-1].chunk.endswith("Kata 9 dua tiga.")
 
 
+def _glossary(spark, lines, least=15):
+    pages = spark.createDataFrame([("b", 1, "Glosarium disebut di sini"), *[("b", 40 + k, x) for k, x in enumerate(("Glosarium\n7\n" + lines).split("\f"))], ("b", 80, "Daftar Pustaka\nulang: tidak dibaca lagi di sini")], "book string, page int, text string")
+    pages = pages.union(spark.createDataFrame([("b", k, "isi") for k in range(81, 85)], pages.schema))
+    return {r.term: r.definition for r in parsers.glossary(pages, least=least).collect()}
+
+
+def test_glossary_formats(spark):
+    got = _glossary(spark, """akar-rata-rata-kuadrat (rms) Akar kuadrat dari rerata kuadrat nilai
+ampere Satuan pokok untuk arus dalam sistem
+internasional.
+ATP (adenosin trifosfat) molekul yang membawa energi dalam sel
+arus bolak-balik
+Arus yang arahnya membalik secara
+teratur.
+gelombang
+elektromagnetik
+Gelombang dari medan listrik dan medan mag-
+net yang berosilasi.
+waktu paruh t½ Waktu sampai separuh inti meluruh
+gen intermediet gen yang pengaruhnya berada di tengah
+\frheostat
+Jenis resistor yang nilainya dapat diubah.
+12
+Pendek""")
+    assert got == {
+        "akar-rata-rata-kuadrat (rms)": "Akar kuadrat dari rerata kuadrat nilai", "ampere": "Satuan pokok untuk arus dalam sistem internasional.", "ATP (adenosin trifosfat)": "molekul yang membawa energi dalam sel",
+        "arus bolak-balik": "Arus yang arahnya membalik secara teratur.", "gelombang elektromagnetik": "Gelombang dari medan listrik dan medan magnet yang berosilasi.", "waktu paruh t½": "Waktu sampai separuh inti meluruh",
+        "gen": "intermediet gen yang pengaruhnya berada di tengah", "rheostat": "Jenis resistor yang nilainya dapat diubah. Pendek",
+    }
+    got = _glossary(spark, """monomer: satuan pembentuk rantai panjang
+yang berulang
+reaksi
+polimerisasi: reaksi yang menggabung monomer
+isomer:
+senyawa dengan rumus molekul sama
+ester: turunan asam dengan gugus alkil
+eter: senyawa dengan atom oksigen di tengah
+keton: senyawa dengan gugus karbonil di dalam rantai
+asam: pendek""")
+    assert got == {
+        "monomer": "satuan pembentuk rantai panjang yang berulang", "reaksi polimerisasi": "reaksi yang menggabung monomer", "isomer": "senyawa dengan rumus molekul sama",
+        "ester": "turunan asam dengan gugus alkil", "eter": "senyawa dengan atom oksigen di tengah", "keton": "senyawa dengan gugus karbonil di dalam rantai",
+    }
+    assert _glossary(spark, "satu Dua") == {}
+
+
+def test_subject_matter_in_four_formats(spark):
+    chapters = spark.createDataFrame([("g", 1, "LISTRIK STATIS", [("Muatan Listrik",), ("b. Medan Listrik",)]), ("g", 2, "ARUS DAN TEGANGAN SEARAH", [("Hukum Ohm",)])], "book string, position int, name string, subchapters array<struct<name:string>>")
+    pages = [
+        (1, "Pendahuluan\nPeserta didik membaca Kata Pengantar"),
+        (2, "BAB 1 | Listrik Statis\nTujuan Pembelajaran\n2\nGaya Coulomb antara\nDua Muatan\nPeserta\ndidik\nmampu menghitung gaya\n4 Hukum Gauss Peserta didik menerapkan hukum"),
+        (3, "Medan Listrik\n3 Garis Gaya dan\nKuat Medan\nPeserta didik menggambar garis\nMateri Pokok\n2\nPotensial Listrik\n1 Kapasitor Keping Sejajar\nSumber belajar"),
+        (4, "Kata penutup\n- Rangkaian Seri\n- Rangkaian Paralel\nPeserta didik merangkai"),
+        (5, "bab 9 | tegangan searah dan arus\nHukum Ohm\n2\nPeserta didik mengukur\nPokok Materi\nKuat Arus\nHambatan Jenis Kawat\nhttp://x.id"),
+        (6, "Daya Listrik Rumah\nlain"),
+    ]
+    got = [(r.chapter, r.item) for r in parsers.subject_matter(spark.createDataFrame([("g", *p) for p in pages], "book string, page int, text string"), chapters).orderBy("book", "chapter", "position").collect()]
+    first, second = [i for c, i in got if c == "LISTRIK STATIS"], [i for c, i in got if c != "LISTRIK STATIS"]
+    assert first == ["Gaya Coulomb antara Dua Muatan", "Hukum Gauss", "Garis Gaya dan Kuat Medan", "Potensial Listrik", "Kapasitor Keping Sejajar", "Rangkaian Seri", "Rangkaian Paralel"]
+    assert second == ["Hukum Ohm", "Kuat Arus", "Hambatan Jenis Kawat"]
+    fine = ["Gaya Listrik antara 2 Muatan Listrik", "Hukum Gauss"]
+    bad = ["hukum Gauss", "Hukum", "Apa itu Gaya?", "Rangkaian Seri Rangkaian Paralel", "GEM Spektrum GEM", "Kegiatan Awal", "Sel Sel Sel Hewan", "Anda dapat melihat ini", "Satu dua tiga empat lima enam tujuh delapan sembilan sepuluh a b c"]
+    assert all(map(parsers.is_subject, fine)) and not any(map(parsers.is_subject, bad))
+
+
 def test_schemas_parse(spark):
     for s in (schemas.BOOK, schemas.EDGE_DUMP, schemas.REVIEW_FILE, schemas.NODES, schemas.EDGES, schemas.EMBEDDINGS):
         assert spark.createDataFrame([], s).count() == 0

@@ -36,9 +36,26 @@ def test_blocks_give_what_the_broadcast_gives(spark, sf_dir, monkeypatch):
     v = S.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(200), "vec_id", "embedding")
     v = spark.createDataFrame(v.collect(), v.schema)
     want = sorted(map(tuple, S.neighbours(v, v, 3).collect()))
-    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(S, "BLOCK_ROWS", 60)
+    ranks = sorted(map(tuple, S.ranks_of(S.neighbours(v, v, 3).select("source", "target", "score"), v, v).collect()))
+    ties = sorted(map(tuple, S.neighbours(v, v, 5, ties=True).collect()))
+    monkeypatch.setattr(S, "BLOCK_BYTES", 64 * 8 * 60)
     assert sorted(map(tuple, S.neighbours(v, v, 3).collect())) == want
+    assert sorted(map(tuple, S.ranks_of(S.neighbours(v, v, 3).select("source", "target", "score"), v, v).collect())) == ranks
+    assert sorted(map(tuple, S.neighbours(v, v, 5, ties=True).collect())) == ties
+
+
+def test_groups_and_competition_ranks(spark):
+    rows = [(f"n{k}", [float(k % 5), 1.0, float(k % 3)], ("x", "y", "", None)[k % 4]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, v array<float>, grade string")
+    v = S.vectors(df, "id", "v").join(df.select("id", "grade"), "id")
+    every = S.neighbours(v, v, 39)
+    better = {(r.source, r.target): r["rank"] for r in S.competition_rank(every.drop("rank")).collect()}
+    assert {(r.source, r.target): r["rank"] for r in S.neighbours(v, v, 4, ties=True).collect()} == {p: n for p, n in better.items() if n <= 4}
+    assert {(r.source, r.target): r["rank"] for r in S.ranks_of(every.select("source", "target", "score"), v, v).collect()} == better
+    grade = {i: g for i, _, g in rows}
+    wanted = S.top_after_filter(every.drop("rank").join(df.select(F.col("id").alias("source"), F.col("grade").alias("source_grade")), "source").join(df.select(F.col("id").alias("target"), F.col("grade").alias("target_grade")), "target"), C.across_grades(), 3)
+    got = {(r.source, r["rank"]): r.target for r in S.neighbours(v, v, 3, group="grade").collect()}
+    assert got == {(r.source, r["rank"]): r.target for r in wanted.collect()} and all(grade[s] in ("x", "y") for s, _ in got)
 
 
 def test_scopes(spark):
@@ -135,6 +152,114 @@ def test_embedding_cache_and_extraction(spark):
     assert [tuple(r) for r in put.collect()] == [("k", "v2", "2026-02-01")] and K.cache_maintenance(put, "2026-03-20", 30).count() == 0
 
 
+def _trade(duck):
+    return duck.sql("""select 'n' || c_nationkey, 'n' || s_nationkey, count(*) from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2""").fetchall()
+
+
+def test_acyclic_edges_equal_the_sequential_rule(spark, sf_dir, duck):
+    from loomgraph.catalog import QUERIES
+
+    after, want = {}, {}
+    for src, dst, n in sorted(_trade(duck), key=lambda r: (-r[2], r[0], r[1])):
+        seen, stack = set(), [dst]
+        while stack:
+            k = stack.pop()
+            if k not in seen:
+                seen.add(k)
+                stack += after.get(k, [])
+        want[src, dst] = src not in seen
+        if want[src, dst]:
+            after.setdefault(src, []).append(dst)
+    assert {(r.src, r.dst): r.accepted for r in QUERIES["acyclic_edges"](spark, sf_dir).collect()} == want
+
+
+def _greedy(ids, pairs):
+    part, m, last = {i: i for i in ids}, len(pairs), None
+    while m:
+        w, d = {}, {}
+        for a, b in pairs:
+            for x, y in ((part[a], part[b]), (part[b], part[a])):
+                w[x, y] = w.get((x, y), 0) + 1
+                d[x] = d.get(x, 0) + 1
+        score = sum(2 * m * w.get((x, x), 0) - d[x] ** 2 for x in d)
+        if last and score <= last[0]:
+            part = last[1]
+            break
+        last, best = (score, part), {}
+        for (x, y), n in w.items():
+            if x != y and 2 * m * n > d[x] * d[y]:
+                best[x] = min(best.get(x, (1, "")), (d[x] * d[y] - 2 * m * n, y))
+        if not best:
+            break
+        to = {x: x for x in set(part.values())}
+        for _ in to:
+            for x, (_, y) in best.items():
+                to[x] = to[y] = min(to[x], to[y])
+        part = {i: to[p] for i, p in part.items()}
+    ends = [part[x] for p in pairs for x in p]
+    return part, sum(part[a] == part[b] for a, b in pairs) / m - sum((ends.count(p) / (2 * m)) ** 2 for p in set(ends))
+
+
+def test_greedy_communities(spark, sf_dir):
+    import random
+
+    from loomgraph.catalog import QUERIES
+
+    rnd = random.Random(4)
+    ids = [f"v{k:02d}" for k in range(40)]
+    pairs = sorted({tuple(sorted((a, b))) for a in ids for b in ids if a != b and rnd.random() < (0.5 if int(a[1:]) // 10 == int(b[1:]) // 10 else 0.02)})
+    nodes, edges = spark.createDataFrame([(i,) for i in [*ids, "alone"]], "id string"), spark.createDataFrame([*pairs, ("v00", "v00"), pairs[0][::-1]], "src string, dst string")
+    want, q = _greedy([*ids, "alone"], pairs)
+    assert {r.id: r.part for r in G.greedy_communities(nodes, edges).collect()} == want and len(set(want.values())) < 12
+    row = G.best_partition(nodes, edges).first()
+    assert abs(row.q - q) < 1e-9 and row.q > 0.3 and row.communities == len(set(want.values()))
+    row = QUERIES["communities"](spark, sf_dir).first()
+    v = S.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    close = {tuple(sorted((r.source, r.target))) for r in S.neighbours(v, v, 10).where("score >= 0.65").collect()}
+    want, q = _greedy([r.id for r in v.select("id").collect()], sorted(close))
+    assert abs(row.q - q) < 1e-9 and row.communities == len(set(want.values()))
+
+
+def test_ranges_beyond_the_broadcast(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    starts = spark.createDataFrame([(float(x), k) for k, x in enumerate(rnd.sample(range(3000), 500))], "start double, n int")
+    points = spark.createDataFrame([(rnd.uniform(-50, 3100), k) for k in range(900)] + [(None, 900)], "at double, id int")
+    want = sorted(map(str, G.assign_ranges(points, "at", starts, "start").collect()))
+    monkeypatch.setattr(G, "BROADCAST_RANGES", 0)
+    many = G.assign_ranges(points, "at", starts, "start")
+    assert many.columns == ["at", "id", "start", "n", "_end"] and sorted(map(str, many.collect())) == want
+
+
+def test_names_in_blocks(spark, monkeypatch):
+    names = [(f"{a} {b}",) for a in ("gaya", "energi", "muatan") for b in ("listrik", "magnet", "gerak")] + [("Usaha",), ("",)]
+    terms = [("Gaya Gerak",), ("magnet",), ("usaha dan energi",), ("tidak ada",), ("",)]
+    e, f = spark.createDataFrame(terms, "term string"), spark.createDataFrame(names, "name string")
+    monkeypatch.setattr(X, "_NAMES", 3)
+    monkeypatch.setattr(X, "_TERMS", 2)
+    got = {r.term: (r.name, r.how) for r in X.match_terms(e, f).collect()}
+    assert got == {"Gaya Gerak": ("gaya gerak", "exact"), "magnet": ("gaya magnet", "part"), "usaha dan energi": ("Usaha", "part"), "tidak ada": (None, "none"), "": ("", "exact")}
+
+
+def test_transient_errors():
+    assert all(map(K.transient, (ValueError("HTTP 429"), ValueError("503 Service Unavailable"), TimeoutError("timed out"))))
+    assert not any(map(K.transient, (ValueError("length 1500"), ValueError("bad request 400"), KeyError("timeout"))))
+    coded = ValueError("no words")
+    coded.status_code = 502
+    assert K.transient(coded)
+    coded.status_code = 400
+    assert not K.transient(coded)
+
+
+def test_vocabularies_decide_what_is_stored(spark):
+    df = spark.createDataFrame([("SAMA_DENGAN", 0.9), ("none", 0.9), ("supports", 0.9), ("SAMA_DENGAN", None)], "t string, c double")
+    for name, want in (("a", [None, None, "supports", None]), ("b", ["LINTAS_BUKU_SAMA_DENGAN", None, None, None])):
+        ontology, classes, stored = K.for_schema(name)
+        assert ontology.name == name and "none" in classes
+        assert [r[0] for r in df.select(stored(F.col("t"), F.col("c"))).collect()] == want
+
+
 def test_context(spark):
     edges = spark.createDataFrame([("a", "x", "T", 0.9), ("a", "y", "T", None), ("b", "x", "U", 0.5)], "src string, dst string, rel_type string, confidence double")
     nodes = spark.createDataFrame([("a", "A", ""), ("b", "B", None)], "id string, name string, description string")
