@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut
+from .common import BROADCAST_KEYS, bounded, cut
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind, test that a line must pass, pattern. Possessive loops give up nothing (no later part could use it) and keep Java's
@@ -182,10 +182,12 @@ def find(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     strong = cut(disclosing(df, base, pieces, words), "disclosing")
     spans = base.select(*_DOC, "line_no", "kind", "start", "end", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("label"))
     if not strong.isEmpty():
-        words = cut(words.join(strong.select("term").distinct(), "term", "left_semi"), "strong-words")
+        # broadcast where their number allows it, else joined as tables: a term that stands everywhere is then split up
+        terms = cut(strong.select("term").distinct(), "strong-terms")
+        words = cut(words.join(bounded(terms), "term", "left_semi"), "strong-words")
         owners = base.select(*_DOC, _entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
         # the strongest claim on a term, of the entities of its document, decides
-        owned = words.select(*_DOC, "term").distinct().join(strong, "term").join(owners, [*_DOC, "entity"], "left_semi")
+        owned = cut(words.select(*_DOC, "term").distinct(), "strong-places").join(bounded(strong, BROADCAST_KEYS // 4), "term").join(owners, [*_DOC, "entity"], "left_semi")
         owned = owned.groupBy(*_DOC, "term").agg(F.max(F.struct("disclosure", "entity")).alias("by"))
         label = F.when(F.col("by.disclosure") >= REMOVE, "").otherwise(F.concat(F.lit("["), F.upper(F.substring_index("by.entity", ":", 1)), F.lit(" TERM]")))
         found = words.join(owned, [*_DOC, "term"]).select(*_DOC, "line_no", "start", "end", label.alias("label"))
