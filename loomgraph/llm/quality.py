@@ -21,6 +21,8 @@ scored each; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,12 +37,12 @@ CHUNK_BYTES = 4 << 20
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "long_words", "upper", "lower", "digit", "space", "marks", "stops", "other",
-    "pipes", "exclaims", "symbol_words", "upper_words", "same_as_last", "distinct_words", "lines_per_word", "distinct_lines",
+    "pipes", "exclaims", "repeated_marks", "upper_words", "same_as_last", "distinct_words", "lines_per_word", "distinct_lines",
     "short_lines", "max_char", "odd_chars", "url_marks", "mean_sentence",
 )
 
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
+#: A mark that stands twice or more in a row.
+_REPEATED = re.compile(rb"([!-/:-@\[-`{-~])\1+")
 _CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32),
     "stops": b".,;:?'\"()-", "marks": b"#$%&*+/<=>@[\\]^_`{|}~!", "other": range(128, 256),
@@ -65,12 +67,12 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     same = sum(map(bytes.__eq__, words, words[1:])) / n
     upper_words = sum(map(bytes.isupper, words)) / n
-    symbol_words = sum(raw.count(x) for x in (b"***", b"###", b"$$$", b"%%%", b"&&&", b"!!")) / n
+    repeated_marks = len(_REPEATED.findall(raw)) / n
     letters = counts.copy()
     letters[32] = 0
     return [
         np.log1p(chars), np.log1p(n), lens.mean(), (lens > 20).mean(), share["upper"], share["lower"], share["digit"], share["space"],
-        share["marks"], share["stops"], share["other"], share["pipes"], share["exclaims"], symbol_words, upper_words,
+        share["marks"], share["stops"], share["other"], share["pipes"], share["exclaims"], repeated_marks, upper_words,
         same, distinct / n**0.8, len(lines) / n, len(set(lines)) / len(lines), sum(len(x) < 20 for x in lines) / len(lines),
         letters.max() / chars, share["odd_chars"], share["url_marks"], n / (1 + raw.count(b".") + raw.count(b"!") + raw.count(b"?")),
     ]
