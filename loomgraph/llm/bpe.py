@@ -1,15 +1,19 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A chunk of corpus is reduced to its distinct pre-tokens. An inverted index holds, for
-each rank, the positions of all adjacent token pairs whose concatenation has that
-rank. Ranks are applied in order to all their positions at once; only the pairs left
-and right of a merge are looked up anew and filed under their new rank. (If a new
-pair has a lower rank than the one just applied, it comes next, so each pre-token sees
-exactly the order of the usual one-word-at-a-time algorithm.)
+The corpus is reduced to its distinct pieces (what stands between single spaces) with their counts. Those that
+stand more than once, the most frequent ``SHARED_PIECES`` of them if there are more, make a table whose parts are replayed: an inverted index
+holds the positions of all adjacent token pairs, filed under the rank of the token that the pair makes (pairs that make the
+same token share its rank, and the leftmost goes first whichever pair it is). Ranks are applied in order to all their positions at
+once; only the pairs left and right of a merge are looked up anew and filed under their new rank. (If a new pair has a lower
+rank than the one just applied, it comes next, so each word sees exactly the order of the usual one-word-at-a-time algorithm.)
+
+The table is broadcast, and texts are put together from it. A piece that is not in it, one that stands once in the corpus as a rule, is replayed
+with the others of its chunk of texts.
 
 Null and empty texts have no tokens and decode to no bytes. Very long texts are
-encoded whole. Repeated rows and extra columns pass through. The vocabulary is a
-parameter; it is shipped to executors in one broadcast, after a check of its size.
+encoded whole. Repeated rows and extra columns pass through. The vocabulary and the pattern are
+parameters; the vocabulary is shipped to executors in one broadcast, after a check of its size. Cutting at spaces is right for the public
+pattern; with any other one whole texts are split by it, and no table of pieces is made.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from hashlib import sha256
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, slices
+from .common import cut, ragged, slices
 
 #: Largest vocabulary file that is broadcast.
 MAX_VOCAB_BYTES = 64 << 20
 #: Text bytes whose pre-tokens are replayed together.
 CHUNK_BYTES = 2 << 20
+#: Pieces of the shared table, and their bytes, at most.
+SHARED_PIECES, SHARED_BYTES = 200_000, 8 << 20
 _IDS = 1 << 18
 #: White space on both sides of a space (any Unicode white space counts; too much does no harm).
 _MEETS = r"[\pZ\x09-\x0d\x1c-\x1f\x{85}] [\pZ\x09-\x0d\x1c-\x1f\x{85}]"
@@ -158,45 +166,41 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return tok[:size][alive], np.concatenate([[0], np.cumsum(counts)])
 
 
-class Encoder:
-    """Encodes texts chunk by chunk; keeps the ids of recent pre-tokens, up to a bound.
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, dict[int, str]]:
+    """Pieces between single spaces of each text, their numbers, and the texts in which white space meets a space, which stay whole.
 
-    Texts are cut at single spaces first. A space always starts a new pre-token when a
-    non-space precedes or follows it, so the pieces " word" can be split by the pattern
-    each on its own; texts in which white space meets a space are split whole.
+    A space always starts a new pre-token when a non-space precedes or follows it, so the pieces " word" can be split by the
+    public pattern each on its own.
     """
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring_regex(texts, _MEETS))
+    whole = {i: texts[i].as_py() for i in np.flatnonzero(np.asarray(odd)).tolist()}
+    if whole:
+        texts = pc.if_else(odd, "", texts)
+    parts = pc.split_pattern(texts, " ")
+    return parts, np.asarray(pc.list_value_length(parts)).astype(np.int64), whole
 
-    #: Pre-tokens whose ids are kept between chunks.
-    KEPT = 150_000
 
-    def __init__(self, ranks: Ranks, pattern: str):
+class Encoder:
+    """Encodes texts chunk by chunk with the ids of shared pieces (piece, ids)."""
+
+    def __init__(self, ranks: Ranks, pattern: str, shared: pa.Table | None = None):
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.search = ranks, regex.compile(pattern).finditer
+        self.public = pattern == public_tokenizers.PATTERN
         self.known: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if shared is not None and shared.num_rows:
+            ids = shared["ids"].combine_chunks()
+            self.known = {w: k for k, w in enumerate(shared["piece"].to_pylist())}
+            self.ids = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(np.int32)
+            self.offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)).astype(np.int64))])
 
-    def _learn(self, pieces: list[str], lists: list[list[str]]) -> None:
-        """Keep the ids of new pieces, given the pre-tokens of each."""
-        local: dict[str, int] = {}
-        flat = [local.setdefault(w, len(local)) for words in lists for w in words]
-        ids, offsets = replay([w.encode("utf-8", "surrogatepass") for w in local], self.ranks)
-        values, lens = ragged(ids, offsets, np.array(flat, np.int64))
-        sums = np.concatenate([[0], np.cumsum(lens)])
-        ends = sums[np.cumsum([len(x) for x in lists])]
-        at = len(self.offsets) - 1
-        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
-        self.ids = np.concatenate([self.ids, values])
-
-    def _rows(self, pieces: list[str], split) -> np.ndarray:
-        """The row of kept ids of each piece; new ones are split and replayed together."""
-        fresh = [w for w in dict.fromkeys(pieces) if w not in self.known]
-        if fresh:
-            self._learn(fresh, [split(w) for w in fresh])
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-
-    def _split(self, piece: str) -> list[str]:
+    def find(self, text: str) -> list[str]:
+        return [m[0] for m in self.search(text)]
+
+    def split(self, piece: str) -> list[str]:
         """Pre-tokens of a piece that begins with a space; plain words need no pattern."""
         if piece[1:].isalpha():
             return [piece]
@@ -204,33 +208,84 @@ class Encoder:
             return [piece[:-1], piece[-1]]
         return self.find(piece)
 
+    def replayed(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of pre-tokens, all replayed together: (all ids, offsets by list)."""
+        local: dict[str, int] = {}
+        flat = [local.setdefault(w, len(local)) for words in lists for w in words]
+        ids, offsets = replay([w.encode("utf-8", "surrogatepass") for w in local], self.ranks)
+        values, lens = ragged(ids, offsets, np.array(flat, np.int64))
+        sums = np.concatenate([[0], np.cumsum(lens)])
+        return values, sums[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined, and the number of ids of each text."""
-        n = len(texts)
-        texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring_regex(texts, _MEETS))
-        whole = {i: texts[i].as_py() for i in np.flatnonzero(np.asarray(odd)).tolist()}
-        if whole:
-            texts = pc.if_else(odd, "", texts)
-        parts = pc.split_pattern(texts, " ")
-        counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        if not self.public:
+            ids, offsets = self.replayed([self.find(t or "") for t in texts.to_pylist()])
+            return ids, np.diff(offsets)
+        parts, counts, whole = _cut(texts)
         coded = pc.list_flatten(parts).dictionary_encode()
         index = np.asarray(coded.indices).astype(np.int64)
         pieces = coded.dictionary.to_pylist()
         first = np.cumsum(counts) - counts  # the first piece of a text has no space before it
-        starts = ["\0" + whole.get(i, pieces[k]) for i, k in enumerate(index[first])]  # \0: kept apart from " word"
-        if len(self.known) > self.KEPT or len(self.ids) > 8 * self.KEPT:
-            self.known.clear()
-            self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        rows = self._rows([" " + w for w in pieces], self._split)[index]
-        rows[first] = self._rows(starts, lambda w: self.find(w[1:]))
-        for w in starts:  # most are seen once, and some are long
-            self.known.pop(w, None)
-        flat, lens = ragged(self.ids, self.offsets, rows)
+        known, fresh, lists = self.known, {}, []
+        rows = np.empty(len(pieces), np.int64)
+        base = len(self.offsets) - 1
+        for k, w in enumerate(pieces):
+            row = known.get(w)
+            if row is None:
+                row = base + len(lists)
+                lists.append(self.split(" " + w))
+            rows[k] = row
+        rows = rows[index]
+        for k, (i, at) in enumerate(zip(index[first].tolist(), first.tolist(), strict=True)):
+            text = whole.get(k, pieces[i])
+            row = fresh.get(text)
+            if row is None:
+                row = fresh[text] = base + len(lists)
+                lists.append(self.find(text))
+            rows[at] = row
+        ids, offsets = self.replayed(lists)
+        ids, offsets = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        flat, lens = ragged(ids, offsets, rows)
         sums = np.concatenate([[0], np.cumsum(lens)])
         return flat, sums[first + counts] - sums[first]
 
 
+def shared_pieces(df: DataFrame, vocab, pattern: str, text_col: str = "text") -> DataFrame | None:
+    """piece, ids of the pieces of the corpus that stand more than once, the most frequent ones within the bounds; None for other patterns."""
+    if pattern != public_tokenizers.PATTERN:
+        return None
+
+    def count(batches):
+        for batch in slices(batches, text_col, CHUNK_BYTES):
+            parts, counts, _ = _cut(batch.column(0))
+            flat = pc.list_flatten(parts)
+            later = np.ones(len(flat), bool)
+            later[np.cumsum(counts) - counts] = False
+            coded = flat.filter(pa.array(later)).dictionary_encode()
+            n = np.bincount(np.asarray(coded.indices).astype(np.int64), minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], ["piece", "n"])
+
+    pieces = df.select(text_col).mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    pieces = cut(pieces, "pieces")
+    # counts of counts: the least count from which all pieces are within the bounds
+    size = F.sum(F.octet_length("piece")).alias("bytes")
+    least, held, taken = 2, 0, 0
+    for r in sorted(pieces.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("pieces"), size).collect(), key=lambda r: -r.n):
+        held, taken = held + r.pieces, taken + r.bytes
+        if held > SHARED_PIECES or taken > SHARED_BYTES:
+            least = r.n + 1
+            break
+
+    def merge(batches):
+        encoder = Encoder(_ranks(vocab.value), pattern)
+        for batch in slices(batches, "piece", CHUNK_BYTES):
+            ids, offsets = encoder.replayed([encoder.split(" " + w) for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))], ["piece", "ids"])
+
+    return cut(pieces.where(F.col("n") >= least).select("piece").mapInArrow(merge, "piece string, ids array<int>"), "merged")
+
+
 def encode_texts(texts: list[str | None], ranks: Ranks, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts joined, and the number of ids of each text."""
     return Encoder(ranks, pattern).encode(pa.array(texts, pa.string()))
@@ -243,16 +298,23 @@ def _vocabulary(df: DataFrame, vocab_path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
+def _shipped(df: DataFrame, vocab, pattern: str, text_col: str):
+    """The table of shared pieces, bounded by ``SHARED_PIECES``, as a broadcast."""
+    pieces = shared_pieces(df, vocab, pattern, text_col)
+    return df.sparkSession.sparkContext.broadcast(None if pieces is None else pieces.toArrow())
+
+
 def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col`` array<int>: the token ids of ``text_col``; one row per input row.
 
     A column already called ``ids_col`` is replaced.
     """
-    shared = _vocabulary(df, vocab_path)
+    vocab = _vocabulary(df, vocab_path)
     df = df.drop(ids_col)
+    shared = _shipped(df, vocab, pattern, text_col)
 
     def run(batches):
-        encoder = Encoder(_ranks(shared.value), pattern)
+        encoder = Encoder(_ranks(vocab.value), pattern, shared.value)
         for batch in slices(batches, text_col, CHUNK_BYTES):
             ids, counts = encoder.encode(batch.column(batch.schema.get_field_index(text_col)))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -305,11 +367,12 @@ def _texts(ids: np.ndarray, counts: np.ndarray, values: np.ndarray, offsets: np.
 
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``documents``: encode, decode and digest in one pass."""
-    shared = _vocabulary(df, vocab_path)
+    vocab = _vocabulary(df, vocab_path)
+    shared = _shipped(df, vocab, pattern, "text")
 
     def run(batches):
-        ranks = _ranks(shared.value)
-        encoder = Encoder(ranks, pattern)
+        ranks = _ranks(vocab.value)
+        encoder = Encoder(ranks, pattern, shared.value)
         names = [b" %d" % k for k in range(len(ranks.tokens))]
         name_offsets = np.concatenate([[0], np.cumsum([len(x) for x in names])])
         name_bytes = np.frombuffer(b"".join(names), np.uint8)
