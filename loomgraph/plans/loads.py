@@ -77,13 +77,16 @@ def variant_merge(spark, sf_dir):
     return moved
 
 
-_TRIPLES = "t as (select l_returnflag as grade, l_orderkey * 10 + l_linenumber as index, 'c' || l_suppkey as chapter, l_linestatus as subtopic, 'k' || l_partkey as concept, l_returnflag || l_linestatus as relation, 's' || l_suppkey as target, l_quantity from lineitem)"
+_TRIPLES = """t as (select grade, index, 'c' || l_suppkey as chapter, l_linestatus as subtopic, 'k' || l_partkey as concept, grade || l_linestatus as relation, 's' || l_suppkey as target, l_quantity from (
+  select l_returnflag as grade, l_orderkey * 10 + l_linenumber as index, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_linestatus) as l_linestatus, min(l_quantity) as l_quantity from lineitem group by 1, 2))"""
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("grade"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"), F.concat(F.lit("c"), "l_suppkey").alias("chapter"), F.col("l_linestatus").alias("subtopic"),
-        F.concat(F.lit("k"), "l_partkey").alias("concept"), F.concat("l_returnflag", "l_linestatus").alias("relation"), F.concat(F.lit("s"), "l_suppkey").alias("target"), "l_quantity",
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grade"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"))
+    li = li.agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus", "l_quantity")])
+    return li.select(
+        "grade", "index", F.concat(F.lit("c"), "l_suppkey").alias("chapter"), F.col("l_linestatus").alias("subtopic"), F.concat(F.lit("k"), "l_partkey").alias("concept"),
+        F.concat("grade", "l_linestatus").alias("relation"), F.concat(F.lit("s"), "l_suppkey").alias("target"), "l_quantity",
     )
 
 
@@ -224,7 +227,7 @@ def vocabulary_dispatch(spark, sf_dir):
     return M.counts_by(out, "schema", "stored")
 
 
-@query("run_parameters", r"""with x as (select p_partkey, 'temperature=0.' || p_size || ', top_k: ' || p_size || '; _top_k=3 model = "' || p_brand || '"' || case when p_size % 2 = 0 then ' cosine cosine' else '' end as t from part)
+@query("run_parameters", r"""with x as (select p_partkey, 'temperature=0.' || p_size || ', top_k: ' || p_size || '; _top_k=3 model = "' || replace(p_brand, '#', '-') || '"' || case when p_size % 2 = 0 then ' cosine cosine' else '' end as t from part)
 select p_partkey, regexp_extract(t, 'temperature\s*[=:]\s*([\d.]+)', 1) as temperature, regexp_extract(t, ', top_k: (\d+)', 1) as top_k, regexp_extract(t, '"([^"]*)"', 1) as model_id, len(regexp_extract_all(t, 'cosine')) as cosine from x""")
 def run_parameters(spark, sf_dir):
     p = table(spark, sf_dir, "part")
