@@ -137,8 +137,9 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, part (least id of the community) by greedy merging for modularity.
 
     In each round every community names the neighbour whose merging gains most, ties to the smaller one, and communities joined by such
-    choices become one, so rounds are few. It ends when no merge gains, or when a round would lower the modularity, which is not taken. Counts are
-    sums over the edges between communities: a round is a few aggregations and joins whatever the sizes. Gains are whole numbers.
+    choices become one, so rounds are few; choices end in two that name each other, and are followed there by pointer jumping. It ends when no
+    merge gains, or when a round would lower the modularity, which is not taken. Counts are sums over the edges between communities: a round
+    is a few aggregations and joins whatever the sizes. Gains are whole numbers.
     """
     e = simple_edges(edges)
     m = e.count()
@@ -150,19 +151,26 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         degrees = cut(between.groupBy("x").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(0)).alias("inside")))
         score = degrees.agg(F.sum(whole(F.col("inside")) * whole(F.lit(2 * m)) - whole(F.col("d")) * whole(F.col("d")))).first()[0]
         if best is not None and score <= best[0]:
-            return best[1]
+            labels = best[1]
+            break
         best = score, labels
         gain = whole(F.col("w")) * whole(F.lit(2 * m)) - whole(F.col("d")) * whole(F.col("dy"))
         offers = between.where("x <> y").join(degrees.select("x", "d"), "x").join(degrees.select(F.col("x").alias("y"), F.col("d").alias("dy")), "y").withColumn("gain", gain).where("gain > 0")
         chosen = cut(offers.groupBy("x").agg(F.min(F.struct((-F.col("gain")).alias("gain"), "y"))["y"].alias("y")))
         if chosen.isEmpty():
             break
-        ends = chosen.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        merged = connected_components(ends, chosen.toDF("src", "dst"))
+        back = chosen.toDF("y", "back")
+        merged = cut(chosen.join(back, "y").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("y")))
+        while True:
+            further = cut(merged.join(merged.toDF("y", "end"), "y").select("x", "y", "end"))
+            if further.where("y <> end").isEmpty():
+                break
+            merged = further.select("x", F.col("end").alias("y"))
         moved = lambda df, c, merged=merged: df.join(merged.toDF(c, "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         labels = cut(moved(labels, "part").select("id", "part"))
         between = cut(moved(moved(between, "x"), "y").groupBy("x", "y").agg(F.sum("w").alias("w")))
-    return labels
+    least = labels.groupBy("part").agg(F.min("id").alias("least"))
+    return labels.join(least, "part").select("id", F.col("least").alias("part"))
 
 
 def best_partition(nodes: DataFrame, edges: DataFrame) -> DataFrame:
