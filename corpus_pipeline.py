@@ -16,13 +16,14 @@ hold ``run`` against the brute-force versions of the stages.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, decontaminate, lines, minhash, quality
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import exists, remove, scope, scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,11 +58,24 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    Scratch tables of a stage go as soon as its result is written. With ``folder``, one that driver and executors share, results are kept
+    there by the stage's number, and a later run goes on after the last complete one; else a result goes once the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
-    return docs
+    base, before = folder or f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{base}/stage-{k}"
+        if not (folder and exists(spark, f"{path}/_SUCCESS")):
+            with scope(spark, f"stage-{k}"):
+                out = stage(spark, docs, sf_dir)
+                out.write.mode("overwrite").parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        else:
+            docs = spark.read.parquet(path)
+        if before and not folder:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
