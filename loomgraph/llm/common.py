@@ -46,16 +46,26 @@ def _files(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 @contextmanager
 def scope(spark: SparkSession, name: str):
     """What ``cut`` writes inside is deleted at the end; results that read it must have been written by then."""
     _scopes.append(f"{name}-{uuid.uuid4().hex}")
-    files, path = _files(spark, scratch_dir(spark))
+    folder = scratch_dir(spark)
     try:
         yield
     finally:
         _scopes.pop()
-        files.delete(path, True)
+        remove(spark, folder)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,9 @@
-"""The opN_ queries over the whole intended tables, and the corpus pipeline."""
+"""The opN_ queries over the whole intended tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_main_text": op10_main_text,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op7_top_k": OP7, "op8_decontaminate": OP8}
