@@ -8,16 +8,18 @@ a whole band share a bucket; candidates are confirmed on full shingle sets.
 Shape of the work, for groups of any size:
 
 * Documents with the same shingle set form a class and only its smallest doc_id goes on.
-* No bucket is gathered in one task or expanded into its pairs. Members are first tied to
-  a few members of their bucket, found by partial aggregation; where a bucket still holds
-  several clusters, members outside its largest one are compared with all others; crowded buckets
-  are split by a second band before. A tie needs
-  ``LEAST_AGREE`` of ``COORDINATES`` places to agree in two bits each, compared inside
-  the join, so pairs below it are never rows. (At a similarity of 0.75 a pair falls below it with
-  a probability of 3e-7.) Ties give clusters that no true link leaves.
-* The full sets of a cluster are dealt into parts of bounded size, and each pair of parts is
-  compared in a task of its own, which returns a spanning forest of the links it
-  confirms: at most one row for each set, not one for each pair.
+* No bucket is gathered in one task or expanded into its pairs. Members are first compared with two
+  members of their bucket, the one that shares most buckets with others (the text that many near copies stem from, say) and one by chance;
+  what full sets confirm is linked and contracted, and the next round looks only at buckets that still hold several components.
+* What is still apart then is compared exactly, for buckets of any size: two sets that are alike share one of the
+  rarest shingles of each (a prefix of n - ceil(n * percent / 100) + 1 in the order of their counts), so such shingles take the place
+  of the buckets. A document with enough shingles of its own has none in common there, whatever passages it shares with others.
+  After one more round all pairs of different components that share such a shingle are compared.
+* Before full sets are, pairs are compared inside the join, so that those that fail are never rows: by two bits of each coordinate, of
+  which ``LEAST_AGREE`` places must agree (at a similarity of 0.75 a pair falls below it with a probability of 3e-7), and among what is still
+  apart by bitmaps of the sets too, which bound the number of shared shingles from above.
+* A link is confirmed by two joins with the table of sets, where a member that many are compared with is one row; links
+  are a few for each member of a component, whatever its size.
 * Components come from hooking to the smallest neighbour, pointer jumping and contraction.
 
 A similarity of exactly 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
@@ -31,20 +33,24 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, slices, without, words_of
+from .common import WordHashes, bounded, cut, slices, without, words_of
 
 COORDINATES, BANDS = 128, 32
 ROWS_PER_BAND = COORDINATES // BANDS
 LEAST_AGREE = 82
-#: Clusters of a bucket from which it is split by a second band.
-CROWD = 256
-#: Shingles of a part of a cluster; a task holds two parts.
-PART_SHINGLES = 60_000
+#: Rounds in which members of buckets, and then of rare shingles, are compared with a few others only.
+BAND_ROUNDS, SHINGLE_ROUNDS = 2, 1
+#: Buckets with two members each, of 50 bytes, that are broadcast.
+BROADCAST_BUCKETS = 250_000
+#: Longs of the bitmap of a set.
+BITMAP = 16
 CHUNK_BYTES = 4 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -159,7 +165,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id and its whole shingle set as a sorted array of fingerprints."""
+    """doc_id, set_key, the whole shingle set as a sorted array of fingerprints, and its bitmap."""
 
     def run(batches):
         hashes = WordHashes(seed=1)
@@ -167,10 +173,21 @@ def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
             hashes.trim()
             sets = [shingle_hashes(words_of(t), hashes, size) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "shingles"])
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), _lists(bitmaps(flat, offsets))],
+                ["doc_id", "set_key", "shingles", "bitmap"],
+            )
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set_key binary, shingles array<bigint>, bitmap array<bigint>")
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bit for each shingle of each ragged row, in ``BITMAP`` longs."""
+    width = 64 * BITMAP
+    bits = np.zeros((len(offsets) - 1, width), bool)
+    bits[np.repeat(np.arange(len(bits)), np.diff(offsets)), flat >> np.uint64(32) & np.uint64(width - 1)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -212,121 +229,106 @@ def _agree(x: str, y: str):
     return F.lit(COORDINATES) - differ[0] - differ[1]
 
 
-def _ties(bands: DataFrame, reps: DataFrame) -> DataFrame:
-    """a < b: members of a bucket tied to its first and to one random member of it."""
-    spread = F.xxhash64("rep", F.pmod("bucket", F.lit(4)))
-    tops = bands.groupBy("bucket").agg(F.min("rep").alias("c0"), F.min(F.struct(spread.alias("h"), "rep")).alias("c1"))
-    tops = tops.select("bucket", "c0", F.col("c1.rep").alias("c1"))
-    pairs = bands.join(tops, "bucket").select("rep", F.explode(F.array("c0", "c1")).alias("c")).where("rep <> c")
-    pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+def _rooted(keys: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``keys`` (bucket, rep, ...) with root, the component of rep."""
+    return keys.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _mixed(now: DataFrame) -> DataFrame:
+    """The rows of buckets with several components."""
+    ends = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return cut(now.join(bounded(cut(ends.where("low <> high").select("bucket"), "mixed-buckets")), "bucket", "left_semi"), "mixed")
+
+
+def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough."""
     bits = reps.select("rep", "bits")
     pairs = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
     return pairs.where(_agree("x", "y") >= LEAST_AGREE).select("a", "b")
 
 
-def _more_ties(bands: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
-    """a < b: ties between clusters, of buckets that hold several.
+def _ties(now: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
+    """a < b: members of a bucket and two members of other components of it: by chance, and in the first turn one by its popularity."""
+    member = F.struct(F.xxhash64("rep", F.pmod("bucket", F.lit(4)), F.lit(turn)).alias("h"), "rep", "root")
+    first = F.min(member) if turn else F.max(F.struct("popularity", -F.col("rep"), "rep", "root"))
+    tops = cut(now.groupBy("bucket").agg(first.alias("c0"), F.max(member).alias("c1")), "tops")
+    centres = F.array(*[F.struct(F.col(c)["rep"].alias("rep"), F.col(c)["root"].alias("root")) for c in ("c0", "c1")])
+    pairs = now.join(bounded(tops, BROADCAST_BUCKETS), "bucket").select("rep", "root", F.explode(centres).alias("c")).where("c.root <> root")
+    return _alike(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct(), reps)
+
 
-    Buckets of more than ``CROWD`` clusters (a passage that many documents share, say) are first split by
-    every other band: pairs at 0.75 share a second band too, but for 8.2e-5 of them (5e-6 share no band at all).
+def _all_ties(now: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """a < b: all pairs of different components that share a rare shingle, the bucket, and may be alike.
+
+    Two members of the bucket's main component never are such a pair, so it is not compared with itself.
     """
-    now = bands.join(clusters, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    roots = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    now = cut(now.join(roots, "bucket"), "mixed")
-    crowd = now.where(F.col("roots") > CROWD).join(reps.select("rep", "keys"), "rep").select("bucket", "rep", "root", F.explode("keys").alias("key")).where("key <> bucket")
-    now = now.where(F.col("roots") <= CROWD).select("bucket", "rep", "root").union(crowd.select(F.xxhash64("bucket", "key"), "rep", "root"))
-    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    now = now.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket").join(reps.select("rep", "bits"), "rep")
-    now = cut(now, "mixed")
-    few = now.where("root <> main").select("bucket", F.col("rep").alias("rep_b"), F.col("root").alias("root_b"), F.col("bits").alias("y"))
-    far = (now.root != few.root_b) & ((now.root == now.main) | (now.rep < few.rep_b)) & (_agree("bits", "y") >= LEAST_AGREE)
-    pairs = now.join(few, (now.bucket == few.bucket) & far)
+    main = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    now = now.join(bounded(cut(main, "main"), BROADCAST_BUCKETS), "bucket").join(marks, "rep")
+    # plain columns instead of arrays keep the condition of the join short enough to be compiled
+    words = [F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(4)] + [F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITMAP)]
+    now = cut(now.select("bucket", "place", "rep", "root", "main", "n_shingles", *words), "members")
+    few = now.where("root <> main").drop("main")
+    few = few.toDF(*[f"{c}_b" for c in few.columns])
+    here, there = (lambda c: F.coalesce(c, F.lit(0)), lambda c: F.coalesce(f"{c}_b", F.lit(0)))
+    differ = lambda c, k: here(f"{c}{k}").bitwiseXOR(there(f"{c}{k}"))
+    total = lambda counts: functools.reduce(lambda a, b: a + b, counts)
+    n, n_b = here("n_shingles"), there("n_shingles")
+    far = (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("rep_b")))
+    # if this is their first common shingle, enough must be left from here on to be in common
+    left = F.least(n - here("place"), n_b - there("place")) * (100 + percent) >= (n + n_b) * percent
+    signed = total([F.bit_count(differ("w", k).bitwiseOR(differ("w", k + 2))) for k in (0, 1)]) <= COORDINATES - LEAST_AGREE
+    # sets that differ in d shingles or more have (n + n_b - d) / 2 in common at most
+    mapped = total([F.bit_count(differ("m", k)) for k in range(BITMAP)]) * (100 + percent) <= (n + n_b) * (100 - percent)
+    pairs = now.join(few, (F.col("bucket") == F.col("bucket_b")) & left & far & signed & mapped)
     return pairs.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
-def _links(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with ``first`` > 0, of those across its two parts only."""
-    m = len(sets)
-    lens = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), lens)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
-    both = np.zeros((m, m), np.float32)
-    width = max(64, (4 << 20) // m)
-    for at in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [at, at + width])
-        block = np.zeros((m, width), np.float32)
-        block[owner[a:b], column[a:b] - at] = 1
-        both += block @ block.T
-    both = np.rint(both).astype(np.int64)
-    linked = np.triu(both * 100 >= (lens[:, None] + lens[None] - both) * percent, 1)
-    if first:
-        linked[:first, :first] = False
-        linked[first:, first:] = False
-    up = list(range(m))
-
-    def top(k):
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    forest = []
-    for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            up[y] = x
-            forest.append((a, b))
-    return forest
-
-
-def _confirmed(df: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
-    """Confirmed links (a, b) among the members of each cluster, a spanning forest for each pair of parts."""
-    members = clusters.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    parts = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
-    members = cut(members.join(parts, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "parts"), "members")
-    texts = df.select("doc_id", "text").join(members.select("doc_id"), "doc_id", "left_semi")
-    dealt = shingle_sets(texts, size).join(members, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other).select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc_id", "shingles")
-    dealt = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "part", "doc_id")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike."""
+    sets = sets.select("rep", "shingles")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * percent).select("a", "b")
 
-    def run(batches):
-        def links(key, rows):
-            rows = list({doc: (part, s) for doc, part, s in rows}.items())
-            if len(rows) > 1:
-                first = sum(part == key[1] for _, (part, _) in rows) if key[1] != key[2] else 0
-                if key[1] == key[2] or 0 < first < len(rows):
-                    found = _links([s for _, (_, s) in rows], first, percent)
-                    return [(rows[a][0], rows[b][0]) for a, b in found]
-            return []
-
-        key, rows, out = None, [], []
-        for batch in batches:
-            cluster, p, q, part, doc = (batch.column(k).to_pylist() for k in range(5))
-            sets = batch.column(5)
-            flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-            for k in range(batch.num_rows):
-                now = (cluster[k], p[k], q[k])
-                if now != key:
-                    out += links(key, rows)
-                    key, rows = now, []
-                rows.append((doc[k], part[k], flat[offsets[k] : offsets[k + 1]].copy()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        out = links(key, rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, rep, place: the shared shingles of each set of which a set alike to it must hold one, with their places in the order of counts.
+
+    Shingles that stand in one set only come first in it and are left out; a set with a prefix full of them has no row.
+    """
+    rows = sets.select("rep", "n_shingles", F.explode("shingles").alias("bucket"))
+    counts = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-shingles")
+    shared = rows.join(bounded(counts), "bucket")
+    own = Window.partitionBy("rep")
+    shared = shared.select("*", F.row_number().over(own.orderBy("n", "bucket")).alias("rank"), F.count(F.lit(1)).over(own).alias("common"))
+    place = F.col("n_shingles") - F.col("common") + F.col("rank") - 1
+    size = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    return shared.withColumn("place", place).where(F.col("place") < size).select("bucket", "rep", "place")
+
+
+def _linked(bands: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: the components of the members of ``bands`` (bucket, rep, popularity) by confirmed links."""
+    links = clusters = None
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        found = cut(_confirmed(cut(pairs, "ties"), sets, percent), "links")
+        if links is not None and found.isEmpty():
+            return clusters
+        links = found if links is None else links.union(found)
+        return components(links)
+
+    now = bands.withColumn("root", F.col("rep"))
+    for turn in range(BAND_ROUNDS):
+        clusters = confirm(_ties(now, reps, turn))
+        now = _mixed(_rooted(now.drop("root"), clusters))
+    apart = cut(now.select("rep").distinct(), "apart")
+    alone = cut(sets.join(bounded(apart), "rep", "left_semi"), "sets-apart")
+    now = _mixed(_rooted(cut(_rarest(alone, percent), "rarest"), clusters))
+    for turn in range(BAND_ROUNDS, BAND_ROUNDS + SHINGLE_ROUNDS):
+        clusters = confirm(_ties(now, reps, turn))
+        now = _mixed(_rooted(now.drop("root"), clusters))
+    return confirm(_all_ties(now, alone.select("rep", "bitmap").join(reps.select("rep", "bits", "n_shingles"), "rep"), percent))
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -337,14 +339,15 @@ def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFram
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     reps = cut(classes.groupBy("rep").agg(F.min(F.struct("set_key", "n_shingles", "keys", "bits")).alias("s")).select("rep", "s.*"), "classes")
     bands = reps.select("rep", F.explode("keys").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    bands = cut(bands.join(shared, "bucket"), "bands")
-    ties = cut(_ties(bands, reps), "ties")
-    clusters = components(ties)
-    more = cut(_more_ties(bands, reps, clusters), "ties")
-    if not more.isEmpty():
-        clusters = components(ties.union(more))
-    roots = components(cut(_confirmed(df, clusters, reps, percent, size), "links"))
+    shared = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    bands = cut(bands.join(bounded(shared), "bucket"), "bands")
+    popular = bands.groupBy("rep").agg(F.sum("n").alias("popularity"))  # how many others it shares buckets with, counted for each
+    bands = cut(bands.drop("n").join(popular, "rep"), "bands")
+    members = cut(bands.select("rep").distinct().join(reps.select("rep", "set_key", "n_shingles"), "rep").withColumnRenamed("rep", "doc_id"), "members")
+    texts = df.select("doc_id", "text").join(bounded(members.select("doc_id")), "doc_id", "left_semi")
+    sets = shingle_sets(texts, size).join(members, ["doc_id", "set_key"])
+    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(c).alias(c) for c in ("n_shingles", "shingles", "bitmap")])
+    roots = _linked(bands, reps, cut(sets, "sets"), percent)
     named = reps.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select("set_key", F.coalesce("root", "rep").alias("component_id"))
     out = docs.join(named, "set_key", "left")

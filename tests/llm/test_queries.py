@@ -46,7 +46,11 @@ def test_op2_base_spans(spark, sf_dir, duck):
     for r in rows:
         want = brute_base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
-        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == want
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if s.split(":")[0] in ("email", "ip", "card", "phone")] == want
+        runs = [m for m in re.finditer("(?<![A-Za-z0-9])[A-Za-z0-9]{16,}", texts[r.doc_id] or "") if min(len(re.findall(c, m[0])) for c in ("[0-9]", "[A-Za-z]")) > 1]
+        assert [s for s in spans if s.startswith("secret")] == [f"secret:{m.start()}:{m.end()}" for m in runs] and r.n_secret == len(runs)
+        assert r.personal == bool(spans)
         assert r.n_email == sum(s.startswith("email") for s in want)
 
 
