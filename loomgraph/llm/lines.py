@@ -25,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 GRAM, WINDOW, RUN = 25, 25, 50
+#: First places of runs, of 100 bytes each, that are broadcast.
+BROADCAST_RUNS = 250_000
 _DOC = ("doc_id", "text_key")
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -77,8 +79,9 @@ def _deleted(df: DataFrame) -> DataFrame:
     prints = runs.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     shared = cut(runs.join(prints.select("gram"), "gram", "left_semi").drop("gram", "mark"), "shared")
     place = F.struct(*_DOC, "start")
-    firsts = shared.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
-    later = shared.join(firsts, "run").where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "start", "stop")
+    # first places are broadcast where their number allows it, else joined as a table: a run that very many documents hold is then split up
+    firsts = cut(shared.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first"), "firsts")
+    later = shared.join(bounded(firsts, BROADCAST_RUNS), "run").where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "start", "stop")
     before = F.max("stop").over(Window.partitionBy(*_DOC).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.greatest("start", F.coalesce(before + 1, "start"))).where(F.col("new") <= F.col("stop"))
     return later.groupBy(*_DOC).agg(F.flatten(F.collect_list(F.sequence("new", "stop"))).alias("gone"))
