@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import CROSS_BOOK_FLOOR, CROSS_BOOK_FLOORS
 from .candidates import last_wins
 
 
@@ -61,7 +62,7 @@ def edge_reason() -> Column:
     )
 
 
-def prediction_reason(allowed: tuple[str, ...], symmetric: tuple[str, ...], floors: dict[str, float], floor: float = 0.7) -> Column:
+def prediction_reason(allowed: tuple[str, ...], symmetric: tuple[str, ...], floors: dict[str, float] = CROSS_BOOK_FLOORS, floor: float = CROSS_BOOK_FLOOR) -> Column:
     """Verdict on a prediction: empty, NONE, bad_type, low_conf (a floor for each type), sym or asym."""
     t = F.upper(F.trim("rel_type"))
     least = F.create_map(*[F.lit(x) for kv in floors.items() for x in kv])[t] if floors else F.lit(None)
@@ -114,6 +115,11 @@ def without(edges: DataFrame, method: str | None = None, prefix: str | None = No
     return edges.where(~gone)
 
 
+def wiped(rows: DataFrame) -> DataFrame:
+    """The table without any row."""
+    return rows.where(F.lit(False))
+
+
 def overwrite_grades(rows: DataFrame, path: str) -> None:
     """Replace only the grades that the rows hold."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grade").parquet(path)

@@ -14,14 +14,14 @@ from ..operators import context as X
 from ..operators import upsert as U
 from .structure import edges as all_edges
 
-_E = """e as (select 'p' || (l_partkey % 60) as src, 's' || (l_suppkey % 20) as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber, l_shipmode_k, l_shipdate
+_E = """e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber, l_shipmode_k, l_shipdate
   from (select *, l_orderkey * 10 + l_linenumber as l_shipmode_k from lineitem))"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("dst"), F.concat("l_returnflag", "l_linestatus").alias("rel_type"),
+        F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.concat("l_returnflag", "l_linestatus").alias("rel_type"),
         F.round(1 - F.col("l_discount"), 2).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), "l_shipdate",
     )
 
@@ -58,16 +58,16 @@ def resolve_or_stub(spark, sf_dir):
     return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), "dst", "target_label")
 
 
-_STAGED = """g as (select case when l_linenumber = 7 then '' when l_linenumber = 6 then '1x' else l_returnflag || '_' || l_linestatus end as rel_type, case when l_quantity = 1 then '  ' else 'n' || (l_partkey % 50) end as source_name, 'g' || (l_partkey % 3) as source_grade,
-  case when l_quantity = 2 then null else 'n' || (l_suppkey % 50) end as target_name, 'g' || (l_suppkey % 3) as target_grade, round(1 - l_discount, 2) as confidence from lineitem)"""
+_STAGED = """g as (select case when l_linenumber = 7 then '' when l_linenumber = 6 then '1x' else l_returnflag || '_' || l_linestatus end as rel_type, case when l_quantity = 1 then '  ' else 'n' || l_partkey end as source_name, 'g' || (l_partkey % 3) as source_grade,
+  case when l_quantity = 2 then null else 'n' || l_suppkey end as target_name, 'g' || (l_suppkey % 3) as target_grade, round(1 - l_discount, 2) as confidence from lineitem)"""
 
 
 def _staged(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber")
     return li.select(
-        F.when(n == 7, "").when(n == 6, "1x").otherwise(F.concat_ws("_", "l_returnflag", "l_linestatus")).alias("rel_type"), F.when(F.col("l_quantity") == 1, "  ").otherwise(F.concat(F.lit("n"), F.col("l_partkey") % 50)).alias("source_name"),
-        F.concat(F.lit("g"), F.col("l_partkey") % 3).alias("source_grade"), F.when(F.col("l_quantity") != 2, F.concat(F.lit("n"), F.col("l_suppkey") % 50)).alias("target_name"), F.concat(F.lit("g"), F.col("l_suppkey") % 3).alias("target_grade"),
+        F.when(n == 7, "").when(n == 6, "1x").otherwise(F.concat_ws("_", "l_returnflag", "l_linestatus")).alias("rel_type"), F.when(F.col("l_quantity") == 1, "  ").otherwise(F.concat(F.lit("n"), "l_partkey")).alias("source_name"),
+        F.concat(F.lit("g"), F.col("l_partkey") % 3).alias("source_grade"), F.when(F.col("l_quantity") != 2, F.concat(F.lit("n"), "l_suppkey")).alias("target_name"), F.concat(F.lit("g"), F.col("l_suppkey") % 3).alias("target_grade"),
         F.round(1 - F.col("l_discount"), 2).alias("confidence"),
     )
 

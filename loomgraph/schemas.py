@@ -55,6 +55,7 @@ SURVEY_ANSWER = "relationValid STRING, relationTypeCorrect STRING, directionCorr
 WITHIN_BOOK = ("BAGIAN_DARI", "MENYEBABKAN", "BERGANTUNG_PADA", "MENDEFINISIKAN", "MEMPENGARUHI", "BERINTERAKSI_DENGAN", "DIFORMULASIKAN_SEBAGAI")
 CROSS_BOOK = ("SAMA_DENGAN", "APLIKASI_DARI", "PRASYARAT_UNTUK", "MEMPERDALAM", "BERKAITAN_DENGAN")
 CROSS_BOOK_SYMMETRIC = ("SAMA_DENGAN", "BERKAITAN_DENGAN")
+CROSS_BOOK_FLOOR, CROSS_BOOK_FLOORS = 0.7, {"BERKAITAN_DENGAN": 0.85}
 HIERARCHICAL = ("BAGIAN_DARI", "PRASYARAT_UNTUK")
 STRUCTURAL = ("HAS_CHAPTER", "HAS_SUBTOPIC", "HAS_CONCEPT", "NEXT_CHAPTER")
 CHAPTER_LEVEL = ("PRASYARAT", "MEMPERSIAPKAN")
