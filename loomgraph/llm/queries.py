@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, lines, minhash, pages, privacy, quality, sharding, wordpiece
+from . import bpe, covertree, decontaminate, lines, minhash, pages, phrases, privacy, quality, sharding, tokenbin, whitening, wordpiece
 
 #: Words, five-word shingles, links at 0.75 and smallest reachable doc_id, spelt out.
 OP1 = r"""
@@ -79,6 +79,31 @@ select doc_id, g.n_items is not null as contaminated, g.n_items is null as kept,
 from documents left join g using (doc_id)
 """
 
+#: All phrases of two and three words by text, in 128-bit whole numbers.
+OP12 = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws from documents where text is not null),
+f as materialized (
+  select lang, w, len(w) as k, count(*) as f from (
+    select lang, unnest(list_concat(
+      [ws[i:i] for i in range(1, len(ws) + 1)], [ws[i:i + 1] for i in range(1, len(ws))], [ws[i:i + 2] for i in range(1, len(ws) - 1)])) as w from p)
+  group by 1, 2),
+t as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by 1),
+c as (select lang, w, k, f as a from f where k > 1 and f >= 10),
+cuts as (select *, unnest(range(1, k)) as cut from c),
+s as (
+  select cuts.*, x.f as l, y.f as r, cast((1000000::hugeint * a * a) // (x.f::hugeint * y.f) as bigint) as score
+  from cuts join f x on x.lang = cuts.lang and x.w = cuts.w[1:cut] join f y on y.lang = cuts.lang and y.w = cuts.w[cut + 1:cuts.k]),
+b as (select lang, w, k, a, arg_min(struct_pack(l := l, r := r, score := score), score * 2 + cut - 1) as best from s group by 1, 2, 3, 4),
+gone as (
+  select distinct b.lang, b.w from b join (
+    select lang, unnest([w[1:2], w[2:3]]) as w, a from c where k = 3) g on g.lang = b.lang and g.w = b.w and 100 * g.a >= 50 * b.a),
+kept as (select b.lang, array_to_string(b.w, ' ') as phrase, a, best.l as l, best.r as r, best.score as score from b anti join gone on gone.lang = b.lang and gone.w = b.w),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join t using (lang) where rank <= 2000
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -125,6 +150,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_privacy": op2_privacy,
@@ -136,5 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_main_text": op10_main_text,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_token_files": op13_token_files,
 }
-ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op7_top_k": OP7, "op8_decontaminate": OP8}
+ORACLES: dict[str, str] = {"op1_near_duplicates": OP1, "op3_line_dedup": OP3, "op7_top_k": OP7, "op8_decontaminate": OP8, "op12_collocations": OP12}
