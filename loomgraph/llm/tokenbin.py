@@ -12,9 +12,12 @@ A file holds whole documents of one range of doc_ids, about ``FILE_TOKENS`` ids
 Blocks have 128 ids (the last one is filled up with its minimum). The width is what the ``PERCENTILE``-th largest distance needs;
 larger ones are exceptions and keep a zero in the data. Any range of ids is read from the blocks that hold it.
 
-Texts are encoded first, to a table of ids as narrow integers, so they are tokenized once; rows are then partitioned by range of (doc_id,
-hash of the text, row), so neither a repeated doc_id nor nulls (which come first) make one large partition. Files are written by Spark's own
-writer through its commit protocol, to any file system, a file for each row; a lost task is written again.
+Rows are partitioned by range of (doc_id, hash of the text, row), so neither a repeated doc_id nor nulls (which come first) make one large
+partition, and encoded where they arrive. Files are written by Spark's own writer through its commit protocol, to any file system, a file for each row; a lost
+task is written again.
+
+Texts are split at white space and each word is encoded once by a Python worker while it is remembered, where the vocabulary drops white space; so are words of ASCII letters
+before one of ``MARKS``, where its pre-tokenizer splits the mark off. Elsewhere texts are encoded whole.
 
 Null and empty texts have no ids but the end id. Repeated rows are documents each, in the order of their text's hash. Very long texts are encoded whole. An
 empty table gives no file and no rows. Extra columns are ignored.
@@ -22,6 +25,8 @@ empty table gives no file and no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -41,11 +46,11 @@ from .common import cut, scratch_dir, slices
 END_ID = 2
 BLOCK, PERCENTILE = 128, 90
 FILE_TOKENS = 2 << 20
-#: Files of a partition, about.
-FILES = 8
-CHUNK_BYTES = 4 << 20
-#: Words whose ids are kept, and bytes of a word that is.
-KEPT, LONG_WORD = 300_000, 64
+#: Bytes of text of a partition, about, and of a chunk of it.
+PARTITION_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
+#: Words whose ids are kept (at most twice as many and a chunk's), and bytes of a word that is.
+KEPT, LONG_WORD = 500_000, 64
+MARKS = ".,;:!?"
 MAX_VOCAB_BYTES = 64 << 20
 _HEADER = struct.Struct("<8sIIqqqqqq")
 _MAGIC = b"LGTOKEN1"
@@ -149,8 +154,6 @@ class TokenFile:
 
 
 def _tokenizer(data: bytes):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -164,65 +167,70 @@ def _by_words(tokenizer) -> bool:
     return all(ids(f"a{s}b{s}{s}1{s}") == ids("a") + ids("b") + ids("1") for s in spaces) and not any(c in t.content for t in tokenizer.get_added_tokens_decoder().values() for c in spaces)
 
 
-class Encoder:
-    """Bytes of a text -> its ids as packed integers."""
+def _splits_off(tokenizer, mark: str) -> bool:
+    """Whether a mark after letters is always a piece of its own."""
+    word, before = f"Ab{mark}", tokenizer.pre_tokenizer
+    if before is None or any(mark in t.content for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    normal = tokenizer.normalizer.normalize_str(word) if tokenizer.normalizer else word
+    return [at for _, at in before.pre_tokenize_str(normal)] == [(0, 2), (2, 3)]
+
+
+class Encoder(dict):
+    """word -> packed ids. Words not asked for while ``KEPT`` others were are forgotten."""
 
     def __init__(self, data: bytes, dtype: str):
-        self.tokenizer, self.dtype, self.kept = _tokenizer(data), np.dtype(dtype), {}
+        super().__init__()
+        self.tokenizer, self.dtype, self.old = _tokenizer(data), np.dtype(dtype), {}
         self.by_words = _by_words(self.tokenizer)
+        self.marks = {ord(m): self.ids(m.encode()) for m in MARKS if self.by_words and _splits_off(self.tokenizer, m)}
 
-    def _ids(self, text: bytes) -> bytes:
+    def ids(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            mark = self.marks.get(word[-1]) if word[:-1].isalpha() else None
+            ids = self.ids(word) if mark is None else self[word[:-1]] + mark
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        if not self.by_words:
-            return self._ids(text)
-        kept, out = self.kept, []
-        for word in text.split():
-            ids = kept.get(word)
-            if ids is None:
-                ids = self._ids(word)
-                if len(word) <= LONG_WORD:
-                    kept[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.split())) if self.by_words else self.ids(text)
 
     def trim(self) -> None:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
 
+_encoders: dict[tuple[str, str], Encoder] = {}
 
-def encoded(df: DataFrame, vocab_path: str, end_id: int = END_ID, text_col: str = "text") -> tuple[DataFrame, str]:
-    """(doc_id, hash, row, n_tokens, ids) with the end id, cut, and the type of the packed ids."""
+
+def _encoder(name: str, shared, dtype: str) -> Encoder:
+    """The encoder of a vocabulary, kept by a Python worker from task to task."""
+    if (name, dtype) not in _encoders:
+        _encoders.clear()
+        _encoders[name, dtype] = Encoder(shared.value, dtype)
+    return _encoders[name, dtype]
+
+
+def write_tokens(df: DataFrame, vocab_path: str, path: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, text_col: str = "text") -> None:
+    """Encode the texts, append ``end_id`` to each, write token files under ``path`` in ascending doc_id order."""
     data = Path(vocab_path).read_bytes()
     if len(data) > MAX_VOCAB_BYTES:
         raise ValueError(f"vocabulary of {len(data)} bytes; at most {MAX_VOCAB_BYTES} are broadcast")
     largest = max([end_id, *_tokenizer(data).get_vocab(True).values()])
     dtype = "<u2" if largest < 2**16 else "<u4"
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    shared, name = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches):
-        encode = Encoder(shared.value, dtype)
-        for batch in slices(batches, text_col, CHUNK_BYTES):
-            encode.trim()
-            ids = [encode(text) + end for text in pc.cast(batch.column(2), pa.binary()).to_pylist()]
-            n = pa.array([len(x) // len(end) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, pa.array(ids, pa.binary())], ["doc_id", "hash", "n_tokens", "ids"])
-
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), text_col)
-    out = rows.mapInArrow(run, "doc_id bigint, hash bigint, n_tokens bigint, ids binary")
-    return cut(out.withColumn("row", F.monotonically_increasing_id()), "ids"), dtype
-
-
-def write_files(ids: DataFrame, dtype: str, path: str, file_tokens: int = FILE_TOKENS) -> None:
-    """Write (doc_id, hash, row, n_tokens, ids) as token files under ``path``."""
-    tokens = ids.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    order = ["doc_id", "hash", "row"]
-
-    def run(batches):
+        encode = _encoder(name, shared, dtype)
         partition, number = TaskContext.get().partitionId(), 0
         held, size = [], 0
 
@@ -233,18 +241,21 @@ def write_files(ids: DataFrame, dtype: str, path: str, file_tokens: int = FILE_T
             content = to_file(np.concatenate(x), pc.fill_null(doc_ids, 0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), starts, partition, number)
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
-        for batch in slices(batches, "ids", CHUNK_BYTES):
-            for doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((doc_id, packed))
-                size += len(packed) // np.dtype(dtype).itemsize
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            encode.trim()
+            for doc_id, text in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
+                held.append((doc_id, encode(text) + end))
+                size += len(held[-1][1]) // len(end)
                 if size >= file_tokens:
                     yield file()
                     held, size, number = [], 0, number + 1
         if held:
             yield file()
 
-    n = max(1, -(-tokens // (file_tokens * FILES)))
-    ordered = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    order = ["doc_id", "hash", "row"]
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     files = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
@@ -294,11 +305,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, ["partition", "number"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_tokens(df: DataFrame, vocab_path: str, path: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, text_col: str = "text") -> None:
-    """Encode the texts, append ``end_id`` to each, write token files under ``path`` in ascending doc_id order."""
-    write_files(*encoded(df, vocab_path, end_id, text_col), path, file_tokens)
-
-
 def digests(df: DataFrame, vocab_path: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from token files written for it (in the shared folder unless ``path`` is given)."""
     path = path or f"{scratch_dir(df.sparkSession)}/tokens-{uuid.uuid4().hex}"
