@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STRUCTURAL, WITHIN_BOOK
+from .order_statistics import values_at
 
 
 def share(condition: Column) -> Column:
@@ -147,8 +148,13 @@ def bridges(edges: DataFrame, groups: int = 2) -> DataFrame:
 
 
 def summary_by(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """keys, n, mean, median, low, high."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """keys, n, mean, median, low, high; the median lies midway between the two middle values."""
+    n = F.col("n")
+    middle = values_at(df, value, list(keys), {"_below": F.floor((n - 1) / 2), "_above": F.floor(n / 2)})
+    means = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    on = [F.col(f"_k{i}").eqNullSafe(middle[k]) for i, k in enumerate(keys)] or [F.lit(True)]
+    median = middle["_below"] + (middle["_above"] - middle["_below"]) / 2
+    return means.join(middle, on, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], means["n"], "mean", median.cast("double").alias("median"), "low", "high")
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -165,11 +171,10 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """keys, low, median, high, empty: the median is an element, the (n // 2)-th from 0 of the sorted values."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), F.row_number().over(order).alias("r"))
-    counts = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), F.sum((F.col(value) == 0).cast("long")).alias("empty"))
-    at = rows.join(counts, list(keys)).where(F.col("r") == F.floor(F.col("n") / 2) + 1)
-    return at.select(*keys, "low", F.col("v").alias("median"), "high", "empty")
+    at = values_at(df, value, list(keys), {"median": F.floor(F.col("n") / 2)})
+    empty = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.coalesce(F.sum((F.col(value) == 0).cast("long")), F.lit(0)).alias("empty"))
+    on = [F.col(f"_k{i}").eqNullSafe(at[k]) for i, k in enumerate(keys)] or [F.lit(True)]
+    return at.join(empty, on).select(*keys, "low", "median", "high", "empty")
 
 
 def top_and_other(df: DataFrame, key: str, top: int, other: str = "other") -> DataFrame:
@@ -200,9 +205,10 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
 def embedding_coverage(nodes: DataFrame, stored: DataFrame) -> DataFrame:
     """label, nodes, embedded, models."""
     have = stored.groupBy(F.col("node_id").alias("id")).agg(F.sort_array(F.collect_set("model")).alias("models"))
-    rows = nodes.join(have, "id", "left")
-    models = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("models")))), ",")
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count("models").alias("embedded"), models.alias("models"))
+    rows = nodes.select("id", "label").join(have, "id", "left")
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count("models").alias("embedded"))
+    names = rows.select("label", F.explode("models").alias("model")).groupBy(F.col("label").alias("_label")).agg(F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"))
+    return counts.join(names, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", "nodes", "embedded", F.coalesce("models", F.lit("")).alias("models"))
 
 
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -1,26 +1,12 @@
-"""Hierarchy, paths and iterative graph operators."""
+"""Hierarchy, paths and iterative graph operators."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import modularity, simple_edges
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster shares (``spark.checkpoint.dir``); a temporary one only on one machine where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import re
-        import tempfile
-
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"loomgraph-{uuid.uuid4().hex[:8]}-"))
-    return df.checkpoint()
+from .tables import cut
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...], outer: bool = False) -> DataFrame:
@@ -75,48 +61,6 @@ def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return seen
 
 
-def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None) -> DataFrame:
-    """Edges in order, each accepted unless it closes a cycle over the accepted ones and those of ``seed`` (src, dst).
-
-    The rule is sequential, so edges are taken component by component: no cycle crosses components, and each is
-    one group. Columns in: src, dst and those ordered by; out: the same with accepted boolean.
-    """
-    every = edges.select("src", "dst") if seed is None else edges.select("src", "dst").union(seed.select("src", "dst"))
-    ends = every.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    parts = connected_components(ends, every).toDF("src", "part")
-    names = edges.columns
-
-    def accept(group):
-        import pandas as pd  # noqa: F401
-
-        rows = group.sort_values("_order")
-        out, keep = {}, []
-        for s, d, old in zip(rows["src"], rows["dst"], rows["_seed"], strict=True):
-            if old:
-                out.setdefault(s, []).append(d)
-                continue
-            stack, seen, closes = [d], set(), s == d
-            while stack and not closes:
-                n = stack.pop()
-                if n == s:
-                    closes = True
-                elif n not in seen:
-                    seen.add(n)
-                    stack.extend(out.get(n, ()))
-            keep.append(not closes)
-            if not closes:
-                out.setdefault(s, []).append(d)
-        rows = rows[~rows["_seed"]].assign(accepted=keep)
-        return rows[[*names, "accepted"]]
-
-    placed = edges.join(parts, "src").withColumns({"_order": F.row_number().over(Window.partitionBy("part").orderBy(*order)), "_seed": F.lit(False)})
-    if seed is not None:
-        first = seed.select("src", "dst").join(parts, "src").withColumns({"_order": F.lit(0), "_seed": F.lit(True)})
-        placed = placed.unionByName(first, allowMissingColumns=True)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields)
-    return placed.groupBy("part").applyInPandas(accept, f"{fields}, accepted boolean")
-
-
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, part: communities by synchronous label propagation, ties to the smaller label (A04, a cheaper approximation)."""
     e = simple_edges(edges)

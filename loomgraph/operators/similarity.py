@@ -3,27 +3,20 @@
 Scores are (1 + cosine)/2 by default, or the raw cosine. Self is excluded by node id before the cut at k
 unless ``self_in_k`` asks for the live index's habit of spending a place on it.
 
-The matrix is broadcast in blocks of ``BLOCK_BYTES``, one pass over the queries for each; a pass beyond the first is written before the next block is
-read, so one block is held at a time. Only k rows (and ties of the k-th) of each query leave a pass, groups are told apart inside it.
+All searches are exact and run on a ``VectorIndex``; a DataFrame of vectors gets one for the occasion, in the shared folder. Only k rows (and
+ties of the k-th, where asked for) of each query leave a task, groups are told apart inside it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paths import cut
-
-BLOCK_BYTES = 8 << 20
-DIGITS = 6
-#: Rows of queries that are multiplied at once.
-_ROWS = 256
-_OUT = "source string, target string, score double"
+from . import vector_index as V
+from .tables import shared_dir
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -33,90 +26,70 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return out.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e)) & F.exists("v", lambda e: e != 0))
 
 
-def _matrix(lists: pa.ListArray) -> np.ndarray:
-    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-    x = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+def index_of(data: DataFrame | V.VectorIndex, group: str | None = None) -> V.VectorIndex:
+    """The index itself, or one built for (id, v[, group]) rows."""
+    if isinstance(data, V.VectorIndex):
+        if group and not data.grouped:
+            raise ValueError(f"the index of {data.model} holds no groups")
+        return data
+    return V.create(data, f"{shared_dir(data.sparkSession)}/index-{uuid.uuid4().hex}", "own", group)
 
 
-def _scores(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, raw: bool, self_in_k: bool) -> np.ndarray:
-    cos = np.clip(x @ y.T, -1, 1)
-    s = np.round(cos if raw else (1 + cos) / 2, DIGITS)
-    return s if self_in_k else np.where(ids[:, None] == other[None], -np.inf, s)
+def _own_block(k: int, raw: bool, self_in_k: bool, by_group: bool):
+    """What k rows of a query's own block reach already."""
 
+    def floor(b: V.Block, _) -> np.ndarray:
+        s = V.scores(b, b, raw, self_in_k, by_group)
+        return -np.partition(-s, k - 1, axis=1)[:, k - 1] if k <= s.shape[1] else np.full(len(s), -np.inf)
 
-def _blocks(data: DataFrame, *columns: str) -> Iterator[tuple[pa.Table, bool]]:
-    """The rows of ``data`` in Arrow tables of bounded size, and whether more follow."""
-    size = (data.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] or 0) * 8
-    n = max(1, -(-size // BLOCK_BYTES))
-    for k in range(n):
-        block = data if n == 1 else data.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
-        yield block.select("id", "v", *columns).toArrow(), n > 1
+    return floor
 
 
-def _passes(queries: DataFrame, data: DataFrame, columns: list[str], per_slice, out: str) -> DataFrame:
-    """The rows of ``per_slice`` (batch, block table) over all blocks of ``data``."""
-    context, found = data.sparkSession.sparkContext, None
-    for block, several in _blocks(data, *columns):
-        shared = context.broadcast((block, _matrix(block["v"].combine_chunks())))
+def _nothing(b: V.Block, _) -> np.ndarray:
+    return np.full(len(b.ids), -np.inf)
 
-        def run(batches, shared=shared):
-            other, y = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows if other.num_rows else 0, _ROWS):
-                    yield per_slice(batch.slice(at, _ROWS), other, y)
 
-        part = queries.mapInArrow(run, out)
-        if several:
-            part = cut(part)
-            shared.destroy()
-        found = part if found is None else found.union(part)
-    return found
+def visited_share(index: V.VectorIndex, k: int, raw: bool = False) -> float:
+    """Share of all pairs of rows in pairs of blocks that a search for k neighbours of all rows may visit; blocks ruled out on the way are counted too."""
+    pairs = V.candidate_blocks(index.blocks, index, _own_block(k, raw, False, False), raw)
+    size = lambda c: index.blocks.select(F.col("block").alias(c), F.col("n").alias(f"n_{c}"))
+    met = pairs.join(size("q"), "q").join(size("block"), "block").agg(F.sum(F.col("n_q") * F.col("n_block").cast("double"))).first()[0]
+    return (met or 0.0) / max(1, index.n) ** 2
 
 
-def neighbours(queries: DataFrame, data: DataFrame, k: int, raw: bool = False, self_in_k: bool = False, group: str | None = None, ties: bool = False) -> DataFrame:
+def neighbours(queries: DataFrame | None, data: DataFrame | V.VectorIndex, k: int, raw: bool = False, self_in_k: bool = False, group: str | None = None, ties: bool = False) -> DataFrame:
     """source, target, score, rank: the k best targets of each source, ties to the smaller id.
 
-    With ``group``, a column of both sides, only targets of another known group count, before the cut at k (P08, W11). With ``ties``, the rank is
-    1 + the number of strictly better targets, and all targets of rank k or better stay (W03).
+    Queries are (id, v[, group]) rows, or all rows of the index (None). With ``group``, only targets of another known group count, before the cut at k (P08,
+    W11). With ``ties``, the rank is 1 + the number of strictly better targets, and all targets of rank k or better stay (W03).
     """
-    groups = [group] if group else []
-
-    def best(batch, other, y):
-        ids, others = (np.array(t.to_pylist(), object) for t in (batch.column(0), other["id"]))
-        s = _scores(ids, _matrix(batch.column(1)), others, y, raw, self_in_k)
-        if group:
-            own, theirs = (np.array(t.to_pylist(), object) for t in (batch.column(2), other[group]))
-            known = lambda g: (g != None) & (g != "")  # noqa: E711, E731
-            s = np.where((own[:, None] != theirs[None]) & known(own)[:, None] & known(theirs)[None], s, -np.inf)
-        keep = np.isfinite(s)
-        if k < s.shape[1]:
-            keep &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]  # ties at the k-th place go on; the final cut orders them by id
-        r, c = np.nonzero(keep)
-        return pa.RecordBatch.from_arrays([pa.array(ids[r].tolist(), pa.string()), pa.array(others[c].tolist(), pa.string()), pa.array(s[r, c])], ["source", "target", "score"])
-
-    found = _passes(queries.select("id", "v", *groups), data, groups, best, _OUT)
+    index, own = index_of(data, group), queries is None
+    rows, floor = (index.blocks, _own_block(k, raw, self_in_k, bool(group))) if own else (V.blocks_of(queries, index, group), _nothing)
+    found = V.visit(rows, index, floor, lambda b, _: V.Nearest(b, k, raw, self_in_k, bool(group), ties), "source string, target string, score double", raw)
     order = Window.partitionBy("source").orderBy(F.desc("score"), *([] if ties else ["target"]))
     return found.withColumn("rank", F.rank().over(order) if ties else F.row_number().over(order)).where(F.col("rank") <= k).where("source <> target")
 
 
-def ranks_of(pairs: DataFrame, queries: DataFrame, data: DataFrame, raw: bool = False) -> DataFrame:
-    """source, target, score, rank of the given pairs (source, target, score): 1 + the number of targets that suit the source strictly better.
+def ranks_of(pairs: DataFrame, queries: DataFrame | None, data: DataFrame | V.VectorIndex, raw: bool = False) -> DataFrame:
+    """source, target, score, rank of the given pairs (source, target, score), sources among the queries as in ``neighbours``: 1 + the number of targets that suit the source strictly better.
 
-    Each source brings the pairs asked of it; a pass counts better targets of a block, counts are added up. No other pair becomes a row.
+    A rank hangs on source and score, so each source asks for the distinct (rounded) scores of its pairs; blocks that hold nothing better are
+    not visited, counts of the others are added up. No other pair becomes a row.
     """
-    asked = pairs.groupBy("source").agg(F.sort_array(F.collect_set(F.struct("score", "target"))).alias("asked"))
-    rows = queries.select("id", "v").join(asked.withColumnRenamed("source", "id"), "id")
-    schema = "source string, target string, score double, better bigint"
-
-    def count(batch, other, y):
-        ids = np.array(batch.column(0).to_pylist(), object)
-        s = np.sort(_scores(ids, _matrix(batch.column(1)), np.array(other["id"].to_pylist(), object), y, raw, False), axis=1)
-        out = [(i, q["target"], q["score"], len(row) - int(np.searchsorted(row, q["score"], "right"))) for i, row, asks in zip(ids, s, batch.column(2).to_pylist(), strict=True) for q in asks]
-        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], ["source", "target", "score", "better"])
-
-    found = _passes(rows, data, [], count, schema)
-    return found.groupBy("source", "target", "score").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    asked = pairs.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set("score")).alias("asked"))
+    index = index_of(data)
+    blocks = index.blocks if queries is None else V.blocks_of(queries, index, None)
+    places = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(asked, "id", "left")
+    none = F.array().cast("array<double>")
+    of_block = places.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("asked", none).alias("asked")))).alias("a"), F.count("asked").alias("n")).where("n > 0")
+    rows = blocks.join(of_block.select("block", F.transform("a", lambda x: x["asked"]).alias("asked")), "block")
+
+    def floor(_, asked_of) -> np.ndarray:
+        return np.array([min(a, default=np.inf) for a in asked_of])
+
+    found = V.visit(rows, index, floor, lambda b, a: V.Better(b, a, raw), "source string, score double, better bigint", raw, "asked")
+    ranks = found.groupBy("source", "score").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    return pairs.select("source", "target", "score").join(ranks, ["source", "score"])
 
 
 def top_after_filter(pairs: DataFrame, condition, k: int) -> DataFrame:

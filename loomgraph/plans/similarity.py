@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..operators import candidates as C
 from ..operators import similarity as S
+from ..operators import vector_index as V
 from ..operators.compare import group_pairs
+from ..operators.tables import shared_dir
 
 THRESHOLD, K = 0.65, 10
+#: Entries of an embedding.
+DIMENSION = 64
 
 #: All scored ordered pairs, for the oracles.
 _SCORED = """
@@ -21,17 +28,20 @@ s as materialized (select a.id as source, b.id as target, a.grade as source_grad
 _TOP = f"t as (select * from (select *, row_number() over (partition by source order by score desc, target) as rank from s) where rank <= {K})"
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-
-
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("grade"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> V.VectorIndex:
+    """The index of the embeddings, with their labels as groups: built once for an application and a set of files."""
+    e = table(spark, sf_dir, "embeddings")
+    key = hashlib.sha256("\n".join([sf_dir, *sorted(e.inputFiles())]).encode()).hexdigest()[:16]
+    rows = S.vectors(e, "vec_id", "embedding").join(_grades(spark, sf_dir), "id")
+    return V.ensure(rows, f"{shared_dir(spark)}/indexes-{key}", "embeddings", DIMENSION, "grade")
+
+
 def _top(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return S.neighbours(v, v, k)
+    return S.neighbours(None, index(spark, sf_dir), k)
 
 
 def _pairs(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -52,17 +62,34 @@ def candidate_pairs(spark, sf_dir):
 @query("topk_after_filter", f"""with {_SCORED} select source, target, score, cast(rank as integer) as rank from (
   select *, row_number() over (partition by source order by score desc, target) as rank from s where source_grade <> target_grade) where rank <= 3""")
 def topk_after_filter(spark, sf_dir):
-    v = _vectors(spark, sf_dir).join(_grades(spark, sf_dir), "id")
-    return S.neighbours(v, v, 3, group="grade")
+    return S.neighbours(None, index(spark, sf_dir), 3, group="grade")
+
+
+@query("vector_index_state", """with v as (select len(embedding) as d, count(*) as n from embeddings where embedding is not null and len(embedding) > 0 group by 1)
+select 'embeddings' as model, cast(d as integer) as dimension, cast(n as bigint) as n, cast(1 as integer) as version, n as indexed, n as ids from v
+union all select 'halves', cast(d // 2 as integer), n, 1, n, n from v""")
+def vector_index_state(spark, sf_dir):
+    """What is left after an index of one model was built twice and one of another after a change of dimension."""
+    e, path = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    V.ensure(e, path, "embeddings", DIMENSION)
+    V.ensure(e, path, "embeddings", DIMENSION)
+    V.create(e.select("id", F.slice("v", 1, DIMENSION // 4).alias("v")), path, "halves")
+    V.create(e.select("id", F.slice("v", 1, DIMENSION // 2).alias("v")), path, "halves")
+    rows = None
+    for model in ("embeddings", "halves"):
+        found = V.load(spark, path, model)
+        held = found.blocks.agg(F.sum("n").alias("indexed")).withColumn("model", F.lit(model)).join(found.ids.agg(F.countDistinct("id").alias("ids")).withColumn("model", F.lit(model)), "model")
+        rows = held if rows is None else rows.unionByName(held)
+    return V.describe(spark, path).select("model", "dimension", "n", "version").join(rows, "model")
 
 
 @query("knn_rank_both_ways", f"""with {_SCORED}, r as (select source, target, rank() over (partition by source order by score desc) as rank from s),
 p as (select least(source, target) as a, greatest(source, target) as b, cast(max(rank) filter (source < target) as integer) as rank_ab, cast(max(rank) filter (source > target) as integer) as rank_ba from r group by 1, 2)
 select a, b, rank_ab, rank_ba, least(rank_ab, rank_ba) as best_rank from p where least(rank_ab, rank_ba) <= 5""")
 def knn_rank_both_ways(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    top = S.neighbours(v, v, 5, ties=True).select("source", "target", "score", "rank")
-    back = S.ranks_of(top.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"), v, v).select("source", "target", "rank")
+    vectors = index(spark, sf_dir)
+    top = S.neighbours(None, vectors, 5, ties=True).select("source", "target", "score", "rank")
+    back = S.ranks_of(top.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"), None, vectors).select("source", "target", "rank")
     ranks = top.select("source", "target", "rank").unionByName(back)
     way = lambda ahead: F.max(F.when((F.col("source") < F.col("target")) == ahead, F.col("rank")))
     pairs = ranks.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(way(F.lit(True)).alias("rank_ab"), way(F.lit(False)).alias("rank_ba"))

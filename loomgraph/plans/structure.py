@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..operators import acyclic as Y
 from ..operators import books as B
 from ..operators import metrics as M
 from ..operators import paths as P
 from ..operators import similarity as S
 from ..sources import files
-from .similarity import _SCORED
+from .similarity import _SCORED, index
 
 _EDGES = """e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber from lineitem)"""
 _NODES = """n as (select 'p' || p_partkey as id, 'part' as label, p_name as name, p_type as description from part
@@ -195,8 +196,7 @@ def orphan_nodes(spark, sf_dir):
 @query("shared_variable_pairs", """with u as (select distinct l_suppkey as s, l_partkey as v from lineitem) select a.s as a, b.s as b, count(*) as shared from u a join u b on a.v = b.v and a.s < b.s group by 1, 2 having count(*) >= 2""")
 def shared_variable_pairs(spark, sf_dir):
     nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("variables"))
-    _, _, shared = B.variables(nodes)
-    return shared.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    return B.concepts_sharing(nodes, 2).select("a", "b", F.size("shared").cast("long").alias("shared"))
 
 
 @query("confidence_stats", f"with {_EDGES} select rel_type, count(confidence) as n, avg(confidence) as mean, quantile_cont(confidence, 0.5) as median, min(confidence) as low, max(confidence) as high from e group by 1")
@@ -250,9 +250,9 @@ def three_way_flag(spark, sf_dir):
 u as materialized (select source as a, target as b from t union select target, source from t), r(node, x) as (select distinct a, a from u union select u.b, r.x from r join u on r.node = u.a)
 select v.id, coalesce(min(x), v.id) as component from v left join r on r.node = v.id group by 1""")
 def connected_components(spark, sf_dir):
-    v = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    close = S.neighbours(v, v, 10).where("score >= 0.68").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return P.connected_components(v.select("id"), close)
+    v = index(spark, sf_dir)
+    close = S.neighbours(None, v, 10).where("score >= 0.68").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return P.connected_components(v.ids, close)
 
 
 @query("reachable_pairs", """with recursive e as (select distinct n_nationkey as src, (n_nationkey * 3 + 1) % 25 as dst from nation), r(src, dst) as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src) select src, dst from r""")
@@ -271,15 +271,68 @@ def modularity_of_partition(spark, sf_dir):
 
 @query("communities")
 def communities(spark, sf_dir):
-    v = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    close = S.neighbours(v, v, 10).where("score >= 0.65").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return P.best_partition(v.select("id"), close)
+    v = index(spark, sf_dir)
+    close = S.neighbours(None, v, 10).where("score >= 0.65").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return P.best_partition(v.ids, close)
+
+
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to their suppliers, suppliers to their customers, and customers back to the parts of the largest orders at the highest discount; n line items each."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    end = lambda prefix, c: F.concat(F.lit(prefix), c)
+    p, s, c = end("p", "l_partkey"), end("s", "l_suppkey"), end("c", "o_custkey")
+    back = (F.col("l_quantity") == 50) & (F.col("l_discount") == 0.1)
+    ways = F.array(F.struct(p.alias("src"), s.alias("dst")), F.struct(s.alias("src"), c.alias("dst")), F.when(back, F.struct(c.alias("src"), p.alias("dst"))))
+    return li.select(F.explode(ways).alias("e")).where("e is not null").groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("acyclic_edges")
 def acyclic_edges(spark, sf_dir):
-    e = trade(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("confidence"))
-    return P.accept_acyclic(e, [F.desc("confidence"), "src", "dst"])
+    return Y.accept_acyclic(supply(spark, sf_dir), [F.desc("n"), "src", "dst"])
+
+
+_SUPPLY = """u as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem union all select 's' || s_suppkey, 'n' || s_nationkey from supplier
+  union all select 'n' || n_nationkey, 'r' || n_regionkey from nation union all select 'r' || n_regionkey, 'n' || min(n_nationkey) from nation group by n_regionkey)"""
+
+
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to suppliers to nations to regions, and each region to its first nation."""
+    li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    pair = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    firsts = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    rows = pair(li.select("l_partkey", "l_suppkey").distinct(), "p", "l_partkey", "s", "l_suppkey").unionByName(pair(s, "s", "s_suppkey", "n", "s_nationkey"))
+    return rows.unionByName(pair(n, "n", "n_nationkey", "r", "n_regionkey")).unionByName(pair(firsts, "r", "n_regionkey", "n", "n_nationkey"))
+
+
+@query("prerequisite_chains", f"""with recursive {_SUPPLY}, c(path, tip, closes) as (select [src, dst], dst, src = dst from u
+  union all select list_append(path, u.dst), u.dst, list_contains(path, u.dst) from c join u on u.src = c.tip where not closes and len(path) <= 5)
+select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as length, closes from c""")
+def prerequisite_chains(spark, sf_dir):
+    return Y.prerequisite_chains(_origins(spark, sf_dir), 5).select(F.array_join("path", ">").alias("path"), "length", "closes")
+
+
+_TURNS = """t as (select conv_id, turn, conv_id || ':' || turn as id, lead(conv_id || ':' || turn) over (partition by conv_id order by turn) as next from conversations),
+g as (select id as src, next as dst from t where next is not null union select src, dst from (values ('x', 'y'), ('y', 'x'), ('y', 'z')) as v(src, dst))"""
+
+
+@query("chain_lengths", f"""with recursive {_TURNS}, w(id, n) as (select src, 0 from g where src not in (select dst from g) union all select g.dst, n + 1 from w join g on g.src = w.id),
+every as (select src as id from g union select dst from g) select id, cast(max(n) as integer) as length from every left join w using (id) group by 1""")
+def chain_lengths(spark, sf_dir):
+    return Y.chain_lengths(_turns(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation to the next, and three edges of which two close a cycle."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("src"))
+    pairs = P.neighbours_in_order(t, "conv_id", ["turn"], "src").where("next is not null").select("src", F.col("next").alias("dst"))
+    return pairs.unionByName(spark.createDataFrame([("x", "y"), ("y", "x"), ("y", "z")], "src string, dst string"))
+
+
+@query("chain_summary", f"""with recursive {_TURNS}, w(id, n) as (select src, 0 from g where src not in (select dst from g) union all select g.dst, n + 1 from w join g on g.src = w.id),
+every as (select src as id from g union select dst from g), x as (select id, max(n) as length from every left join w using (id) group by 1)
+select count(*) as nodes, cast(count(*) filter (length > 0) as bigint) as chained, cast(max(length) as integer) as longest, avg(length) as mean_length, count(*) filter (length is null) as cyclic from x""")
+def chain_summary(spark, sf_dir):
+    return Y.chain_summary(Y.chain_lengths(_turns(spark, sf_dir)))
 
 
 @query("prev_next_chain", """select conv_id, turn, lag(role, 1, '-') over w as previous, lead(role, 1, 'end') over w as next from conversations window w as (partition by conv_id order by turn)""")

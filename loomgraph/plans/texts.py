@@ -104,3 +104,19 @@ def term_matches(spark, sf_dir):
 
     p = table(spark, sf_dir, "part")
     return match_terms(p.select(F.split("p_name", " ")[0].alias("term")).distinct(), p.select(F.col("p_name").alias("name")).distinct())
+
+
+@query("term_matches_both_ways", """with t as (select distinct p_name as term from part union select distinct p_type from part union select distinct lower(split_part(p_type, ' ', 1)) || ' ' || p_name from part union select split_part(s_name, '#', 1) || s_suppkey from supplier),
+n as (select distinct p_type as name from part union select distinct p_name from part where p_size > 25 union select distinct c_name from customer), x as (select term, lower(term) as k from t), y as (select name, lower(name) as key from n),
+m as (select term, name, len(key) as size, k = key as same from x join y on contains(key, k) or contains(k, key)),
+r as (select *, row_number() over (partition by term order by same desc, size, name) as r from m)
+select term, name, case when name is null then 'none' when same then 'exact' else 'part' end as how from t left join (select * from r where r = 1) using (term)""")
+def term_matches_both_ways(spark, sf_dir):
+    """All part names, types and their joins, and suppliers, as terms; types, names of large parts and customers as names."""
+    from ..operators.context import match_terms
+
+    p, s, c = (table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
+    joined = F.concat_ws(" ", F.lower(F.split("p_type", " ")[0]), "p_name")
+    terms = p.select(F.explode(F.array("p_name", "p_type", joined)).alias("term")).union(s.select(F.concat(F.split("s_name", "#")[0], "s_suppkey"))).distinct()
+    names = p.select(F.col("p_type").alias("name")).union(p.where("p_size > 25").select("p_name")).union(c.select("c_name")).distinct()
+    return match_terms(terms, names)

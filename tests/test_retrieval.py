@@ -12,7 +12,10 @@ from loomgraph.operators import context as X
 from loomgraph.operators import feedback as R
 from loomgraph.operators import metrics as M
 from loomgraph.operators import paths as G
+from loomgraph.operators import acyclic as Y
+from loomgraph.operators import overlap as O
 from loomgraph.operators import similarity as S
+from loomgraph.operators import vector_index as V
 from loomgraph.sources import files
 from loomgraph.streaming import ratings
 
@@ -38,7 +41,7 @@ def test_blocks_give_what_the_broadcast_gives(spark, sf_dir, monkeypatch):
     want = sorted(map(tuple, S.neighbours(v, v, 3).collect()))
     ranks = sorted(map(tuple, S.ranks_of(S.neighbours(v, v, 3).select("source", "target", "score"), v, v).collect()))
     ties = sorted(map(tuple, S.neighbours(v, v, 5, ties=True).collect()))
-    monkeypatch.setattr(S, "BLOCK_BYTES", 64 * 8 * 60)
+    monkeypatch.setattr(V, "BLOCK", 30)
     assert sorted(map(tuple, S.neighbours(v, v, 3).collect())) == want
     assert sorted(map(tuple, S.ranks_of(S.neighbours(v, v, 3).select("source", "target", "score"), v, v).collect())) == ranks
     assert sorted(map(tuple, S.neighbours(v, v, 5, ties=True).collect())) == ties
@@ -90,8 +93,8 @@ def test_nested_sweeps_and_metrics_edges(spark):
     assert M.modularity(edges, one).first().q == 0.0
     assert {r.id: r.component for r in G.connected_components(nodes, edges).collect()} == {"a": "a", "b": "a", "c": "c"}
     ring = spark.createDataFrame([("a", "b", 3), ("b", "c", 2), ("c", "a", 1), ("a", "a", 9)], "src string, dst string, w int")
-    assert {(r.src, r.dst): r.accepted for r in G.accept_acyclic(ring, [F.desc("w")]).collect()} == {("a", "b"): True, ("b", "c"): True, ("c", "a"): False, ("a", "a"): False}
-    seeded = G.accept_acyclic(ring, [F.desc("w")], spark.createDataFrame([("b", "a")], "src string, dst string"))
+    assert {(r.src, r.dst): r.accepted for r in Y.accept_acyclic(ring, [F.desc("w")]).collect()} == {("a", "b"): True, ("b", "c"): True, ("c", "a"): False, ("a", "a"): False}
+    seeded = Y.accept_acyclic(ring, [F.desc("w")], spark.createDataFrame([("b", "a")], "src string, dst string"))
     assert {(r.src, r.dst): r.accepted for r in seeded.collect()} == {("a", "b"): False, ("b", "c"): True, ("c", "a"): True, ("a", "a"): False}
     assert G.reachable(ring, spark.createDataFrame([("b",)], "src string")).count() == 3
 
@@ -152,28 +155,6 @@ def test_embedding_cache_and_extraction(spark):
     assert [tuple(r) for r in put.collect()] == [("k", "v2", "2026-02-01")] and K.cache_maintenance(put, "2026-03-20", 30).count() == 0
 
 
-def _trade(duck):
-    return duck.sql("""select 'n' || c_nationkey, 'n' || s_nationkey, count(*) from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2""").fetchall()
-
-
-def test_acyclic_edges_equal_the_sequential_rule(spark, sf_dir, duck):
-    from loomgraph import plans  # noqa: F401
-    from loomgraph.catalog import QUERIES
-
-    after, want = {}, {}
-    for src, dst, n in sorted(_trade(duck), key=lambda r: (-r[2], r[0], r[1])):
-        seen, stack = set(), [dst]
-        while stack:
-            k = stack.pop()
-            if k not in seen:
-                seen.add(k)
-                stack += after.get(k, [])
-        want[src, dst] = src not in seen
-        if want[src, dst]:
-            after.setdefault(src, []).append(dst)
-    assert {(r.src, r.dst): r.accepted for r in QUERIES["acyclic_edges"](spark, sf_dir).collect()} == want
-
-
 def _host(x, best):
     while best[best[x][1]][1] != x:
         x = best[x][1]
@@ -242,8 +223,7 @@ def test_names_in_blocks(spark, monkeypatch):
     names = [(f"{a} {b}",) for a in ("gaya", "energi", "muatan") for b in ("listrik", "magnet", "gerak")] + [("Usaha",), ("",)]
     terms = [("Gaya Gerak",), ("magnet",), ("usaha dan energi",), ("tidak ada",), ("",)]
     e, f = spark.createDataFrame(terms, "term string"), spark.createDataFrame(names, "name string")
-    monkeypatch.setattr(X, "_NAMES", 3)
-    monkeypatch.setattr(X, "_TERMS", 2)
+    monkeypatch.setattr(O, "HEAVY", 2)
     got = {r.term: (r.name, r.how) for r in X.match_terms(e, f).collect()}
     assert got == {"Gaya Gerak": ("gaya gerak", "exact"), "magnet": ("gaya magnet", "part"), "usaha dan energi": ("Usaha", "part"), "tidak ada": (None, "none"), "": ("", "exact")}
 
