@@ -13,9 +13,10 @@ hit names an offset; there all words are compared and the windows are counted ex
 Offsets of one document and item count once, however many hits name them; where words repeat so often
 that hits are many times the words, offsets come from a convolution of the places.
 
-The benchmark's hashes are broadcast in blocks of items of bounded size; a larger
-benchmark takes more passes, never a larger broadcast. Documents are read whole, each row is decided by
-itself, and nothing is shuffled or joined.
+The benchmark's hashes are broadcast in blocks of distinct items of bounded size (one item may be larger); a larger
+benchmark takes more passes, never a larger broadcast, and each pass is a job of its own whose workers hold one block. Documents are read whole, each row is decided by
+itself. With one block nothing is shuffled or joined; with more, documents are written once with a row number, passes write the (row, item) pairs they find, and
+those are joined to the rows.
 
 Null, empty and short texts match nothing; null and empty items are ignored. Rows are decided by their text, so rows with null or
 repeated doc_id are too; a null item_id counts as one item without a name. A repeated document counts each time it occurs, items of
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, slices, words_of
+from .common import WordHashes, cut, slices, words_of
 
 #: Positions that count, from the first: every three substitutions in 13 words leave one of them whole.
 MASKS = ("110111", "1101000011", "1110001000001")
@@ -186,22 +187,23 @@ def _differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size."""
-    items = benchmark.select("item_id", "text").where("text is not null")
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, and the distinct items in blocks of bounded size."""
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [tuple(r) for r in block.collect()]
+    if blocks > 1:
+        items = cut(items, "items")
+    of = lambda k: items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    return blocks, ([tuple(r) for r in of(k).collect()] for k in range(blocks))
 
 
-def _hashed(batches, at: int):
+def _hashed(batches, at: int, column: int | None = None):
     """(batch, flat word hashes, starts, ends, rows) of slices of the batches; empty documents are left out of the arrays."""
     hashes = _Stripped(seed=2)
     for batch in slices(batches, f"c{at}", CHUNK_BYTES):
         hashes.trim()
-        rows = [hashes.of(words_of(t)) for t in batch.column(at).to_pylist()]
+        rows = [hashes.of(words_of(t)) for t in batch.column(at if column is None else column).to_pylist()]
         lens = np.array([len(r) for r in rows], np.int64)
         ends = np.cumsum(lens)
         some = np.flatnonzero(lens)
@@ -225,7 +227,15 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    passes = [docs.mapInArrow(search(spark.sparkContext.broadcast(block)), ", ".join(f"{c} bigint" for c in names)) for block in _blocks(benchmark)]
+    count, blocks = _blocks(benchmark)
+    passes = []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        found = docs.mapInArrow(search(shared), ", ".join(f"{c} bigint" for c in names))
+        if count > 1:
+            found = cut(found, "matches")
+            shared.destroy()
+        passes.append(found)
     return functools.reduce(DataFrame.union, passes)
 
 
@@ -246,10 +256,30 @@ def _with_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    for block in _blocks(benchmark):
-        out = out.mapInArrow(mark(spark.sparkContext.broadcast(block)), schema)
-    return out
+    def pairs(shared):
+        def run(batches):
+            items = Items(shared.value)
+            for batch, flat, starts, ends, some in _hashed(batches, at, 0):
+                found = [(int(some[doc]), item) for doc, item, *_ in items.found_in(flat, starts, ends, once=True)]
+                if found:
+                    rows, ids = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(ids, pa.int64())], ["row", "item"])
+
+        return run
+
+    count, blocks = _blocks(benchmark)
+    if count == 1:
+        return out.mapInArrow(mark(spark.sparkContext.broadcast(next(blocks))), T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields]))
+    rows = cut(out.drop("items").withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts, found = rows.select(F.col(f"c{at}"), "row"), []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        found.append(cut(texts.mapInArrow(pairs(shared), "row bigint, item bigint"), "pairs"))
+        shared.destroy()
+    # a struct keeps the item without a name in the list
+    held = functools.reduce(DataFrame.union, found).distinct().groupBy("row").agg(F.collect_list(F.struct("item")).alias("held"))
+    items = F.coalesce(F.transform("held", lambda x: x["item"]), F.array().cast("array<bigint>"))
+    return rows.join(held, "row", "left").select(*[c for c in out.columns if c != "items"], items.alias("items"))
 
 
 def flags(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -28,32 +29,29 @@ from .common import slices
 
 CHUNK_BYTES = 4 << 20
 #: Boosting: trees, depth, bins of a feature, learning rate, weight that keeps leaves small; training pages.
-TREES, DEPTH, MAX_BINS, RATE, SHRINK, PAGES = 40, 4, 48, 0.3, 2.0, 900
+TREES, DEPTH, MAX_BINS, RATE, SHRINK, PAGES = 50, 5, 32, 0.3, 2.0, 1200
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 EMBEDDED = frozenset("noscript template svg object canvas audio video".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
-    "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle semantics".split()
-)
+FOREIGN = frozenset("math mi mn mo ms mtext mspace mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle semantics".split())
+INLINE = FOREIGN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open element of the second kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select".split())
 #: Tag kinds of the features.
 KINDS = ("article main", "nav menu", "header", "footer", "aside", "form button select label fieldset input", "p blockquote pre", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "a", "div section body html", "table tr td th")
-#: Attribute tokens that speak for and against main text.
-FOR = frozenset("article articlebody body content entry main post prose story text page paragraph document".split())
-AGAINST = frozenset(
-    "ad ads advert adverts advertisement advertising alert announcement author banner bottom breadcrumb breadcrumbs buttons byline comment comments consent cookie cookies copyright "
-    "dialog disclaimer discussion disqus foot footer form gdpr head header hero infobar legal links login masthead menu message meta modal nav navbar navigation newsletter notice "
-    "notification notifications outbrain pager pagination pop popup privacy promo promoted promotion rail recommended related replies reply response responses search share sharing "
-    "sidebar signup social sponsor sponsored subscribe tags teaser toolbar top topbar tracking warning widget widgets".split()
+#: How often names of training pages speak for the kind of their block, for nothing, or for the other kind.
+NAMING = (0.74, 0.1, 0.16)
+#: Buckets of the hashes of attribute tokens, and pages of the training set that only their weights are learned from.
+BUCKETS, TOKEN_PAGES = 4096, 450
+#: A comment (also ended by --!>), a section, a declaration, an end tag, a start tag; a quote opens a value only after "=".
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*(?![\s\"'])|[^>=])*)(?:>|\Z)", re.S,
 )
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|data-\w+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -117,7 +115,7 @@ class Page:
             elif start:
                 tag, rest = start.lower(), (m[3] if m.re is _TOKEN else m[2]) or ""
                 if tag in RAW or tag in EMBEDDED:
-                    if not rest.endswith("/") and tag not in never:
+                    if not (tag == "svg" and rest.endswith("/")) and tag not in never:
                         closing = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(s, at)
                         if closing:
                             at = closing.end()
@@ -138,7 +136,8 @@ class Page:
                 tags.append(tag)
                 self.attributes.append(rest)
                 self.parents.append(open_[-1])
-                if tag not in VOID and not rest.endswith("/"):
+                # the slash of <div/> means nothing but in formulas
+                if tag not in VOID and not (tag in FOREIGN and rest.endswith("/")):
                     open_.append(len(tags) - 1)
                     places.setdefault(tag, []).append(len(open_) - 1)
                     if tag in SCOPES:
@@ -147,19 +146,37 @@ class Page:
                         blocks.append(len(open_) - 1)
 
 
-def _attribute_score(rest: str) -> tuple[int, int, int]:
-    """Tokens for, tokens against, and whether the element is hidden."""
+def _tokens(rest: str) -> set[int]:
+    """Buckets of the tokens of the naming attributes."""
+    if not rest or "=" not in rest:
+        return set()
+    return {zlib.crc32(t.lower().encode()) % BUCKETS for v in _ATTRIBUTE.findall(rest) for t in _SPLIT.split(v) if t}
+
+
+def token_weights(pages: list[tuple[Page, list[bool]]]) -> np.ndarray:
+    """For each bucket, how much more often its tokens stand at main text (smoothed log odds, against those of all named nodes)."""
+    main, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for page, labels in pages:
+        for rest, label in zip(page.attributes, labels, strict=False):
+            for t in _tokens(rest):
+                (main if label else other)[t] += 1
+    prior = (main.sum() + 1) / (main.sum() + other.sum() + 2)
+    return np.log((main + 4 * prior) / (other + 4 * (1 - prior))) - np.log(prior / (1 - prior))
+
+
+def _attribute_score(rest: str, weights: np.ndarray) -> tuple[float, float, int]:
+    """Weights for, weights against, and whether the element is hidden."""
     if not rest or "=" not in rest and "hidden" not in rest:
-        return 0, 0, 0
-    tokens = {t.lower() for v in _ATTRIBUTE.findall(rest) for t in _SPLIT.split(v) if t}
-    return len(tokens & FOR), len(tokens & AGAINST), int(bool(_HIDDEN.search(rest)))
+        return 0.0, 0.0, 0
+    w = [float(weights[t]) for t in _tokens(rest)]
+    return sum(x for x in w if x > 0), -sum(x for x in w if x < 0), int(bool(_HIDDEN.search(rest)))
 
 
 _KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 N_FEATURES = len(KINDS) * 2 + 18
 
 
-def features(page: Page) -> np.ndarray:
+def features(page: Page, weights: np.ndarray) -> np.ndarray:
     """One row per node."""
     n = len(page.tags)
     parent = page.parents
@@ -170,7 +187,7 @@ def features(page: Page) -> np.ndarray:
             own[node] += len(text) - text.count(" ")
             commas[node] += text.count(",") + text.count(".")
     total, links, marks, count, kids, blocks = own[:], [0] * n, commas[:], [1] * n, [0] * n, [0] * n
-    scores = [_attribute_score(a) for a in page.attributes]
+    scores = [_attribute_score(a, weights) for a in page.attributes]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         if page.tags[k] == "a":
@@ -184,7 +201,7 @@ def features(page: Page) -> np.ndarray:
     width = len(KINDS)
     out = np.zeros((n, N_FEATURES), np.float32)
     depth, seen = [0] * n, [0] * n
-    against, favour, above = [0] * n, [0] * n, [0] * n  # of ancestors; above: bit set of their tag kinds
+    against, favour, above = [0.0] * n, [0.0] * n, [0] * n  # of ancestors; above: bit set of their tag kinds
     whole = max(1, total[0])
     at = 2 * width
     rows = []
@@ -201,7 +218,7 @@ def features(page: Page) -> np.ndarray:
         if kind >= 0:
             out[k, kind] = 1
         rows.append((
-            good, bad, hidden, min(against[k], 4), min(favour[k], 4), depth[k], total[k], own[k], total[k] / whole, links[k] / (total[k] or 1), total[k] / count[k],
+            good, bad, hidden, min(against[k], 6.0), min(favour[k], 6.0), depth[k], total[k], own[k], total[k] / whole, links[k] / (total[k] or 1), total[k] / count[k],
             marks[k] / (total[k] or 1), count[k], kids[k], kids[p], seen[p] / (kids[p] or 1), total[k] / (total[p] or 1), blocks[k],
         ))
         seen[p] += 1
@@ -238,8 +255,8 @@ def text_of(page: Page, kept: list[bool]) -> str:
 class Forest:
     """Boosted regression trees on binned features, as flat arrays (complete trees of DEPTH levels)."""
 
-    def __init__(self, cuts: list[np.ndarray], base: float):
-        self.cuts, self.base = cuts, base
+    def __init__(self, cuts: list[np.ndarray], base: float, weights: np.ndarray | None = None):
+        self.cuts, self.base, self.weights = cuts, base, weights
         self.feature, self.bin, self.leaf = [], [], []
 
     def bins(self, x: np.ndarray) -> np.ndarray:
@@ -259,14 +276,14 @@ class Forest:
         return 1 / (1 + np.exp(-self.margin(self.bins(x))))
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Forest:
-    """Newton boosting for log loss."""
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray | None = None) -> Forest:
+    """Newton boosting for log loss; ``weights`` are those of attribute tokens that the features were made with."""
     cuts = []
     for k in range(x.shape[1]):
         q = np.unique(np.quantile(x[:, k], np.linspace(0, 1, MAX_BINS)))
         cuts.append((q[1:] + q[:-1]) / 2)
     prior = np.average(y, weights=w)
-    forest = Forest(cuts, float(np.log(prior / (1 - prior))))
+    forest = Forest(cuts, float(np.log(prior / (1 - prior))), weights)
     b = forest.bins(x)
     margin = forest.margin(b)
     inner = 2**DEPTH - 1
@@ -307,9 +324,15 @@ def training_pages(count: int, seed: int = 5):
         yield _Layout(rnd).page()
 
 
+_MAIN_NAMES = ("article", "content", "post", "entry", "story", "main", "text", "body")
+_JUNK_NAMES = ("header", "message", "comment", "menu", "widget", "promo", "notice", "footer", "related", "links", "top", "response")
+
+
 class _Layout:
     def __init__(self, rnd: random.Random):
         self.r, self.out, self.labels = rnd, [], []
+        #: Names that say nothing, or the contrary: names of the other kind are given to main text and to the rest.
+        self.naming = rnd.choices(("plain", "none", "contrary"), NAMING)[0]
 
     def words(self, lo: int, hi: int) -> str:
         r = self.r
@@ -336,9 +359,13 @@ class _Layout:
         self.out.append(text)
         self.close(tag)
 
-    def name(self, *tokens: str) -> str:
+    def name(self, *tokens: str, main: bool = False) -> str:
         r = self.r
         t = r.choice(tokens)
+        if self.naming == "none":
+            t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
+        elif self.naming == "contrary" and r.random() < 0.6:
+            t = r.choice(_JUNK_NAMES if main else _MAIN_NAMES)
         t = r.choice((t, f"{r.choice(('site', 'page', 'x', 'block', 'c', 'widget'))}-{t}", f"{t}-{r.choice(('box', 'wrap', 'inner', 'area', 'list'))}", f"{t} {r.choice(('wide', 'dark', 'grid', 'row'))}"))
         return f' {r.choice(("class", "class", "id"))}="{t}"'
 
@@ -422,6 +449,30 @@ class _Layout:
         else:
             self.put("div", True, self.words(3, 80))
 
+    def entries(self) -> None:
+        """An article that is a list of links."""
+        r = self.r
+        if r.random() < 0.5:
+            self.paragraph()
+        tag = r.choice(("ul", "ol"))
+        self.open(tag, True)
+        for _ in range(r.randint(6, 30)):
+            self.open("li", True)
+            self.put("a", True, self.words(3, 14), ' href="/x"')
+            if r.random() < 0.3:
+                self.out.append(self.words(1, 20))
+            self.close("li")
+        self.close(tag)
+
+    def thread(self) -> None:
+        """An article of posts, each in a block of its own."""
+        r = self.r
+        for _ in range(r.randint(2, 8)):
+            self.open("div", True, self.name("message", "post", "entry", main=True))
+            for _ in range(r.randint(1, 3)):
+                self.put("p", True, self.words(8, 90))
+            self.close("div")
+
     def article(self, layout: float) -> None:
         r = self.r
         if r.random() < 0.9:
@@ -437,10 +488,15 @@ class _Layout:
             self.open("b", True)
             self.out.append(self.words(1, 60))
             self.open("br", True)
-        for _ in range(r.randint(1, r.choice((3, 8, 25)))):
-            self.paragraph()
-            if r.random() < 0.06:
-                self.junk()
+        if r.random() < 0.06:
+            self.entries()
+        elif r.random() < 0.06:
+            self.thread()
+        else:
+            for _ in range(r.randint(1, r.choice((3, 8, 25)))):
+                self.paragraph()
+                if r.random() < 0.06:
+                    self.junk()
         if r.random() < 0.25:
             self.junk()
 
@@ -463,17 +519,19 @@ class _Layout:
         if r.random() < 0.35:
             self.open("main", True)
             wraps.append("main")
+        if r.random() < 0.25:
+            self.open("div", True, self.name(*_MAIN_NAMES, main=True))
+            wraps.append("div")
         kind = r.random()
         tag = "article" if kind < 0.6 else r.choice(("div", "section", "div", "main"))
-        attributes = (self.name("article", "content", "post", "entry", "story", "main") if r.random() < (0.2 if kind < 0.6 else 0.9) else "")
+        attributes = (self.name(*_MAIN_NAMES, main=True) if r.random() < (0.2 if kind < 0.6 else 0.9) else "")
         self.open(tag, True, attributes)
         self.article(kind)
         self.close(tag)
         if r.random() < 0.35:
             self.junk()
-        if "main" in wraps and r.random() < 0.7:
-            wraps.pop()
-            self.close("main")
+        while "main" in wraps and (wraps[-1] == "div" or r.random() < 0.7):
+            self.close(wraps.pop())
         for _ in range(r.randint(0, 4)):
             self.junk()
         while wraps:
@@ -489,13 +547,14 @@ class _Layout:
 def model() -> Forest:
     """The trained forest; the same in every process."""
     xs, ys, ws = [], [], []
-    for source, labels in training_pages(PAGES):
-        page = Page(source)
-        xs.append(features(page))
+    pages = [(Page(source), labels) for source, labels in training_pages(PAGES)]
+    weights = token_weights(pages[:TOKEN_PAGES])
+    for page, labels in pages[TOKEN_PAGES:]:
+        xs.append(features(page, weights))
         ys.append(np.array(labels[: len(page.tags)], float))
         # what a wrong label costs: about the text below the node
         ws.append(np.sqrt(1 + xs[-1][:, 2 * len(KINDS) + 6]) / 8 + 0.5)
-    return boost(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    return boost(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws), weights)
 
 
 # ---------------------------------------------------------------- the operator
@@ -505,7 +564,7 @@ def main_texts(sources: list[str | None], forest: Forest) -> list[str]:
     pages = [Page(s or "") for s in sources]
     if not pages:
         return []
-    rows = [features(p) for p in pages]
+    rows = [features(p, forest.weights) for p in pages]
     chance = forest.chance(np.concatenate(rows))
     ends = np.cumsum([len(r) for r in rows])
     return [text_of(p, decode(chance[e - len(r) : e], p.parents)) for p, r, e in zip(pages, rows, ends.tolist(), strict=True)]

@@ -369,6 +369,21 @@ def test_leaks_with_substitutions_are_found(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(range(0, 40, 2)) | {51}
 
 
+def test_repeated_and_unnamed_items_in_blocks(spark, monkeypatch):
+    item = sentence(random.Random(3), 15, 10**6)
+    one = decontaminate._blocks(spark.createDataFrame([(1, item)], "item_id long, text string").crossJoin(spark.range(50_000)).drop("id"))
+    assert one[0] == 1 and [len(b) for b in one[1]] == [1]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    others = [(k, sentence(random.Random(k), 15, 10**6)) for k in range(10, 16)]
+    items = spark.createDataFrame([(7, item)] * 50 + [(None, item), (8, item), *others, (None, None)], "item_id long, text string")
+    docs = frame(spark, [(1, f"x {item} y"), (None, item), (2, "nothing of it"), (3, None), (4, f"{others[0][1]} and {item}"), (4, f"{others[0][1]} and {item}")])
+    got = sorted((str(r.doc_id), r.n_items, r.item_ids) for r in decontaminate.flags(docs, items).collect())
+    assert got == [("1", 3, "7,8"), ("2", 0, ""), ("3", 0, ""), ("4", 4, "7,8,10"), ("4", 4, "7,8,10"), ("None", 3, "7,8")]
+    assert sorted(str(r.doc_id) for r in decontaminate.keep_clean(docs, items).collect()) == ["2", "3"] and decontaminate.keep_clean(docs, items).columns == docs.columns
+    assert decontaminate.matches(docs, items).count() == 14
+    assert decontaminate.flags(docs.where("false"), items).count() == 0
+
+
 def test_repetitive_texts_are_searched_in_short_time(spark):
     import time
 
@@ -644,6 +659,26 @@ def test_unclosed_media_and_formulas_lose_no_text():
     assert got[2] == f"Title So x=1, they say in words of this kind. {words}" and got[3] == f"Title Fish &amp; chips & more, which they say is good to eat. {words}"
 
 
+def test_pages_against_the_grammar_are_exact():
+    """Hostile markup, names that say the contrary, and a list of links: none is of the training grammar."""
+    forest = pages.model()
+    first, second = "Some words that go on, and on for a while. " * 6, "Another paragraph, with commas, and so on and so on. " * 5
+    story = f"<h1>The title of it</h1><p>{first}</p><p>{second}</p>"
+    text = " ".join(f"The title of it {first} {second}".split())
+    page = lambda inner: f"<html><head><title>t</title></head><body><nav><ul><li><a href=/x/>Home</a></li><li><a href=/y>News</a></li></ul></nav>{inner}<footer><p>copyright 2020</p></footer></body></html>"
+    sources = {
+        "a quote inside an unquoted value": "<article>" + story.replace("<p>", "<p data-x=it's>", 1) + "</article>", "a comment ended by --!>": f"<!-- nav --!><article>{story}</article>",
+        "an empty comment": f"<!--> <article>{story}</article>", "a slash that means nothing": f'<div class="x"/><article>{story}</article></div>', "a bracket in a value": f'<article data-a="x > y">{story}</article>',
+        "names of the other kind": f'<div class="page-header-main"><div class="message-body">{story}</div></div>', "a value with a slash": f"<article><p class=a/>{story}</article>",
+    }
+    got = dict(zip(sources, pages.main_texts([page(s) for s in sources.values()], forest), strict=True))
+    assert got == dict.fromkeys(sources, text)
+    entries = "".join(f'<li><a href="/{i}">Entry number {i} of this fine list, with a longer title</a></li>' for i in range(20))
+    wanted = "Twenty links " + " ".join(f"Entry number {i} of this fine list, with a longer title" for i in range(20))
+    assert pages.main_texts([page(f"<article><h1>Twenty links</h1><ul>{entries}</ul></article>")], forest) == [wanted]
+    assert _tree("<p/>a<math><mi/><mo>+</mo></math><br/><hr/>") == [("p", 0), ("math", 1), ("mi", 2), ("mo", 2), ("br", 1), ("hr", 0)]
+
+
 def test_page_rows_come_back_as_they_are(spark):
     rows = [(1, "u", "<article><p>Some words, said here.</p></article>", "x")] * 2 + [(None, None, None, "y"), (2, "v", "", None)]
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
@@ -661,7 +696,7 @@ def test_held_out_pages():
     forest, right, total = pages.model(), 0, 0
     for source, labels in pages.training_pages(60, seed=99):
         page = pages.Page(source)
-        kept = pages.decode(forest.chance(pages.features(page)), page.parents)
+        kept = pages.decode(forest.chance(pages.features(page, forest.weights)), page.parents)
         right += sum(a == b for a, b in zip(kept, labels, strict=False))
         total += len(kept)
     assert right / total > 0.98
