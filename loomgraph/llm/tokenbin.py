@@ -16,8 +16,8 @@ Rows are partitioned by range of (doc_id, hash of the text, row), so neither a r
 partition, and encoded where they arrive. Files are written by Spark's own writer through its commit protocol, to any file system, a file for each row; a lost
 task is written again.
 
-Texts are split at white space and each word is encoded once by a Python worker while it is remembered, where the vocabulary drops white space; so are words of ASCII letters
-before one of ``MARKS``, where its pre-tokenizer splits the mark off. Elsewhere texts are encoded whole.
+Where the vocabulary drops white space, texts are split there and each word is encoded once by a Python worker while it is remembered; ASCII letters and ``MARKS`` after them
+apart, where its pre-tokenizer splits them. Elsewhere texts are encoded whole.
 
 Null and empty texts have no ids but the end id. Repeated rows are documents each, in the order of their text's hash. Very long texts are encoded whole. An
 empty table gives no file and no rows. Extra columns are ignored.
@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -50,7 +52,9 @@ FILE_TOKENS = 2 << 20
 PARTITION_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 #: Words whose ids are kept (at most twice as many and a chunk's), and bytes of a word that is.
 KEPT, LONG_WORD = 500_000, 64
-MARKS = ".,;:!?"
+#: What may follow a word without being part of it.
+MARKS = ".,;:!?*#$&)]}%"
+_MARKS = MARKS.encode()
 MAX_VOCAB_BYTES = 64 << 20
 _HEADER = struct.Struct("<8sIIqqqqqq")
 _MAGIC = b"LGTOKEN1"
@@ -167,32 +171,52 @@ def _by_words(tokenizer) -> bool:
     return all(ids(f"a{s}b{s}{s}1{s}") == ids("a") + ids("b") + ids("1") for s in spaces) and not any(c in t.content for t in tokenizer.get_added_tokens_decoder().values() for c in spaces)
 
 
-def _splits_off(tokenizer, mark: str) -> bool:
-    """Whether a mark after letters is always a piece of its own."""
-    word, before = f"Ab{mark}", tokenizer.pre_tokenizer
-    if before is None or any(mark in t.content for t in tokenizer.get_added_tokens_decoder().values()):
+def _plain_words(tokenizer, marks: str) -> bool:
+    """Whether ASCII letters are one piece, in lower case, and marks after them another, whatever stands there; no added token is among them."""
+    normal, before = tokenizer.normalizer, tokenizer.pre_tokenizer
+    if normal is None or before is None or any(t.content.isalpha() or set(t.content) & set(marks) for t in tokenizer.get_added_tokens_decoder().values()):
         return False
-    normal = tokenizer.normalizer.normalize_str(word) if tokenizer.normalizer else word
-    return [at for _, at in before.pre_tokenize_str(normal)] == [(0, 2), (2, 3)]
+    pieces = lambda s: before.pre_tokenize_str(normal.normalize_str(s))
+    letters = string.ascii_lowercase
+    return pieces(string.ascii_uppercase) == [(letters, (0, 26))] and [at for _, at in pieces(letters + marks)] == [(0, 26), (26, 26 + len(marks))]
 
 
 class Encoder(dict):
-    """word -> packed ids. Words not asked for while ``KEPT`` others were are forgotten."""
+    """word -> packed ids. Words not asked for while ``KEPT`` others were are forgotten.
+
+    A word that holds no added token is normalized, split and looked up by the library's own parts of the vocabulary, which is what its ``encode`` does, without
+    offsets; ASCII letters go to the model at once.
+    """
 
     def __init__(self, data: bytes, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype, self.old = _tokenizer(data), np.dtype(dtype), {}
-        self.by_words = _by_words(self.tokenizer)
-        self.marks = {ord(m): self.ids(m.encode()) for m in MARKS if self.by_words and _splits_off(self.tokenizer, m)}
+        self.tokenizer, self.old = _tokenizer(data), {}
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.by_words, self.plain = _by_words(self.tokenizer), _plain_words(self.tokenizer, MARKS)
+        self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = self.by_words and self.normalizer is not None and self.splitter is not None
 
     def ids(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        """Ids of a text by the library's encode."""
+        return self._packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if self.plain and word.isalpha():
+            return self._packed([t.id for t in self.model.tokenize(word.lower().decode())])
+        text = word.decode("utf-8", "replace")
+        if not self.parts or any(a in text for a in self.added):
+            return self.ids(word)
+        return self._packed([t.id for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) for t in self.model.tokenize(piece)])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            mark = self.marks.get(word[-1]) if word[:-1].isalpha() else None
-            ids = self.ids(word) if mark is None else self[word[:-1]] + mark
+            letters = word.rstrip(_MARKS)
+            ids = self[letters] + self[word[len(letters) :]] if self.plain and len(letters) < len(word) and letters.isalpha() else self._word(word)
         if len(word) <= LONG_WORD:
             self[word] = ids
         return ids
