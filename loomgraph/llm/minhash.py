@@ -15,9 +15,10 @@ Shape of the work, for groups of any size:
   rarest shingles of each (a prefix of n - ceil(n * percent / 100) + 1 in the order of their counts), so such shingles take the place
   of the buckets. A document with enough shingles of its own has none in common there, whatever passages it shares with others.
   After one more round all pairs of different components that share such a shingle are compared.
-* Before full sets are, pairs are compared inside the join, so that those that fail are never rows: by two bits of each coordinate, of
-  which ``LEAST_AGREE`` places must agree (at a similarity of 0.75 a pair falls below it with a probability of 3e-7), and among what is still
-  apart by bitmaps of the sets too, which bound the number of shared shingles from above.
+* Before full sets are, pairs are compared inside the join, so that those that fail are never rows. While members meet a few others only, two bits of
+  each coordinate are compared, of which ``LEAST_AGREE`` places must agree (a pair of similarity 0.75 falls below it about once in a million, and is
+  met again among what is still apart); in that last stage only bounds that hold for every pair decide: the places of common shingles, and bitmaps of the
+  sets, which bound the number of shared shingles from above.
 * A link is confirmed by two joins with the table of sets, where a member that many are compared with is one row; links
   are a few for each member of a component, whatever its size.
 * Components come from hooking to the smallest neighbour, pointer jumping and contraction.
@@ -265,7 +266,7 @@ def _all_ties(now: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     main = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     now = now.join(bounded(cut(main, "main"), BROADCAST_BUCKETS), "bucket").join(marks, "rep")
     # plain columns instead of arrays keep the condition of the join short enough to be compiled
-    words = [F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(4)] + [F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITMAP)]
+    words = [F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITMAP)]
     now = cut(now.select("bucket", "place", "rep", "root", "main", "n_shingles", *words), "members")
     few = now.where("root <> main").drop("main")
     few = few.toDF(*[f"{c}_b" for c in few.columns])
@@ -276,10 +277,9 @@ def _all_ties(now: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     far = (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("rep_b")))
     # if this is their first common shingle, enough must be left from here on to be in common
     left = F.least(n - here("place"), n_b - there("place")) * (100 + percent) >= (n + n_b) * percent
-    signed = total([F.bit_count(differ("w", k).bitwiseOR(differ("w", k + 2))) for k in (0, 1)]) <= COORDINATES - LEAST_AGREE
     # sets that differ in d shingles or more have (n + n_b - d) / 2 in common at most
     mapped = total([F.bit_count(differ("m", k)) for k in range(BITMAP)]) * (100 + percent) <= (n + n_b) * (100 - percent)
-    pairs = now.join(few, (F.col("bucket") == F.col("bucket_b")) & left & far & signed & mapped)
+    pairs = now.join(few, (F.col("bucket") == F.col("bucket_b")) & left & far & mapped)
     return pairs.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
@@ -328,7 +328,7 @@ def _linked(bands: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     for turn in range(BAND_ROUNDS, BAND_ROUNDS + SHINGLE_ROUNDS):
         clusters = confirm(_ties(now, reps, turn))
         now = _mixed(_rooted(now.drop("root"), clusters))
-    return confirm(_all_ties(now, alone.select("rep", "bitmap").join(reps.select("rep", "bits", "n_shingles"), "rep"), percent))
+    return confirm(_all_ties(now, alone.select("rep", "bitmap", "n_shingles"), percent))
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
