@@ -137,7 +137,7 @@ def sections(df: DataFrame, key: str, order: list, heading) -> DataFrame:
 
 
 #: Ranges that are broadcast, and ranges of a cell beyond that.
-BROADCAST_RANGES, _CELL_RANGES = 100_000, 64
+BROADCAST_RANGES, _CELL_RANGES, _RUN = 100_000, 64, 4096
 
 
 def assign_ranges(points: DataFrame, at: str, starts: DataFrame, start: str, end: str = "_end", last=None) -> DataFrame:
@@ -154,7 +154,11 @@ def assign_ranges(points: DataFrame, at: str, starts: DataFrame, start: str, end
     cells = max(1, n // _CELL_RANGES)
     cell = lambda c: F.floor((F.least(F.greatest(c, F.lit(low)), F.lit(high)) - F.lit(low)) * cells / F.lit((high - low) or 1))
     s = starts.withColumn("_cell", cell(F.col(start)))
-    after = s.groupBy("_cell").agg(F.min(start).alias("_first")).withColumn("_after", F.lead("_first").over(Window.orderBy("_cell"))).drop("_first")  # a row for each cell
+    # the next cell with a start: within runs of cells, and from one run to the next (a row for each run)
+    firsts = s.groupBy("_cell").agg(F.min(start).alias("_first")).withColumn("_run", F.floor(F.col("_cell") / _RUN))
+    runs = firsts.groupBy("_run").agg(F.min("_first").alias("_next")).withColumn("_next", F.lead("_next").over(Window.orderBy("_run")))
+    within = F.lead("_first").over(Window.partitionBy("_run").orderBy("_cell"))
+    after = firsts.withColumn("_within", within).join(runs, "_run").select("_cell", F.coalesce("_within", "_next").alias("_after"))
     own = F.lead(start).over(Window.partitionBy("_cell").orderBy(start))
     ranges = s.withColumn("_own", own).join(after, "_cell").withColumn(end, F.coalesce("_own", "_after", F.lit(last)))
     ranges = ranges.withColumn("_cell", F.explode(F.sequence("_cell", F.coalesce(cell(F.col(end)), F.lit(cells)).cast("long")))).drop("_own", "_after")

@@ -12,13 +12,15 @@ from .candidates import last_wins
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list | None = None, keep_non_empty: bool = False) -> DataFrame:
     """Table after MERGE on keys and SET of the changes' columns: last change of a key wins, null changes leave old values.
 
+    Without an order, changes of one key are ordered by all their other columns, so the same changes always give the same table.
+
     ``keep_non_empty``: empty strings leave old values too, so a poorer extraction erases nothing.
     Running it twice gives what running it once gives.
     """
     if keep_non_empty:
         texts = [f.name for f in changes.schema.fields if f.dataType.simpleString() == "string" and f.name not in keys]
         changes = changes.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in texts})
-    new = last_wins(changes, keys, order) if order else changes.dropDuplicates(keys)
+    new = last_wins(changes, keys, order or [c for c in changes.columns if c not in keys] or keys)
     others = [c for c in table.columns if c not in keys]
     renamed = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in others if c in new.columns])
     out = table.join(renamed, keys, "full_outer")
@@ -96,13 +98,18 @@ def write_staged(edges: DataFrame, path: str, header: dict[str, str], overwrite:
 
 
 def replay(edges: DataFrame, dump: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
-    """(edges after the merge, rejected rows with reason); the same dump replayed again changes nothing."""
+    """(edges after the merge, rejected rows with reason); the same dump replayed again changes nothing.
+
+    Of rows for one edge the last by ``position`` (as ``files.edge_dump`` reads it) wins; a dump without positions is ordered by confidence, then description.
+    """
     marked = dump.withColumn("reason", edge_reason())
     good = marked.where("reason is null").select(
         F.concat_ws("\x1f", "source_grade", "source_name").alias("src"), F.concat_ws("\x1f", "target_grade", "target_name").alias("dst"), "rel_type",
         F.col("properties.description").alias("description"), F.col("properties.confidence").alias("confidence"), F.coalesce("properties.method", F.lit(method)).alias("method"),
+        *[c for c in ("position",) if c in dump.columns],
     )
-    return upsert(edges, good, ["src", "dst", "rel_type"], ["confidence", "description"]), marked.where("reason is not null")
+    order = [*[c for c in ("position",) if c in dump.columns], "confidence", "description", "method"]
+    return upsert(edges, good, ["src", "dst", "rel_type"], order), marked.where("reason is not null")
 
 
 def without(edges: DataFrame, method: str | None = None, prefix: str | None = None) -> DataFrame:

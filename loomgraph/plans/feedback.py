@@ -10,7 +10,7 @@ from ..operators import feedback as R
 from ..operators import metrics as M
 from ..streaming import ratings as S
 
-_R = """r as (select event_id, user_id as reviewer, cast(ts as date) as day, event_id % 40 as item,
+_R = """r as (select event_id, user_id as reviewer, cast(ts as date) as day, event_id // 5 as item,
   case event_type when 'click' then 'correct' when 'view' then 'partial' when 'purchase' then 'correct' when 'signup' then 'missing' when 'error' then 'wrong' else 'partial' end as rating from events)"""
 _W = "case rating when 'correct' then 1.0 when 'partial' then 0.5 else 0.0 end"
 
@@ -18,7 +18,7 @@ _W = "case rating when 'correct' then 1.0 when 'partial' then 0.5 else 0.0 end"
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kinds = F.create_map(*[F.lit(x) for kv in S.RATING_OF.items() for x in kv])
-    return e.select("event_id", F.col("user_id").alias("reviewer"), F.to_date("ts").alias("day"), (F.col("event_id") % 40).alias("item"), F.coalesce(kinds[F.col("event_type")], F.lit("partial")).alias("rating"))
+    return e.select("event_id", F.col("user_id").alias("reviewer"), F.to_date("ts").alias("day"), F.floor(F.col("event_id") / 5).alias("item"), F.coalesce(kinds[F.col("event_type")], F.lit("partial")).alias("rating"))
 
 
 @query("rating_pivot", f"""with {_R} select reviewer, count(*) filter (rating = 'correct') as correct, count(*) filter (rating = 'partial') as partial, count(*) filter (rating = 'wrong') as wrong,

@@ -113,10 +113,13 @@ def reviewed_operations(spark, sf_dir):
     return operations
 
 
-@query("rebuilt_books", f"""with {_TRIPLES}, r as (select grade, chapter, subtopic, concept, string_agg(relation || '>' || target, ',' order by index, relation, target) as relations, min(index) as pos from t where l_quantity > 45 group by 1, 2, 3, 4)
+@query("rebuilt_books", f"""with {_TRIPLES}, b as (select target || grade as grade, index, 'q' || cast(l_quantity as integer) as chapter, subtopic, concept, relation, target from t),
+r as (select grade, chapter, subtopic, concept, string_agg(relation || '>' || target, ',' order by index, relation, target) as relations, min(index) as pos from b group by 1, 2, 3, 4)
 select grade, chapter, subtopic, string_agg(concept || ':' || relations, ';' order by pos, concept) as concepts from r group by 1, 2, 3""")
 def rebuilt_books(spark, sf_dir):
-    books = B.rebuilt(_triples(spark, sf_dir).where("l_quantity > 45").drop("l_quantity"))
+    """A book for each supplier and return flag, a chapter for each quantity."""
+    t = _triples(spark, sf_dir)
+    books = B.rebuilt(t.withColumns({"grade": F.concat("target", "grade"), "chapter": F.concat(F.lit("q"), F.col("l_quantity").cast("int"))}).drop("l_quantity"))
     c = books.select("grade", F.explode("chapters").alias("c")).select("grade", F.col("c.chapter").alias("chapter"), F.explode("c.subtopics").alias("s"))
     concept = lambda k: F.concat(k["concept"], F.lit(":"), F.array_join(F.transform(k["relations"], lambda r: F.concat(r["type"], F.lit(">"), r["target"])), ","))
     return c.select("grade", "chapter", F.col("s.subtopic").alias("subtopic"), F.array_join(F.transform("s.concepts", concept), ";").alias("concepts"))

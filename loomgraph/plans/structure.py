@@ -73,10 +73,10 @@ def optional_children(spark, sf_dir):
     return rows.groupBy(F.substring("id_parent", 2, 19).cast("long").alias("id")).agg(F.count("id_child").alias("children"), F.countDistinct("name_child").alias("kinds"))
 
 
-@query("distinct_topics_per_document", """select l_orderkey % 100 as document, count(distinct l_partkey) as topics from lineitem group by 1""")
+@query("distinct_topics_per_document", """select l_orderkey as document, count(distinct l_partkey) as topics from lineitem group by 1""")
 def distinct_topics_per_document(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    grade = (F.col("l_orderkey") % 100).cast("string")
+    grade = F.col("l_orderkey").cast("string")
     concepts = li.select(F.lit("Concept").alias("label"), F.col("l_partkey").cast("string").alias("name"), grade.alias("grade"))
     documents = li.select(F.lit("Document").alias("label"), grade.alias("name"), grade.alias("grade")).distinct()
     return files.documents_with_counts(documents.unionByName(concepts)).select(F.col("grade").cast("long").alias("document"), F.col("concepts").alias("topics"))
@@ -158,16 +158,15 @@ def dangling_targets(spark, sf_dir):
     return M.dangling(nodes(spark, sf_dir).where("label = 'part' or description <> ''"), edges(spark, sf_dir))
 
 
-#: Trade between nations: an edge for each line item from the customer's nation to the supplier's.
-_TRADE = """g as (select 'n' || c_nationkey as src, 'n' || s_nationkey as dst, l_returnflag || l_linestatus || (l_linenumber - 1) // 3 as rel_type, l_quantity from lineitem
-  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"""
+#: Trade between parts and suppliers: an edge for each line item, to the supplier for large quantities and from it for small ones.
+_TRADE = """g as (select case when l_quantity > 25 then 'p' || l_partkey else 's' || l_suppkey end as src, case when l_quantity > 25 then 's' || l_suppkey else 'p' || l_partkey end as dst,
+  'T' || (l_linenumber - 1) // 3 as rel_type, l_quantity from lineitem)"""
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    kind = F.concat("l_returnflag", "l_linestatus", F.floor((F.col("l_linenumber") - 1) / 3))
-    return rows.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), kind.alias("rel_type"), "l_quantity")
+    p, s, large = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.col("l_quantity") > 25
+    kind = F.concat(F.lit("T"), F.floor((F.col("l_linenumber") - 1) / 3))
+    return table(spark, sf_dir, "lineitem").select(F.when(large, p).otherwise(s).alias("src"), F.when(large, s).otherwise(p).alias("dst"), kind.alias("rel_type"), "l_quantity")
 
 
 @query("symmetric_edges", f"with {_TRADE}, u as (select distinct src, dst, rel_type from g where src <> dst) select x.src as a, x.dst as b, x.rel_type from u x join u y on x.src = y.dst and x.dst = y.src and x.rel_type = y.rel_type where x.src < x.dst")
@@ -255,17 +254,12 @@ def connected_components(spark, sf_dir):
     return P.connected_components(v.ids, close)
 
 
-@query("reachable_pairs", """with recursive e as (select distinct n_nationkey as src, (n_nationkey * 3 + 1) % 25 as dst from nation), r(src, dst) as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src) select src, dst from r""")
-def reachable_pairs(spark, sf_dir):
-    return P.reachable(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst")))
-
-
-@query("modularity_of_partition", f"""with {_TRADE}, s as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), p as (select *, cast(substr(a, 2) as integer) % 2 as pa, cast(substr(b, 2) as integer) % 2 as pb from s),
+@query("modularity_of_partition", f"""with {_TRADE}, s as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), p as (select *, cast(substr(a, 2) as integer) % 10 as pa, cast(substr(b, 2) as integer) % 10 as pb from s),
 t as (select x as part, count(*) as degree from (select pa as x from p union all select pb from p) group by 1), i as (select pa as part, count(*) as inside from p where pa = pb group by 1)
 select sum(coalesce(inside, 0) / (select count(*) from s) - (degree / (2 * (select count(*) from s))) ** 2) as q from t left join i using (part)""")
 def modularity_of_partition(spark, sf_dir):
     e = trade(spark, sf_dir)
-    parts = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", (F.substring("id", 2, 9).cast("int") % 2).alias("part"))
+    parts = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", (F.substring("id", 2, 9).cast("int") % 10).alias("part"))
     return M.modularity(e, parts)
 
 
@@ -304,6 +298,11 @@ def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(pair(n, "n", "n_nationkey", "r", "n_regionkey")).unionByName(pair(firsts, "r", "n_regionkey", "n", "n_nationkey"))
 
 
+@query("reachable_pairs", f"with recursive {_SUPPLY}, r(src, dst) as (select src, dst from u union select r.src, u.dst from r join u on r.dst = u.src) select src, dst from r")
+def reachable_pairs(spark, sf_dir):
+    return P.reachable(_origins(spark, sf_dir))
+
+
 @query("prerequisite_chains", f"""with recursive {_SUPPLY}, c(path, tip, closes) as (select [src, dst], dst, src = dst from u
   union all select list_append(path, u.dst), u.dst, list_contains(path, u.dst) from c join u on u.src = c.tip where not closes and len(path) <= 5)
 select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as length, closes from c""")
@@ -347,11 +346,13 @@ def section_groups(spark, sf_dir):
     return s.groupBy("conv_id", "section").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("turn")), ",").alias("turns"))
 
 
-@query("page_range_assign", """with s as (select cast(k * 700 as bigint) as page_start, cast(k as integer) as chapter from range(0, 20) t(k)), r as (select *, lead(page_start) over (order by page_start) as page_end from s)
-select chapter, count(*) as pages from events left join r on event_id >= page_start and (page_end is null or event_id < page_end) group by 1""")
+@query("page_range_assign", """with s as (select event_id as page_start, user_id as chapter from events where event_type = 'purchase'), r as (select *, lead(page_start) over (order by page_start) as page_end from s)
+select page_start, chapter, count(*) as pages from events left join r on event_id >= page_start and (page_end is null or event_id < page_end) group by 1, 2""")
 def page_range_assign(spark, sf_dir):
-    starts = spark.range(20).select((F.col("id") * 700).alias("page_start"), F.col("id").cast("int").alias("chapter"))
-    return P.assign_ranges(table(spark, sf_dir, "events"), "event_id", starts, "page_start").groupBy("chapter").agg(F.count(F.lit(1)).alias("pages"))
+    """Each purchase opens a chapter, which the events up to the next one belong to."""
+    e = table(spark, sf_dir, "events")
+    starts = e.where("event_type = 'purchase'").select(F.col("event_id").alias("page_start"), F.col("user_id").alias("chapter"))
+    return P.assign_ranges(e, "event_id", starts, "page_start").groupBy("page_start", "chapter").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("type_entropy", f"with {_EDGES}, c as (select rel_type, count(*) / sum(count(*)) over () as p from e group by 1) select -sum(p * log2(p)) as entropy from c")

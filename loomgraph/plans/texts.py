@@ -52,7 +52,16 @@ def clean_text(spark, sf_dir):
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.trim("text")).alias("joined"))
 
 
-@query("clean_text_all_steps")
+_WORD = r"\p{L}\p{M}\p{Nd}_"
+#: A number or a run of capitals between other characters; twice, as neighbours share the one between them.
+_NUMBER, _CAPITALS = rf"(^|[^{_WORD}])[0-9]{{1,3}}($|[^{_WORD}])", rf"(^|[^{_WORD}])[A-Z]{{2,}}(?:\s+[A-Z]{{2,}}){{0,3}}($|[^{_WORD}])"
+
+
+@query("clean_text_all_steps", rf"""with a as (select doc_id, regexp_replace(regexp_replace(text, '-\s*\n\s*', '', 'g'), '[\n\t\r]+', ' ', 'g') as t from documents),
+b as (select doc_id, regexp_replace(regexp_replace(t, '{_NUMBER}', '\1\2', 'g'), '{_NUMBER}', '\1\2', 'g') as t from a),
+c as (select doc_id, regexp_replace(regexp_replace(t, '{_CAPITALS}', '\1\2', 'g'), '{_CAPITALS}', '\1\2', 'g') as t from b),
+d as (select doc_id, regexp_replace(regexp_replace(t, '[^\x20-\x7E\x{{00C0}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]', ' ', 'g'), ' {{2,}}', ' ', 'g') as t from c)
+select doc_id, md5(trim(t)) as clean from d""")
 def clean_text_all_steps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean"))
 

@@ -20,9 +20,9 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edge_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of staged edges: from an object with ``edges``, or from a bare list."""
-    wrapped = spark.read.schema(schemas.EDGE_DUMP).json(path, multiLine=True).where("edges is not null").selectExpr("inline(edges)")
-    bare = spark.read.schema(schemas.STAGED_EDGE).json(path, multiLine=True).where("rel_type is not null")
+    """Rows of staged edges and their position in the dump: from an object with ``edges``, or from a bare list."""
+    wrapped = spark.read.schema(schemas.EDGE_DUMP).json(path, multiLine=True).where("edges is not null").selectExpr("posexplode(edges) as (position, e)").select("e.*", F.col("position").cast("long"))
+    bare = spark.read.schema(schemas.STAGED_EDGE).json(path, multiLine=True).withColumn("position", F.monotonically_increasing_id()).where("rel_type is not null")
     return wrapped.unionByName(bare)
 
 
