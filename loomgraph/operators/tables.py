@@ -30,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster shares."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write as Parquet in the folder the cluster shares and read back: computed once, and a lost executor costs a reread."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..operators import acyclic as Y
 from ..operators import books as B
+from ..operators import louvain as V
 from ..operators import metrics as M
 from ..operators import paths as P
 from ..operators import similarity as S
+from ..operators.tables import cut
 from ..sources import files
 from .similarity import _SCORED, index
 
@@ -270,6 +272,13 @@ def communities(spark, sf_dir):
     return P.best_partition(v.ids, close)
 
 
+@query("louvain_communities")
+def louvain_communities(spark, sf_dir):
+    v = index(spark, sf_dir)
+    close = S.neighbours(None, v, 10).where("score >= 0.65").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return V.louvain_modularity(v.ids, cut(close))
+
+
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts to their suppliers, suppliers to their customers, and customers back to the parts of the largest orders at the highest discount; n line items each."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")

@@ -242,3 +242,81 @@ def test_index_life_cycle(spark, monkeypatch, tmp_path):
         S.neighbours(None, V.load(spark, path, "m") or V.create(df, path, "m"), 2, group="grade")
     empty = V.create(df.where("false"), path, "none")
     assert empty.n == 0 and S.neighbours(None, empty, 3).count() == 0
+
+
+def replayed(edges):
+    """The rounds once more, one move after the other; the modularity grows with each."""
+    adjacent = {}
+    for a, b in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+        adjacent.setdefault(a, {})[b] = adjacent.setdefault(b, {})[a] = 1
+    m2 = sum(map(len, adjacent.values()))
+    part = {n: n for n in {x for e in edges for x in e}}
+    def quality(adj, place):
+        tot, inside = {}, 0
+        for x, ys in adj.items():
+            tot[place[x]] = tot.get(place[x], 0) + sum(ys.values())
+            inside += sum(w for y, w in ys.items() if place[y] == place[x])
+        return inside * m2 - sum(t * t for t in tot.values())
+
+    while m2:
+        place, k, moved = {x: x for x in adjacent}, {x: sum(ys.values()) for x, ys in adjacent.items()}, False
+        while True:
+            tot, found = {}, []
+            for x, c in place.items():
+                tot[c] = tot.get(c, 0) + k[x]
+            for x, ys in adjacent.items():
+                links = {}
+                for y, w in ys.items():
+                    if y != x:
+                        links[place[y]] = links.get(place[y], 0) + w
+                for c, w in links.items():
+                    gain = m2 * (w - links.get(place[x], 0)) - k[x] * (tot[c] - tot[place[x]] + k[x])
+                    if c != place[x] and gain > 0:
+                        found.append((gain, x, place[x], c))
+            if not found:
+                break
+            moved, made, tops, best = True, [], {}, {}
+            for gain, x, own, c in found:
+                for name, out in ((own, True), (c, False)):
+                    tops[name] = min(tops.get(name, (0,)), (-gain, x, c, out))
+            for gain, x, own, c in found:
+                if tops[own][3] and not tops[c][3]:
+                    best[x] = min(best.get(x, (0,)), (-gain, c, x, own))
+            ranked, into, out = sorted((g, x, own, c) for g, c, x, own in best.values()), {}, {}
+            for loss, x, own, c in ranked:
+                if -loss > k[x] * (into.get(c, 0) + out.get(own, 0)):
+                    made.append((x, c))
+                into[c], out[own] = into.get(c, 0) + k[x], out.get(own, 0) + k[x]
+            before = quality(adjacent, place)
+            for x, c in made:
+                place[x] = c
+            assert quality(adjacent, place) > before
+        if not moved:
+            break
+        part = {n: place.get(c, c) for n, c in part.items()}
+        coarse = {}
+        for x, ys in adjacent.items():
+            for y, w in ys.items():
+                row = coarse.setdefault(place[x], {})
+                row[place[y]] = row.get(place[y], 0) + w
+        adjacent = coarse
+    least = {}
+    for n, c in part.items():
+        least[c] = min(n, least.get(c, n))
+    return {n: least[c] for n, c in part.items()}
+
+
+def test_louvain_equals_a_replay_of_its_rounds(spark):
+    from loomgraph.operators import louvain as L
+    from loomgraph.operators import paths as P
+
+    rnd = random.Random(12)
+    edges = [(f"{g}{rnd.randrange(9)}", f"{g}{rnd.randrange(9)}") for g in "abcd" for _ in range(26)] + [(f"{a}1", f"{b}2") for a, b in ("ab", "bc", "cd", "da")]
+    edges += [("hub", f"leaf{k}") for k in range(12)] + [("x", "x")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in {x for e in edges for x in e}], "id string")
+    got = {r.id: r.part for r in L.louvain(nodes, df).collect()}
+    assert got == replayed(edges)
+    q = L.louvain_modularity(nodes, df).first()
+    assert q.communities == len(set(got.values())) and q.q >= P.best_partition(nodes, df).first().q - 1e-12
+    assert {r.id: r.part for r in L.louvain(nodes, df.where("false")).collect()} == {r.id: r.id for r in nodes.collect()}
