@@ -229,6 +229,33 @@ def type_entropy(edges: DataFrame) -> DataFrame:
     return s.agg((-F.sum(F.col("share") * F.log2("share"))).alias("entropy"))
 
 
+def cross_domain_ratio(edges: DataFrame, nodes: DataFrame, domain: str = "grade") -> DataFrame:
+    """n, ratio: edges whose ends both have a domain, and the share of them that lead to another one."""
+    end = lambda c: nodes.where(filled(domain)).select(F.col("id").alias(c), F.col(domain).alias(f"_{c}"))
+    rows = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst")
+    return rows.agg(F.count(F.lit(1)).alias("n"), share(F.col("_src") != F.col("_dst")).alias("ratio"))
+
+
+def pyramid_compliance(df: DataFrame, level: str, levels: list) -> DataFrame:
+    """score: 1 less the mean growth of the share from each level to the next one up; 1 if none is larger than the one below it. Other levels don't count."""
+    n = [F.sum(F.when(F.col(level) == x, 1).otherwise(0)).alias(f"n{k}") for k, x in enumerate(levels)]
+    total = sum((F.col(f"n{k}") for k in range(len(levels))), F.lit(0))
+    growth = sum((F.greatest(F.lit(0), F.col(f"n{k + 1}") - F.col(f"n{k}")) for k in range(len(levels) - 1)), F.lit(0))
+    return df.agg(*n).select(F.when(total > 0, 1 - growth / total / (len(levels) - 1)).alias("score"))
+
+
+def uncertainty_rate(edges: DataFrame, floor: float) -> DataFrame:
+    """n, rate: typed edges, and the share of them whose confidence is unknown or under the floor."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), share(F.coalesce(F.col("confidence"), F.lit(0.0)) < floor).alias("rate"))
+
+
+def composite(scores: dict[str, tuple[Column, float]]) -> Column:
+    """Weighted sum of scores; the weights must add up to 1."""
+    if abs(sum(w for _, w in scores.values()) - 1) > 1e-9:
+        raise ValueError("weights of a composite score add up to 1")
+    return sum((c * w for c, w in scores.values()), F.lit(0.0))
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall))
 

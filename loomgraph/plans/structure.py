@@ -384,3 +384,19 @@ def embedding_coverage(spark, sf_dir):
     many = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("m1"), F.lit("m2"))).otherwise(F.array(F.lit("m1")))
     stored = p.select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.explode(many).alias("model"))
     return M.embedding_coverage(nodes(spark, sf_dir), stored)
+
+
+@query("theory_metrics", f"""with {_EDGES}, d as (select 'p' || p_partkey as id, 'g' || (p_size % 5) as grade from part union all select 's' || s_suppkey, case when s_acctbal > 0 then 'g' || (s_nationkey % 5) else '' end from supplier),
+x as (select avg(case when a.grade <> b.grade then 1.0 else 0.0 end) as cross_domain from e join d a on a.id = src join d b on b.id = dst where a.grade <> '' and b.grade <> ''),
+l as (select count(*) filter (p_size // 10 = 0) as n0, count(*) filter (p_size // 10 = 1) as n1, count(*) filter (p_size // 10 = 2) as n2, count(*) filter (p_size // 10 = 3) as n3, count(*) filter (p_size // 10 = 4) as n4, count(*) filter (p_size // 10 = 5) as n5 from part),
+y as (select 1 - (greatest(0, n1 - n0) + greatest(0, n2 - n1) + greatest(0, n3 - n2) + greatest(0, n4 - n3) + greatest(0, n5 - n4)) / (n0 + n1 + n2 + n3 + n4 + n5) / 5 as pyramid from l),
+z as (select avg(case when confidence < 0.95 then 1.0 else 0.0 end) as uncertain from e)
+select cross_domain, pyramid, uncertain, 0.3 * cross_domain + 0.5 * pyramid + 0.2 * (1 - uncertain) as composite from x, y, z""")
+def theory_metrics(spark, sf_dir):
+    p, s, e = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), edges(spark, sf_dir)
+    grade = lambda c: F.concat(F.lit("g"), F.col(c) % 5)
+    n = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), grade("p_size").alias("grade"))
+    n = n.unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, grade("s_nationkey")).otherwise("").alias("grade")))
+    rows = M.cross_domain_ratio(e, n).select(F.col("ratio").alias("cross_domain")).join(F.broadcast(M.pyramid_compliance(p.select(F.floor(F.col("p_size") / 10).alias("level")), "level", list(range(6))).withColumnRenamed("score", "pyramid")))
+    rows = rows.join(F.broadcast(M.uncertainty_rate(e, 0.95).select(F.col("rate").alias("uncertain"))))  # one row each
+    return rows.withColumn("composite", M.composite({"cross": (F.col("cross_domain"), 0.3), "pyramid": (F.col("pyramid"), 0.5), "sure": (1 - F.col("uncertain"), 0.2)}))
