@@ -108,5 +108,24 @@ def report_lines(title: str, rows: DataFrame, limit: int = 1000) -> str:
     return "\n".join(lines) + "\n"
 
 
+def write_bundle(tables: dict[str, DataFrame], path: str, title: str, mode: str = "errorifexists") -> DataFrame:
+    """Write each table as CSV with a header under ``path``/name, and a Markdown page with their rows and columns; table, n, columns.
+
+    Arrays, maps and structs are JSON in the CSV. The counts are those of the files written.
+    """
+    out = None
+    for k, (name, df) in enumerate(tables.items()):
+        nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+        flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+        flat.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{name}")
+        rows = df.sparkSession.read.schema(flat.schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(f"{path}/{name}")
+        row = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), F.lit(name).alias("table"), "n", F.lit(", ".join(df.columns)).alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    out = out.orderBy("k").drop("k").coalesce(1)  # a row for each table
+    page = df.sparkSession.createDataFrame([(report_lines(title, out),)], "value string")
+    page.coalesce(1).write.mode(mode).text(f"{path}/README")
+    return out
+
+
 def ranked(df: DataFrame, order: list, *keys: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

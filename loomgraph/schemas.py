@@ -65,7 +65,7 @@ CLASSES_A = ("isPrerequisiteOf", "supports", "analogousTo", "none")
 
 @dataclass(frozen=True)
 class SchemaSpec:
-    """An ontology as data: what the reference's adapters differ in."""
+    """An ontology as data: what graphs differ in."""
 
     name: str
     levels: tuple[str, ...]

@@ -131,3 +131,18 @@ def test_a_prefix_opens_only_its_segments(spark, tmp_path):
     assert sorted(r.value for r in segments.get(spark, path, "progress:001").collect()) == ["again", "vprogress:001"]
     plan = segments.scan_prefix(spark, path, "progress:")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(key,progress:)" in plan
+
+
+def test_a_bundle_of_tables(spark, tmp_path):
+    from loomgraph.operators import feedback as R
+
+    tables = {
+        "ratings": spark.createDataFrame([("a", 'say "x",\ny', 1.5, ["p", "q"]), ("b", None, None, None)], "reviewer string, comment string, score double, tags array<string>"),
+        "none": spark.createDataFrame([], "id long"),
+    }
+    path = str(tmp_path / "bundle")
+    assert [tuple(r) for r in R.write_bundle(tables, path, "Results").collect()] == [("ratings", 2, "reviewer, comment, score, tags"), ("none", 0, "id")]
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/ratings").orderBy("reviewer").collect()
+    assert [tuple(r) for r in back] == [("a", 'say "x",\ny', "1.5", '["p","q"]'), ("b", None, None, None)]
+    page = "\n".join(r.value for r in spark.read.text(f"{path}/README").collect())
+    assert page.startswith("## Results") and "| ratings | 2 | reviewer, comment, score, tags |" in page
