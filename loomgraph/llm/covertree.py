@@ -13,10 +13,10 @@ Pairs whose bound only equals that score are still opened, so ties go to the sma
 Pairs of leaves that stay are compared as blocks; nothing else is. Where vectors are nearly orthogonal to each other (no cluster, bounds far
 above the scores) little can be pruned, and the work is that of all leaf pairs.
 
-Data are read once for each block of about ``QUERY_BLOCK`` queries, taken from a written table: the driver holds
-one block at a time, whatever the number of queries. Each task indexes its rows, across Arrow batches, in trees of
-``DATA_BLOCK`` rows and returns at most k rows for each query; a window over (query) with the group limit pushed down picks
-the k of all tasks.
+Queries are taken in blocks of about ``QUERY_BLOCK`` from a written table: the driver holds one block at a time, whatever their number. Each task indexes its
+rows, across Arrow batches, in trees of ``DATA_BLOCK`` rows and returns at most k rows for each query; a window over (query) with the group limit
+pushed down picks the k of all tasks. With more than one block of queries the trees are built once and written, a row for each; every block reads them, and leaves out
+a tree whose root can't reach the worst of its scores.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with
 null vec_id; vectors are compared with those of their own length. Rows that share a vec_id with a
@@ -27,6 +27,7 @@ rows are candidates each. Scores beyond the range of a long are held at its ends
 from __future__ import annotations
 
 import functools
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,13 @@ class Node:
         self.worst = -np.inf
         self._family = None
 
+    def __getstate__(self):
+        return self.points, self.centre, self.radius, self.norm, self.children
+
+    def __setstate__(self, state):
+        self.points, self.centre, self.radius, self.norm, self.children = state
+        self.worst, self._family = -np.inf, None
+
     def family(self) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The children, or the node itself as a leaf; their centres, radii and norms, and whether they are leaves."""
         if self._family is None:
@@ -103,10 +111,13 @@ class Search:
         self.limit = float(np.abs(x).max(initial=0))
         self.compared = 0  # pairs of points
 
-    def add(self, ids: np.ndarray, y: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, y: np.ndarray, tree: Node | None = None) -> None:
         # products and their sums are exact below 2^53
         self.exact = self.limit * float(np.abs(y).max(initial=0)) * y.shape[1] < 2**53
-        self._open(self.tree, cover_tree(y), ids, y)
+        q, r = self.tree, tree or cover_tree(y)
+        top = float(q.centre @ r.centre) + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius
+        if top + abs(top) * 1e-9 + 1 >= q.worst:
+            self._open(q, r, ids, y)
 
     def _open(self, q: Node, r: Node, ids: np.ndarray, y: np.ndarray) -> None:
         """Look at all pairs of children that can still matter: pairs of leaves together, then the others, most promising first."""
@@ -197,14 +208,27 @@ def _blocks(batches):
         yield d, ids, x
 
 
-def _searcher(shared, k):
+def _planted(batches):
+    """(dimension, tree) of blocks of rows: ids, vectors and their cover tree, pickled."""
+    for d, ids, x in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([pickle.dumps((ids, x, cover_tree(x)), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["d", "tree"])
+
+
+def _held(batches):
+    """What ``_planted`` wrote."""
+    for batch in batches:
+        for d, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield d, *pickle.loads(tree.as_py())
+
+
+def _searcher(shared, k, blocks=_blocks):
     def run(batches):
         searches = {}
         for d, rows in shared.value.items():
             searches[d] = Search(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), k)
-        for d, ids, x in _blocks(batches):
+        for d, *block in blocks(batches):
             if d in searches:
-                searches[d].add(ids, x)
+                searches[d].add(*block)
         for s in searches.values():
             some = s.found != np.iinfo(np.int64).max
             if some.any():
@@ -219,13 +243,14 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     context = data.sparkSession.sparkContext
     queries = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows, read = (data.select("vec_id", "v"), _blocks) if blocks == 1 else (cut(data.select("vec_id", "v").mapInArrow(_planted, "d bigint, tree binary"), "trees"), _held)
     passes = []
     for b in range(blocks):
         block: dict[int, list] = {}
         for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             block.setdefault(len(r.v), []).append((r.vec_id, r.v))
         shared = context.broadcast(block)
-        found = _best(data.select("vec_id", "v").mapInArrow(_searcher(shared, k), "query_id bigint, vec_id bigint, score bigint"), k)
+        found = _best(rows.mapInArrow(_searcher(shared, k, read), "query_id bigint, vec_id bigint, score bigint"), k)
         if blocks > 1:
             found = cut(found, "found")
             shared.destroy()
