@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vector_index as V
-from .tables import shared_dir
+from .tables import cut, shared_dir
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -81,7 +81,7 @@ def ranks_of(pairs: DataFrame, queries: DataFrame | None, data: DataFrame | V.Ve
     blocks = index.blocks if queries is None else V.blocks_of(queries, index, None)
     places = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(asked, "id", "left")
     none = F.array().cast("array<double>")
-    of_block = places.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("asked", none).alias("asked")))).alias("a"), F.count("asked").alias("n")).where("n > 0")
+    of_block = cut(places.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("asked", none).alias("asked")))).alias("a"), F.count("asked").alias("n")).where("n > 0"))
     rows = blocks.join(of_block.select("block", F.transform("a", lambda x: x["asked"]).alias("asked")), "block")
 
     def floor(_, asked_of) -> np.ndarray:

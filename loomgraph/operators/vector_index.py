@@ -4,8 +4,9 @@ Rows are dealt to the nearest of at most ``PIVOTS`` pivots (rows picked by a has
 found) and, ordered by their angle to it, into blocks of about ``BLOCK`` rows. So a block knows its pivot and the least and the greatest angle to it;
 no row of it can be nearer to a query than the angle between query and pivot, less the greatest (or the least less it) allows.
 
-A search visits pairs of blocks that the bound can't exclude, best bounds first: a task holds one block of queries and reads
-blocks of data one by one. All data stays in executors; the driver sees the pivots. Indexes live under a folder, by model and dimension, in numbered versions; a version counts once its
+A search visits pairs of blocks that the bound can't exclude, best bounds first: a task holds a group of blocks of queries and reads
+blocks of data one by one, each once for the whole group. Groups are few whatever the number of rows (up to ``GROUP_BLOCKS`` blocks of queries in each), so what is
+shuffled grows with the data, not with its square. All data stays in executors; the driver sees the pivots and the numbers of blocks. Indexes live under a folder, by model and dimension, in numbered versions; a version counts once its
 description is written.
 """
 
@@ -26,8 +27,10 @@ from .tables import cut
 PIVOTS, BLOCK = 1024, 1024
 #: Blocks, at most; beyond that they hold more rows. Their bounds (24 bytes each) are broadcast.
 MOST_BLOCKS = 1 << 18
-#: Digits of a score, and what a bound is raised by for their rounding.
-DIGITS, SLACK = 6, 2e-6
+#: Groups of blocks of queries that data are sent to, and blocks in a group at most; beyond that there are more groups.
+GROUPS, GROUP_BLOCKS = 16, 128
+#: Digits of a score, what a bound is raised by for their rounding, and what each entry may put a cosine in single precision off by.
+DIGITS, SLACK, SINGLE = 6, 2e-6, 1.2e-7
 _BLOCKS = "block bigint, cell int, n int, low double, high double, ids array<string>, groups array<string>, v binary"
 _ABOUT = "model string, dimension int, version int, n bigint, cells int, blocks bigint, grouped boolean"
 
@@ -189,10 +192,12 @@ class Block:
     ids: np.ndarray
     groups: np.ndarray
     x: np.ndarray
+    single: np.ndarray
 
     @classmethod
     def of(cls, ids: list, groups: list, v: bytes) -> Block:
-        return cls(np.array(ids, object), np.array(groups, object), np.frombuffer(v).reshape(len(ids), -1))
+        x = np.frombuffer(v).reshape(len(ids), -1)
+        return cls(np.array(ids, object), np.array(groups, object), x, x.astype(np.float32))
 
 
 def known(groups: np.ndarray) -> np.ndarray:
@@ -210,6 +215,22 @@ def scores(q: Block, r: Block, raw: bool, self_in_k: bool, by_group: bool) -> np
     return s
 
 
+def above(q: Block, r: Block, least: np.ndarray, raw: bool, self_in_k: bool, by_group: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q and r, by q, and their rounded scores: all pairs that count and reach ``least`` of the row of q, and a few that just do not.
+
+    Cosines in single precision rule out most pairs, by a margin beyond their error; what is left is computed as in ``scores``.
+    """
+    bound = (least if raw else 2 * least - 1) - SLACK - SINGLE * (q.x.shape[1] + 8)
+    i, j = np.nonzero(q.single @ r.single.T >= bound.astype(np.float32)[:, None])
+    fine = np.ones(len(i), bool) if self_in_k else q.ids[i] != r.ids[j]
+    if by_group:
+        a, b = q.groups[i], r.groups[j]
+        fine &= (a != b) & known(a) & known(b)
+    i, j = i[fine], j[fine]
+    cos = np.clip(np.einsum("ij,ij->i", q.x[i], r.x[j]), -1, 1)
+    return i, j, np.round(cos if raw else (1 + cos) / 2, DIGITS)
+
+
 #: Pairs of (query, block) whose bounds are computed at once.
 _BOUNDS = 1 << 22
 
@@ -241,36 +262,55 @@ def candidate_blocks(queries: DataFrame, index: VectorIndex, floor: Callable[[Bl
     return queries.select("block", "ids", "groups", "v", "extra").mapInArrow(run, "q bigint, block bigint, hope double")
 
 
+def dealt(queries: DataFrame, index: VectorIndex, floor, raw: bool, extra: str | None) -> tuple[DataFrame, int]:
+    """Blocks of queries and of data by the task (a number) that they meet in, those of queries first, with the queries each is for; and the number of tasks."""
+    spark = index.spark
+    queries = queries.withColumn("extra", F.col(extra) if extra else F.lit(None).cast("string"))
+    numbers = np.sort(queries.select("block").toArrow()["block"].to_numpy())
+    groups = max(1, min(len(numbers), max(GROUPS, -(-len(numbers) // GROUP_BLOCKS))))
+    firsts = [int(numbers[len(numbers) * g // groups]) for g in range(1, groups)]  # neighbours are in one group: they visit much the same
+    group = lambda c: sum(((F.col(c) >= f).cast("int") for f in firsts), F.lit(0))
+    # few groups are dealt to several tasks each, by blocks of data
+    salts = max(1, min(16, -(-2 * spark.sparkContext.defaultParallelism // groups)))
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    task = lambda c, s: (group(c) * salts + s).cast("int")
+    none = F.lit(None).cast(dict(queries.dtypes)["extra"])
+    pairs = candidate_blocks(queries, index, floor, raw)
+    asked = pairs.groupBy(task("q", salt).alias("task"), "block").agg(F.max("hope").alias("best"), F.collect_list(F.struct("q", "hope")).alias("asked"))
+    data = index.blocks.select("block", "ids", "groups", "v").join(asked, "block").select("task", (-F.col("best")).alias("at"), "ids", "groups", "v", none.alias("extra"), "asked")
+    salted = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    itself = F.array(F.struct(F.col("block").alias("q"), F.lit(float("inf")).alias("hope")))
+    own = salted.select(task("block", F.col("salt")).alias("task"), F.lit(float("-inf")).alias("at"), "ids", "groups", "v", "extra", itself.alias("asked"))
+    return own.unionByName(data), groups * salts
+
+
 def visit(queries: DataFrame, index: VectorIndex, floor, search: Callable, out: str, raw: bool = False, extra: str | None = None) -> DataFrame:
     """Rows of ``search``: an object made of (Block, extra) for each block of queries, with ``add(Block)`` and ``rows()``.
 
     ``queries`` are blocks like those of an index, with an ``extra`` column that goes to ``floor`` and ``search``.
     """
-    spark = index.spark
-    queries = queries.withColumn("extra", F.col(extra) if extra else F.lit(None).cast("string"))
-    pairs = candidate_blocks(queries, index, floor, raw)
-    # few blocks of queries are dealt to several tasks each, by blocks of data
-    salts = max(1, min(16, 2 * spark.sparkContext.defaultParallelism * BLOCK // max(1, index.n)))
-    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
-    none = F.lit(None).cast(dict(queries.dtypes)["extra"])
-    data = pairs.join(index.blocks.select("block", "ids", "groups", "v"), "block").select("q", salt.alias("salt"), (-F.col("hope")).alias("at"), "ids", "groups", "v", none.alias("extra"))
-    own = queries.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(float("-inf")).alias("at"), "ids", "groups", "v", "extra")
+    rows, tasks = dealt(queries, index, floor, raw, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        now, states = None, {}
         for batch in batches:
-            for at, ids, groups, v, more in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            columns = [batch.column(c) for c in range(batch.num_columns)]
+            for r in range(batch.num_rows):
+                t, at, ids, groups, v, more, asked = (c[r].as_py() for c in columns)
+                if t != now:
+                    for state in states.values():
+                        yield from state.rows()
+                    now, states = t, {}
                 b = Block.of(ids, groups, v)
                 if at == -np.inf:
-                    if state is not None:
-                        yield from state.rows()
-                    state = search(b, more)
+                    states[asked[0]["q"]] = search(b, more)
                 else:
-                    state.add(b, -at)
-        if state is not None:
+                    for x in asked:
+                        states[x["q"]].add(b, x["hope"])
+        for state in states.values():
             yield from state.rows()
 
-    return own.unionByName(data).repartition("q", "salt").sortWithinPartitions("q", "salt", "at").mapInArrow(run, out)
+    return rows.repartitionById(tasks, "task").sortWithinPartitions("task", "at").mapInArrow(run, out)
 
 
 def blocks_of(queries: DataFrame, index: VectorIndex, group: str | None) -> DataFrame:
@@ -285,6 +325,8 @@ class Nearest:
     def __init__(self, q: Block, k: int, raw: bool, self_in_k: bool, by_group: bool, ties: bool):
         self.q, self.k, self.how, self.ties = q, k, (raw, self_in_k, by_group), ties
         self.floor = np.full(len(q.ids), -np.inf)
+        if by_group:
+            self.floor[~known(q.groups)] = np.inf  # nothing counts for them
         self.held: list[tuple] = []
         self.size = 0
         self.compared = 0
@@ -293,16 +335,21 @@ class Nearest:
         if hope + SLACK < self.floor.min():
             return
         self.compared += len(self.q.ids) * len(r.ids)
-        s = scores(self.q, r, *self.how)
-        if self.k < s.shape[1]:
-            self.floor = np.maximum(self.floor, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
-        keep = np.isfinite(s) & (s >= self.floor[:, None])
-        if not keep.any():
+        if (self.floor > -np.inf).all():
+            i, j, s = above(self.q, r, self.floor, *self.how)
+            keep = s >= self.floor[i]
+            i, j, s = i[keep], j[keep], s[keep]
+        else:
+            every = scores(self.q, r, *self.how)
+            if self.k < every.shape[1]:
+                self.floor = np.maximum(self.floor, -np.partition(-every, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(np.isfinite(every) & (every >= self.floor[:, None]))
+            s = every[i, j]
+        if not len(i):
             return
-        i, j = np.nonzero(keep)
-        self.held.append((i, s[i, j], r.ids[j].astype(str)))
+        self.held.append((i, s, r.ids[j].astype(str)))
         self.size += len(i)
-        if self.size > 4 * self.k * len(self.q.ids):
+        if self.size > 2 * self.k * len(self.q.ids):
             self.reduce()
 
     def reduce(self) -> None:
@@ -317,7 +364,7 @@ class Nearest:
         self.floor[i[kth]] = np.maximum(self.floor[i[kth]], s[kth])
         keep = s >= self.floor[i] if self.ties else place < self.k
         self.held = [(i[keep], s[keep], ids[keep])]
-        self.size = int(keep.sum())
+        self.size = min(int(keep.sum()), self.k * len(self.q.ids))  # ties do not bring the next turn nearer
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.reduce()
@@ -331,11 +378,15 @@ class Better:
     def __init__(self, q: Block, asked: list[list[float]], raw: bool):
         self.q, self.raw, self.asked = q, raw, [(i, np.array(a)) for i, a in enumerate(asked) if a]
         self.n = [np.zeros(len(a), np.int64) for _, a in self.asked]
+        self.of = {i: k for k, (i, _) in enumerate(self.asked)}
+        self.least = np.array([min(a, default=np.inf) for a in asked])
 
     def add(self, r: Block, hope: float = np.inf) -> None:
-        s = np.sort(scores(self.q, r, self.raw, False, False), axis=1)
-        for (i, a), n in zip(self.asked, self.n, strict=True):
-            n += s.shape[1] - np.searchsorted(s[i], a, "right")
+        i, _, s = above(self.q, r, self.least, self.raw, False, False)
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for first, part in zip(starts, np.split(s, starts[1:]), strict=False):
+            k = self.of[i[first]]
+            self.n[k] += len(part) - np.searchsorted(np.sort(part), self.asked[k][1], "right")
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.asked:

@@ -222,6 +222,20 @@ def test_index_prunes_and_stays_exact(spark, monkeypatch, tmp_path):
     assert S.visited_share(index, 5) < 0.25
 
 
+def test_blocks_of_data_are_sent_once_for_a_group_of_queries(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "GROUPS", 2)
+    x = np.random.default_rng(3).normal(size=(1000, 24))  # random directions: no pair of blocks is ruled out
+    df = spark.createDataFrame([(f"{i:05}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, v array<double>")
+    index = V.create(df, str(tmp_path), "m")
+    blocks = index.blocks.count()
+    rows, tasks = V.dealt(index.blocks, index, lambda b, _: np.full(len(b.ids), -np.inf), False, None)
+    sent = rows.where("at > double('-infinity')").count()
+    assert blocks > 50 and sent == 2 * blocks  # not blocks ** 2
+    assert rows.where("task < 0").count() == 0 and rows.agg({"task": "max"}).first()[0] < tasks
+    assert {(r.source, r["rank"]): (r.target, r.score) for r in S.neighbours(None, index, 5).collect()} == best(x, 5)
+
+
 def test_index_life_cycle(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(V, "BLOCK", 8)
     _, df = cluster_vectors(spark, 60, 4, 3)
