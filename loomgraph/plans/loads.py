@@ -12,6 +12,7 @@ from ..operators import candidates as C
 from ..operators import classify as L
 from ..operators import metrics as M
 from ..operators import upsert as U
+from ..operators.tables import cut
 from .similarity import _SCORED, _grades, _top
 
 _TOC = """t as (select p_partkey, p_brand as document, case when p_size % 5 = 0 then null when p_size % 7 = 0 then 'Lain' else 'Bab ' || (p_size % 4) end as bab,
@@ -168,7 +169,7 @@ p as (select distinct scope, least(source, target) as a, greatest(source, target
   or scope = 'cross_all' and source_grade <> target_grade or scope = 'cross' and source_grade <> target_grade and '3' in (source_grade, target_grade))
 select m.scope, count(p.a) as n from m left join p on p.scope = m.scope group by 1""")
 def scope_modes(spark, sf_dir):
-    top, grades, out = _top(spark, sf_dir), _grades(spark, sf_dir), None
+    top, grades, out = cut(_top(spark, sf_dir)), _grades(spark, sf_dir), None
     for scope in C.SCOPES:
         rows = C.candidate_pairs(top, grades, 0.62, scope, "3").agg(F.count(F.lit(1)).alias("n")).select(F.lit(scope).alias("scope"), "n")
         out = rows if out is None else out.unionByName(rows)
