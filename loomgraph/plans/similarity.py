@@ -13,7 +13,7 @@ from ..operators import candidates as C
 from ..operators import similarity as S
 from ..operators import vector_index as V
 from ..operators.compare import group_pairs
-from ..operators.tables import shared_dir
+from ..operators.tables import cut, shared_dir
 
 THRESHOLD, K = 0.65, 10
 #: Entries of an embedding.
@@ -88,7 +88,7 @@ p as (select least(source, target) as a, greatest(source, target) as b, cast(max
 select a, b, rank_ab, rank_ba, least(rank_ab, rank_ba) as best_rank from p where least(rank_ab, rank_ba) <= 5""")
 def knn_rank_both_ways(spark, sf_dir):
     vectors = index(spark, sf_dir)
-    top = S.neighbours(None, vectors, 5, ties=True).select("source", "target", "score", "rank")
+    top = cut(S.neighbours(None, vectors, 5, ties=True).select("source", "target", "score", "rank"))
     back = S.ranks_of(top.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"), None, vectors).select("source", "target", "rank")
     ranks = top.select("source", "target", "rank").unionByName(back)
     way = lambda ahead: F.max(F.when((F.col("source") < F.col("target")) == ahead, F.col("rank")))
@@ -147,5 +147,5 @@ def anchor_cap(spark, sf_dir):
   select *, row_number() over (partition by source order by score desc, target) as rank from (select distinct source, target, score from t where target_grade <> source_grade or target_grade <= '4')) where rank <= 4""")
 def merged_ranking(spark, sf_dir):
     g = _grades(spark, sf_dir)
-    rows = _top(spark, sf_dir).join(g.toDF("source", "sg"), "source").join(g.toDF("target", "tg"), "target")
+    rows = cut(_top(spark, sf_dir)).join(g.toDF("source", "sg"), "source").join(g.toDF("target", "tg"), "target")
     return S.merged_ranking(rows.where("sg <> tg"), rows.where("tg <= '4'"), 4)
