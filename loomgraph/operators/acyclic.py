@@ -8,6 +8,8 @@ backward colouring; each round is a few aggregations, rounds follow the longest
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,14 +79,14 @@ class TopologicalOrder:
     def _at(self, n) -> int:
         return self.place.setdefault(n, len(self.place))
 
-    def _between(self, start, ways: dict, low: int, high: int) -> list:
-        seen, stack = {start}, [start]
+    def _between(self, starts: list, ways: dict, low: int, high: int) -> list:
+        seen, stack, place = set(starts), list(starts), self.place
         while stack:
             for m in ways.get(stack.pop(), ()):
-                if m not in seen and low <= self.place[m] <= high:
+                if m not in seen and low <= place[m] <= high:
                     seen.add(m)
                     stack.append(m)
-        return sorted(seen, key=self.place.__getitem__)
+        return sorted(seen, key=place.__getitem__)
 
     def closes(self, s, d) -> bool:
         """Whether s -> d would close a cycle; if not, places are moved so that it goes up."""
@@ -92,18 +94,39 @@ class TopologicalOrder:
         if s == d:
             return True
         if self.cyclic:  # accepted before that closed cycles themselves: no order to rely on
-            return s in self._between(d, self.out, 0, len(self.place))
+            return s in self._between([d], self.out, 0, len(self.place))
         if high < low:
             return False
-        after = self._between(d, self.out, low, high)
+        after = self._between([d], self.out, low, high)
         if after[-1] == s:
             return True
-        before = self._between(s, self.into, low, high)
+        before = self._between([s], self.into, low, high)
         moved = [*before, *after]
         for n, place in zip(moved, sorted(self.place[n] for n in moved), strict=True):
             self.place[n] = place
         return False
 
+    def closing(self, s, run: list) -> set:
+        """Those of ``run`` to which an edge from ``s`` would close a cycle; places are moved so that the other edges go up.
+
+        What an edge from s adds lies behind s, so it changes nothing for the next edge from s: one search answers for all of them.
+        """
+        if self.cyclic:
+            return {d for d in run if self.closes(s, d)}
+        high = self._at(s)
+        down = [d for d in dict.fromkeys(run) if self._at(d) <= high]
+        if not down:
+            return set()
+        low = min(self.place[d] for d in down)
+        before = self._between([s], self.into, low, high)
+        met = set(before)
+        bad = {d for d in down if d in met}
+        if len(bad) < len(down):
+            moved = [*before, *self._between([d for d in down if d not in bad], self.out, low, high)]
+            for n, place in zip(moved, sorted(self.place[n] for n in moved), strict=True):
+                self.place[n] = place
+        return bad
+
     def add(self, s, d) -> None:
         self._at(s), self._at(d)
         self.out.setdefault(s, []).append(d)
@@ -142,10 +165,13 @@ def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None)
         new = group["_order"] > 0
         at = TopologicalOrder().seeded(zip(group["src"][~new], group["dst"][~new], strict=True))
         rows, keep = group[new].sort_values("_order"), []
-        for s, d in zip(rows["src"], rows["dst"], strict=True):
-            keep.append(not at.closes(s, d))
-            if keep[-1]:
-                at.add(s, d)
+        for s, run in groupby(zip(rows["src"], rows["dst"], strict=True), key=itemgetter(0)):
+            ends = [d for _, d in run]
+            bad = at.closing(s, ends)
+            for d in ends:
+                keep.append(d not in bad)
+                if keep[-1]:
+                    at.add(s, d)
         return rows.assign(accepted=keep)[[*names, "accepted"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields)

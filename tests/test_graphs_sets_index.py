@@ -222,6 +222,30 @@ def test_index_prunes_and_stays_exact(spark, monkeypatch, tmp_path):
     assert S.visited_share(index, 5) < 0.25
 
 
+def test_edges_of_one_source_need_one_search(monkeypatch):
+    searches = []
+    between = Y.TopologicalOrder._between
+    monkeypatch.setattr(Y.TopologicalOrder, "_between", lambda self, *a: searches.append(a) or between(self, *a))
+    rnd = np.random.default_rng(4)
+    for k in range(20):
+        edges = sorted({(int(s), int(d)) for s, d in rnd.integers(0, 15, (80, 2))}, key=lambda e: (e[0] * 7 % 5, e[0], e[1]))
+        runs, single, kept, wanted = Y.TopologicalOrder(), Y.TopologicalOrder(), [], []
+        searches.clear()
+        for s in dict.fromkeys(e[0] for e in edges):
+            ends = [d for x, d in edges if x == s]
+            bad = runs.closing(s, ends)
+            for d in ends:
+                kept.append(d not in bad)
+                if kept[-1]:
+                    runs.add(s, d)
+        assert len(searches) <= 2 * len({e[0] for e in edges})  # whatever the number of edges
+        for s, d in edges:
+            wanted.append(not single.closes(s, d))
+            if wanted[-1]:
+                single.add(s, d)
+        assert kept == wanted, k
+
+
 def test_blocks_of_data_are_sent_once_for_a_group_of_queries(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(V, "BLOCK", 16)
     monkeypatch.setattr(V, "GROUPS", 2)
