@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import either, name_key, relation_type, variable
 from .candidates import first_wins, last_wins
-from .overlap import overlap_pairs
+from .overlap import overlap_counts, overlap_pairs
 
 
 def subtopics(books: DataFrame) -> DataFrame:
@@ -166,12 +166,21 @@ def variables(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return found, uses, a.join(b, "variable").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SHARES_VARIABLE").alias("rel_type"), "variable")
 
 
+def _used(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", F.explode("variables").alias("text")).select("id", variable(F.col("text"))["name"].alias("v")).where("v is not null")
+
+
 def concepts_sharing(nodes: DataFrame, least: int = 1) -> DataFrame:
     """a, b, shared (names): pairs of concepts that use ``least`` or more of the same variables, whatever the number of concepts that use one."""
-    v = nodes.select("id", F.explode("variables").alias("text")).select("id", variable(F.col("text"))["name"].alias("v")).where("v is not null")
+    v = _used(nodes)
     return overlap_pairs(v.groupBy("id").agg(F.collect_set("v").alias("tokens")).withColumn("grp", F.lit(None).cast("string")), least)
 
 
+def sharing_counts(nodes: DataFrame, least: int = 1) -> DataFrame:
+    """a, b, shared (how many): as ``concepts_sharing``, without the names."""
+    return overlap_counts(_used(nodes).select("id", F.col("v").alias("token")), least)
+
+
 def topics_as_concepts(topics: DataFrame) -> DataFrame:
     """Old (topic, subtopics[]) rows in the shape of concepts."""
     return topics.select(F.col("topic").alias("name"), F.transform("subtopics", lambda s: F.struct(F.lit("BAGIAN_DARI").alias("type"), s.alias("target"))).alias("relations"))

@@ -142,6 +142,11 @@ def test_overlap_equals_all_pairs(spark, monkeypatch, heavy, apart):
         want = {(a[0], b[0]): sorted({*a[2]} & {*b[2]}) for a in sets for b in sets if a[0] < b[0] and (not apart or a[1] != b[1])}
         got = {(r.a, r.b): r.shared for r in O.overlap_pairs(df, least, apart).collect()}
         assert got == {p: s for p, s in want.items() if len(s) >= least}
+        if not apart:
+            members = df.select("id", F.explode("tokens").alias("token"))
+            counts = O.overlap_counts(members.unionByName(members), least)
+            assert {(r.a, r.b): r.shared for r in counts.collect()} == {p: len(s) for p, s in want.items() if len(s) >= least}
+            assert "array_intersect" not in counts._jdf.queryExecution().toString()  # pairs carry no sets
 
 
 def test_a_token_of_every_set_makes_no_pairs_and_no_hot_task(spark):
