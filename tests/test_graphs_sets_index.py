@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import plans  # noqa: F401  registers the queries
+from loomgraph.catalog import ORACLES
 from loomgraph.operators import acyclic as Y
+from loomgraph.operators import context as X
 from loomgraph.operators import metrics as M
 from loomgraph.operators import overlap as O
 from loomgraph.operators import similarity as S
@@ -227,6 +230,19 @@ def test_index_prunes_and_stays_exact(spark, monkeypatch, tmp_path):
     assert S.visited_share(index, 5) < 0.25
 
 
+@pytest.mark.parametrize("heavy", [2000, 3])
+def test_shared_targets_of_all_pairs_of_a_group(spark, monkeypatch, heavy):
+    monkeypatch.setattr(O, "HEAVY", heavy)
+    rnd = random.Random(5)
+    nodes = [(k, None if k == 7 else k % 3, "x" if k % 2 else "y") for k in range(40)]
+    edges = [(rnd.randrange(40), f"t{rnd.randrange(6)}") for _ in range(150)]
+    of = {k: {d for s, d in edges if s == k} for k in range(40)}
+    want = {(a[0], b[0]): sorted(of[a[0]] & of[b[0]]) for a in nodes for b in nodes if a[0] < b[0] and a[1:] == b[1:] and a[1] is not None}
+    got = X.shared_in_groups(spark.createDataFrame(nodes, "id long, k int, m string"), spark.createDataFrame(edges, "src long, dst string"), ["k", "m"]).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
+    assert "x.c_nationkey = y.c_nationkey" in ORACLES["shared_neighbors"]  # all pairs of a nation and segment
+
+
 def test_edges_of_one_source_need_one_search(monkeypatch):
     searches = []
     between = Y.TopologicalOrder._between
