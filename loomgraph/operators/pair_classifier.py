@@ -23,8 +23,12 @@ from .tables import summed
 FEATURES = ("score", "common", "jaccard", "contained", "equal", "length_gap", "other_group")
 
 
-def _names(a: Column, b: Column) -> dict[str, Column]:
-    ka, kb = name_key(F.coalesce(a, F.lit(""))), name_key(F.coalesce(b, F.lit("")))
+def key(name: Column) -> Column:
+    """What names are compared by; null is an empty name."""
+    return name_key(F.coalesce(name, F.lit("")))
+
+
+def _names(ka: Column, kb: Column) -> dict[str, Column]:
     ta, tb = F.array_distinct(F.split(ka, " ")), F.array_distinct(F.split(kb, " "))
     common, every = F.size(F.array_intersect(ta, tb)).cast("double"), F.size(F.array_union(ta, tb)).cast("double")
     number = lambda c: c.cast("double")
@@ -34,9 +38,9 @@ def _names(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def features(a: Column, b: Column, score: Column, group_a: Column, group_b: Column) -> Column:
-    """The features of a pair as array<double>; nulls are empty names, 0 and no group."""
-    found = _names(a, b)
+def features(a: Column, b: Column, score: Column, group_a: Column, group_b: Column, keyed: bool = False) -> Column:
+    """The features of a pair as array<double>; nulls are empty names, 0 and no group. With ``keyed``, names are given by their ``key`` (made once for a name, not for each pair)."""
+    found = _names(a, b) if keyed else _names(key(a), key(b))
     found["score"] = F.coalesce(score.cast("double"), F.lit(0.0))
     found["other_group"] = F.coalesce((group_a != group_b).cast("double"), F.lit(0.0))
     return F.array(*[found[f] for f in FEATURES])
@@ -55,12 +59,12 @@ class PairModel:
         """Chance of each class, by built-in functions."""
         w = self.weights[:, 1:] / self.scale
         b = self.weights[:, 0] - w @ self.mean
-        row = lambda v: F.array(*[F.lit(float(c)) for c in v])
-        linear = F.array(*[F.aggregate(F.zip_with(x, row(w[k]), lambda p, q: p * q), F.lit(float(b[k])), lambda s, p: s + p) for k in range(len(self.classes))])
-        top = F.array_max(linear)
-        raised = F.transform(linear, lambda v: F.exp(v - top))
-        total = F.aggregate(raised, F.lit(0.0), lambda s, v: s + v)
-        return F.transform(raised, lambda v: v / total)
+        # sums written out, in the order of the features: plain arithmetic is compiled, and evaluated once for all classes
+        linear = [sum((x[j] * F.lit(float(c)) for j, c in enumerate(w[k])), F.lit(float(b[k]))) for k in range(len(self.classes))]
+        top = F.greatest(*linear) if len(linear) > 1 else linear[0]
+        raised = [F.exp(v - top) for v in linear]
+        total = sum(raised[1:], raised[0])
+        return F.array(*[v / total for v in raised])
 
     def classified(self, pairs: DataFrame, x: Column) -> DataFrame:
         """pairs with rel_type and confidence; ties go to the class named first."""

@@ -25,13 +25,13 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
     pairs = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ka"), after.alias("kb")).where("kb is not null")
-    side = lambda c: p.select(F.col("p_partkey").alias(f"k{c}"), F.concat_ws(" ", "p_type", "p_name").alias(f"text_{c}"), F.col("p_brand").alias(f"brand_{c}"), F.col("p_type").alias(f"type_{c}"), F.split("p_name", " ").alias(f"name_{c}"), F.col("p_retailprice").alias(f"price_{c}"))
+    side = lambda c: p.select(F.col("p_partkey").alias(f"k{c}"), C.key(F.concat_ws(" ", "p_type", "p_name")).alias(f"key_{c}"), F.col("p_brand").alias(f"brand_{c}"), F.col("p_type").alias(f"type_{c}"), F.split("p_name", " ").alias(f"name_{c}"), F.col("p_retailprice").alias(f"price_{c}"))
     rows = pairs.join(side("a"), "ka").join(side("b"), "kb")
     near = 1 / (1 + F.abs(F.col("price_a") - F.col("price_b")) / 100)
     same = [F.col("type_a") == F.col("type_b"), *(F.get("name_a", F.lit(k)) == F.get("name_b", F.lit(k)) for k in range(2))]
     agree = sum((F.coalesce(c, F.lit(False)).cast("int") for c in same), F.lit(0))
     label = F.element_at(F.array(*[F.lit(t) for t in TYPES]), agree + 1)
-    x = C.features(F.col("text_a"), F.col("text_b"), near, F.col("brand_a"), F.col("brand_b"))
+    x = C.features(F.col("key_a"), F.col("key_b"), near, F.col("brand_a"), F.col("brand_b"), keyed=True)
     held = F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber")) % 3 == 1
     return rows.select("l_orderkey", "l_linenumber", x.alias("x"), label.alias("label"), held.alias("held_out"))
 

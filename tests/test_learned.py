@@ -146,3 +146,17 @@ def test_a_bundle_of_tables(spark, tmp_path):
     assert [tuple(r) for r in back] == [("a", 'say "x",\ny', "1.5", '["p","q"]'), ("b", None, None, None)]
     page = "\n".join(r.value for r in spark.read.text(f"{path}/README").collect())
     assert page.startswith("## Results") and "| ratings | 2 | reviewer, comment, score, tags |" in page
+
+
+def test_chances_are_plain_arithmetic_and_names_are_keyed_once(spark):
+    model = C.PairModel(("p", "q", "r"), np.array([[0.0, 0, 0], [0.3, -1.2, 0.7], [-0.4, 0.9, 2.1]]), np.array([0.5, -0.25]), np.array([2.0, 0.5]))
+    x = [[0.1, 0.2], [1.5, -3.0], [-2.0, 4.0]]
+    df = model.classified(spark.createDataFrame([(v,) for v in x], "x array<double>"), F.col("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "aggregate(" not in plan
+    want = model.classifier()([{"x": v} for v in x])
+    assert [(r.rel_type, round(r.confidence, 12)) for r in df.collect()] == [(w["rel_type"], round(w["confidence"], 12)) for w in want]
+    names = spark.createDataFrame([(" A  b", "b a", 0.5), (None, "c", None)], "a string, b string, s double")
+    none = F.lit(None).cast("string")
+    both = names.select(C.features(F.col("a"), F.col("b"), F.col("s"), none, none).alias("x"), C.features(C.key(F.col("a")), C.key(F.col("b")), F.col("s"), none, none, keyed=True).alias("y")).collect()
+    assert [r.x for r in both] == [r.y for r in both]
