@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import modularity, simple_edges
-from .tables import cut
+from .tables import cut, spread
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...], outer: bool = False) -> DataFrame:
@@ -50,14 +50,29 @@ def ancestors(parents: DataFrame, depth: int) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """src, dst: all pairs joined by a directed path, cycles allowed; from ``start`` (src) only, if given."""
-    e = edges.select("src", "dst").distinct()
-    seen = cut(e if start is None else e.join(start, "src", "left_semi"))
-    fresh = seen
+    """src, dst: all pairs joined by a directed path, cycles allowed; from ``start`` (src) only, if given.
+
+    Without ``start``, sources that no edge leads to are left out of the rounds: no path goes through them, so their edges meet what the others reach once, at
+    the end. A round writes only the pairs that it finds.
+    """
+    if start is not None:
+        e = edges.select("src", "dst").distinct()
+        return _closure(e.join(start, "src", "left_semi"), e)
+    e = cut(spread(edges.select("src", "dst"), "src").distinct())
+    led = cut(e.select(F.col("dst").alias("src")).distinct())
+    inner, outer = cut(e.join(led, "src", "left_semi")), e.join(led, "src", "left_anti")
+    rest = cut(_closure(inner, inner))
+    further = spread(outer, "src").join(rest.toDF("dst", "next"), "dst", "left").select("src", F.explode(F.array("dst", "next")).alias("dst"))
+    return rest.union(further.where("dst is not null").distinct())
+
+
+def _closure(first: DataFrame, e: DataFrame) -> DataFrame:
+    """src, dst: pairs of ``first`` and what edges lead to from there; each round's new pairs are a table of their own."""
+    seen = fresh = cut(first)
     while not fresh.isEmpty():
         step = fresh.join(e.toDF("dst", "next"), "dst").select("src", F.col("next").alias("dst")).distinct()
         fresh = cut(step.join(seen, ["src", "dst"], "left_anti"))
-        seen = cut(seen.union(fresh))
+        seen = seen.union(fresh)
     return seen
 
 

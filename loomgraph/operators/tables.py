@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that is broadcast, at most.
 BROADCAST_ROWS = 200_000
+#: Rows that ``spread`` gives to a task, about.
+TASK_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows of the same keys in one task, about ``rows`` in each whatever the session's number of partitions: what a task holds does not grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1 + df.count() // rows), *keys)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A cut table, broadcast if it has up to ``limit`` rows."""
     return F.broadcast(df) if df.count() <= limit else df

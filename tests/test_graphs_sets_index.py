@@ -379,3 +379,26 @@ def test_louvain_equals_a_replay_of_its_rounds(spark):
     q = L.louvain_modularity(nodes, df).first()
     assert q.communities == len(set(got.values())) and q.q >= P.best_partition(nodes, df).first().q - 1e-12
     assert {r.id: r.part for r in L.louvain(nodes, df.where("false")).collect()} == {r.id: r.id for r in nodes.collect()}
+
+
+def test_reachable_pairs_leave_sources_out_of_the_rounds(spark, monkeypatch):
+    from loomgraph.operators import paths as P
+
+    rnd = random.Random(5)
+    edges = [(f"s{k}", f"m{rnd.randrange(6)}") for k in range(40)] + [("m0", "m1"), ("m1", "m2"), ("m2", "m0"), ("m3", "t"), ("m3", "m3"), ("s1", "t"), ("u", "v"), ("s2", "s2")]
+    ends = {}
+    for a, b in edges:
+        ends.setdefault(a, set()).add(b)
+    want = set()
+    for a in ends:
+        todo, seen = list(ends[a]), set()
+        while todo:
+            if (b := todo.pop()) not in seen:
+                seen.add(b)
+                todo += ends.get(b, ())
+        want |= {(a, b) for b in seen}
+    first, closure = [], P._closure
+    monkeypatch.setattr(P, "_closure", lambda f, e: first.append({r.src for r in f.collect()}) or closure(f, e))
+    got = [tuple(r) for r in P.reachable(spark.createDataFrame(edges, "src string, dst string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert first == [{"m0", "m1", "m2", "m3", "s2"}]
