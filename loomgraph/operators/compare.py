@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import unordered
+from .tables import spread
 
 
 def added_removed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, change: rows only in one of the two."""
-    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
-    return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
+    """keys, change: rows only in one of the two, nulls alike (J13, U03). Both go through one shuffle."""
+    both = old.select(*keys, F.lit(True).alias("_old")).unionByName(new.select(*keys, F.lit(False).alias("_old")))
+    sides = spread(both, *keys).groupBy(*keys).agg(F.min("_old").alias("_all"), F.max("_old").alias("_any")).where("_all = _any")
+    return sides.select(*keys, F.when(F.col("_all"), "removed").otherwise("added").alias("change"))
 
 
 def overlap(first: DataFrame, second: DataFrame, typed: bool = False) -> DataFrame:

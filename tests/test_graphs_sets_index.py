@@ -402,3 +402,21 @@ def test_reachable_pairs_leave_sources_out_of_the_rounds(spark, monkeypatch):
     got = [tuple(r) for r in P.reachable(spark.createDataFrame(edges, "src string, dst string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert first == [{"m0", "m1", "m2", "m3", "s2"}]
+
+
+def exchanges(df):
+    """Shuffles by keys of a plan that has not run."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_added_and_removed_rows_meet_once_in_tasks_of_bounded_size(spark):
+    from loomgraph.operators import compare as K
+    from loomgraph.operators import tables as T
+
+    old = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("c", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 1), ("b", None), ("d", 4), ("d", 4)], "k string, v int")
+    got = K.added_removed(old, new, ["k", "v"])
+    assert sorted(map(tuple, got.collect())) == [("c", 3, "removed"), ("d", 4, "added")]  # nulls alike, as EXCEPT has it
+    assert exchanges(got) == 1
+    few = T.spread(spark.range(100).withColumn("k", F.col("id") % 50), "k", rows=5)
+    assert few.rdd.getNumPartitions() == 21 and T.spread(spark.range(100), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
