@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import STRUCTURAL, WITHIN_BOOK
 from .order_statistics import values_at
+from .tables import spread
 
 
 def share(condition: Column) -> Column:
@@ -117,10 +118,10 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """a < b, rel_type: edges that also exist the other way."""
-    e = edges.select("src", "dst", "rel_type").where("src <> dst").distinct()
-    back = F.when(F.col("src") < F.col("dst"), 1).otherwise(2)
-    both = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "rel_type").agg(F.countDistinct(back).alias("ways"))
-    return both.where("ways = 2").drop("ways")
+    ends = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+    e = spread(edges.where("src <> dst").select(*ends, "rel_type", (F.col("src") < F.col("dst")).alias("_ahead")), "a", "b", "rel_type")
+    both = e.groupBy("a", "b", "rel_type").agg(F.min("_ahead").alias("_all"), F.max("_ahead").alias("_any"))
+    return both.where("_any and not _all").select("a", "b", "rel_type")
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import candidates as C
 from ..operators import compare as K
 from ..operators import context as X
 from ..operators import upsert as U
+from ..operators.tables import spread
 from .structure import edges as all_edges
 
 _E = """e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag || l_linestatus as rel_type, round(1 - l_discount, 2) as confidence, l_orderkey, l_linenumber, l_shipmode_k, l_shipdate
@@ -141,7 +142,8 @@ def source_target_matrix(spark, sf_dir):
 @query("context_top_edges", f"""with {_E}, r as (select src, rel_type, dst, confidence, row_number() over (partition by src order by confidence desc, rel_type, dst, l_shipmode_k) as k from (select src, dst, rel_type, max(confidence) as confidence, min(l_shipmode_k) as l_shipmode_k from e group by 1, 2, 3))
 select src, string_agg(rel_type || '>' || dst, ',' order by k) as out_edges from r where k <= 5 group by 1""")
 def context_top_edges(spark, sf_dir):
-    e = edges(spark, sf_dir).groupBy("src", "dst", "rel_type").agg(F.max("confidence").alias("confidence"))
+    # spread by source once: the edges, the ranks and the lists of a source stay where they are
+    e = spread(edges(spark, sf_dir).select("src", "dst", "rel_type", "confidence"), "src").groupBy("src", "dst", "rel_type").agg(F.max("confidence").alias("confidence"))
     return X.top_edges(e).select("src", F.array_join(F.transform("out_edges", lambda s: F.concat_ws(">", s["rel_type"], s["target"])), ",").alias("out_edges"))
 
 

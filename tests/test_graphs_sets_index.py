@@ -420,3 +420,12 @@ def test_added_and_removed_rows_meet_once_in_tasks_of_bounded_size(spark):
     assert exchanges(got) == 1
     few = T.spread(spark.range(100).withColumn("k", F.col("id") % 50), "k", rows=5)
     assert few.rdd.getNumPartitions() == 21 and T.spread(spark.range(100), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_symmetric_edges_and_edges_of_a_context_are_shuffled_once(spark, sf_dir):
+    from loomgraph.plans.changes import context_top_edges
+
+    e = spark.createDataFrame([("a", "b", "T"), ("b", "a", "T"), ("b", "a", "T"), ("a", "c", "T"), ("c", "a", "U"), ("d", "d", "T"), ("e", "f", "T"), ("e", "f", "T")], "src string, dst string, rel_type string")
+    got = M.symmetric(e)
+    assert [tuple(r) for r in got.collect()] == [("a", "b", "T")] and exchanges(got) == 1
+    assert exchanges(context_top_edges(spark, sf_dir)) == 1
