@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from .tables import cut
+from .tables import cut, spread
 
 SHORTEST, LONGEST, LEAST = 2, 4, 10
+#: Texts of a task, about, however few pieces their files can be read in.
+TASK_TEXTS = 1_000
 #: Ends of a sentence; what separates words in it.
 SENTENCES, SPACES = r"[.,;:!?()\x0A-\x0D]+", r"[\x20\x09]+"
 
 
-def _runs(words: Column, n: int | Column) -> Column:
-    """All runs of n words, joined by a space."""
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words of a phrase, joined by a space."""
     last = F.size(words) - n + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
@@ -30,9 +32,12 @@ def _runs(words: Column, n: int | Column) -> Column:
 def phrases(texts: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
     """phrase, n: counts of the candidate phrases."""
     sentence = F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), SENTENCES))
-    words = texts.select(sentence.alias("s")).select(F.filter(F.split("s", SPACES), lambda w: w != "").alias("w")).where(F.size("w") >= shortest)
-    every = F.flatten(F.array(*[_runs(F.col("w"), n) for n in range(shortest, longest + 1)]))
-    rows = words.select(F.explode(every).alias("phrase"))
+    words = spread(texts.select(text_col), rows=TASK_TEXTS).select(sentence.alias("s")).select(F.filter(F.split("s", SPACES), lambda w: w != "").alias("w")).where(F.size("w") >= shortest)
+    rows = words.select("w", F.col("w").alias("r1"))
+    for n in range(2, longest + 1):  # each run from the one that is a word shorter: work grows with the words of a sentence, however long it is
+        kept = F.slice(f"r{n - 1}", F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0)))
+        rows = rows.withColumn(f"r{n}", F.zip_with(kept, F.slice("w", F.lit(n), F.size("w")), lambda r, w: F.concat(r, F.lit(" "), w)))
+    rows = rows.select(F.explode(F.flatten(F.array(*[f"r{n}" for n in range(shortest, longest + 1)]))).alias("phrase"))
     if stopwords:
         rows = rows.where(~F.substring_index("phrase", " ", 1).isin(*stopwords) & ~F.substring_index("phrase", " ", -1).isin(*stopwords))
     return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))

@@ -160,3 +160,15 @@ def test_chances_are_plain_arithmetic_and_names_are_keyed_once(spark):
     none = F.lit(None).cast("string")
     both = names.select(C.features(F.col("a"), F.col("b"), F.col("s"), none, none).alias("x"), C.features(C.key(F.col("a")), C.key(F.col("b")), F.col("s"), none, none, keyed=True).alias("y")).collect()
     assert [r.x for r in both] == [r.y for r in both]
+
+
+def test_phrases_of_texts_in_one_piece_are_counted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "TASK_TEXTS", 3)
+    texts = spark.createDataFrame([("aa bb cc dd ee. aa bb",)] * 20 + [("aa",), ("",), (None,)], "text string").coalesce(1)
+    counted = T.phrases(texts, stopwords=())
+    assert "RoundRobinPartitioning(8)" in counted.select("*")._jdf.queryExecution().executedPlan().toString()
+    want = {"aa bb": 40, **dict.fromkeys(["bb cc", "cc dd", "dd ee", "aa bb cc", "bb cc dd", "cc dd ee", "aa bb cc dd", "bb cc dd ee"], 20)}
+    assert {r.phrase: r.n for r in counted.collect()} == want
+    words = [f"w{k}" for k in range(3000)]  # one sentence
+    long = T.phrases(spark.createDataFrame([(" ".join(words),)], "text string"), stopwords=()).collect()
+    assert {r.phrase for r in long} == {" ".join(words[i : i + n]) for n in (2, 3, 4) for i in range(3001 - n)}
