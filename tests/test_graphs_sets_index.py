@@ -381,6 +381,45 @@ def test_louvain_equals_a_replay_of_its_rounds(spark):
     assert {r.id: r.part for r in L.louvain(nodes, df.where("false")).collect()} == {r.id: r.id for r in nodes.collect()}
 
 
+def ring_of_cliques(cliques, size):
+    """Cliques in a ring, with links between others at random."""
+    rnd = random.Random(7)
+    edges = [(f"n{g}-{a}", f"n{g}-{b}") for g in range(cliques) for a in range(size) for b in range(a)]
+    return edges + [(f"n{g}-0", f"n{(g + 1) % cliques}-1") for g in range(cliques)] + [(f"n{rnd.randrange(cliques)}-{rnd.randrange(size)}", f"n{rnd.randrange(cliques)}-{rnd.randrange(size)}") for _ in range(3 * cliques)]
+
+
+@pytest.mark.parametrize("few", [100_000, 60])
+def test_louvain_rounds_are_one_job_each_and_agree_with_few_and_many_moves(spark, monkeypatch, few):
+    from loomgraph.operators import louvain as L
+
+    monkeypatch.setattr(L, "LEAST_ROWS", 100, raising=False)  # several tasks
+    monkeypatch.setattr(L, "FEW", few, raising=False)
+    edges = ring_of_cliques(40, 4)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in {x for e in edges for x in e}], "id string")
+    spark.sparkContext.setJobGroup(f"louvain-{few}", "rounds")
+    try:
+        got = {r.id: r.part for r in L.louvain(nodes, df).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"louvain-{few}"))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "")
+    assert got == replayed(edges)
+    assert jobs < 120  # nine rounds
+
+
+def test_louvain_gains_beyond_machine_integers_are_exact():
+    import numpy as np
+    from loomgraph.operators import louvain as L
+
+    x, y, w = np.array([0, 0, 1, 1, 2, 2]), np.array([1, 2, 0, 2, 0, 1]), np.array([2**40, 2**40 + 1, 2**40, 1, 2**40 + 1, 1])
+    k = {0: 2**41 + 1, 1: 2**40 + 1, 2: 2**40 + 2}
+    m2 = sum(k.values())
+    moves = L.Part.of(m2, 0, x, y, w, np.array([k[v] for v in y.tolist()])).moves
+    assert {(m["x"], m["c"], m["gain"]) for m in moves} == {(a, b, n * m2 - k[a] * k[b]) for a, b, n in zip(x.tolist(), y.tolist(), w.tolist()) if n * m2 > k[a] * k[b]}
+    sides = L._charged(L._sides(L._suited(moves, L._best(L._sides(moves)))))
+    assert len(sides) and set(L._accepted(sides)["x"].tolist()) <= {0, 1, 2}
+
+
 def test_reachable_pairs_leave_sources_out_of_the_rounds(spark, monkeypatch):
     from loomgraph.operators import paths as P
 
