@@ -3,6 +3,9 @@
 An edge between two strongly connected components closes no cycle, so only edges inside a component are looked at in order;
 elsewhere the filter is a join. Components are found by trimming (what has no way in or no way out is alone) and by forward and
 backward colouring; each round is a few aggregations, rounds follow the longest path. Tables are cut in the shared folder.
+
+Inside a component edges are decided one source after the other, by searches while these are short; where they begin to cover the component, by blocks of
+sources: one pass over the graph tells for each node, as bits, which sources of a block it reaches, and a matrix of bits which of them reach one another.
 """
 
 from __future__ import annotations
@@ -11,17 +14,25 @@ from collections.abc import Iterable
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, small
+
+#: Nodes that are broadcast, at most.
+NODES = 1_000_000
+#: Steps of searches for each edge, after which sources are decided in blocks; and sources of a block.
+PATIENCE, SOURCES = 4, 2048
 
 
 def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
     """Edges between nodes with a way in and a way out, and their number."""
     n = e.count()
     while n:
-        live = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        live = small(cut(e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")), NODES)
         kept = cut(e.join(live.toDF("src"), "src", "left_semi").join(live.toDF("dst"), "dst", "left_semi").select("src", "dst"))
         m = kept.count()
         if m == n:
@@ -43,12 +54,18 @@ def _coloured(e: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, scc: nodes in strongly connected components of two or more, by a node of the component; all others are alone and not listed."""
-    rest = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
+    return _components(cut(edges.select("src", "dst")))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``strong_components`` of a table that is read several times; repeated edges go once most edges are trimmed."""
+    rest, first, found = edges.where("src <> dst").select("src", "dst"), True, None
     while True:
         rest, n = _trimmed(rest)
         if not n:
             break
+        if first:
+            rest, first = cut(rest.distinct()), False
         colours = _coloured(rest)
         inside = rest.join(colours.toDF("src", "c"), "src").join(colours.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
         inside = cut(inside)
@@ -75,6 +92,7 @@ class TopologicalOrder:
         self.out: dict = {}
         self.into: dict = {}
         self.cyclic = False
+        self.edges = self.steps = 0
 
     def _at(self, n) -> int:
         return self.place.setdefault(n, len(self.place))
@@ -82,7 +100,9 @@ class TopologicalOrder:
     def _between(self, starts: list, ways: dict, low: int, high: int) -> list:
         seen, stack, place = set(starts), list(starts), self.place
         while stack:
-            for m in ways.get(stack.pop(), ()):
+            found = ways.get(stack.pop(), ())
+            self.steps += len(found)
+            for m in found:
                 if m not in seen and low <= place[m] <= high:
                     seen.add(m)
                     stack.append(m)
@@ -131,6 +151,70 @@ class TopologicalOrder:
         self._at(s), self._at(d)
         self.out.setdefault(s, []).append(d)
         self.into.setdefault(d, []).append(s)
+        self.edges += 1
+
+    def accept(self, runs: list[tuple]) -> list[bool]:
+        """For each edge of ``runs`` (source, its ends) whether it is accepted, in order."""
+        keep, k = [], 0
+        while k < len(runs) and (self.cyclic or self.steps <= PATIENCE * (self.edges + SOURCES)):
+            s, ends = runs[k]
+            bad = self.closing(s, ends)
+            keep += [d not in bad for d in ends]
+            for d in ends:
+                if d not in bad:
+                    self.add(s, d)
+            k += 1
+        for at in range(k, len(runs), SOURCES):
+            keep += self._block(runs[at : at + SOURCES])
+        return keep
+
+    def _block(self, runs: list[tuple]) -> list[bool]:
+        """``accept`` without searches, over edges without cycles; places are not kept up.
+
+        A path back to a source goes through the edges of before to a source of the block, from there by an accepted edge on, and so forth. So it is enough to know the
+        sources of the block that each end reaches by the edges of before (``met``), and those that reach a source by now (``above``, a row of bits each).
+        """
+        number: dict = {}
+        for s, _ in runs:
+            number.setdefault(s, len(number))
+        met: dict = {}
+        for s, ends in runs:
+            self._reached([s, *ends], number, met)
+        size = 8 * -(-len(number) // 64)
+        reached = np.stack([np.frombuffer(met[s].to_bytes(size, "little"), np.uint8) for s in number])
+        above = np.packbits(np.unpackbits(reached, axis=1, bitorder="little")[:, : len(number)].T, axis=1, bitorder="little")
+        above = np.ascontiguousarray(np.pad(above, ((0, 0), (0, size - above.shape[1])))).view(np.uint64)
+        keep = []
+        for s, ends in runs:
+            own, beyond = above[number[s]], 0
+            here = int.from_bytes(own.tobytes(), "little")
+            for d in ends:
+                keep.append(not met[d] & here)
+                if keep[-1]:
+                    beyond |= met[d]
+                    self.out.setdefault(s, []).append(d)
+            if beyond:
+                above[(above & np.frombuffer(beyond.to_bytes(size, "little"), np.uint64)).any(axis=1)] |= own
+        return keep
+
+    def _reached(self, starts: list, number: dict, met: dict) -> None:
+        """Put into ``met`` for all that is reached from the starts the numbered nodes that it reaches, itself included, as bits."""
+        stack, out = list(starts), self.out
+        while stack:
+            n = stack[-1]
+            if n in met:
+                stack.pop()
+                continue
+            ways = out.get(n, ())
+            further = [m for m in ways if m not in met]
+            if further:
+                stack += further
+                continue
+            bits = 1 << number[n] if n in number else 0
+            for m in ways:
+                bits |= met[m]
+            met[n] = bits
+            stack.pop()
 
     def seeded(self, edges: Iterable[tuple]) -> TopologicalOrder:
         """With edges that stand whatever they close."""
@@ -147,8 +231,8 @@ def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None)
     Columns in: src, dst and those ordered by (an order without ties, else any of them may come first); out: the same with accepted boolean. A loop is never
     accepted. The rule is sequential inside a strongly connected component of all edges, which is one group there; no other edge is grouped.
     """
-    every = edges.select("src", "dst") if seed is None else edges.select("src", "dst").union(seed.select("src", "dst"))
-    scc = cut(strong_components(every))
+    edges = cut(edges)
+    scc = small(cut(_components(edges if seed is None else cut(edges.select("src", "dst").union(seed.select("src", "dst"))))), NODES)
     ends = lambda df: df.join(scc.toDF("src", "_s"), "src", "left").join(scc.toDF("dst", "_d"), "dst", "left")
     names = edges.columns
     placed = ends(edges)
@@ -161,21 +245,17 @@ def accept_acyclic(edges: DataFrame, order: list, seed: DataFrame | None = None)
         old = ends(seed.select("src", "dst")).where(within).select("src", "dst", "_s", F.lit(0).alias("_order"))
         rows = rows.unionByName(old, allowMissingColumns=True)
 
-    def accept(group):
-        new = group["_order"] > 0
-        at = TopologicalOrder().seeded(zip(group["src"][~new], group["dst"][~new], strict=True))
-        rows, keep = group[new].sort_values("_order"), []
-        for s, run in groupby(zip(rows["src"], rows["dst"], strict=True), key=itemgetter(0)):
-            ends = [d for _, d in run]
-            bad = at.closing(s, ends)
-            for d in ends:
-                keep.append(d not in bad)
-                if keep[-1]:
-                    at.add(s, d)
-        return rows.assign(accepted=keep)[[*names, "accepted"]]
+    def accept(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_order")
+        known = pc.unique(pa.chunked_array(group["src"].chunks + group["dst"].chunks))
+        src, dst = (pc.index_in(group[c], known).to_pylist() for c in ("src", "dst"))
+        old = pc.sum(pc.equal(group["_order"], 0)).as_py() or 0
+        at = TopologicalOrder().seeded(zip(src[:old], dst[:old], strict=True))
+        runs = [(s, [d for _, d in run]) for s, run in groupby(zip(src[old:], dst[old:], strict=True), key=itemgetter(0))]
+        return group.slice(old).select(names).append_column("accepted", pa.array(at.accept(runs), pa.bool_()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields)
-    return loose.unionByName(rows.groupBy("_s").applyInPandas(accept, f"{fields}, accepted boolean"))
+    return loose.unionByName(rows.groupBy("_s").applyInArrow(accept, f"{fields}, accepted boolean"))
 
 
 def prerequisite_chains(edges: DataFrame, depth: int, start: DataFrame | None = None) -> DataFrame:

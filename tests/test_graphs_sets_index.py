@@ -1,5 +1,7 @@
 """Acyclic filter, chains, overlap and containment joins, order statistics, vector index: against brute force."""
 
+import graphlib
+import itertools
 import random
 
 import numpy as np
@@ -468,3 +470,35 @@ def test_symmetric_edges_and_edges_of_a_context_are_shuffled_once(spark, sf_dir)
     got = M.symmetric(e)
     assert [tuple(r) for r in got.collect()] == [("a", "b", "T")] and exchanges(got) == 1
     assert exchanges(context_top_edges(spark, sf_dir)) == 1
+
+
+@pytest.mark.parametrize(("patience", "sources"), [(-1, 1), (-1, 3), (-1, 100), (0, 2), (4, 2048)])
+def test_blocks_of_sources_decide_like_the_sequential_rule(monkeypatch, patience, sources):
+    monkeypatch.setattr(Y, "PATIENCE", patience)
+    monkeypatch.setattr(Y, "SOURCES", sources)
+    for seed in range(20):
+        rnd = random.Random(seed)
+        edges = list({(rnd.randrange(25), rnd.randrange(25)) for _ in range(150)})
+        if seed % 2:
+            edges.sort(key=lambda e: (e[0] * 7 % 5, e))
+        else:
+            rnd.shuffle(edges)
+        keep = Y.TopologicalOrder().accept([(s, [d for _, d in run]) for s, run in itertools.groupby(edges, key=lambda e: e[0])])
+        assert dict(zip(edges, keep, strict=True)) == sequential(edges)
+
+
+def test_searches_of_a_large_component_stay_short():
+    # a ring of layers, as parts to suppliers to customers to parts: searches alone walk most of it again and again
+    rnd = random.Random(3)
+    layer = lambda k, n: [(k * 10_000 + a, (k + 1) % 3 * 10_000 + b) for a, b in sorted({(rnd.randrange(2000), rnd.randrange(2000)) for _ in range(n)})]
+    edges = layer(0, 6000) + layer(1, 6000) + layer(2, 6000)
+    runs = [(s, [d for _, d in run]) for s, run in itertools.groupby(edges, key=lambda e: e[0])]
+    at = Y.TopologicalOrder()
+    keep = at.accept(runs)
+    assert at.steps < 8 * len(edges)
+    assert not all(keep)
+    ways = {}
+    for (s, d), fine in zip(edges, keep, strict=True):
+        if fine:
+            ways.setdefault(s, []).append(d)
+    list(graphlib.TopologicalSorter(ways).static_order())  # an error if what is accepted has a cycle
