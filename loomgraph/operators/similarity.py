@@ -70,6 +70,16 @@ def neighbours(queries: DataFrame | None, data: DataFrame | V.VectorIndex, k: in
     return found.withColumn("rank", F.rank().over(order) if ties else F.row_number().over(order)).where(F.col("rank") <= k).where("source <> target")
 
 
+def links(data: DataFrame | V.VectorIndex, least: float, raw: bool = False) -> DataFrame:
+    """source, target: pairs of rows of at least a score, as many as it takes to connect all that such pairs connect; no number of partners is dropped.
+
+    A task hands out a pair only if it joins two components of what the task has seen: fewer pairs than its rows, however many reach the score.
+    """
+    index = index_of(data)
+    floor = lambda b, _: np.full(len(b.ids), least)
+    return V.visit(index.blocks, index, floor, lambda b, _, joined: V.Links(b, least, raw, joined), "source string, target string", raw, shared=V.Joined)
+
+
 def ranks_of(pairs: DataFrame, queries: DataFrame | None, data: DataFrame | V.VectorIndex, raw: bool = False) -> DataFrame:
     """source, target, score, rank of the given pairs (source, target, score), sources among the queries as in ``neighbours``: 1 + the number of targets that suit the source strictly better.
 

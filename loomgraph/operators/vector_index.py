@@ -284,15 +284,16 @@ def dealt(queries: DataFrame, index: VectorIndex, floor, raw: bool, extra: str |
     return own.unionByName(data), groups * salts
 
 
-def visit(queries: DataFrame, index: VectorIndex, floor, search: Callable, out: str, raw: bool = False, extra: str | None = None) -> DataFrame:
+def visit(queries: DataFrame, index: VectorIndex, floor, search: Callable, out: str, raw: bool = False, extra: str | None = None, shared: Callable | None = None) -> DataFrame:
     """Rows of ``search``: an object made of (Block, extra) for each block of queries, with ``add(Block)`` and ``rows()``.
 
-    ``queries`` are blocks like those of an index, with an ``extra`` column that goes to ``floor`` and ``search``.
+    ``queries`` are blocks like those of an index, with an ``extra`` column that goes to ``floor`` and ``search``. With ``shared``, ``search`` gets a third
+    argument, made anew for each task.
     """
     rows, tasks = dealt(queries, index, floor, raw, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, states = None, {}
+        now, states, own = None, {}, ()
         for batch in batches:
             columns = [batch.column(c) for c in range(batch.num_columns)]
             for r in range(batch.num_rows):
@@ -300,10 +301,10 @@ def visit(queries: DataFrame, index: VectorIndex, floor, search: Callable, out:
                 if t != now:
                     for state in states.values():
                         yield from state.rows()
-                    now, states = t, {}
+                    now, states, own = t, {}, (shared(),) if shared else ()
                 b = Block.of(ids, groups, v)
                 if at == -np.inf:
-                    states[asked[0]["q"]] = search(b, more)
+                    states[asked[0]["q"]] = search(b, more, *own)
                 else:
                     for x in asked:
                         states[x["q"]].add(b, x["hope"])
@@ -392,3 +393,71 @@ class Better:
         if self.asked:
             ids = [self.q.ids[i] for i, a in self.asked for _ in a]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate([a for _, a in self.asked])), pa.array(np.concatenate(self.n))], ["source", "score", "better"])
+
+
+class Joined:
+    """Components of what a task has linked so far: rows by numbers, dealt as their blocks come."""
+
+    def __init__(self):
+        self.parent = np.zeros(0, np.int64)
+        self.last: tuple | None = None
+
+    def numbers(self, b: Block) -> int:
+        """First number of the rows of a block that is new here."""
+        at = len(self.parent)
+        self.parent = np.concatenate([self.parent, np.arange(at, at + len(b.ids))])
+        return at
+
+    def of_data(self, r: Block) -> int:
+        """The same for a block of data, which all blocks of queries that ask for it see one after the other."""
+        if self.last is None or self.last[0] is not r:
+            self.last = (r, self.numbers(r))
+        return self.last[1]
+
+    def roots(self, a: np.ndarray) -> np.ndarray:
+        at = a
+        while True:
+            up = self.parent[at]
+            if (up == at).all():
+                break
+            at = up
+        self.parent[a] = at
+        return at
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Places of the pairs that join two components, one after the other."""
+        a, b = self.roots(a), self.roots(b)
+        apart, fresh = np.flatnonzero(a != b), []
+        parent: dict[int, int] = {}
+        for k, x, y in zip(apart.tolist(), a[apart].tolist(), b[apart].tolist(), strict=True):
+            while x in parent:
+                x = parent[x]
+            while y in parent:
+                y = parent[y]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                fresh.append(k)
+        if parent:
+            self.parent[list(parent)] = list(parent.values())
+        return fresh
+
+
+class Links:
+    """Pairs of at least a score that join what other pairs of the task have not: fewer than the task has rows, and as connected as all pairs."""
+
+    def __init__(self, q: Block, least: float, raw: bool, joined: Joined):
+        self.q, self.least, self.raw, self.joined = q, np.full(len(q.ids), least), raw, joined
+        self.first = joined.numbers(q)
+        self.held: list[tuple] = []
+
+    def add(self, r: Block, hope: float = np.inf) -> None:
+        i, j, s = above(self.q, r, self.least, self.raw, False, False)
+        fine = s >= self.least[i]
+        i, j = i[fine], j[fine]
+        if len(i) and (fresh := self.joined.joins(self.first + i, self.joined.of_data(r) + j)):
+            self.held.append((self.q.ids[i[fresh]], r.ids[j[fresh]]))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            source, target = (np.concatenate(c).tolist() for c in zip(*self.held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(target, pa.string())], ["source", "target"])

@@ -14,6 +14,7 @@ from loomgraph.operators import acyclic as Y
 from loomgraph.operators import context as X
 from loomgraph.operators import metrics as M
 from loomgraph.operators import overlap as O
+from loomgraph.operators import paths as P
 from loomgraph.operators import similarity as S
 from loomgraph.operators import vector_index as V
 from loomgraph.operators.order_statistics import values_at
@@ -502,3 +503,34 @@ def test_searches_of_a_large_component_stay_short():
         if fine:
             ways.setdefault(s, []).append(d)
     list(graphlib.TopologicalSorter(ways).static_order())  # an error if what is accepted has a cycle
+
+
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
+    # two groups of 12 copies: the ten best of each row are in its group, the pairs between the groups reach the threshold too
+    a, b = np.array([1.0, 0, 0]), np.array([0.4, 0.6, 0.7])
+    rows = [(f"{g}{k:02}", (v + 0.001 * k * np.array([0, 0, 1.0])).tolist()) for g, v in (("a", a), ("b", b)) for k in range(12)] + [("z", [-1.0, 0.0, 0.0])]
+    v = S.index_of(spark.createDataFrame(rows, "id string, v array<double>"))
+    got = {r.id: r.component for r in P.connected_components(v.ids, S.links(v, 0.68).toDF("src", "dst")).collect()}
+    assert got == {i: "z" if i == "z" else "a00" for i, _ in rows}
+    top = S.neighbours(None, v, 10).where("score >= 0.68")
+    assert top.where("left(source, 1) <> left(target, 1)").isEmpty()
+    assert "rank" not in ORACLES["connected_components"]
+
+    # many blocks: components as by brute force, fewer pairs than rows in each task
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rnd = np.random.default_rng(6)
+    u = rnd.normal(size=(1500, 8))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = S.index_of(spark.createDataFrame([(f"{k:04}", r.tolist()) for k, r in enumerate(u)], "id string, v array<double>"))
+    for least in (0.9, 0.95):
+        close = np.round((1 + np.clip(u @ u.T, -1, 1)) / 2, 6) >= least
+        want = np.arange(1500)
+        while True:
+            less = np.where(close, want[None], 1500).min(axis=1)
+            if (less == want).all():
+                break
+            want = less
+        found = S.links(v, least).cache()
+        assert {r.id: r.component for r in P.connected_components(v.ids, found.toDF("src", "dst")).collect()} == {f"{k:04}": f"{c:04}" for k, c in enumerate(want)}
+        assert 1 < len(set(want.tolist())) < 1500
+        assert all(close[int(r.source), int(r.target)] for r in found.collect())
