@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 PIVOTS, BLOCK = 1024, 1024
+#: Rows of a block, neighbours by angle, that are ruled out together.
+CAP = 128
 #: Blocks, at most; beyond that they hold more rows. Their bounds (24 bytes each) are broadcast.
 MOST_BLOCKS = 1 << 18
 #: Groups of blocks of queries that data are sent to, and blocks in a group at most; beyond that there are more groups.
@@ -199,6 +202,19 @@ class Block:
         x = np.frombuffer(v).reshape(len(ids), -1)
         return cls(np.array(ids, object), np.array(groups, object), x, x.astype(np.float32))
 
+    @cached_property
+    def caps(self) -> tuple[np.ndarray, np.ndarray]:
+        """A direction for each ``CAP`` rows, and the greatest angle of one of these rows to it."""
+        starts = np.arange(0, len(self.x), CAP)
+        mean = np.add.reduceat(self.x, starts, axis=0)
+        length = np.linalg.norm(mean, axis=1, keepdims=True)
+        mean = np.where(length > 1e-9, mean / np.maximum(length, 1e-9), self.x[starts])
+        cos = np.einsum("ij,ij->i", self.x, mean[np.arange(len(self.x)) // CAP])
+        return mean, np.arccos(np.clip(np.minimum.reduceat(cos, starts), -1, 1))
+
+    def part(self, rows: np.ndarray) -> Block:
+        return Block(self.ids[rows], self.groups[rows], self.x[rows], self.single[rows])
+
 
 def known(groups: np.ndarray) -> np.ndarray:
     return (groups != None) & (groups != "")  # noqa: E711
@@ -218,10 +234,27 @@ def scores(q: Block, r: Block, raw: bool, self_in_k: bool, by_group: bool) -> np
 def above(q: Block, r: Block, least: np.ndarray, raw: bool, self_in_k: bool, by_group: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q and r, by q, and their rounded scores: all pairs that count and reach ``least`` of the row of q, and a few that just do not.
 
-    Cosines in single precision rule out most pairs, by a margin beyond their error; what is left is computed as in ``scores``.
+    Queries and rows that the angles to the caps of r rule out are not compared. Cosines in single precision rule out most other pairs, by a margin beyond their
+    error; what is left is computed as in ``scores``.
     """
-    bound = (least if raw else 2 * least - 1) - SLACK - SINGLE * (q.x.shape[1] + 8)
-    i, j = np.nonzero(q.single @ r.single.T >= bound.astype(np.float32)[:, None])
+    need = (least if raw else 2 * least - 1) - 2 * SLACK
+    middle, angle = r.caps
+    hope = np.cos(np.maximum(0, _angles(q.x, middle) - angle)) >= need[:, None]
+    near, held = np.flatnonzero(hope.any(axis=1)), np.flatnonzero(np.repeat(hope.any(axis=0), CAP)[: len(r.ids)])
+    if not len(near):
+        return near, near, np.zeros(0)
+    if len(near) < len(q.ids) or len(held) < len(r.ids):
+        i, j, s = _above(q.part(near), r.part(held), least[near], raw, self_in_k, by_group)
+        return near[i], held[j], s
+    return _above(q, r, least, raw, self_in_k, by_group)
+
+
+def _above(q: Block, r: Block, least: np.ndarray, raw: bool, self_in_k: bool, by_group: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bound = ((least if raw else 2 * least - 1) - SLACK - SINGLE * (q.x.shape[1] + 8)).astype(np.float32)
+    cos = q.single @ r.single.T
+    hit = np.flatnonzero(cos.max(axis=1) >= bound)  # a maximum is cheaper than a comparison with places
+    i, j = np.divmod(np.flatnonzero(cos[hit] >= bound[hit, None]), len(r.ids))
+    i = hit[i]
     fine = np.ones(len(i), bool) if self_in_k else q.ids[i] != r.ids[j]
     if by_group:
         a, b = q.groups[i], r.groups[j]
@@ -348,27 +381,29 @@ class Nearest:
             s = every[i, j]
         if not len(i):
             return
-        self.held.append((i, s, r.ids[j].astype(str)))
+        self.held.append((i, s, r.ids[j]))
         self.size += len(i)
-        if self.size > 2 * self.k * len(self.q.ids):
+        if self.size > (self.k + 1) * len(self.q.ids):
             self.reduce()
 
-    def reduce(self) -> None:
+    def reduce(self, last: bool = False) -> None:
+        """Keep what can be among the k best. Which of those that tie at the k-th place stay is decided at last, or when they are many: ids are slow to sort."""
         if not self.held:
             return
         i, s, ids = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        order = np.lexsort((ids, -s, i))
+        order = np.lexsort((ids.astype(str), -s, i) if last else (-s, i))
         i, s, ids = i[order], s[order], ids[order]
-        first = np.searchsorted(i, i, "left")
-        place = np.arange(len(i)) - first
+        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
         kth = place == self.k - 1
         self.floor[i[kth]] = np.maximum(self.floor[i[kth]], s[kth])
-        keep = s >= self.floor[i] if self.ties else place < self.k
+        keep = place < self.k if last and not self.ties else s >= self.floor[i]
         self.held = [(i[keep], s[keep], ids[keep])]
         self.size = min(int(keep.sum()), self.k * len(self.q.ids))  # ties do not bring the next turn nearer
+        if not last and not self.ties and keep.sum() > 4 * self.k * len(self.q.ids):
+            self.reduce(last=True)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        self.reduce()
+        self.reduce(last=True)
         for i, s, ids in self.held:
             yield pa.RecordBatch.from_arrays([pa.array(self.q.ids[i].tolist(), pa.string()), pa.array(ids.tolist(), pa.string()), pa.array(s)], ["source", "target", "score"])
 

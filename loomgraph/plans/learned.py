@@ -45,8 +45,8 @@ def pair_types(spark, sf_dir):
 
 @query("text_neighbours")
 def text_neighbours(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = cut(S.vectors(E.embedded(d, E.fit(d, 32, passes=4)), "id", "vector"))
+    d = cut(E.counted(table(spark, sf_dir, "documents"), "doc_id"))
+    vectors = cut(S.vectors(E.embedded_counted(d, E.fit_counted(d, 32, passes=4)), "id", "vector"))
     return S.neighbours(None, S.index_of(vectors), 3)
 
 

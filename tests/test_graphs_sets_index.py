@@ -534,3 +534,34 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
         assert {r.id: r.component for r in P.connected_components(v.ids, found.toDF("src", "dst")).collect()} == {f"{k:04}": f"{c:04}" for k, c in enumerate(want)}
         assert 1 < len(set(want.tolist())) < 1500
         assert all(close[int(r.source), int(r.target)] for r in found.collect())
+
+
+def test_far_rows_of_a_block_are_not_compared(monkeypatch):
+    # blocks of 8 tight groups each: a query meets the group that it is near to, results are those of all pairs
+    rnd = np.random.default_rng(9)
+    middles = rnd.normal(size=(16, 12))
+
+    def block(first, name):
+        x = np.concatenate([m + 0.02 * rnd.normal(size=(V.CAP, 12)) for m in middles[first : first + 8]])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return V.Block(np.array([f"{name}{k:04}" for k in range(len(x))], object), np.full(len(x), None, object), x, x.astype(np.float32))
+
+    q, near, far = block(0, "q"), block(4, "n"), block(8, "f")
+    compared, plain = [], V._above
+    monkeypatch.setattr(V, "_above", lambda a, b, *more: compared.append(len(a.ids) * len(b.ids)) or plain(a, b, *more))
+    least = np.full(len(q.ids), 0.99)
+    for r in (near, far):
+        got = sorted((int(i), int(j), float(s)) for i, j, s in zip(*V.above(q, r, least, False, False, False), strict=True) if s >= 0.99)
+        every = V.scores(q, r, False, False, False)
+        assert got == [(int(i), int(j), float(every[i, j])) for i, j in zip(*np.nonzero(every >= 0.99), strict=True)]
+        assert bool(got) == (r is near)
+    assert sum(compared) <= len(q.ids) * len(near.ids) // 4
+    n = V.Nearest(q, 3, False, False, False, False)
+    for r in (near, far, near):  # every row twice: ties are decided by id
+        n.add(r)
+    rows = [r for batch in n.rows() for r in batch.to_pylist()]
+    every = np.concatenate([V.scores(q, r, False, False, False) for r in (near, far, near)], axis=1)
+    ids = [*near.ids, *far.ids, *near.ids]
+    for k in (0, 500, 1023):
+        best = sorted((-s, t) for s, t in zip(every[k].tolist(), ids, strict=True))[:3]
+        assert sorted((-r["score"], r["target"]) for r in rows if r["source"] == q.ids[k]) == best

@@ -14,6 +14,7 @@ from loomgraph.operators import classify as K
 from loomgraph.operators import pair_classifier as C
 from loomgraph.operators import terms as T
 from loomgraph.operators import text_embedder as E
+from loomgraph.operators.tables import cut
 from loomgraph.sources import segments
 
 
@@ -172,3 +173,15 @@ def test_phrases_of_texts_in_one_piece_are_counted_by_many_tasks(spark, monkeypa
     words = [f"w{k}" for k in range(3000)]  # one sentence
     long = T.phrases(spark.createDataFrame([(" ".join(words),)], "text string"), stopwords=()).collect()
     assert {r.phrase for r in long} == {" ".join(words[i : i + n]) for n in (2, 3, 4) for i in range(3001 - n)}
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    docs = [(1, "a b  b\tC"), (2, None), (3, ""), (4, "c\n A"), (5, "x y z " * 400)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    table = cut(E.counted(d, "id", columns=64))
+    want = {i: [x.tolist() for x in E.columns_of((t or "").lower(), 64)] for i, t in docs}
+    assert {r.id: [r["at"], r["n"]] for r in table.collect()} == want
+    monkeypatch.setattr(E, "counted", None)  # neither the fit nor the vectors go back to the texts
+    model = E.fit_counted(table, 2, passes=2, columns=64)
+    got = {r.id: r.vector for r in E.embedded_counted(table, model).collect()}
+    assert all(np.allclose(got[i], model([t])[0], atol=1e-6) for i, t in docs)
