@@ -565,3 +565,14 @@ def test_far_rows_of_a_block_are_not_compared(monkeypatch):
     for k in (0, 500, 1023):
         best = sorted((-s, t) for s, t in zip(every[k].tolist(), ids, strict=True))[:3]
         assert sorted((-r["score"], r["target"]) for r in rows if r["source"] == q.ids[k]) == best
+
+
+def test_rows_of_a_group_go_to_each_pair_of_chunks_once(spark, monkeypatch):
+    monkeypatch.setattr(O, "TOGETHER", 5)
+    rows = spark.range(50).select("id", F.lit(1).alias("k"), (F.col("id") * 7 % 11).alias("x")).unionByName(spark.createDataFrame([(90, None, 1), (91, 2, 1), (92, 2, 3)], "id long, k int, x long"))
+    frame, sent = type(rows), []
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: sent.append(self.count()) or plain(self, *a))
+    got = {(r.a, r.b): (r.x_a, r.x_b) for r in O.pairs_of_groups(rows, ["k"]).collect()}
+    assert got == {(a, b): (a * 7 % 11, b * 7 % 11) for a in range(50) for b in range(a + 1, 50)} | {(91, 92): (1, 3)}
+    assert sent == [5 * sum(range(1, 11)) + 2] * 2  # ten chunks; each against each would be 502
